@@ -5,13 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, reputation
+from . import chat, reputation, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write_archives(_read(spark, sf_dir, "pages"))
+    return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP2_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+g AS (SELECT body, max(page_id) AS first_id FROM p WHERE strlen(body) >= 1000 GROUP BY body)
+SELECT p.page_id, strlen(p.body) AS payload_bytes, sha1(p.body) AS payload_digest,
+  CASE WHEN g.first_id <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN g.first_id <> p.page_id THEN g.first_id END AS refers_to
+FROM p LEFT JOIN g USING (body)
+"""
+
+
 def op5_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels are those of the document with the page's number: good means quality 1 and not toxic."""
     labels = _read(spark, sf_dir, "labels")
@@ -97,7 +112,8 @@ FROM r GROUP BY conv_id
 """
 
 QUERIES = {
+    "op2_warc_zstd": op2_warc_zstd,
     "op5_host_reputation": op5_host_reputation,
     "op10_prefix_target_chat": op10_prefix_target_chat,
 }
-ORACLE_SQL = {"op5_host_reputation": OP5_SQL, "op10_prefix_target_chat": OP10_SQL}
+ORACLE_SQL = {"op2_warc_zstd": OP2_SQL, "op5_host_reputation": OP5_SQL, "op10_prefix_target_chat": OP10_SQL}
