@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, reputation, warc
+from . import chat, decontaminate, reputation, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +84,40 @@ FROM seen s JOIN hosts h USING (host) LEFT JOIN ruled r ON s.host = r.host AND s
 """
 
 
+def op7_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+OP7_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+  FROM documents),
+i AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark WHERE text IS NOT NULL),
+p AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[s + 1 : s + 10], ' ') AS phrase
+  FROM (SELECT item_id, w, unnest(generate_series(0, greatest(len(w) - 10, 0))) AS s FROM i WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM p),
+g AS (
+  SELECT r, n, s, array_to_string(w[s + 1 : s + n], ' ') AS phrase
+  FROM (SELECT r, w, n, unnest(generate_series(0, len(w) - n)) AS s FROM d, sizes WHERE len(w) >= n)),
+h AS (SELECT g.r, g.n, g.s, p.item_id FROM g JOIN p ON g.phrase = p.phrase AND g.n = p.n),
+c AS (SELECT r, count(DISTINCT x) AS n_hit FROM (SELECT r, unnest(generate_series(s, s + n - 1)) AS x FROM (SELECT DISTINCT r, n, s FROM h)) GROUP BY r),
+it AS (SELECT r, count(*) AS n_items, string_agg(v, ',' ORDER BY v) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS v FROM h WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (r) LEFT JOIN it USING (r)
+"""
+
+
 def op10_prefix_target_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     control = "</s>[INST] ok [/INST]"
@@ -114,6 +148,7 @@ FROM r GROUP BY conv_id
 QUERIES = {
     "op2_warc_zstd": op2_warc_zstd,
     "op5_host_reputation": op5_host_reputation,
+    "op7_positional_decontamination": op7_positional_decontamination,
     "op10_prefix_target_chat": op10_prefix_target_chat,
 }
-ORACLE_SQL = {"op2_warc_zstd": OP2_SQL, "op5_host_reputation": OP5_SQL, "op10_prefix_target_chat": OP10_SQL}
+ORACLE_SQL = {"op7_positional_decontamination": OP7_SQL, "op2_warc_zstd": OP2_SQL, "op5_host_reputation": OP5_SQL, "op10_prefix_target_chat": OP10_SQL}
