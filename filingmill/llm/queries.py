@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, reputation, warc
+from . import chat, decontaminate, reputation, secrets, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return secrets.scan(docs, secrets.train(docs)).select(
+        "doc_id", "n", "start", F.length("secret").alias("n_chars"), "secret", "score", "is_secret"
+    )
+
+
 def op2_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = warc.write_archives(_read(spark, sf_dir, "pages"))
     return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -146,6 +153,7 @@ FROM r GROUP BY conv_id
 """
 
 QUERIES = {
+    "op1_secret_forest": op1_secret_forest,
     "op2_warc_zstd": op2_warc_zstd,
     "op5_host_reputation": op5_host_reputation,
     "op7_positional_decontamination": op7_positional_decontamination,
