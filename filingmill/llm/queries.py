@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, reputation, secrets, warc
+from . import chat, decontaminate, reputation, secrets, simhash, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -125,6 +125,11 @@ FROM d LEFT JOIN c USING (r) LEFT JOIN it USING (r)
 """
 
 
+def op8_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op10_prefix_target_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     control = "</s>[INST] ok [/INST]"
@@ -157,6 +162,7 @@ QUERIES = {
     "op2_warc_zstd": op2_warc_zstd,
     "op5_host_reputation": op5_host_reputation,
     "op7_positional_decontamination": op7_positional_decontamination,
+    "op8_simhash_anchors": op8_simhash_anchors,
     "op10_prefix_target_chat": op10_prefix_target_chat,
 }
 ORACLE_SQL = {"op7_positional_decontamination": OP7_SQL, "op2_warc_zstd": OP2_SQL, "op5_host_reputation": OP5_SQL, "op10_prefix_target_chat": OP10_SQL}
