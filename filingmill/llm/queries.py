@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, reputation, secrets, simhash, warc
+from . import chat, decontaminate, reputation, secrets, simhash, substrings, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,6 +91,26 @@ FROM seen s JOIN hosts h USING (host) LEFT JOIN ruled r ON s.host = r.host AND s
 """
 
 
+def op6_debruijn_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove_repeats(_read(spark, sf_dir, "documents"), with_text=False)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+OP6_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+g AS (
+  SELECT r, s, md5(array_to_string(w[s + 1 : s + 35], ' ')) AS h
+  FROM (SELECT r, w, unnest(generate_series(0, len(w) - 35)) AS s FROM d WHERE len(w) >= 35)),
+rep AS (SELECT h FROM g GROUP BY h HAVING count(*) > 1),
+cov AS (SELECT DISTINCT r, unnest(generate_series(s, s + 34)) AS x FROM g SEMI JOIN rep USING (h)),
+wd AS (SELECT r, unnest(w) AS word, unnest(generate_series(0, len(w) - 1)) AS x FROM d),
+k AS (SELECT wd.r, string_agg(word, ' ' ORDER BY wd.x) AS kept, count(*) AS n FROM wd ANTI JOIN cov ON wd.r = cov.r AND wd.x = cov.x GROUP BY wd.r)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (r)
+"""
+
+
 def op7_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
     return found.select(
@@ -161,8 +181,9 @@ QUERIES = {
     "op1_secret_forest": op1_secret_forest,
     "op2_warc_zstd": op2_warc_zstd,
     "op5_host_reputation": op5_host_reputation,
+    "op6_debruijn_substrings": op6_debruijn_substrings,
     "op7_positional_decontamination": op7_positional_decontamination,
     "op8_simhash_anchors": op8_simhash_anchors,
     "op10_prefix_target_chat": op10_prefix_target_chat,
 }
-ORACLE_SQL = {"op7_positional_decontamination": OP7_SQL, "op2_warc_zstd": OP2_SQL, "op5_host_reputation": OP5_SQL, "op10_prefix_target_chat": OP10_SQL}
+ORACLE_SQL = {"op6_debruijn_substrings": OP6_SQL, "op7_positional_decontamination": OP7_SQL, "op2_warc_zstd": OP2_SQL, "op5_host_reputation": OP5_SQL, "op10_prefix_target_chat": OP10_SQL}
