@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, reputation, secrets, simhash, substrings, warc
+from . import chat, decontaminate, language, reputation, secrets, simhash, substrings, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,12 @@ FROM p LEFT JOIN g USING (body)
 """
 
 
+def op4_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    found = language.identify(docs, language.train(docs))
+    return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op5_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels are those of the document with the page's number: good means quality 1 and not toxic."""
     labels = _read(spark, sf_dir, "labels")
@@ -180,6 +186,7 @@ FROM r GROUP BY conv_id
 QUERIES = {
     "op1_secret_forest": op1_secret_forest,
     "op2_warc_zstd": op2_warc_zstd,
+    "op4_crf_language": op4_crf_language,
     "op5_host_reputation": op5_host_reputation,
     "op6_debruijn_substrings": op6_debruijn_substrings,
     "op7_positional_decontamination": op7_positional_decontamination,
