@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language, reputation, secrets, simhash, substrings, warc
+from . import chat, decontaminate, language, pieces, reputation, secrets, simhash, substrings, warc
+
+#: The public merge model with byte fallback of this machine; any other SentencePiece model of that kind will do.
+MODEL_PATH = os.environ.get("FILINGMILL_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -156,6 +161,10 @@ def op8_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_shared_prefix_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_digest(_read(spark, sf_dir, "documents"), MODEL_PATH)
+
+
 def op10_prefix_target_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     control = "</s>[INST] ok [/INST]"
@@ -191,6 +200,7 @@ QUERIES = {
     "op6_debruijn_substrings": op6_debruijn_substrings,
     "op7_positional_decontamination": op7_positional_decontamination,
     "op8_simhash_anchors": op8_simhash_anchors,
+    "op9_shared_prefix_pieces": op9_shared_prefix_pieces,
     "op10_prefix_target_chat": op10_prefix_target_chat,
 }
 ORACLE_SQL = {"op6_debruijn_substrings": OP6_SQL, "op7_positional_decontamination": OP7_SQL, "op2_warc_zstd": OP2_SQL, "op5_host_reputation": OP5_SQL, "op10_prefix_target_chat": OP10_SQL}
