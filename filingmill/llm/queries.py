@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language, pieces, reputation, secrets, simhash, substrings, warc
+from . import chat, decontaminate, language, neighbours, pieces, reputation, secrets, simhash, substrings, warc
 
 #: The public merge model with byte fallback of this machine; any other SentencePiece model of that kind will do.
 MODEL_PATH = os.environ.get("FILINGMILL_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
@@ -39,6 +39,27 @@ FROM p LEFT JOIN g USING (body)
 """
 
 
+def op3_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
+OP3_SQL = """
+WITH e AS (
+  SELECT vec_id, label, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, x -> x <> 0)) > 0),
+l AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+w AS (
+  WITH RECURSIVE r(u, v) AS (SELECT u, v FROM l UNION SELECT r.u, l.v FROM r JOIN l ON r.v = l.u)
+  SELECT u, min(v) AS least FROM r GROUP BY u),
+n AS (SELECT u, count(*) AS n FROM l GROUP BY u)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, coalesce(least(w.least, vec_id), vec_id) AS component_id, coalesce(least(w.least, vec_id), vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN n ON vec_id = n.u LEFT JOIN w ON vec_id = w.u
+"""
+
+
 def op4_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     found = language.identify(docs, language.train(docs))
@@ -195,6 +216,7 @@ FROM r GROUP BY conv_id
 QUERIES = {
     "op1_secret_forest": op1_secret_forest,
     "op2_warc_zstd": op2_warc_zstd,
+    "op3_nn_descent": op3_nn_descent,
     "op4_crf_language": op4_crf_language,
     "op5_host_reputation": op5_host_reputation,
     "op6_debruijn_substrings": op6_debruijn_substrings,
@@ -203,4 +225,4 @@ QUERIES = {
     "op9_shared_prefix_pieces": op9_shared_prefix_pieces,
     "op10_prefix_target_chat": op10_prefix_target_chat,
 }
-ORACLE_SQL = {"op6_debruijn_substrings": OP6_SQL, "op7_positional_decontamination": OP7_SQL, "op2_warc_zstd": OP2_SQL, "op5_host_reputation": OP5_SQL, "op10_prefix_target_chat": OP10_SQL}
+ORACLE_SQL = {"op3_nn_descent": OP3_SQL, "op6_debruijn_substrings": OP6_SQL, "op7_positional_decontamination": OP7_SQL, "op2_warc_zstd": OP2_SQL, "op5_host_reputation": OP5_SQL, "op10_prefix_target_chat": OP10_SQL}
