@@ -105,7 +105,8 @@ def proximity_matches(postings: DataFrame, probes: DataFrame, slop: int) -> Data
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs: doc_id, text. items: item_id, text. Returns per document n_words, n_hit, items (sorted ids, as strings)."""
+    """docs: text and any other columns. items: item_id, text. Returns row (a struct of docs' columns), n_words, n_hit, items
+    (sorted ids, as strings) for each row of docs."""
     phrases = staged(windows_of(items, window), "phrases")
     vocabulary = _small(staged(phrases.select(F.explode("words").alias("term")).distinct(), "vocabulary"), BROADCAST_TERMS)
     counts = staged(term_counts(docs, vocabulary), "counts")
@@ -115,16 +116,21 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     starts = aligned_starts(postings, _small(probes, BROADCAST_TERMS))
     texts = phrases.select(F.xxhash64("phrase").alias("pid"), "words", "items")
     found = starts.join(texts, "pid").groupBy("a", "b").agg(F.collect_list(F.struct("start", "words", "items")).alias("_found"))
-    own = docs.select("doc_id", "text", F.xxhash64("text").alias("a"), F.xxhash64(F.lit("key"), "text").alias("b"))
-    read = own.join(found, ["a", "b"], "left").select("doc_id", words_of(F.col("text")).alias("_w"), "_found")
+    own = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("text").alias("a"), F.xxhash64(F.lit("key"), "text").alias("b"))
+    read = own.join(found, ["a", "b"], "left").select("row", words_of(F.col("row.text")).alias("_w"), "_found")
     same = F.expr("filter(_found, c -> slice(_w, c.start + 1, size(c.words)) = c.words)")
-    read = read.select("doc_id", F.size("_w").cast("long").alias("n_words"), F.when(F.col("_found").isNotNull(), same).alias("_same"))
+    read = read.select("row", F.size("_w").cast("long").alias("n_words"), F.when(F.col("_found").isNotNull(), same).alias("_same"))
     covered = F.expr("array_distinct(flatten(transform(_same, c -> sequence(c.start, c.start + size(c.words) - 1))))")
     return read.select(
-        "doc_id",
+        "row",
         "n_words",
         F.coalesce(F.size(covered), F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce(
             F.array_sort(F.array_distinct(F.flatten(F.transform("_same", lambda c: c["items"])))), F.array().cast("array<string>")
         ).alias("items"),
     )
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of docs in which no test window occurs, as they are."""
+    return decontaminate(docs, items, window).filter("n_hit = 0").select("row.*")

@@ -274,21 +274,26 @@ def train(docs: DataFrame) -> Model:
     return fit([(lang, spans) for lang, _, spans in rows])
 
 
+def _read_batch(model: Model, texts: list[str | None]):
+    """(word lists, bounds, shares per word, mean share per text, whether the text is determined)"""
+    lists = [words_of(t) for t in texts]
+    bounds = np.concatenate([[0], np.cumsum([len(w) for w in lists])]).astype(np.int64)
+    codes, words = pd.factorize(np.array([w for ws in lists for w in ws], dtype=object))
+    if len(words) and model.langs:
+        shares = posteriors(emissions(model, list(words))[codes], bounds, model.transitions, model.start)
+        sums = np.concatenate([np.zeros((1, len(model.langs))), np.cumsum(shares, axis=0, dtype=np.float64)])
+        mean = (sums[bounds[1:]] - sums[bounds[:-1]]) / np.maximum(np.diff(bounds), 1)[:, None]
+    else:
+        shares, mean = np.zeros((len(codes), 1)), np.zeros((len(lists), 1))
+    return lists, bounds, shares, mean, (np.diff(bounds) > 0) & bool(model.langs)
+
+
 def _predict(shared, with_words: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            lists = [words_of(t) for t in batch.column("text").to_pylist()]
-            bounds = np.concatenate([[0], np.cumsum([len(w) for w in lists])]).astype(np.int64)
-            codes, words = pd.factorize(np.array([w for ws in lists for w in ws], dtype=object))
-            if len(words) and model.langs:
-                shares = posteriors(emissions(model, list(words))[codes], bounds, model.transitions, model.start)
-                sums = np.concatenate([np.zeros((1, len(model.langs))), np.cumsum(shares, axis=0, dtype=np.float64)])
-                mean = (sums[bounds[1:]] - sums[bounds[:-1]]) / np.maximum(np.diff(bounds), 1)[:, None]
-            else:
-                shares, mean = np.zeros((len(codes), 1)), np.zeros((len(lists), 1))
+            lists, bounds, shares, mean, known = _read_batch(model, batch.column("text").to_pylist())
             best = mean.argmax(axis=1)
-            known = (np.diff(bounds) > 0) & bool(model.langs)
             out = [
                 batch.column("doc_id"),
                 pa.array([model.langs[b] if k else UNDETERMINED for b, k in zip(best, known, strict=True)], pa.string()),
@@ -303,6 +308,22 @@ def _predict(shared, with_words: bool):
     return run
 
 
+def _keep(shared, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, _, _, mean, known = _read_batch(shared.value, batch.column("text").to_pylist())
+            yield batch.filter(pa.array(known & (mean.max(axis=1) >= least)))
+
+    return run
+
+
+def determined(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows of docs, as they are, whose language is determined with a score of `least` or more."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    return docs.mapInArrow(_keep(spark.sparkContext.broadcast(model), least), docs.schema)
+
+
 def identify(docs: DataFrame, model: Model, with_words: bool = False) -> DataFrame:
     """docs: doc_id, text. Returns doc_id, lang_pred, score; with_words adds words and word_langs, the language of each."""
     spark = docs.sparkSession

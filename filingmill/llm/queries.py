@@ -144,9 +144,10 @@ FROM d LEFT JOIN k USING (r)
 
 
 def op7_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.decontaminate(docs, _read(spark, sf_dir, "benchmark"))
     return found.select(
-        "doc_id",
+        "row.doc_id",
         "n_words",
         "n_hit",
         F.size("items").cast("long").alias("n_items"),

@@ -66,7 +66,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, text. Returns doc_id, fp (long, the fingerprint's bits)."""
+    """docs: doc_id, text. Returns doc_id, a (a hash of the text), fp (long, the fingerprint's bits)."""
     small_batches(docs.sparkSession)
 
     @F.pandas_udf("long")
@@ -75,7 +75,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             values = np.array([fingerprint(t) for t in batch], dtype=np.uint64)
             yield pd.Series(values.view(np.int64))
 
-    return docs.select("doc_id", of("text").alias("fp"))
+    return docs.select("doc_id", F.xxhash64("text").alias("a"), of("text").alias("fp"))
 
 
 def _remainder(words: np.ndarray, generator: int, bits: int) -> np.ndarray:
@@ -207,7 +207,7 @@ def near_links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, text. Returns doc_id, fp, component_id per row."""
+    """docs: doc_id, text. Returns doc_id, a, fp, component_id per row."""
     marked = staged(fingerprints(docs), "fingerprints")
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = staged(components(near_links(nodes)), "roots")
@@ -215,3 +215,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = staged(named, "named")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     return marked.join(named.join(least, "root").select("fp", "component_id"), "fp")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """Of each group of near-duplicates the row with the smallest doc_id, as it is; of several such rows that whose text has
+    the smallest hash. Rows equal in doc_id and text count as one. Of a group in which no row has a doc_id, one row of each
+    fingerprint stays."""
+    found = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = staged(found.groupBy("component_id").agg(F.min("a").alias("_a"), F.count("*").alias("_n")), "kept")
+    if found.filter("doc_id IS NULL").limit(1).count():  # groups without any id: one row of each fingerprint's group
+        kept = staged(found.groupBy("component_id", "fp").agg(F.min("a").alias("_a"), F.count("*").alias("_n")).drop("fp"), "kept")
+    same = docs.doc_id.eqNullSafe(kept.component_id) & (F.xxhash64(docs.text) == kept["_a"])
+    out = docs.join(kept, same, "left_semi")
+    return out.dropDuplicates(["doc_id", "text"]) if kept.filter("_n > 1").limit(1).count() else out
