@@ -6,9 +6,8 @@ each occurrence of a path being one span of its text, and words that a span cove
 
 Not every window is shuffled. Two equal windows hold the same minimizer, the smallest hash among their
 KMER-word pieces, so only minimizers (about 2 in WINDOW - KMER + 2 words) are counted over all texts; windows of a minimizer
-that stands at one place alone cannot be repeated. The others are grouped by 128 bits of hash, with the smallest and largest
-coordinate, left word and right word of each: differing coordinates verify that an edge is repeated, differing neighbours say
-that the graph branches there. A join with that table gives each text its repeated edges; runs of them,
+that stands at one place alone cannot be repeated. The others are grouped by 96 bits of hash; differing source coordinates of an edge
+verify that it is repeated, differing words before or after it say that the graph branches there. A join with that table gives each text its repeated edges; runs of them,
 cut at branches, are the paths.
 
 Copies of a whole text are one text from the start (128 bits of hash), counted narrowly, and removed as a whole; so a group
@@ -32,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from ._shared import small_batches, staged
+from ._shared import release, small_batches, staged
 
 WINDOW = 35
 KMER = 8
@@ -130,7 +129,8 @@ def _marks(window: int):
     return run
 
 
-EDGES = "h1 long, h2 long, c long, l int, r int, a long, pos int, single boolean"
+#: h1 and h2 are 96 bits of the window's hash; sides has 12 bits each of the words before and after it (0: none).
+EDGES = "h1 long, h2 int, sides int, a long, pos int, single boolean"
 
 
 def _edges(window: int):
@@ -145,20 +145,21 @@ def _edges(window: int):
                 continue
             spare = np.zeros(window, dtype=np.uint64)
             padded = np.concatenate([b.hashes, spare])
-            h1, h2 = (_mixed(_rolled(padded, window, odd))[p].view(np.int64) for odd in _ODD)
+            h1, h2 = (_mixed(_rolled(padded, window, odd))[p] for odd in _ODD)
             text = b.text[p]
             pos = p - b.bounds[text]
-            keys = batch.column("a").to_numpy(zero_copy_only=False).astype(np.int64)
-            a = keys[text]
-            c = _mixed(a.view(np.uint64) ^ _mixed(pos.astype(np.uint64) + np.uint64(1))).view(np.int64)
-            word = (b.hashes >> np.uint64(33)).astype(np.int32) + np.int32(1)
-            before = np.where(pos > 0, word[np.maximum(p - 1, 0)], 0).astype(np.int32)
-            after = np.where(b.left[p] > window, word[np.minimum(p + window, len(word) - 1)], 0).astype(np.int32)
+            word = (b.hashes >> np.uint64(40)).astype(np.int32) % 4095 + 1
+            before = np.where(pos > 0, word[np.maximum(p - 1, 0)], 0)
+            after = np.where(b.left[p] > window, word[np.minimum(p + window, len(word) - 1)], 0)
+            a = batch.column("a").to_numpy(zero_copy_only=False).astype(np.int64)[text]
             single = batch.column("single").to_numpy(zero_copy_only=False).astype(bool)[text]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (h1, h2, c, before, after, a, pos.astype(np.int32), single)],
-                ["h1", "h2", "c", "l", "r", "a", "pos", "single"],
-            )
+                [
+                    pa.array(h1.view(np.int64)), pa.array((h2 >> np.uint64(32)).astype(np.uint32).view(np.int32)),
+                    pa.array((before << 12 | after).astype(np.int32)), pa.array(a), pa.array(pos.astype(np.int32)), pa.array(single),
+                ],
+                ["h1", "h2", "sides", "a", "pos", "single"],
+            )
 
     return run
 
@@ -199,28 +200,46 @@ def _of_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def repeated_paths(edges: DataFrame, window: int = WINDOW) -> DataFrame:
-    """edges: the rows of EDGES. Returns the occurrences of compacted paths in texts without copies: a, path (hash of its
-    first edge), start, end (in words), edges."""
-    counted = edges.groupBy("h1", "h2").agg(
-        F.min("c").alias("_c1"), F.max("c").alias("_c2"), (F.min("l") != F.max("l")).alias("parts"), (F.min("r") != F.max("r")).alias("splits")
-    ).filter("_c1 <> _c2").drop("_c1", "_c2")
-    found = edges.filter("single").select("h1", "h2", "a", "pos").join(counted, ["h1", "h2"])
+    """edges: the rows of EDGES. Returns the occurrences of compacted paths in texts without copies: a, start, end (in
+    words), edges."""
+    # One long says where an edge starts (40 bits of hash) and what its neighbours are. Over all its occurrences, a bit that
+    # AND and OR do not agree on has differed.
+    seen = F.shiftleft(F.xxhash64("a", "pos"), 24).bitwiseOR(F.col("sides").cast("long"))
+    differ = F.bit_and("_seen").bitwiseXOR(F.bit_or("_seen"))
+    counted = edges.select("h1", "h2", seen.alias("_seen")).groupBy("h1", "h2").agg(differ.alias("_d"))
+    some = lambda lowest, bits: F.col("_d").bitwiseAND(F.lit(((1 << bits) - 1) << lowest)) != 0
+    counted = counted.filter(F.shiftright("_d", 24) != 0).select("h1", "h2", some(12, 12).alias("parts"), some(0, 12).alias("splits"))
+    found = edges.filter("single").select("h1", "h2", "a", "pos").join(counted, ["h1", "h2"]).select("a", "pos", "parts", "splits")
     along = W.partitionBy("a").orderBy("pos")
     begins = (F.coalesce(F.lag("pos").over(along), F.lit(-2)) + 1 != F.col("pos")) | F.col("parts") | F.lag("splits").over(along)
-    found = found.select("a", "pos", "h1", begins.cast("int").alias("_begins"))
-    found = found.withColumn("_path", F.sum("_begins").over(along))
-    return found.groupBy("a", "_path").agg(
-        F.min(F.struct("pos", "h1")).alias("_first"), F.count("*").cast("int").alias("edges")
-    ).select(
-        "a", F.col("_first.h1").alias("path"), F.col("_first.pos").alias("start"),
-        (F.col("_first.pos") + F.col("edges") + (window - 1)).alias("end"), "edges",
-    )
+    found = found.select("a", "pos", begins.cast("int").alias("_begins")).withColumn("_path", F.sum("_begins").over(along))
+    return found.groupBy("a", "_path").agg(F.min("pos").alias("start"), F.count("*").cast("int").alias("edges")).select(
+        "a", "start", (F.col("start") + F.col("edges") + (window - 1)).alias("end"), "edges"
+    )
+
+
+def _shared_edges(docs: DataFrame, marks: DataFrame, copies: DataFrame, window: int) -> DataFrame:
+    """The edges of all texts, one for each text, that hold a minimizer standing at more than one place."""
+    m, c = marks.alias("m"), copies.alias("c")
+    stands = (F.col("m.a") == F.col("c.a")) & (F.col("m.b") == F.col("c.b")) & F.col("m.doc_id").eqNullSafe(F.col("c.rep"))
+    own = m.join(c, stands).filter(F.col("n_words") >= window)
+    at = staged(own.select("m.a", F.inline(F.arrays_zip("k", "q"))), "minimizers")
+    del own, m, c
+    release(docs.sparkSession)
+    place = F.xxhash64("a", "q")
+    places = at.select("k", place.alias("_c")).groupBy("k").agg(F.min("_c").alias("_c1"), F.max("_c").alias("_c2"))
+    shared = places.filter("_c1 <> _c2").select("k")
+    wanted = at.join(shared, "k").groupBy("a").agg(F.collect_set("q").alias("qs"))
+    wanted = staged(wanted.join(copies.select("a", "rep", (F.col("m") == 1).alias("single")), "a"), "wanted")
+    release(docs.sparkSession)
+    return _of_texts(docs, wanted).select("a", "single", "text", "qs").mapInArrow(_edges(window), EDGES)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = True) -> DataFrame:
     """docs: doc_id, text. Returns doc_id, n_words, n_removed, kept (null where nothing is removed, or without with_text),
     kept_sha256 (hex, of the kept words joined by single spaces)."""
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select("doc_id", F.xxhash64("text").alias("a"), F.xxhash64(F.lit("key"), "text").alias("b"), "text")
     id_field = T.StructField("doc_id", docs.schema["doc_id"].dataType)
     schema = T.StructType([id_field]).add("a", "long").add("b", "long").add("n_words", "long").add("full_sha256", "string")
@@ -229,20 +248,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = True
     copies = marks.groupBy("a", "b").agg(F.count("*").alias("m"), F.min("doc_id").alias("rep"))
     copies = staged(copies, "copies")
 
-    m, c = marks.alias("m"), copies.alias("c")
-    stands = (F.col("m.a") == F.col("c.a")) & (F.col("m.b") == F.col("c.b")) & F.col("m.doc_id").eqNullSafe(F.col("c.rep"))
-    own = m.join(c, stands).filter("n_words >= %d" % window)
-    at = staged(own.select("m.a", "c.rep", "c.m", F.inline(F.arrays_zip("k", "q"))), "minimizers")
-    shared = at.groupBy("k").agg(F.min(F.xxhash64("a", "q")).alias("c1"), F.max(F.xxhash64("a", "q")).alias("c2")).filter("c1 <> c2")
-    wanted = at.join(shared.select("k"), "k").groupBy("a", "rep").agg(
-        F.collect_set("q").alias("qs"), (F.first("m") == 1).alias("single")
-    )
-    wanted = staged(wanted, "wanted")
-    edges = staged(_of_texts(docs, wanted).select("a", "single", "text", "qs").mapInArrow(_edges(window), EDGES), "edges")
-
+    edges = staged(_shared_edges(docs, marks, copies, window), "edges")
+    release(spark)
     paths = repeated_paths(edges, window)
     spans = paths.groupBy("a").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    spans = staged(spans.join(wanted.filter("single").select("a", "rep"), "a"), "spans")
+    spans = staged(spans.join(copies.filter("m = 1").select("a", "rep"), "a"), "spans")
+    release(spark)
     kept = _of_texts(docs, spans).select("a", "text", "spans").mapInArrow(_removed(with_text), KEPT)
 
     nothing = hashlib.sha256(b"").hexdigest()
