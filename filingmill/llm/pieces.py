@@ -7,7 +7,7 @@ up to the common prefix of two neighbours are kept and only the rest is computed
 The given model is a merge (BPE) model. Of all segmentations its own is the one in which every two neighbouring pieces are what merging
 gives for the two together; that is the score here: a path whose neighbours all agree has score 0, any other minus infinity. Exactly one
 piece ending a prefix continues an agreeing path, so the forward pass keeps that one. Results equal those of the sentencepiece library,
-piece for piece, at every text tested (tests/llm/test_pieces.py).
+piece for piece, at every text tested (tests/llm/test_text_models.py); only NUL, which the library drops, becomes a byte piece here.
 
 A marked word is a space mark and the characters up to the next space; line feeds, which no piece holds, bound words as
 well. Characters without a piece become byte pieces. Runs of space marks are merged among themselves after that, as pieces never
