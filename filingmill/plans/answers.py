@@ -33,7 +33,7 @@ def answer_questions(questions: DataFrame, stmts: DataFrame) -> DataFrame:
     values = stmts.select("company_id", "statement", F.col("line_item").alias("named"), "period_label", "value", "unit")
     point = asked.join(values, ["company_id", "statement", "named", "period_label"], "left")
     words = F.concat(
-        "period_label", F.lit(": "), F.coalesce(F.format_string("%.2f", "value"), F.lit("not disclosed")), F.coalesce(F.concat(F.lit(" "), "unit"), F.lit(""))
+        "period_label", F.lit(": "), F.when(F.col("value").isNotNull(), F.format_string("%.2f", "value")).otherwise("not disclosed"), F.coalesce(F.concat(F.lit(" "), "unit"), F.lit(""))
     )
     in_order = lambda c: F.transform(F.array_sort(F.collect_list(c)), lambda x: x["t"])
     line = point.groupBy("cache_key", "i", "named").agg(F.array_join(in_order(F.struct("p", words.alias("t"))), ", ").alias("t"))
