@@ -160,7 +160,7 @@ def embedded(records: DataFrame, encode: Callable[[list[str]], np.ndarray] | Non
 
 def result_text(hits: DataFrame) -> DataFrame:
     """hits: query_id, rank, distance, text. One text per query, results numbered by their rank before any cut."""
-    line = F.concat(F.lit("["), F.col("rank"), F.lit("] (distance "), F.format_string("%.4f", "distance"), F.lit(")\n"), F.col("text"))
+    line = F.concat(F.lit("["), F.col("rank"), F.lit("] (distance "), F.format_string("%.4f", F.greatest("distance", F.lit(0.0))), F.lit(")\n"), F.col("text"))
     return hits.groupBy("query_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"]), "\n\n").alias("text")
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars, text
 from ..operators import periods, quality, series, state, statements, vectors
+from ..sources import statement_pages
 from . import answers, derived
 
 QUERIES: dict = {}
@@ -596,3 +597,80 @@ def question_routing(spark, sf_dir):
     when = F.when(k % 2 == 0, F.concat(F.lit(" in "), F.year("o_orderdate") + 10, F.lit("?"))).otherwise("?")
     asked = o.select(k.alias("question_id"), F.concat(F.lit("What was "), what, F.lit(" of "), whose, when).alias("text"))
     return answers.classify(asked, names)
+
+
+@_query("""WITH r AS (SELECT conv_id AS request_id, unnest(list(turn * 7 ORDER BY turn DESC)) AS id, unnest(range(count(*))) AS pos FROM conversations GROUP BY 1)
+SELECT request_id, pos, doc_id AS id, n_chars FROM r JOIN documents ON doc_id = id""")
+def records_by_ids(spark, sf_dir):
+    """Rows by id lists, asked order kept, unknown ids dropped."""
+    turns = derived.read(spark, sf_dir, "conversations")
+    asked = turns.groupBy(F.col("conv_id").alias("request_id")).agg(F.transform(F.reverse(F.array_sort(F.collect_list("turn"))), lambda t: t * 7).alias("ids"))
+    table = derived.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "n_chars")
+    return vectors.by_ids(asked, table).select("request_id", F.col("pos").cast("long").alias("pos"), "id", "n_chars")
+
+
+@_query("""WITH v AS (SELECT vec_id AS id, label, 0 AS seq FROM embeddings UNION ALL SELECT vec_id + 100, label + 100, 1 FROM embeddings WHERE vec_id % 2 = 0)
+SELECT id, arg_max(label, seq) AS label FROM v GROUP BY 1""")
+def vector_upsert(spark, sf_dir):
+    """V2: upsert by id, last wins."""
+    table = derived.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", F.lit(0).alias("seq"))
+    changes = table.filter("id % 2 = 0").select((F.col("id") + 100).alias("id"), (F.col("label") + 100).alias("label"), F.lit(1).alias("seq"))
+    return statements.upsert(table, changes, ["id"], "seq").select("id", "label")
+
+
+@_query(_NEAREST + """ SELECT query_id, string_agg('[' || rank || '] ' || 'vector ' || id, chr(10) || chr(10) ORDER BY rank) AS text FROM r WHERE rank <= 10 AND distance <= 0.9 GROUP BY 1""")
+def search_texts(spark, sf_dir):
+    """Results as one text per query, numbered by the rank before the cut."""
+    hits = vectors.within(_search(spark, sf_dir), 0.9).withColumn("text", F.concat(F.lit("vector "), "id"))
+    texts = vectors.result_text(hits)
+    return texts.select("query_id", F.regexp_replace("text", r"\(distance [0-9.]+\)\n", "").alias("text"))
+
+
+@_query(f"""WITH {Q} SELECT question_id, company_id, line_item, period FROM (SELECT question_id, company_id, unnest(line_items) AS line_item, raw_years FROM questions) t, LATERAL (SELECT 'Mar ' || unnest(list_slice(raw_years, -3, -1)) AS period)""")
+def context_requests(spark, sf_dir):
+    """A search per line item and each of the last three periods."""
+    asked = derived.questions(spark, sf_dir).withColumn("periods", F.transform("raw_years", lambda y: F.concat(F.lit("Mar "), y)))
+    return answers.context_requests(asked)
+
+
+@_query("""WITH s AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'S' || (conv_id % 9) END AS symbol, 'Mar ' || (2000 + turn) AS p FROM conversations),
+l AS (SELECT conv_id, arg_max(symbol, turn) FILTER (WHERE symbol IS NOT NULL) AS symbol, arg_max(p, turn) FILTER (WHERE symbol IS NOT NULL) AS p FROM s GROUP BY 1)
+SELECT conv_id, CASE WHEN symbol IS NULL THEN '' ELSE 'Company: ' || symbol || chr(10) || 'Line items: Sales, Reserves' || chr(10) || 'Periods: ' || p END AS context FROM l""")
+def prompt_context(spark, sf_dir):
+    """The last state of every conversation as text."""
+    turns = derived.read(spark, sf_dir, "conversations")
+    known = F.struct(F.concat(F.lit("S"), F.col("conv_id") % 9).alias("symbol"), F.array(F.lit("Sales"), F.lit("Reserves")).alias("line_items"), F.array(F.concat(F.lit("Mar "), 2000 + F.col("turn"))).alias("periods"))
+    return answers.prompt_context(turns.select("conv_id", "turn", F.when(F.col("role") == "user", known).alias("state")))
+
+
+@_query("""SELECT l_orderkey, l_linenumber, true AS not_blank, true AS no_injection, l_linenumber % 2 = 1 AS sourced, l_linenumber % 3 = 0 AS states_value, l_linenumber % 4 > 0 AS no_unasked_metric, l_linenumber % 4 > 0 AS labels_ratios, l_linenumber % 5 > 0 AS no_peers FROM lineitem""")
+def answer_audit(spark, sf_dir):
+    """Stored answers built from order lines, each with some of the faults."""
+    n, value = F.col("l_linenumber"), F.col("l_partkey").cast("string")
+    said = F.concat(
+        F.lit("Sales came to "), F.when(n % 3 == 0, value).otherwise("a lot"), F.when(n % 4 == 0, ", and the ROE grew").otherwise(""), F.when(n % 5 == 0, " beyond its peers.").otherwise(".")
+    )
+    lines = derived.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", said.alias("answer"), (n % 2).alias("n_sources"), F.array(value).alias("values"), F.array().cast("array<string>").alias("metrics_asked"))
+    return quality.audit_answers(lines).drop("answer", "n_sources", "values", "metrics_asked")
+
+
+@_query(r"""SELECT event_id, CASE WHEN regexp_matches(event_type, '^[A-Za-z0-9&-]{1,20}$') THEN upper(event_type) END AS symbol, CASE WHEN year(ts) BETWEEN 1990 AND 2100 THEN year(ts) END AS year,
+  CASE WHEN event_id % 3 = 0 THEN 'ANNUAL_REPORT' END AS doc_type, nullif(upper(trim(CASE WHEN event_id % 2 = 0 THEN ' ' || event_type ELSE '  ' END)), '') AS optional,
+  CASE WHEN event_id % 2 = 0 THEN '[REDACTED]' ELSE left(repeat(event_type, 400), 2000) END AS field, 'api_x' || chr(10) || event_type AS blocks FROM events""")
+def scalar_rules(spark, sf_dir):
+    """F8, F9, F12, F17, F19."""
+    k, kind = F.col("event_id"), F.col("event_type")
+    block = lambda t, x: F.struct(F.lit(t).alias("type"), x.alias("text"))
+    field = F.map_from_arrays(F.array(F.when(k % 2 == 0, "user_Password").otherwise("note")), F.array(F.repeat(kind, F.lit(400))))
+    return derived.event_log(spark, sf_dir).select(
+        "event_id", scalars.symbol(kind).alias("symbol"), scalars.year_in_range(F.year("ts").cast("string")).alias("year"),
+        scalars.doc_type(F.when(k % 3 == 0, " annual_report").otherwise("memo")).alias("doc_type"), scalars.optional_value(F.when(k % 2 == 0, F.concat(F.lit(" "), kind)).otherwise("  ")).alias("optional"),
+        F.element_at(F.map_values(scalars.redacted(field)), 1).alias("field"), scalars.flat_blocks(F.array(block("text", F.lit("api_x")), block("image", F.lit("no")), block("text", kind))).alias("blocks"),
+    )
+
+
+@_query(r"""SELECT page_id, trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1)) AS name, 'missing: Profit & Loss, Balance Sheet, Cash Flows' AS error FROM pages""")
+def page_identities(spark, sf_dir):
+    """The stored pages through the HTML reader; none of them has a statement table, so each gets an error row."""
+    pages = derived.read(spark, sf_dir, "pages").select("page_id", F.lit("NONE").alias("symbol"), "html")
+    return statement_pages.identities(statement_pages.statement_cells(pages)).select("page_id", "name", "error")
