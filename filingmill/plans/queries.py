@@ -669,7 +669,7 @@ def scalar_rules(spark, sf_dir):
     )
 
 
-@_query(r"""SELECT page_id, trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1)) AS name, 'missing: Profit & Loss, Balance Sheet, Cash Flows' AS error FROM pages""")
+@_query(r"""SELECT page_id, replace(replace(replace(trim(regexp_replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS name, 'missing: Profit & Loss, Balance Sheet, Cash Flows' AS error FROM pages""")
 def page_identities(spark, sf_dir):
     """The stored pages through the HTML reader; none of them has a statement table, so each gets an error row."""
     pages = derived.read(spark, sf_dir, "pages").select("page_id", F.lit("NONE").alias("symbol"), "html")
