@@ -35,19 +35,29 @@ def direction(change: Column) -> Column:
 def overall_change(points: DataFrame, keys=("company_id", "line_item")) -> DataFrame:
     """A row per series: n_points, n_values, first/last value, change_pct (two values at least), cagr_pct, direction.
     Years between are the difference of fiscal years, or the number of points less one where a label has none."""
+    one = points.groupBy(*keys).agg(*(c.alias(n) for n, c in _ends(lambda c: c).items()))
+    return one.select(*keys, "n_points", "n_values", *_changes())
+
+
+def enriched(points: DataFrame, keys=("company_id", "line_item"), order="fiscal_year_end") -> DataFrame:
+    """points with yoy_pct and the columns of overall_change beside each: one shuffle and one sort for all of it."""
+    whole = W.partitionBy(*keys)
+    out = year_over_year(points, keys, order).withColumns(_ends(lambda c: c.over(whole)))
+    return out.select(*points.columns, "yoy_pct", "n_points", "n_values", *_changes())
+
+
+def _ends(over) -> dict[str, Column]:
     valued = F.when(F.col("value").isNotNull(), F.struct("fiscal_year_end", "value"))
-    one = points.groupBy(*keys).agg(
-        F.count("*").alias("n_points"), F.count("value").alias("n_values"), F.min(valued).alias("_a"), F.max(valued).alias("_b"),
-    )
+    return {"n_points": over(F.count("*")), "n_values": over(F.count("value")), "_a": over(F.min(valued)), "_b": over(F.max(valued))}
+
+
+def _changes() -> list[Column]:
     first, last = F.col("_a.value"), F.col("_b.value")
     years = F.coalesce(F.year("_b.fiscal_year_end") - F.year("_a.fiscal_year_end"), F.col("n_values") - 1)
     enough = F.col("n_values") >= 2
     change = F.when(enough, pct_change(first, last))
     cagr = F.when(enough & (first > 0) & (last > 0) & (years > 0), (F.pow(last / first, 1 / years) - 1) * 100)
-    return one.select(
-        *keys, "n_points", "n_values", first.alias("first_value"), last.alias("last_value"),
-        change.alias("change_pct"), cagr.alias("cagr_pct"), direction(change).alias("direction"),
-    )
+    return [first.alias("first_value"), last.alias("last_value"), change.alias("change_pct"), cagr.alias("cagr_pct"), direction(change).alias("direction")]
 
 
 def wide_items(stmts: DataFrame) -> DataFrame:

@@ -46,8 +46,10 @@ def find_companies(requests: DataFrame, companies: DataFrame) -> DataFrame:
 
 def statement_of_item(stmts: DataFrame, order: Sequence[str] = LOOKUP_ORDER) -> DataFrame:
     """company_id, line_item, statement: the first statement, in lookup order, that has the item."""
-    rank = F.array_position(F.array(*map(F.lit, order)), F.col("statement"))
-    return stmts.groupBy("company_id", "line_item").agg(F.min_by("statement", rank).alias("statement"))
+    names = F.array(*map(F.lit, order))
+    rank = F.nullif(F.array_position(names, F.col("statement")), F.lit(0))
+    best = stmts.groupBy("company_id", "line_item").agg(F.min(rank).alias("_rank"))  # a number, so that it is hashed, not sorted
+    return best.select("company_id", "line_item", F.get(names, (F.col("_rank") - 1).cast("int")).alias("statement"))
 
 
 def series(requests: DataFrame, stmts: DataFrame) -> DataFrame:

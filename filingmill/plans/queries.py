@@ -47,8 +47,7 @@ FROM x JOIN o USING (company_id)""")
 def enriched_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sales of every company with year-over-year change, CAGR and direction."""
     sales = derived.statements(spark, sf_dir).filter("line_item = 'Sales'")
-    overall = series.overall_change(sales).select("company_id", "cagr_pct", "direction")
-    return series.year_over_year(sales).join(overall, "company_id").select(
+    return series.enriched(sales).select(
         "company_id", "period_label", F.round("value", 4).alias("value"), F.round("yoy_pct", 6).alias("yoy_pct"), F.round("cagr_pct", 6).alias("cagr_pct"), "direction"
     )
 
