@@ -37,6 +37,8 @@ WINDOW = 35
 KMER = 8
 #: Ids of texts are broadcast to leave out other texts before a shuffle if there are at most so many.
 BROADCAST_IDS = 1_000_000
+#: Text in one batch; the hashes of its words and windows take some twenty times as much.
+BATCH_BYTES = 2 * 1024 * 1024
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -228,7 +230,9 @@ def _shared_edges(docs: DataFrame, marks: DataFrame, copies: DataFrame, window:
     release(docs.sparkSession)
     place = F.xxhash64("a", "q")
     places = at.select("k", place.alias("_c")).groupBy("k").agg(F.min("_c").alias("_c1"), F.max("_c").alias("_c2"))
-    shared = places.filter("_c1 <> _c2").select("k")
+    # Stored, so that the join below reads both sides from shuffles of their own and a very common minimizer can be split.
+    shared = staged(places.filter("_c1 <> _c2").select("k"), "shared")
+    release(docs.sparkSession)
     wanted = at.join(shared, "k").groupBy("a").agg(F.collect_set("q").alias("qs"))
     wanted = staged(wanted.join(copies.select("a", "rep", (F.col("m") == 1).alias("single")), "a"), "wanted")
     release(docs.sparkSession)
@@ -239,7 +243,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = True
     """docs: doc_id, text. Returns doc_id, n_words, n_removed, kept (null where nothing is removed, or without with_text),
     kept_sha256 (hex, of the kept words joined by single spaces)."""
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, BATCH_BYTES)
     docs = docs.select("doc_id", F.xxhash64("text").alias("a"), F.xxhash64(F.lit("key"), "text").alias("b"), "text")
     id_field = T.StructField("doc_id", docs.schema["doc_id"].dataType)
     schema = T.StructType([id_field]).add("a", "long").add("b", "long").add("n_words", "long").add("full_sha256", "string")
