@@ -324,7 +324,7 @@ def label_rules(spark, sf_dir):
 
 
 _DOT = "list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[]))"
-_NEAREST = f"""WITH n AS (SELECT q.vec_id AS query_id, v.vec_id AS id, 1 - {_DOT} AS distance FROM embeddings q JOIN embeddings v ON q.vec_id % 50 = 0 AND v.label IN (1, 2, 3)),
+_NEAREST = f"""WITH n AS (SELECT q.vec_id AS query_id, v.vec_id AS id, v.label, 1 - {_DOT} AS distance FROM embeddings q JOIN embeddings v ON q.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), id) AS rank FROM n)"""
 
 
@@ -332,25 +332,26 @@ def _vectors(spark, sf_dir):
     return derived.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
 
 
-def _search(spark, sf_dir):
+def _search(spark, sf_dir, tree: dict | None = None):
     v = _vectors(spark, sf_dir)
     queries = v.filter("id % 50 = 0").select(F.col("id").alias("query_id"), "vec")
-    return vectors.nearest(queries, v.filter(vectors.where({"label": {"$in": [1, 2, 3]}}, {"label"})))
+    return vectors.nearest(queries, v.filter(vectors.where(tree, {"label"})) if tree else v)
 
 
 @_query(_NEAREST + " SELECT query_id, id, round(distance, 6) AS distance, rank FROM r WHERE rank <= 10")
 def nearest_vectors(spark, sf_dir):
-    """Cosine nearest 10 of every 50th vector among filtered ones."""
+    """Cosine nearest 10 of every 50th vector among all."""
     return _search(spark, sf_dir).withColumn("distance", F.round("distance", 6))
 
 
-@_query(_NEAREST + """, k AS (SELECT *, id // 10 AS parent_id FROM r WHERE rank <= 10),
+@_query(_NEAREST.replace("q.vec_id % 50 = 0", "q.vec_id % 50 = 0 AND (v.label IN (1, 2, 3) OR v.label >= 7 AND v.label <> 8)") + """, k AS (SELECT *, id // 10 AS parent_id FROM r WHERE rank <= 10),
 b AS (SELECT *, row_number() OVER (PARTITION BY query_id, parent_id ORDER BY round(distance, 9), id) AS n FROM k),
 f AS (SELECT query_id, parent_id, id AS child_id, distance, rank, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), id) AS parent_rank FROM b WHERE n = 1)
 SELECT query_id, parent_id, child_id, round(distance, 6) AS distance, rank, parent_rank, p.n_chars AS parent_chars FROM f JOIN documents p ON p.doc_id = parent_id WHERE distance <= 0.75""")
 def parent_search(spark, sf_dir):
-    """Child search, best child per parent, parent expansion, distance cut."""
-    hits = _search(spark, sf_dir).withColumn("parent_id", F.expr("id div 10"))
+    """Child search under a metadata filter, best child per parent, parent expansion, distance cut."""
+    tree = {"$or": [{"label": {"$in": [1, 2, 3]}}, {"$and": [{"label": {"$gte": 7}}, {"label": {"$ne": 8}}]}]}
+    hits = _search(spark, sf_dir, tree).withColumn("parent_id", F.expr("id div 10"))
     parents = derived.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("parent_id"), F.col("n_chars").alias("parent_chars"))
     best = vectors.within(vectors.with_parents(vectors.best_child(hits), parents))
     return best.select("query_id", "parent_id", F.col("id").alias("child_id"), F.round("distance", 6).alias("distance"), "rank", "parent_rank", "parent_chars")
@@ -418,10 +419,10 @@ def cache_lookup(spark, sf_dir):
     return out.select("event_id", "cache_key", F.col("answer_text").isNotNull().alias("hit"))
 
 
-@_query(f"WITH {_CACHE_SQL}, s AS (SELECT 'u' || user_id || event_type AS cache_key, count(*) AS n, max(ts) AS seen_at FROM events WHERE event_id % 3 = 0 GROUP BY 1) SELECT cache_key, hit_count + coalesce(n, 0) AS hit_count, greatest(last_accessed_at, seen_at) AS last_accessed_at FROM cache LEFT JOIN s USING (cache_key)")
+@_query(f"WITH {_CACHE_SQL}, s AS (SELECT 'u' || user_id || event_type AS cache_key, count(*) AS n, max(ts) AS seen_at FROM events GROUP BY 1) SELECT cache_key, hit_count + coalesce(n, 0) AS hit_count, greatest(last_accessed_at, seen_at) AS last_accessed_at FROM cache LEFT JOIN s USING (cache_key)")
 def cache_hits(spark, sf_dir):
     """A8."""
-    seen = derived.event_log(spark, sf_dir).filter("event_id % 3 = 0").select(F.concat(F.lit("u"), "user_id", "event_type").alias("cache_key"), F.col("ts").alias("at"))
+    seen = derived.event_log(spark, sf_dir).select(F.concat(F.lit("u"), "user_id", "event_type").alias("cache_key"), F.col("ts").alias("at"))
     return state.count_hits(_cache(spark, sf_dir), seen).select("cache_key", "hit_count", "last_accessed_at")
 
 
