@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import small_batches
+from ._shared import small_batches, staged
 
 TRAIN_BUCKETS = 96
 TRAIN_SPANS, TRAIN_CHARS = 4, 700
@@ -260,7 +260,8 @@ def training_rows(docs: DataFrame) -> DataFrame:
     usable = usable.select("doc_id", "lang", "text")
     key = F.xxhash64("doc_id")
     least = usable.groupBy("lang", F.pmod(key, F.lit(TRAIN_BUCKETS)).alias("bucket")).agg(F.min(F.struct(key.alias("h"), "doc_id")).alias("x"))
-    least = least.select("lang", F.col("x.doc_id").alias("doc_id"))
+    # Stored, so that its size (TRAIN_BUCKETS rows a language) is known before the join and texts need not be shuffled.
+    least = staged(least.select("lang", F.col("x.doc_id").alias("doc_id")), "sample")
     long = F.greatest(F.length("text") - TRAIN_CHARS, F.lit(0))
     spans = F.array(*(F.substr("text", (long * i / max(1, TRAIN_SPANS - 1)).cast("int") + 1, F.lit(TRAIN_CHARS)) for i in range(TRAIN_SPANS)))
     spans = F.when(F.length("text") <= TRAIN_CHARS, F.array("text")).otherwise(F.array_distinct(spans))
