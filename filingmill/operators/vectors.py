@@ -6,8 +6,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import BucketedRandomProjectionLSH, HashingTF, Normalizer
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.feature import HashingTF, Normalizer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -71,12 +71,16 @@ def usable(vector: Column, dimensions: int) -> Column:
     return F.coalesce((F.size(vector) == dimensions) & ~bad, F.lit(False))
 
 
+def _unit(vectors: pd.Series) -> np.ndarray:
+    x = np.stack(vectors.to_numpy()).astype(np.float64)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _nearest(shared, k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, x = shared.value
         for batch in batches:
-            y = np.stack(batch["vec"].to_numpy()).astype(np.float64)
-            far = 1 - x @ (y / np.linalg.norm(y, axis=1, keepdims=True)).T
+            far = 1 - x @ _unit(batch["vec"]).T
             # A batch hands on no more than k rows a query, with ties beyond the k-th decided by id.
             for q in range(len(ids)):
                 order = np.lexsort((batch["id"].to_numpy(), far[q]))[:k]
@@ -85,25 +89,48 @@ def _nearest(shared, k: int):
     return run
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int = MOST_RESULTS) -> DataFrame:
-    """queries: query_id, vec. vectors: id (long), vec; filter them first. The k nearest of each query by cosine distance, as
-    query_id, id, distance, rank; ties by id. Every vector is compared with the queries in matrix products, and only k rows
-    per query and batch are shuffled."""
-    spark = vectors.sparkSession
-    vectors = vectors.filter(F.col("vec").isNotNull() & F.exists("vec", lambda v: v != 0))
-    n = queries.count()
-    blocks = max(1, -(-n // BROADCAST_QUERIES))
+def _nearest_met(shared, k: int, tables: int, width: float, seed: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, x = shared.value
+        lines = np.random.default_rng(seed).normal(size=(x.shape[1], tables))
+        lines /= np.linalg.norm(lines, axis=0)
+        asked = np.floor(x @ lines / width)
+        for batch in batches:
+            y, names = _unit(batch["vec"]), batch["id"].to_numpy()
+            own = np.floor(y @ lines / width)
+            for q in range(len(ids)):
+                met = (own == asked[q]).any(axis=1)
+                # Where the query's buckets hold too few of the batch, the rest is compared as well and used if needed.
+                at = np.flatnonzero(met) if met.sum() >= k else np.arange(len(y))
+                far = 1 - y[at] @ x[q]
+                order = np.lexsort((names[at], far, ~met[at]))[:k]
+                yield pd.DataFrame({"query_id": ids[q], "id": names[at][order], "distance": far[order], "met": met[at][order]})
+
+    return run
+
+
+def _over_blocks(queries: DataFrame, vectors: DataFrame, run: Callable, schema: str) -> DataFrame | None:
+    """run(broadcast of query ids and unit vectors) over the batches of vectors; None if there is no query."""
+    vectors, queries = vectors.filter(F.col("vec").isNotNull() & F.exists("vec", lambda v: v != 0)), queries.filter(F.col("vec").isNotNull())
+    blocks = max(1, -(-queries.count() // BROADCAST_QUERIES))
     found = None
     for block in range(blocks):  # one block, unless there are more queries than may be broadcast at once
-        q = queries.filter(F.col("vec").isNotNull() & (F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)).toPandas()
+        q = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toPandas()
         if not len(q):
             continue
-        x = np.stack(q["vec"].to_numpy()).astype(np.float64)
-        shared = spark.sparkContext.broadcast((q["query_id"].to_numpy(), x / np.linalg.norm(x, axis=1, keepdims=True)))
-        part = vectors.select("id", "vec").mapInPandas(_nearest(shared, k), "query_id long, id long, distance double")
+        shared = vectors.sparkSession.sparkContext.broadcast((q["query_id"].to_numpy(), _unit(q["vec"])))
+        part = vectors.select("id", "vec").mapInPandas(run(shared), schema)
         found = part if found is None else found.union(part)
+    return found
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int = MOST_RESULTS) -> DataFrame:
+    """queries: query_id, vec. vectors: id (long), vec; filter them first. The k nearest of each query by cosine distance, as
+    query_id, id, distance, rank; ties by id. Every vector is compared with the queries in matrix products, and only k rows
+    per query and batch are shuffled."""
+    found = _over_blocks(queries, vectors, lambda shared: _nearest(shared, k), "query_id long, id long, distance double")
     if found is None:
-        return spark.createDataFrame([], "query_id long, id long, distance double, rank int")
+        return vectors.sparkSession.createDataFrame([], "query_id long, id long, distance double, rank int")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
@@ -113,15 +140,20 @@ def within(hits: DataFrame, most: float = MOST_DISTANCE) -> DataFrame:
     return hits.filter(F.col("distance") <= most)
 
 
-def approximate_nearest(queries: DataFrame, vectors: DataFrame, k: int = MOST_RESULTS, radius: float = 1.0, tables: int = 8, width: float = 0.8, seed: int = 3) -> DataFrame:
-    """As nearest, from random-projection buckets: candidates within `radius` (Euclidean, on unit vectors), ranked exactly."""
-    unit = Normalizer(inputCol="raw", outputCol="unit", p=2.0)
-    a = unit.transform(queries.select("query_id", array_to_vector(F.col("vec").cast("array<double>")).alias("raw")))
-    b = unit.transform(vectors.select("id", array_to_vector(F.col("vec").cast("array<double>")).alias("raw")))
-    model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="h", bucketLength=width, numHashTables=tables, seed=seed).fit(b)
-    met = model.approxSimilarityJoin(a, b, radius, distCol="e").select("datasetA.query_id", "datasetB.id", (F.pow("e", 2) / 2).alias("distance"))
+def approximate_nearest(queries: DataFrame, vectors: DataFrame, k: int = MOST_RESULTS, radius: float = 2.0, tables: int = 8, width: float = 0.8, seed: int = 3) -> DataFrame:
+    """As nearest, from random-projection buckets: vectors that share one of a query's `tables` buckets, ranked exactly. A query
+    whose buckets hold fewer than k vectors is compared with the others too, so that each gets k rows where there are k.
+    radius (Euclidean, on unit vectors) drops farther rows; 2, the largest such distance, drops none."""
+    run = lambda shared: _nearest_met(shared, k, tables, width, seed)
+    found = _over_blocks(queries, vectors, run, "query_id long, id long, distance double, met boolean")
+    if found is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, id long, distance double, rank int")
+    first = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("met"), "distance", "id"))
+    found = found.withColumn("_n", first).filter(F.col("_n") <= k)
+    if radius < 2:
+        found = found.filter(F.col("distance") <= radius**2 / 2)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id"))
-    return met.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return found.select("query_id", "id", "distance", rank.alias("rank"))
 
 
 def best_child(hits: DataFrame) -> DataFrame:

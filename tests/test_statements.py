@@ -139,6 +139,21 @@ def test_approximate_search_recall(spark):
         vectors.BROADCAST_QUERIES = by_block
 
 
+def test_registered_approximate_search_recall(spark):
+    from filingmill.plans import derived, queries
+
+    folder = "/root/testdata/sf0.1"
+    v = derived.read(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    q = v.filter("id % 50 = 0").select(F.col("id").alias("query_id"), "vec")
+    exact = {(r.query_id, r.id) for r in vectors.nearest(q, v).collect()}
+    rows = queries.QUERIES["approximate_vectors"](spark, folder).collect()
+    assert len(rows) == len(exact) == 10 * q.count()
+    assert len(exact & {(r.query_id, r.id) for r in rows}) >= 0.9 * len(exact)
+    # Narrow buckets hold few vectors; every query still gets its k rows.
+    few = vectors.approximate_nearest(q, v, tables=1, width=0.001)
+    assert few.count() == len(exact) and few.filter("rank = 10").count() == q.count()
+
+
 def test_answer_audit(spark):
     df = spark.createDataFrame([("Sales were 1,234 in 2024.", 1, ["1234"], []), ("The ROE beats its peers", 0, ["9"], []), (" ", 0, [], [])], "answer string, n_sources int, values array<string>, metrics_asked array<string>")
     a, b, c = quality.audit_answers(df).collect()
