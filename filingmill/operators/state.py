@@ -97,17 +97,25 @@ def new_aliases(candidates: DataFrame, aliases: DataFrame, companies: DataFrame)
     return fresh.withColumn("_n", F.row_number().over(W.partitionBy("alias_text").orderBy("created_at", "screener_symbol"))).filter("_n = 1").drop("_n")
 
 
+#: Aliases of a large dictionary are met by so many of their first characters.
+ALIAS_CHARS = 4
+
+
 def alias_in_text(questions: DataFrame, aliases: DataFrame, most: int = 10_000) -> DataFrame:
     """questions: question_id, text. aliases: alias_text, screener_symbol, ord. The alias contained in the text with the
-    smallest ord, or null. The dictionary is broadcast while it has at most `most` entries; beyond, aliases are met by their
-    first word, which also bounds the pairs."""
-    lower = F.lower("text")
+    smallest ord, or null. The dictionary is broadcast while it has at most `most` entries; beyond, the first characters of
+    an alias are joined with all runs of as many characters in the text, and only shorter aliases are broadcast. Both ways
+    find the same."""
+    lower, alias = F.lower("text"), F.lower("alias_text")
     if aliases.limit(most + 1).count() <= most:
-        met = questions.join(F.broadcast(aliases), F.contains(lower, F.lower("alias_text")))
+        met = questions.join(F.broadcast(aliases), F.contains(lower, alias))
     else:
-        first = F.substring_index(F.lower("alias_text"), " ", 1)
-        met = questions.withColumn("_w", F.explode(F.array_distinct(F.split(lower, r"\s+")))).join(aliases.withColumn("_w", first), "_w")
-        met = met.filter(F.contains(lower, F.lower("alias_text")))
+        starts = F.sequence(F.lit(1), F.greatest(F.length(lower) - ALIAS_CHARS + 1, F.lit(1)))
+        runs = F.array_distinct(F.transform(starts, lambda i: F.substring(lower, i, F.lit(ALIAS_CHARS))))
+        long = aliases.filter(F.length(alias) >= ALIAS_CHARS).withColumn("_w", F.substring(alias, 1, ALIAS_CHARS))
+        met = questions.withColumn("_w", F.explode(runs)).join(long, "_w").filter(F.contains(lower, alias)).drop("_w")
+        short = F.broadcast(aliases.filter(F.length(alias) < ALIAS_CHARS))
+        met = met.unionByName(questions.join(short, F.contains(lower, alias)))
     best = met.groupBy("question_id").agg(F.min(F.struct("ord", "alias_text", "screener_symbol")).alias("_b"))
     return questions.join(best, "question_id", "left").select("question_id", "text", F.col("_b.alias_text").alias("alias_text"), F.col("_b.screener_symbol").alias("screener_symbol"))
 

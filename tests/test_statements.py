@@ -154,6 +154,15 @@ def test_registered_approximate_search_recall(spark):
     assert few.count() == len(exact) and few.filter("rank = 10").count() == q.count()
 
 
+def test_alias_paths_agree(spark):
+    texts = ["What was net debt of FRANCE?", "(united kingdom)", "InterFrance's sales", "M&M", "ibm", "", None, "nobody", "the United  Kingdom", "Oil-India, France"]
+    q = spark.createDataFrame(list(enumerate(texts)), "question_id int, text string")
+    names = ["france", "United Kingdom", "m&m", "IBM", "oil-india", "kingdom of x", "ünited", None]
+    aliases = spark.createDataFrame([(n, f"S{i}", i) for i, n in enumerate(names)], "alias_text string, screener_symbol string, ord int")
+    found = [{r.question_id: r.screener_symbol for r in state.alias_in_text(q, aliases, most).collect()} for most in (10_000, 0)]
+    assert found[0] == found[1] == {0: "S0", 1: "S1", 2: "S0", 3: "S2", 4: "S3", 5: None, 6: None, 7: None, 8: None, 9: "S0"}
+
+
 def test_answer_audit(spark):
     df = spark.createDataFrame([("Sales were 1,234 in 2024.", 1, ["1234"], []), ("The ROE beats its peers", 0, ["9"], []), (" ", 0, [], [])], "answer string, n_sources int, values array<string>, metrics_asked array<string>")
     a, b, c = quality.audit_answers(df).collect()
