@@ -1,14 +1,22 @@
 """Benchmark decontamination with a positional inverted index, in DataFrame functions only.
 
-Test items are cut into windows of WINDOW words (a shorter item is one window). All occurrences of test vocabulary in
-the training texts are counted; of each window the PROBES rarest words are looked up: their postings (word, text, position)
-are stored as a table, each posting says where a window would have to begin, and only starts on which all probes of a window
-agree are left. Those are verified word by word against the text itself.
+Indexing: every text is cut into words once. The index stores, for each row of docs, its sequence of terms (64 bits of hash a
+word), and the postings (term, text, position) of all its words, sorted by term within each segment, a segment being the rows
+of one input partition. No posting is shuffled, whatever the words' frequencies, and the index serves any benchmark.
 
-Texts are named by 128 bits of hash, so copies share postings and no row id is needed. Nothing is collected: the join of
-postings with probes is by word and can be split by adaptive execution, and the aggregations on (text, window, start) spread
-over all tasks. The probe words are broadcast only if there are at most BROADCAST_TERMS of them; beyond, the same join runs
-as a shuffled one.
+Searching: test items are cut into windows of WINDOW words (a shorter item is one window). Of each window the PROBES rarest
+terms, by their number of postings, are looked up from the rarest on: a posting says where the window would have to start,
+and the list of starts is intersected with that of the next rarest term, give or take SLOP words. What is left is verified
+word by word against the text's own terms:
+- exact matches: the window's words stand in a row;
+- proximity matches: not exact, but each word of the window stands within SLOP words of its place, counted from where the
+  rarest word stands (of words equally rare, the first in the window).
+
+Starts are joined by text, window and cell of CELL words, which adaptive execution can split; only texts that hold a
+candidate are read again. Vocabulary, probes and result lists are broadcast only if rows and bytes are known to be few.
+
+Two words with the same 64-bit hash would be taken for one; with 10^10 distinct words and a benchmark vocabulary of 10^4 the
+chance that any test word is concerned is about 10^-5, and a window of several words needs as many such accidents.
 
 Defined results: null text has no words and no hit; an empty benchmark hits nothing; items without words have no window;
 an item with a null id still hits but is not listed; repeated items count once; repeated documents each get their row;
@@ -17,120 +25,152 @@ other columns are not read, whatever their names.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import ascii_lower, staged
+from ._shared import ascii_lower, small, staged
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words: ASCII other than letters and digits.
+BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 10
 PROBES = 3
-BROADCAST_TERMS = 200_000
-
-
-def words_of(text: Column) -> Column:
-    return F.coalesce(F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+SLOP = 2
+CELL = 64
+
+
+class Index(NamedTuple):
+    #: doc_id, a, b (128 bits that name the text), seg, ord (the row), n_words, terms
+    texts: DataFrame
+    #: term, seg, ord, pos (from 0), sorted by term within each file
+    postings: DataFrame
+
+
+def terms_of(text: Column) -> Column:
+    """The hashes of the words, in order. Words are split first and lower-cased one by one, as most are plain ASCII."""
+    lowered = lambda w: F.when(F.length(w) == F.octet_length(w), F.lower(w)).otherwise(ascii_lower(w))
+    words = F.array_remove(F.split(text, BREAK), "")
+    return F.coalesce(F.transform(words, lambda w: F.xxhash64(lowered(w))), F.array().cast("array<bigint>"))
+
+
+def build_index(docs: DataFrame) -> Index:
+    """docs: doc_id, text. The index of all rows, stored in the shared folder."""
+    row = F.monotonically_increasing_id()
+    texts = docs.select("doc_id", F.xxhash64("text").alias("a"), F.xxhash64(F.lit("key"), "text").alias("b"), row.alias("_row"), terms_of(F.col("text")).alias("terms"))
+    texts = staged(
+        texts.select(
+            "doc_id", "a", "b", F.shiftright("_row", 33).cast("int").alias("seg"), F.col("_row").bitwiseAND(F.lit((1 << 33) - 1)).cast("int").alias("ord"),
+            F.size("terms").cast("long").alias("n_words"), "terms",
+        ),
+        "texts",
+    )
+    postings = texts.select("seg", "ord", F.posexplode("terms").alias("pos", "term")).select("term", "seg", "ord", "pos")
+    return Index(texts, staged(postings.sortWithinPartitions("term"), "postings"))
 
 
-def windows_of(items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """items: item_id, text. Returns each distinct window: phrase (its words, space-joined), words, items (ids as strings)."""
-    cut = items.select(F.col("item_id").cast("string").alias("item"), words_of(F.col("text")).alias("_w")).filter(F.size("_w") > 0)
+def windows_of(items: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """items: item_id, text. Returns (the distinct windows: pid, phrase (their terms); the items that hold them: pid, item),
+    stored."""
+    cut = items.select(F.col("item_id").cast("string").alias("item"), terms_of(F.col("text")).alias("_w")).filter(F.size("_w") > 0)
     last = F.greatest(F.size("_w") - window, F.lit(0))
     cut = cut.select("item", "_w", F.explode(F.sequence(F.lit(0), last)).alias("_at"))
-    cut = cut.select("item", F.slice("_w", F.col("_at") + 1, F.lit(window)).alias("words"))
-    return cut.groupBy(F.array_join("words", " ").alias("phrase")).agg(
-        F.first("words").alias("words"), F.collect_set("item").alias("items")
-    )
-
-
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    """df to be broadcast if it has at most so many rows (a count over a stored table)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
-def keyed(docs: DataFrame) -> DataFrame:
-    """a and b name the text."""
-    text = F.col("text")
-    return docs.select(F.xxhash64(text).alias("a"), F.xxhash64(F.lit("key"), text).alias("b"), "text").filter("text IS NOT NULL")
-
+    cut = staged(cut.select("item", F.slice("_w", F.col("_at") + 1, F.lit(window)).alias("phrase")).distinct(), "windows")
+    phrases = staged(cut.select("phrase").distinct().select(F.monotonically_increasing_id().alias("pid"), "phrase"), "phrases")
+    return phrases, staged(cut.filter("item IS NOT NULL").join(phrases, "phrase").select("pid", "item"), "items")
 
-def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """How often each of the terms occurs in all texts: term, cf. Terms that never occur have no row."""
-    tokens = docs.select(F.explode(words_of(F.col("text"))).alias("term"))
-    return tokens.join(terms, "term").groupBy("term").agg(F.count("*").alias("cf"))
 
-
-def token_postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """The positional index of the terms: term, a, b, pos (from 0)."""
-    tokens = keyed(docs).select("a", "b", F.posexplode(words_of(F.col("text"))).alias("pos", "term"))
-    return tokens.join(terms, "term").select("term", "a", "b", "pos")
+def term_counts(postings: DataFrame, terms: DataFrame) -> DataFrame:
+    """How often each of the terms occurs: term, cf. Terms that never occur have no row."""
+    return postings.join(terms, "term").groupBy("term").agg(F.count("*").alias("cf"))
 
 
 def rarest_probes(phrases: DataFrame, counts: DataFrame, probes: int = PROBES) -> DataFrame:
-    """pid, term, off, need: of each phrase whose words all occur, the rarest words and where they stand in it."""
-    at = phrases.select("phrase", F.size("words").alias("_n"), F.posexplode("words").alias("off", "term"))
-    found = at.join(counts, "term").groupBy("phrase", "_n").agg(
+    """pid, need, rank (from 0, the rarest first), off, term: of each phrase whose words all occur, the rarest words and where
+    they stand in it."""
+    at = phrases.select("pid", F.size("phrase").alias("_n"), F.posexplode("phrase").alias("off", "term"))
+    found = at.join(counts, "term").groupBy("pid", "_n").agg(
         F.array_sort(F.collect_list(F.struct("cf", "off", "term"))).alias("_all")
     ).filter(F.size("_all") == F.col("_n"))
-    best = found.select(F.xxhash64("phrase").alias("pid"), F.slice("_all", 1, probes).alias("_best"))
-    return best.select("pid", F.size("_best").alias("need"), F.explode("_best").alias("_p")).select(
-        "pid", "need", F.col("_p.off").alias("off"), F.col("_p.term").alias("term")
-    )
-
-
-def aligned_starts(postings: DataFrame, probes: DataFrame) -> DataFrame:
-    """a, b, pid, start: where all probes of a phrase stand at their offsets."""
-    lined = postings.join(probes, "term").select(
-        "a", "b", "pid", (F.col("pos") - F.col("off")).alias("start"), "need", F.expr("shiftleft(1L, off)").alias("_bit")
-    ).filter("start >= 0")
-    return (
-        lined.groupBy("a", "b", "pid", "start", "need").agg(F.bit_or("_bit").alias("_bits"))
-        .filter("bit_count(_bits) >= need").select("a", "b", "pid", "start")
-    )
-
-
-def proximity_matches(postings: DataFrame, probes: DataFrame, slop: int) -> DataFrame:
-    """a, b, pid, near: where all probes of a phrase stand within slop words of their places, each for itself.
-
-    Starts are dealt to two overlapping grids of cells 2 * slop + 1 wide, so that any such group falls into one cell."""
-    width = 2 * (2 * slop + 1)
-    start = F.col("pos") - F.col("off")
-    lined = postings.join(probes, "term").select("a", "b", "pid", start.alias("start"), "need", F.expr("shiftleft(1L, off)").alias("_bit"))
-    grids = F.array(*(F.struct(F.lit(g).alias("g"), F.floor((F.col("start") + g * (2 * slop + 1)) / width).alias("c")) for g in (0, 1)))
-    lined = lined.select("*", F.explode(grids).alias("_cell"))
-    met = lined.groupBy("a", "b", "pid", "need", "_cell").agg(
-        F.bit_or("_bit").alias("_bits"), F.min("start").alias("near"), F.max("start").alias("_to")
-    )
-    return met.filter((F.expr("bit_count(_bits) >= need")) & (F.col("_to") - F.col("near") <= 2 * slop)).select("a", "b", "pid", "near").distinct()
-
-
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs: text and any other columns. items: item_id, text. Returns row (a struct of docs' columns), n_words, n_hit, items
-    (sorted ids, as strings) for each row of docs."""
-    phrases = staged(windows_of(items, window), "phrases")
-    vocabulary = _small(staged(phrases.select(F.explode("words").alias("term")).distinct(), "vocabulary"), BROADCAST_TERMS)
-    counts = staged(term_counts(docs, vocabulary), "counts")
+    best = found.select("pid", F.slice("_all", 1, probes).alias("_best"))
+    best = best.select("pid", F.size("_best").alias("need"), F.posexplode("_best").alias("rank", "_p"))
+    return best.select("pid", "need", "rank", F.col("_p.off").alias("off"), F.col("_p.term").alias("term"))
+
+
+def intersected_starts(postings: DataFrame, probes: DataFrame, slop: int = SLOP, levels: int = PROBES) -> DataFrame:
+    """seg, ord, pid, start: where, from the rarest term of a phrase on, each probe's list has a start within slop words."""
+
+    def lined(rank: int) -> DataFrame:
+        asked = small(staged(probes.filter(F.col("rank") == rank).select("pid", "need", "off", "term"), "asked"))
+        return postings.join(asked, "term").select("seg", "ord", "pid", (F.col("pos") - F.col("off")).alias("start"), "need").filter(F.col("start") >= (-2 * slop if rank else -slop))
+
+    cell = lambda at: F.floor(at / CELL).cast("int")
+    left, done = lined(0), []
+    for rank in range(1, levels):
+        done.append(left.filter(F.col("need") == rank).drop("need"))
+        cells = F.array_distinct(F.array(cell(F.col("start") - slop), cell(F.col("start") + slop)))
+        left = left.filter(F.col("need") > rank).select("*", F.explode(cells).alias("cell"))
+        right = lined(rank).select(F.col("seg").alias("s"), F.col("ord").alias("o"), F.col("pid").alias("p"), F.col("start").alias("at"), cell(F.col("start")).alias("c"))
+        met = (F.col("seg") == F.col("s")) & (F.col("ord") == F.col("o")) & (F.col("pid") == F.col("p")) & (F.col("cell") == F.col("c"))
+        met = met & (F.abs(F.col("start") - F.col("at")) <= slop)
+        left = staged(left.join(right, met, "left_semi").drop("cell").distinct(), "starts")
+        # Few are left as a rule: then the next list is met where it is read, and not shuffled.
+        left = small(left)
+    done.append(left.drop("need"))
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def matches(index: Index, phrases: DataFrame, window: int = WINDOW, slop: int = SLOP) -> DataFrame:
+    """Of texts with any: seg, ord, exact and near (arrays of struct<pid, start, n>, n the number of words)."""
+    vocabulary = small(staged(phrases.select(F.explode("phrase").alias("term")).distinct(), "vocabulary"))
+    counts = staged(term_counts(index.postings, vocabulary), "counts")
     probes = staged(rarest_probes(phrases, counts), "probes")
-    terms = _small(staged(probes.select("term").distinct(), "terms"), BROADCAST_TERMS)
-    postings = staged(token_postings(docs, terms), "postings")
-    starts = aligned_starts(postings, _small(probes, BROADCAST_TERMS))
-    texts = phrases.select(F.xxhash64("phrase").alias("pid"), "words", "items")
-    found = starts.join(texts, "pid").groupBy("a", "b").agg(F.collect_list(F.struct("start", "words", "items")).alias("_found"))
-    own = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("text").alias("a"), F.xxhash64(F.lit("key"), "text").alias("b"))
-    read = own.join(found, ["a", "b"], "left").select("row", words_of(F.col("row.text")).alias("_w"), "_found")
-    same = F.expr("filter(_found, c -> slice(_w, c.start + 1, size(c.words)) = c.words)")
-    read = read.select("row", F.size("_w").cast("long").alias("n_words"), F.when(F.col("_found").isNotNull(), same).alias("_same"))
-    covered = F.expr("array_distinct(flatten(transform(_same, c -> sequence(c.start, c.start + size(c.words) - 1))))")
-    return read.select(
-        "row",
-        "n_words",
-        F.coalesce(F.size(covered), F.lit(0)).cast("long").alias("n_hit"),
-        F.coalesce(
-            F.array_sort(F.array_distinct(F.flatten(F.transform("_same", lambda c: c["items"])))), F.array().cast("array<string>")
-        ).alias("items"),
+    starts = staged(intersected_starts(index.postings, probes, slop).join(phrases, "pid"), "starts")
+    found = starts.groupBy("seg", "ord").agg(F.collect_list(F.struct("pid", "start", "phrase")).alias("_c"))
+    held = small(staged(starts.select("seg", "ord").distinct(), "texts_met"))
+    texts = index.texts.join(held, ["seg", "ord"], "left_semi").select("seg", "ord", "terms").join(found, ["seg", "ord"])
+    exact = F.expr("filter(_c, c -> c.start >= 0 AND slice(terms, c.start + 1, size(c.phrase)) = c.phrase)")
+    near = F.expr(
+        f"""filter(array_except(_c, _exact), c -> forall(sequence(0, size(c.phrase) - 1), j -> array_contains(
+            slice(terms, greatest(c.start + j - {slop}, 0) + 1, c.start + j + {slop} + 1 - greatest(c.start + j - {slop}, 0)), c.phrase[j])))"""
     )
+    short = lambda c: F.transform(c, lambda x: F.struct(x.pid.alias("pid"), x.start.alias("start"), F.size(x.phrase).alias("n")))
+    texts = texts.withColumn("_exact", exact).withColumn("_near", near)
+    return texts.select("seg", "ord", short(F.col("_exact")).alias("exact"), short(F.col("_near")).alias("near")).filter("size(exact) + size(near) > 0")
+
+
+def _items(found: DataFrame, of: str, phrase_items: DataFrame) -> DataFrame:
+    """seg, ord, the sorted ids (strings) of items whose windows match."""
+    one = found.select("seg", "ord", F.explode(F.array_distinct(F.transform(of, lambda x: x.pid))).alias("pid"))
+    return one.join(phrase_items, "pid").groupBy("seg", "ord").agg(F.array_sort(F.collect_set("item")).alias(f"{of}_items"))
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = SLOP) -> DataFrame:
+    """docs: doc_id, text. items: item_id, text. Returns for each row of docs: doc_id, a, b (the text's name), n_words, n_hit
+    (words inside an exact match), items (ids of items that match exactly, sorted strings), exact and near (arrays of
+    struct<pid, start, n>), near_items (ids of items that match nearby but for exact places)."""
+    index = build_index(docs)
+    phrases, phrase_items = windows_of(items, window)
+    found = staged(matches(index, phrases, window, slop), "matches")
+    covered = F.array_distinct(F.flatten(F.transform("exact", lambda x: F.sequence(x.start, x.start + x.n - 1))))
+    own = small(phrase_items)
+    listed = found.select("seg", "ord", F.size(covered).cast("long").alias("n_hit"), "exact", "near")
+    listed = listed.join(_items(found, "exact", own), ["seg", "ord"], "left").join(_items(found, "near", own), ["seg", "ord"], "left")
+    listed = small(staged(listed, "listed"))
+    rows = index.texts.select("doc_id", "a", "b", "seg", "ord", "n_words").join(listed, ["seg", "ord"], "left")
+    none = lambda c, kind: F.coalesce(F.col(c), F.array().cast(kind)).alias(c.replace("exact_", ""))
+    place = "array<struct<pid:bigint,start:int,n:int>>"
+    return rows.select(
+        "doc_id", "a", "b", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), none("exact_items", "array<string>"),
+        none("exact", place), none("near", place), none("near_items", "array<string>"),
+    )
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of docs in which no test window occurs, as they are."""
-    return decontaminate(docs, items, window).filter("n_hit = 0").select("row.*")
+    hit = small(staged(decontaminate(docs, items, window, slop=0).filter("n_hit > 0").select("a", "b").distinct(), "hit"))
+    met = (F.xxhash64(docs.text) == hit.a) & (F.xxhash64(F.lit("key"), docs.text) == hit.b)
+    return docs.join(hit, met, "left_anti")

@@ -147,7 +147,7 @@ def op7_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.decontaminate(docs, _read(spark, sf_dir, "benchmark"))
     return found.select(
-        "row.doc_id",
+        "doc_id",
         "n_words",
         "n_hit",
         F.size("items").cast("long").alias("n_items"),

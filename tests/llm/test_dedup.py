@@ -139,7 +139,7 @@ def test_decontamination_edges(spark):
     items = [(10, item), (11, "short item"), (11, "short item"), (12, None), (13, "!!"), (None, "x alpha")]
     df = spark.createDataFrame([(i, t, 9) for i, t in docs], "doc_id long, text string, n_words int")
     it = spark.createDataFrame(items, "item_id long, text string")
-    got = sorted((r.row.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in decontaminate.decontaminate(df, it).collect())
+    got = sorted((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in decontaminate.decontaminate(df, it).collect())
     assert got == [
         (1, 13, 12, ("10",)), (2, 0, 0, ()), (3, 0, 0, ()), (4, 2, 2, ("11",)), (5, 10, 10, ("10",)),
         (6, 4, 2, ("11",)), (6, 4, 2, ("11",)), (7, 3011, 11, ("10",)),
@@ -149,15 +149,64 @@ def test_decontamination_edges(spark):
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3]
 
 
-def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "alpha one beta two gamma"), (2, "alpha " + "far " * 30 + "beta gamma")], "doc_id long, text string")
-    items = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
-    phrases = decontaminate.windows_of(items)
-    terms = phrases.select(F.explode("words").alias("term")).distinct()
-    probes = decontaminate.rarest_probes(phrases, decontaminate.term_counts(docs, terms))
-    postings = decontaminate.token_postings(docs, terms)
-    near = decontaminate.proximity_matches(postings, probes, slop=2).select("a").distinct()
-    assert near.count() == 1 and decontaminate.aligned_starts(postings, probes).count() == 0
+def _places(docs, items, window, slop, probes=3):
+    """(doc, start, words) of exact and of proximity matches, by brute force."""
+    cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    texts = [(d, cut(t)) for d, t in docs]
+    count = {}
+    for _, ws in texts:
+        for w in ws:
+            count[w] = count.get(w, 0) + 1
+    phrases = {tuple(ws[i : i + window]) for ws in (cut(t) for _, t in items) if ws for i in range(max(1, len(ws) - window + 1))}
+    exact, near = set(), set()
+    for phrase in phrases:
+        if any(w not in count for w in phrase):
+            continue
+        anchor = min(range(len(phrase)), key=lambda o: (count[phrase[o]], o))
+        for doc, ws in texts:
+            for x, w in enumerate(ws):
+                if w != phrase[anchor]:
+                    continue
+                start = x - anchor
+                if start >= 0 and tuple(ws[start : start + len(phrase)]) == phrase:
+                    exact.add((doc, start, len(phrase), phrase))
+                elif all(q in ws[max(0, start + j - slop) : max(0, start + j + slop + 1)] for j, q in enumerate(phrase)):
+                    near.add((doc, start, len(phrase), phrase))
+    return sorted(p[:3] for p in exact), sorted(p[:3] for p in near)
+
+
+@pytest.mark.parametrize("window,slop,vocabulary", [(10, 2, 4), (5, 1, 6), (70, 2, 3), (10, 3, 30), (3, 0, 5)])
+def test_matches_against_brute_force(spark, window, slop, vocabulary):
+    rng = random.Random(window * 100 + vocabulary)
+    make = lambda n: [f"w{min(rng.randrange(vocabulary), rng.randrange(vocabulary))}" for _ in range(n)]
+    items = [(i, " ".join(make(rng.randrange(1, window + 6)))) for i in range(8)] + [(50, " ".join(["w0"] * window))]
+    docs = []
+    for i in range(30):
+        words = make(rng.randrange(0, 60))
+        held = rng.choice(items)[1].split()
+        if i % 3 == 1:  # with a word put in, and two that change places
+            held.insert(len(held) // 2, "odd")
+            held[0], held[-1] = held[-1], held[0]
+        docs.append((i, " ".join(words + (held if i % 3 else [])) + " " + " ".join(make(5))))
+    docs += [(100, " ".join(["w0"] * 200)), (101, "W1 far " * 40)]
+    found = decontaminate.decontaminate(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), window, slop
+    ).collect()
+    exact, near = _places(docs, items, window, slop)
+    assert sorted((r.doc_id, m.start, m.n) for r in found for m in r.exact) == exact and exact
+    assert sorted((r.doc_id, m.start, m.n) for r in found for m in r.near) == near
+    assert bool(near) == (slop > 0)
+    for r in found:
+        assert r.n_hit == len({w for d, s, n in exact if d == r.doc_id for w in range(s, s + n)})
+
+
+def test_an_index_serves_a_second_benchmark(spark):
+    docs = spark.createDataFrame([(1, "alpha one beta two gamma"), (2, "alpha " + "far " * 30 + "beta gamma"), (3, "x alpha beta gamma")], "doc_id long, text string")
+    index = decontaminate.build_index(docs)
+    for text, exact, near in (("alpha beta gamma", {3}, {1}), ("one beta", {1}, set()), ("missing word", set(), set())):
+        phrases, _ = decontaminate.windows_of(spark.createDataFrame([(1, text)], "item_id long, text string"))
+        found = decontaminate.matches(index, phrases).join(index.texts, ["seg", "ord"]).collect()
+        assert {r.doc_id for r in found if r.exact} == exact and {r.doc_id for r in found if r.near} == near
 
 
 def test_neighbours_against_brute_force(spark):
