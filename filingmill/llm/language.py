@@ -1,13 +1,15 @@
 """Language identification by a linear-chain conditional random field over words.
 
-Words (runs of letters, lower-cased) carry affix and character n-gram features (all 1- to 4-grams of the word between two
+Words (runs of letters, that is Unicode categories L*, lower-cased) carry affix and character n-gram features (all 1- to 4-grams of the word between two
 boundary marks), the word itself, and its entry in a lexicon learned with the rest; transitions between the languages of
 neighbouring words are learned too, from texts that are partly made to switch. Forward-backward gives every word a
 distribution over languages, so code-switched text is labelled word by word; a document's language is the one with the
 largest mean share.
 
-Training takes a bounded sample of labelled rows (TRAIN_BUCKETS texts a language at most, TRAIN_SPANS spans of TRAIN_CHARS
-characters spread over each) to the driver; everything else, prediction included, covers every word of every text.
+Training is gradient ascent on the chains' log-likelihood: expected features and transitions come from forward-backward, too.
+It takes a bounded sample of labelled rows to the driver: of at most TRAIN_BUCKETS texts a language, all pieces of PIECE_CHARS
+characters, and of these at most TRAIN_PIECES a language by hash order, wherever in a text they stand. Everything else, prediction
+included, covers every word of every text.
 Forward-backward runs for all texts of a batch at once: chains are cut into blocks whose transfer matrices are multiplied, so
 one very long text takes no longer than many short ones, and the result is that of the unbroken chain.
 
@@ -30,11 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
-from ._shared import small_batches, staged
+from ._shared import small, small_batches, staged
 
 TRAIN_BUCKETS = 96
-TRAIN_SPANS, TRAIN_CHARS = 4, 700
+PIECE_CHARS, TRAIN_PIECES = 300, 1000
 CHAIN_WORDS = 48
 EPOCHS, MINIBATCH, RATE, SEED = 4, 48, 0.5, 11
 WIDTH = 1 << 16
@@ -56,7 +59,13 @@ class Model:
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    """Runs of letters, lower-cased. What `re` takes for letters has numerals such as ½ in it: these end a word as well."""
+    if not text:
+        return []
+    found = _WORD.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [w for x in found for w in "".join(c if c.isalpha() else " " for c in x).split()]
 
 
 def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -103,14 +112,30 @@ def emissions(model: Model, words: list[str]) -> np.ndarray:
 
 def posteriors(scores: np.ndarray, bounds: np.ndarray, transitions: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Forward-backward over chains laid end to end (chain i is scores[bounds[i]:bounds[i + 1]]): a distribution per word."""
+    return _forward_backward(scores, bounds, transitions, start)[0]
+
+
+def expected_pairs(scores: np.ndarray, bounds: np.ndarray, transitions: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a distribution per word, the expected number of each transition over all chains)"""
+    out, alpha, beta, e, a = _forward_backward(scores, bounds, transitions, start)
+    inner = np.ones(len(scores), bool)
+    inner[bounds[:-1][np.diff(bounds) > 0]] = False
+    k = np.flatnonzero(inner)
+    joint = alpha[k - 1][:, :, None].astype(np.float64) * a[None] * (e[k] * beta[k])[:, None, :]
+    joint /= np.maximum(joint.sum(axis=(1, 2), keepdims=True), 1e-300)
+    return out, joint.sum(axis=0)
+
+
+def _forward_backward(scores: np.ndarray, bounds: np.ndarray, transitions: np.ndarray, start: np.ndarray):
+    """(distribution, forward and backward shares, exponentials of scores and of transitions), all but the last per word."""
     n, size = scores.shape
     lengths = np.diff(bounds)
-    out = np.zeros((n, size), dtype=np.float32)
+    out, alpha, beta = (np.zeros((n, size), dtype=np.float32) for _ in range(3))
     live = np.flatnonzero(lengths > 0)
-    if not len(live):
-        return out
-    e = np.exp(scores - scores.max(axis=1, keepdims=True)).astype(np.float32)
+    e = np.exp(scores - scores.max(axis=1, keepdims=True)).astype(np.float32) if n else out
     a = np.exp(transitions - transitions.max()).astype(np.float32)
+    if not len(live):
+        return out, alpha, beta, e, a
     first = np.exp(start - start.max()).astype(np.float32)
     blocks = -(-lengths[live] // BLOCK)
     chain = np.repeat(np.arange(len(live)), blocks)
@@ -156,23 +181,24 @@ def posteriors(scores: np.ndarray, bounds: np.ndarray, transitions: np.ndarray,
         v = np.maximum(v, 1e-30) * e[at[k] + t]
         v /= v.sum(axis=1, keepdims=True)
         forward[k] = v
-        out[at[k] + t] = v
+        alpha[at[k] + t] = v
     backward = right
     for t in range(BLOCK - 1, -1, -1):
         k = np.flatnonzero(held > t)
         if not len(k):
             continue
         here = at[k] + t
-        out[here] *= backward[k]
+        beta[here] = backward[k]
+        out[here] = alpha[here] * backward[k]
         v = (e[here] * backward[k]) @ a.T
         backward[k] = v / v.sum(axis=1, keepdims=True)
     out /= np.maximum(out.sum(axis=1, keepdims=True), 1e-30)
-    return out
+    return out, alpha, beta, e, a
 
 
-def _chains(rows: list[tuple[str, list[str]]], langs: list[str], rng) -> list[tuple[list[str], list[int]]]:
+def _chains(rows: list[tuple[str, str]], langs: list[str], rng) -> list[tuple[list[str], list[int]]]:
     """Chains of at most CHAIN_WORDS words with their labels; a third of them switch language once."""
-    pieces = [(langs.index(lang), w[i : i + CHAIN_WORDS]) for lang, spans in rows for w in map(words_of, spans) for i in range(0, len(w), CHAIN_WORDS)]
+    pieces = [(langs.index(lang), w[i : i + CHAIN_WORDS]) for lang, text in rows for w in (words_of(text),) for i in range(0, len(w), CHAIN_WORDS)]
     order = rng.permutation(len(pieces))
     out = []
     for j, i in enumerate(order):
@@ -187,12 +213,11 @@ def _chains(rows: list[tuple[str, list[str]]], langs: list[str], rng) -> list[tu
     return [c for c in out if c[0]]
 
 
-def _lexicon(rows: list[tuple[str, list[str]]], langs: list[str]) -> dict[str, int]:
+def _lexicon(rows: list[tuple[str, str]], langs: list[str]) -> dict[str, int]:
     counts: dict[str, Counter] = defaultdict(Counter)
-    for lang, spans in rows:
-        for span in spans:
-            for w in words_of(span):
-                counts[w][langs.index(lang)] += 1
+    for lang, text in rows:
+        for w in words_of(text):
+            counts[w][langs.index(lang)] += 1
     found = {}
     for w, c in counts.items():
         label, most = min(c.items(), key=lambda x: (-x[1], x[0]))
@@ -201,8 +226,34 @@ def _lexicon(rows: list[tuple[str, list[str]]], langs: list[str]) -> dict[str, i
     return found
 
 
-def fit(rows: list[tuple[str, list[str]]]) -> Model:
-    """rows: (lang, spans of text). Gradient ascent on the chains' log-likelihood, with a step per weight (AdaGrad)."""
+def gradient(model: Model, words: list[str], labels: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """That of the chains' log-likelihood, by weights, transitions and start: seen features less expected ones."""
+    scores = emissions(model, words)
+    gamma, expected = expected_pairs(scores, bounds, model.transitions, model.start)
+    miss = -gamma
+    miss[np.arange(len(labels)), labels] += 1
+    grams, starts = _grams(words)
+    whole = _whole(words, model.lexicon)
+    count = 2 + np.add.reduceat((grams < WIDTH).sum(axis=0), starts)
+    own = (miss / count[:, None]).astype(np.float32)
+    by_weight = np.zeros_like(model.weights)
+    each = np.repeat(np.arange(len(words)), np.diff(np.append(starts, grams.shape[1])))
+    for row in grams:
+        np.add.at(by_weight, row, own[each])
+    for column in whole.T:
+        np.add.at(by_weight, column, own)
+    by_weight[WIDTH] = 0
+    first = bounds[:-1][np.diff(bounds) > 0]
+    inner = np.ones(len(words), bool)
+    inner[first] = False
+    k = np.flatnonzero(inner)
+    pairs = np.zeros(model.transitions.shape)
+    np.add.at(pairs, (labels[k - 1], labels[k]), 1)
+    return by_weight, pairs - expected, miss[first].sum(axis=0)
+
+
+def fit(rows: list[tuple[str, str]]) -> Model:
+    """rows: (lang, text). Gradient ascent on the chains' log-likelihood, with a step per weight (AdaGrad)."""
     langs = sorted({lang for lang, _ in rows})
     rng = np.random.default_rng(SEED)
     size = len(langs)
@@ -218,34 +269,10 @@ def fit(rows: list[tuple[str, list[str]]]) -> Model:
             words = [w for c, _ in part for w in c]
             labels = np.array([x for _, c in part for x in c])
             bounds = np.concatenate([[0], np.cumsum([len(c) for c, _ in part])])
-            scores = emissions(model, words)
-            gamma = posteriors(scores, bounds, model.transitions, model.start)
-            miss = -gamma
-            miss[np.arange(len(labels)), labels] += 1
-            grams, starts = _grams(words)
-            whole = _whole(words, model.lexicon)
-            count = 2 + np.add.reduceat((grams < WIDTH).sum(axis=0), starts)
-            own = (miss / count[:, None]).astype(np.float32)
-            gradient = np.zeros_like(model.weights)
-            each = np.repeat(np.arange(len(words)), np.diff(np.append(starts, grams.shape[1])))
-            for row in grams:
-                np.add.at(gradient, row, own[each])
-            for column in whole.T:
-                np.add.at(gradient, column, own)
-            gradient[WIDTH] = 0
-            inner = np.ones(len(words), bool)
-            inner[bounds[:-1]] = False
-            k = np.flatnonzero(inner)
-            pair = np.zeros_like(model.transitions)
-            np.add.at(pair, (labels[k - 1], labels[k]), 1)
-            # Expected pairs under the model, from the neighbours' distributions and the transition between them.
-            joint = gamma[k - 1][:, :, None] * np.exp(model.transitions)[None] * np.exp(scores[k])[:, None, :]
-            joint *= 1 / np.maximum(joint.sum(axis=(1, 2), keepdims=True), 1e-30)
-            pair -= joint.sum(axis=0)
-            head = miss[bounds[:-1][np.diff(bounds) > 0]].sum(axis=0)
-            for x, g, s in zip((model.weights, model.transitions, model.start), (gradient, pair, head), squares, strict=True):
-                s += g * g
-                x += RATE * (1 if x is model.weights else 0.2) * g / np.sqrt(s)
+            found = gradient(model, words, labels, bounds)
+            for x, g, s in zip((model.weights, model.transitions, model.start), found, squares, strict=True):
+                s += (g * g).astype(np.float32)
+                x += (RATE * (1 if x is model.weights else 0.2) * g / np.sqrt(s)).astype(np.float32)
     return model
 
 
@@ -254,25 +281,25 @@ def held_out(doc_id) -> F.Column:
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, text, lang. Returns lang, spans of at most TRAIN_BUCKETS texts a language: of each bucket of a hash the
-    text with the smallest."""
+    """docs: doc_id, text, lang. Returns lang, doc_id, n, text: at most TRAIN_PIECES pieces a language, by hash order, of at most
+    TRAIN_BUCKETS texts a language: of each bucket of a hash the text with the smallest."""
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     usable = usable.select("doc_id", "lang", "text")
     key = F.xxhash64("doc_id")
     least = usable.groupBy("lang", F.pmod(key, F.lit(TRAIN_BUCKETS)).alias("bucket")).agg(F.min(F.struct(key.alias("h"), "doc_id")).alias("x"))
     # Stored, so that its size (TRAIN_BUCKETS rows a language) is known before the join and texts need not be shuffled.
-    least = staged(least.select("lang", F.col("x.doc_id").alias("doc_id")), "sample")
-    long = F.greatest(F.length("text") - TRAIN_CHARS, F.lit(0))
-    spans = F.array(*(F.substr("text", (long * i / max(1, TRAIN_SPANS - 1)).cast("int") + 1, F.lit(TRAIN_CHARS)) for i in range(TRAIN_SPANS)))
-    spans = F.when(F.length("text") <= TRAIN_CHARS, F.array("text")).otherwise(F.array_distinct(spans))
-    # A repeated doc_id counts once, with its first text in order.
-    found = usable.join(least, ["lang", "doc_id"]).select("lang", "doc_id", spans.alias("spans"))
-    return found.groupBy("lang", "doc_id").agg(F.min("spans").alias("spans"))
+    least = small(staged(least.select("lang", F.col("x.doc_id").alias("doc_id")), "sample"))
+    pieces = F.regexp_extract_all("text", F.lit(rf"(?s).{{1,{PIECE_CHARS}}}"), F.lit(0))
+    # A repeated doc_id counts once for each place and text it has there.
+    cut = usable.join(least, ["lang", "doc_id"]).select("lang", "doc_id", F.posexplode(pieces).alias("n", "text")).distinct()
+    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id", "n"), "doc_id", "n", "text"))
+    return cut.withColumn("_r", rank).filter(F.col("_r") <= TRAIN_PIECES).drop("_r")
 
 
 def train(docs: DataFrame) -> Model:
-    rows = sorted((r.lang, r.doc_id, list(r.spans)) for r in training_rows(docs).collect())  # bounded: see training_rows
-    return fit([(lang, spans) for lang, _, spans in rows])
+    """docs: doc_id, text, lang. The model of the texts that are not held out."""
+    rows = sorted((r.lang, r.doc_id, r.n, r.text) for r in training_rows(docs).collect())  # bounded: see training_rows
+    return fit([(lang, text) for lang, _, _, text in rows])
 
 
 def _read_batch(model: Model, texts: list[str | None]):

@@ -1,4 +1,6 @@
+import itertools
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -41,6 +43,50 @@ def test_forward_backward_is_exact():
         assert np.abs(p / p.sum(1, keepdims=True) - got[i:j]).max() < 1e-5
 
 
+def test_gradient_equals_differences_of_the_likelihood(monkeypatch):
+    """Against the log-likelihood by enumeration of all label sequences."""
+    rng = np.random.default_rng(3)
+    langs, words, labels, bounds = ["a", "b", "c"], "ab bc cab abc b ca".split(), np.array([0, 1, 1, 2, 0, 2]), np.array([0, 4, 4, 5, 6])
+    monkeypatch.setattr(language, "WIDTH", 64)
+    model = language.Model(langs, rng.normal(size=(65, 3)).astype(np.float32), rng.normal(size=(3, 3)).astype(np.float32), rng.normal(size=3).astype(np.float32), {"abc": 1})
+    model.weights[64] = 0
+
+    def likelihood():
+        scores, total = language.emissions(model, words).astype(float), 0.0
+        for i, j in zip(bounds, bounds[1:], strict=False):
+            if i == j:
+                continue
+            of = lambda y, i=i: model.start[y[0]] + sum(scores[i + t, c] for t, c in enumerate(y)) + sum(model.transitions[p, q] for p, q in zip(y, y[1:], strict=False))
+            total += of(labels[i:j]) - np.log(sum(np.exp(of(y)) for y in itertools.product(range(3), repeat=j - i)))
+        return total
+
+    found = language.gradient(model, words, labels, bounds)
+    for x, g in zip((model.weights, model.transitions, model.start), found, strict=True):
+        for at in np.ndindex(*x.shape):
+            if x is model.weights and at[0] == 64:
+                continue
+            before, step = x[at], 1e-2
+            x[at] = before + step
+            up = likelihood()
+            x[at] = before - step
+            down = likelihood()
+            x[at] = before
+            assert abs((up - down) / (2 * step) - g[at]) < 2e-3
+
+
+def test_words_are_letters():
+    assert language.words_of("x²½y 1/½ Ⅻ ª Straße_ÉTÉ") == ["x", "y", "ª", "straße", "été"]
+    assert language.words_of("½ ² ③ 12 _") == [] and language.words_of(None) == []
+
+
+def test_training_reaches_into_long_texts(spark):
+    text = "the and of " * 2000 + "zzzq " * 400 + "with that " * 2000
+    long = next(i for i in range(12) if zlib.crc32(b"%d" % i) % 3 != 1)
+    docs = spark.createDataFrame([(i, text if i == long else "the and", "en") for i in range(12)], "doc_id long, text string, lang string")
+    rows = language.training_rows(docs).collect()
+    assert sum(len(r.text) for r in rows if r.doc_id == long) == len(text) and any("zzzq" in r.text for r in rows)
+
+
 def test_language_held_out_accuracy_and_edges(spark):
     docs = spark.createDataFrame([(i, t, lang, 1.0) for i, t, lang in _texts(400)], "doc_id long, text string, lang string, score double")
     model = language.train(docs)
