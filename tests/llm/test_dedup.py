@@ -209,7 +209,8 @@ def test_an_index_serves_a_second_benchmark(spark):
         assert {r.doc_id for r in found if r.exact} == exact and {r.doc_id for r in found if r.near} == near
 
 
-def test_neighbours_against_brute_force(spark):
+@pytest.mark.parametrize("trees,leaf", [(6, 64), (2, 8)])  # with leaves of 8, the descent finds what the trees do not
+def test_neighbours_against_brute_force(spark, trees, leaf):
     rng = np.random.default_rng(4)
     rows, vec_id = [], 0
     for label in (0, 1):
@@ -236,6 +237,29 @@ def test_neighbours_against_brute_force(spark):
     for a, _ in links:
         count[a] += 1
     assert max(count.values()) > neighbours.DENSE
-    got = neighbours.near_duplicates(df).collect()
+    got = neighbours.near_duplicates(df, trees, leaf).collect()
     assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == {i: (count[i], groups[i], groups[i] == i) for i in stored}
     assert neighbours.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_descent_finds_what_the_first_graph_lacks(spark):
+    rng = np.random.default_rng(7)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    base = unit(rng.normal(size=(900, 32)))
+    near = unit(base[:200] + unit(rng.normal(size=(200, 32))) * 0.35)
+    rows = [(i, x.tolist(), 1) for i, x in enumerate(np.concatenate([base, near]))]
+    _, nodes = neighbours._nodes(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    x = np.stack([np.array(r[1]) for r in rows])
+    linked = int(np.triu(x @ x.T >= neighbours.THRESHOLD, 1).sum())
+    lists = neighbours.staged(neighbours._top(neighbours.first_graph(nodes, 2, 0, 32), neighbours.LIST), "lists")
+    found = lambda lists: neighbours.threshold_edges(lists, nodes).count() / 2 / linked
+    first, last = found(lists), found(neighbours.refined(lists, nodes, neighbours.LIST))
+    assert linked > 100 and first < 0.9 and last > 0.97, (linked, first, last)
+
+
+def test_a_poor_graph_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BUILDS", 1)
+    monkeypatch.setattr(neighbours, "audit_recall", lambda *a: 0.5)
+    df = spark.createDataFrame([(1, [1.0, 0.0], 1), (2, [1.0, 0.1], 1)], "vec_id long, embedding array<double>, label int")
+    with pytest.raises(RuntimeError, match="0.5"):
+        neighbours.near_duplicates(df)
