@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 import pytest
 import sentencepiece
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from filingmill.llm import language, pieces, secrets
@@ -145,12 +146,53 @@ def test_pieces_on_tables(spark, vocabulary):
 
 
 @pytest.fixture(scope="module")
-def secret_model(spark):
+def secret_corpus(spark):
     rng = random.Random(6)
-    key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
-    rows = [(i, f'ordinary words here token = "{key()}" and more words') for i in range(60)]
-    rows += [(100 + i, f"write to jo.{i}@mail{i % 9}.example.com or pay {4000000000000000 + i * 7919} now") for i in range(60)]
-    return secrets.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    rows = [(i, " ".join(rng.choice(sum(WORDS.values(), [])) for _ in range(30)) + f" jo.{i}@mail{i % 9}.example.com or {4000000000000000 + i * 7919}") for i in range(120)]
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+@pytest.fixture(scope="module")
+def secret_model(secret_corpus):
+    return secrets.train(secret_corpus)
+
+
+def test_column_forest_equals_the_models_own(spark, secret_corpus, secret_model):
+    made = secrets.made_findings(spark, secret_model.words.dictionary, secrets.contexts(secret_corpus))
+    forest, rows = secrets.fit(made.drop("kind"), secret_model.words)
+    own = forest.transform(rows).select(vector_to_array("probability")[1].alias("p"), *secrets.FEATURES)
+    column = secrets.forest_score(secrets.written_out(forest), F.struct(*secrets.FEATURES))
+    assert own.select(F.max(F.abs(column - F.col("p")))).first()[0] < 1e-9
+    assert own.select(F.count("*")).first()[0] == made.count()
+
+
+@pytest.mark.parametrize("kind", ["cloud_id", "web_token", "letters", "mixed_password", "mail_host", "path", "phone"])
+def test_kinds_not_trained_on(spark, secret_corpus, kind):
+    """Recall of positive kinds, and specificity for negative ones, that the forest has never seen."""
+    model = secrets.train(secret_corpus, without=(kind,))
+    made = secrets.made_findings(spark, model.words.dictionary, secrets.contexts(secret_corpus)).filter(F.col("kind") == kind)
+    right = (secrets.score(F.col("left"), F.col("secret"), F.col("right"), model) >= secrets.THRESHOLD) == (F.col("label") == 1)
+    assert made.select(F.avg(right.cast("int"))).first()[0] > 0.8
+
+
+def test_candidates_of_every_form(spark):
+    block = "-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: x-1\n\n" + "QUJD+/=\n" * 9000 + "-----END PGP PRIVATE KEY BLOCK-----"
+    cases = {
+        'password = "hunter2!x9"': ["hunter2!x9"], "my passwd:letmein": ["letmein"], "pwd = abcdefghijklmnopqrstuvwx": ["abcdefghijklmnopqrstuvwx"],
+        "see ABCDEFGHijklmnopQRSTuvwxABCDEFGHijklmn there": ["ABCDEFGHijklmnopQRSTuvwxABCDEFGHijklmn"], f"a {block} b": [block], "a short word = x": [],
+        '{"api_key": "Zx9$kkk", "n": 1}': ["Zx9$kkk"], "-----BEGIN PRIVATE KEY-----\nnever ends " * 50: [], "api_key = 'a1b2c3d4e5f6'; token=Summer2024!": ["a1b2c3d4e5f6", "Summer2024!"], "": [],
+    }
+    df = spark.createDataFrame([(t,) for t in cases], "text string").select("text", secrets.candidates(F.col("text")).alias("c"))
+    for r in df.collect():
+        assert [x.secret for x in r.c or [] if x.secret is not None] == cases[r.text], r.text[:60]
+        if r.c:
+            assert "".join(x.gap + (x.secret or "") for x in r.c) == r.text
+
+
+def test_neighbour_words_are_learned(spark):
+    rows = [(1.0, f"see vault {i} entry ", "x", "") for i in range(30)] + [(0.0, f"see ticket {i} entry ", "x", "") for i in range(30)]
+    found = secrets.neighbour_words(spark.createDataFrame(rows, "label double, left string, secret string, right string"))
+    assert found == (["vault"], ["ticket"])
 
 
 def test_secrets_found_and_masked(spark, secret_model):
