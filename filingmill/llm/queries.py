@@ -87,12 +87,17 @@ labelled AS (
 counted AS (
   SELECT host, count(good) AS n, count(*) FILTER (WHERE good) AS k FROM seen LEFT JOIN labelled USING (page_id) GROUP BY host),
 named AS (
-  SELECT *, string_split(host, '.') AS parts, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS two FROM counted),
-hosts0 AS (
-  SELECT host, n, k,
-    CASE WHEN two IN ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'com.br', 'co.nz', 'co.in') THEN array_to_string(list_slice(parts, -3, -1), '.') ELSE two END AS domain,
-    CASE WHEN two IN ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'com.br', 'co.nz', 'co.in') THEN two ELSE parts[-1] END AS suffix
+  SELECT *, regexp_replace(host, '\.?(:[0-9]*)?$', '') AS name FROM counted),
+cut AS (
+  SELECT *, string_split(name, '.') AS parts,
+    CASE WHEN regexp_matches(name, '^[0-9.]+$|^\[') THEN 0
+      WHEN regexp_matches(name, '(^|\.)(github\.io|gitlab\.io|blogspot\.com|herokuapp\.com|netlify\.app|pages\.dev|vercel\.app|web\.app|wordpress\.com)$') THEN 2
+      WHEN regexp_matches(name, '(^|\.)(ac|co|com|edu|gob|gouv|go|gov|gv|mil|muni|ne|net|nom|or|org|sch)\.[a-z]{2}$') THEN 2 ELSE 1 END AS labels
   FROM named),
+hosts0 AS (
+  SELECT host, n, k, CASE WHEN labels = 0 THEN name ELSE array_to_string(parts[-(labels + 1):], '.') END AS domain,
+    CASE WHEN labels = 0 THEN '' ELSE array_to_string(parts[-labels:], '.') END AS suffix
+  FROM cut),
 domains0 AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM hosts0 GROUP BY domain, suffix),
 suffixes0 AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM domains0 GROUP BY suffix),
 suffixes1 AS (SELECT *, (SELECT coalesce(sum(k) / nullif(sum(n), 0), 0.5) FROM suffixes0) AS prior FROM suffixes0),
@@ -110,7 +115,13 @@ rho_h AS (
   SELECT least(greatest(coalesce((sum(n * pow(k / n - prior, 2) / greatest(prior * (1 - prior), 1e-6)) - count(*)) / nullif(sum(n) - count(*), 0), 0.001), 0.001), 0.5) AS rho
   FROM hosts1 WHERE n > 0),
 hosts2 AS (SELECT *, 1 / rho - 1 + n AS size, ((1 / rho - 1) * prior + k) / ((1 / rho - 1) + n) AS mean FROM hosts1, rho_h),
-hosts AS (SELECT host, mean - 1.645 * sqrt(mean * (1 - mean) / (size + 1)) AS lower_bound FROM hosts2),
+ab AS (SELECT host, greatest(size * mean, 0.01) AS a, greatest(size * (1 - mean), 0.01) AS b FROM hosts2),
+reach AS (SELECT host, a, b, ln(a / b) AS middle, 10 / sqrt(a * b / (a + b)) + 10 * (1 / a + 1 / b) AS reach FROM ab),
+grid AS (SELECT host, a, b, middle, reach, i, middle - reach + 2 * reach / 512 * i AS x FROM reach, (SELECT unnest(generate_series(0, 512)) AS i)),
+dens AS (
+  SELECT host, x, reach, i, exp(a * x - (a + b) * (greatest(x, 0) + ln(1 + exp(-abs(x)))) - (a * middle - (a + b) * (greatest(middle, 0) + ln(1 + exp(-abs(middle)))))) AS d FROM grid),
+cum AS (SELECT host, x, reach, i, d, sum(d) OVER (PARTITION BY host ORDER BY i) AS c, sum(d) OVER (PARTITION BY host) AS t FROM dens),
+hosts AS (SELECT host, 1 / (1 + exp(-arg_min(x - 2 * reach / 512 * (0.5 - (0.05 * t - c + d) / d), i))) AS lower_bound FROM cum WHERE c >= 0.05 * t GROUP BY host),
 rules(rule, verdict, own, rest) AS (
   VALUES ('org/', 'allow', 'org', '/'), ('example.org/es/', 'block', 'example.org', '/es/'), ('example.org/en/1', 'allow', 'example.org', '/en/1'),
     ('com/fr/', 'allow', 'com', '/fr/'), ('com/de/', 'block', 'com', '/de/')),

@@ -5,7 +5,10 @@ that is run again replaces its own output and nothing is written beside Spark's
 archive is trained from its own first records, at most DICTIONARY_SAMPLES of them; where that is too little to train
 from, the archive has none. Reading: an archive is a row with a `content` column (also what `binaryFile` gives for
 *.warc.zst files). The frames are walked by their block headers, each is decoded by itself with the dictionary, and every record's
-header lines, Content-Length, block digest and payload digest are checked; what fails is a row with `error`.
+header lines, Content-Length, block digest and payload digest are checked; what fails is a row with `error`. Archives of other
+writers are read, too: frames without a content size, all record types (the payload of those other than response and revisit
+is their block), digests by SHA-1, SHA-256 and others that hashlib knows, in base 32 or hex, and any form of record id. A
+digest by an unknown algorithm is not checked; without a payload digest one is worked out.
 
 A record has an HTTP response as its block. Of pages with equal payloads of MIN_REVISIT bytes or more that with the largest
 page_id is the `response`; the others are `revisit` records that refer to it and keep the HTTP header alone.
@@ -43,7 +46,7 @@ DICTIONARY_MAGIC = 0xEC30A437
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD_DATE = "2000-01-01T00:00:00Z"
 
-RECORDS = "page_id long, record_type string, refers_to long, url string, payload_bytes long, payload_digest string, payload binary, error string"
+RECORDS = "page_id long, record_type string, refers_to long, url string, payload_bytes long, payload_digest string, payload binary, record_id string, refers_to_id string, error string"
 
 
 def _base32_sha1(data: bytes) -> str:
@@ -138,17 +141,37 @@ def unpack(data: bytes) -> Iterator[bytes | Exception]:
             yield e
             return
         try:
-            yield dctx.decompress(data[at:end])
+            yield dctx.decompressobj().decompress(data[at:end])  # a stream: its header need not tell the size
         except zstandard.ZstdError as e:
             yield e
         at = end
 
 
-def parse_record(raw: bytes) -> dict:
-    """The columns of RECORDS; raises ValueError for a record that is not well formed."""
-    head, sep, rest = raw.partition(b"\r\n\r\n")
-    lines = head.decode("utf-8").split("\r\n")
-    if not sep or not re.fullmatch(r"WARC/1\.[01]", lines[0]):
+def _digest_fits(given: str, data: bytes) -> bool:
+    """Whether a labelled digest is that of data; true for an algorithm unknown here."""
+    algorithm, _, value = given.partition(":")
+    try:
+        own = hashlib.new(algorithm.lower().replace("-", ""), data).digest()
+    except (ValueError, TypeError):
+        return True
+    return value.lower() == own.hex() or value.upper().rstrip("=") == base64.b32encode(own).decode().rstrip("=")
+
+
+def _hex(given: str) -> str:
+    """A labelled digest as bare hex; as it is where it is neither hex nor base 32."""
+    value = given.partition(":")[2]
+    if re.fullmatch(r"(?:[0-9A-Fa-f]{8})+", value):
+        return value.lower()
+    try:
+        return base64.b32decode(value.upper() + "=" * (-len(value) % 8)).hex()
+    except ValueError:
+        return value
+
+
+def _fields(head: bytes) -> dict[str, str]:
+    """Header lines by lower-case name; a line that begins with white space continues the one before."""
+    lines = re.sub(r"\r\n[ \t]+", " ", head.decode("utf-8")).split("\r\n")
+    if not re.fullmatch(r"WARC/1\.[01]", lines[0]):
         raise ValueError("no WARC version line or header end")
     fields = {}
     for line in lines[1:]:
@@ -159,32 +182,44 @@ def parse_record(raw: bytes) -> dict:
     for name in ("warc-type", "warc-record-id", "warc-date", "content-length"):
         if name not in fields:
             raise ValueError(f"header {name} is missing")
+    return fields
+
+
+def parse_record(raw: bytes) -> dict:
+    """The columns of RECORDS; raises ValueError for a record that is not well formed."""
+    head, sep, rest = raw.partition(b"\r\n\r\n")
+    if not sep:
+        raise ValueError("no WARC version line or header end")
+    fields = _fields(head)
     if not fields["content-length"].isdigit():
         raise ValueError("Content-Length is no number")
     size = int(fields["content-length"])
     if len(rest) != size + 4 or rest[size:] != b"\r\n\r\n":
         raise ValueError(f"Content-Length is {size}, the block with its end has {len(rest)} bytes")
-    block = rest[:size]
-    if (d := fields.get("warc-block-digest")) and d != f"sha1:{_base32_sha1(block)}":
+    block, kind, digest = rest[:size], fields["warc-type"], fields.get("warc-payload-digest", "")
+    if (d := fields.get("warc-block-digest")) and not _digest_fits(d, block):
         raise ValueError("the block digest differs")
-    kind = fields["warc-type"]
-    if kind not in ("response", "revisit"):
-        raise ValueError(f"record type {kind!r}")
-    http, sep, payload = block.partition(b"\r\n\r\n")
-    if not sep or not http.startswith(b"HTTP/"):
+    payload, length = block, size
+    if kind in ("response", "revisit") and block.startswith(b"HTTP/"):
+        http, sep, payload = block.partition(b"\r\n\r\n")
+        if not sep:
+            raise ValueError("the HTTP header does not end")
+        stated = re.search(rb"(?im)^content-length:\s*(\d+)\s*$", http)
+        length = int(stated[1]) if stated else len(payload)
+        whole = kind == "response" and "warc-truncated" not in fields
+        if whole and (len(payload) != length or digest and not _digest_fits(digest, payload)):
+            raise ValueError("the payload's length or digest differs")
+    elif kind == "response" and fields.get("content-type", "").startswith("application/http"):
         raise ValueError("the block is no HTTP response")
-    length = re.search(rb"(?im)^content-length:\s*(\d+)\s*$", http)
-    digest = fields.get("warc-payload-digest", "")
-    if not length or not digest.startswith("sha1:"):
-        raise ValueError("payload length or digest is missing")
-    if kind == "response" and (len(payload) != int(length[1]) or digest != f"sha1:{_base32_sha1(payload)}"):
+    elif digest and kind != "revisit" and not _digest_fits(digest, payload):
         raise ValueError("the payload's length or digest differs")
-    if kind == "revisit" and (payload or "warc-refers-to" not in fields):
-        raise ValueError("a revisit has a payload or refers to nothing")
+    if kind == "revisit" and payload:
+        raise ValueError("a revisit has a payload")
     of = lambda name: int(m[1]) if (m := re.fullmatch(r"<urn:page:(-?\d+)>", fields.get(name, ""))) else None
     return {
         "page_id": of("warc-record-id"), "record_type": kind, "refers_to": of("warc-refers-to"), "url": fields.get("warc-target-uri"),
-        "payload_bytes": int(length[1]), "payload_digest": base64.b32decode(digest[5:]).hex(), "payload": payload if kind == "response" else None, "error": None,
+        "payload_bytes": length, "payload_digest": _hex(digest) if digest else hashlib.sha1(payload).hexdigest(),
+        "payload": None if kind == "revisit" else payload, "record_id": fields["warc-record-id"], "refers_to_id": fields.get("warc-refers-to"), "error": None,
     }
 
 

@@ -1,4 +1,9 @@
 import hashlib
+import math
+
+import numpy as np
+import zstandard
+from pyspark.sql import functions as F
 
 from filingmill.llm import chat, reputation, warc
 
@@ -60,6 +65,39 @@ def test_broken_archives_give_errors(spark):
     assert warc.read_archives(warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"))).count() == 0
 
 
+def _foreign(kind, block, *lines, content="text/plain"):
+    head = ["WARC/1.0", f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:0f1e>", "WARC-Date: 2024-01-01T00:00:00Z", f"Content-Type: {content}", f"Content-Length: {len(block)}", *lines]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_archives_of_other_writers(spark):
+    http = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\nhello"
+    sha256 = hashlib.sha256(http).hexdigest()
+    records = [
+        _foreign("warcinfo", b"software: x\r\n", "X-Folded: a", "\tb"), _foreign("request", b"GET / HTTP/1.1\r\n\r\n"), _foreign("metadata", b""),
+        _foreign("response", http, f"WARC-Block-Digest: sha256:{sha256}", content="application/http; msgtype=response"),
+        _foreign("response", http, "WARC-Payload-Digest: sha1:" + hashlib.sha1(b"hello").hexdigest().upper(), content="application/http"),
+        _foreign("response", http, "WARC-Payload-Digest: whirl:xyz", content="application/http"),
+        _foreign("revisit", b"HTTP/1.1 304 Not Modified\r\n\r\n", content="application/http"),
+        _foreign("response", http, "WARC-Block-Digest: sha256:" + "0" * 64), _foreign("response", http, "WARC-Payload-Digest: md5:" + "0" * 32),
+    ]
+    stream = zstandard.ZstdCompressor(write_content_size=False)
+    frames = b""
+    for r in records:
+        c = stream.compressobj()
+        frames += c.compress(r) + c.flush()
+    got = warc.read_archives(spark.createDataFrame([(frames, 1)], "content binary, record_id int")).collect()
+    assert [r.record_type for r in got[:7]] == ["warcinfo", "request", "metadata", "response", "response", "response", "revisit"]
+    assert all(r.error is None and r.record_id == "<urn:uuid:0f1e>" and r.page_id is None for r in got[:7])
+    assert bytes(got[3].payload) == b"hello" and got[3].payload_digest == got[4].payload_digest == hashlib.sha1(b"hello").hexdigest()
+    assert "block digest" in got[7].error and "payload" in got[8].error
+
+
+def test_archives_with_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "u", "x" * 2000, 7, 8, "d"), (2, "u", "x" * 2000, 7, 8, "d")], "page_id long, url string, html string, refers_to int, content int, _digest string")
+    assert sorted((r.page_id, r.refers_to) for r in warc.read_archives(warc.write_archives(df)).collect()) == [(1, 2), (2, None)]
+
+
 def test_rules_and_reputation(spark):
     urls = [
         (1, "https://A.Example.ORG/es/x?y"), (2, "http://m.example.org/en/17#t"), (3, "http://example.org/en/2"), (4, "http://x.com/de/1"), (5, "http://x.com/fr/1"),
@@ -76,3 +114,33 @@ def test_rules_and_reputation(spark):
     assert got[6].lower < got[6].reputation < 1 and got[7].reputation > 0
     empty = reputation.judge_urls(pages.limit(0), outcomes.limit(0))
     assert empty.count() == 0
+
+
+def test_suffixes_and_domains(spark):
+    cases = {
+        "a.b.example.com": ("example.com", "com"), "www.shop.co.uk": ("shop.co.uk", "co.uk"), "x.go.jp": ("x.go.jp", "go.jp"), "co.kr": ("co.kr", "co.kr"), "me.github.io:8080": ("me.github.io", "github.io"),
+        "10.0.0.7": ("10.0.0.7", ""), "": ("", ""), "localhost.": ("localhost", "localhost"), "a.own.test": ("a.own.test", "own.test"), "com.de": ("com.de", "com.de"), "x.company.de": ("company.de", "de"),
+    }
+    h, suffixes = F.col("h"), (*reputation.SUFFIXES, "own.test")
+    df = spark.createDataFrame([(k,) for k in cases], "h string").select("h", reputation.domain_of(h, suffixes), reputation.suffix_of(h, suffixes))
+    assert {r[0]: (r[1], r[2]) for r in df.collect()} == cases
+
+
+def test_beta_quantile_against_integration(spark):
+    rows = [(a, b) for a in (0.01, 0.3, 1.0, 2.5, 40.0, 3000.0) for b in (0.01, 0.4, 1.0, 7.0, 900.0)] + [(1e6, 2e6)]
+    for a, b, q in spark.createDataFrame(rows, "a double, b double").select("a", "b", reputation.beta_quantile(F.col("a"), F.col("b"))).collect():
+        # The integral over log odds, on a far finer grid.
+        x = np.linspace(-1, 1, 2_000_001) * (40 / math.sqrt(a * b / (a + b)) + 30 * (1 / a + 1 / b)) + math.log(a / b)
+        d = a * x - (a + b) * np.logaddexp(0, x)
+        c = np.cumsum(np.exp(d - d.max()))
+        assert abs(np.interp(math.log(q / (1 - q)) if 0 < q < 1 else math.copysign(math.inf, q - 0.5), x, c / c[-1]) - 0.05) < 2e-3 or q in (0, 1), (a, b, q)
+    assert abs(spark.range(1).select(reputation.beta_quantile(F.lit(1.0), F.lit(1.0))).first()[0] - 0.05) < 1e-3
+
+
+def test_reputation_ties_and_clashing_columns(spark):
+    pages = spark.createDataFrame([(1, "http://a.org/x/y", "n", 2, "h"), (1, "http://a.org/x/y", "n", 2, "h"), (2, None, "n", 2, "h")], "page_id long, url string, host string, n int, rule string")
+    rules = (("a.org/x/", "block"), ("org/x/y", "allow"), ("a.org/x/y", "allow"), ("b.org/x/y", "block"), ("a.org/x/y", "block"))
+    got = reputation.judge_urls(pages, pages.select("page_id", F.lit(True).alias("good"), "host"), rules).collect()
+    assert [(r.rule, r.verdict) for r in got if r.page_id == 1] == [("a.org/x/y", "allow")] * 2 and [r.host for r in got if r.page_id == 2] == [""]
+    tied = (("org/x/", "block"), ("a.org/", "allow"))  # of rules as long as each other the first by name
+    assert [(r.rule, r.verdict) for r in reputation.judge_urls(pages, pages.select("page_id", F.lit(True).alias("good")), tied).collect() if r.page_id == 1] == [("a.org/", "allow")] * 2
