@@ -1,17 +1,23 @@
 """SentencePiece encoding and decoding by Viterbi over a trie of distinct marked words.
 
 The distinct marked words of a batch are sorted, so that going through them in order is a depth-first walk of their trie.
-For every prefix the forward state is the last piece of its best segmentation; it depends on the prefix alone, so the states
-up to the common prefix of two neighbours are kept and only the rest is computed. Then each word is read back from its last state.
-
-The given model is a merge (BPE) model. Of all segmentations its own is the one in which every two neighbouring pieces are what merging
-gives for the two together; that is the score here: a path whose neighbours all agree has score 0, any other minus infinity. Exactly one
-piece ending a prefix continues an agreeing path, so the forward pass keeps that one. Results equal those of the sentencepiece library,
-piece for piece, at every text tested (tests/llm/test_text_models.py); only NUL, which the library drops, becomes a byte piece here.
+For every prefix the forward state is the score of its best segmentation and that one's last piece; it depends on the prefix
+alone, so the states up to the common prefix of two neighbours are kept and only the rest is computed. Then each word is read back
+from its last state.
+
+The score depends on the model's type, which is read from the file:
+- unigram: the sum of the pieces' scores, as single-precision numbers; of equal ones that with the longer last piece (the
+  library adds up over the whole text, so that its rounding may settle an exact tie otherwise); a character without a piece costs 10 more than the worst piece;
+- merges (BPE, as the model given here): of all segmentations the model's own is the one in which every two neighbouring pieces
+  are what merging gives for the two together. That is the score: 0 if all neighbours agree, minus infinity otherwise. Exactly one
+  piece that ends a prefix continues an agreeing path, so the first found is the best.
+Other types, and pieces that hold a mark or a line feed after another character, are refused. Results equal those of the
+sentencepiece library, piece for piece, at every text tested (tests/llm/test_text_models.py); only NUL, which the library drops, becomes
+a byte piece here.
 
 A marked word is a space mark and the characters up to the next space; line feeds, which no piece holds, bound words as
 well. Characters without a piece become byte pieces. Runs of space marks are merged among themselves after that, as pieces never
-hold a mark after another character.
+hold a mark after another character. A mark character in a text is read as a space, as by the library, and so is not given back.
 
 Defined results: null text has no pieces (null when decoded), empty text none; a very long word costs as much as many
 short ones; a mark character in a text is read as a space, as by the library; repeated rows are each encoded; an empty table
@@ -36,6 +42,9 @@ from pyspark.sql import types as T
 from ._shared import small_batches
 
 MARK = "▁"
+# Fixed values of the format.
+UNIGRAM, MERGES = 1, 2
+UNKNOWN_COST = 10.0
 #: A worker remembers so many words' pieces and neighbours' agreements from batch to batch.
 CACHED_WORDS, CACHED_PAIRS = 400_000, 1_000_000
 _END = ""
@@ -49,9 +58,12 @@ class Vocabulary:
     spelled: list[bytes]  # what each id stands for
     name: str = ""  # a hash of the model file
     endings: dict = field(default_factory=dict)  # a trie of the reversed pieces
+    kind: int = 2
+    unknown_id: int = 0
 
     @classmethod
     def read(cls, path: str) -> Vocabulary:
+        """Reads a model file; raises ValueError for one that this module can't follow."""
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         ids, scores, byte_ids, spelled = {}, {}, [0] * 256, []
         for i in range(sp.get_piece_size()):
@@ -65,8 +77,43 @@ class Vocabulary:
                 ids[piece], scores[piece] = i, sp.get_score(i)
                 spelled.append(piece.replace(MARK, " ").encode())
         with open(path, "rb") as f:
-            name = hashlib.sha256(f.read()).hexdigest()
-        return cls(ids, scores, byte_ids, spelled, name, _reversed_trie(p for p in ids if merged(p, scores) == [p]))
+            held = f.read()
+        kind = model_type(held)
+        if kind not in (UNIGRAM, MERGES):
+            raise ValueError(f"a model of type {kind} is neither unigram nor of merges")
+        if any("\n" in p or MARK in p.lstrip(MARK) or kind == UNIGRAM and MARK in p[1:] for p in ids):
+            raise ValueError("a piece goes beyond its word")
+        kept = ids if kind == UNIGRAM else (p for p in ids if merged(p, scores) == [p])
+        return cls(ids, scores, byte_ids, spelled, hashlib.sha256(held).hexdigest(), _reversed_trie(kept), kind, sp.unk_id())
+
+
+def _protobuf_fields(data: bytes):
+    """(number, value) of a message's fields; varints as numbers, all else as bytes."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            value |= (data[at] & 0x7F) << shift
+            shift, at = shift + 7, at + 1
+            if data[at - 1] < 0x80:
+                return value
+
+    while at < len(data):
+        key = varint()
+        size = {0: 0, 1: 8, 5: 4}.get(key & 7)
+        if key & 7 == 0:
+            yield key >> 3, varint()
+            continue
+        size = varint() if size is None else size
+        yield key >> 3, data[at : at + size]
+        at += size
+
+
+def model_type(data: bytes) -> int:
+    """The type in a model file: field 3 of the trainer's settings, which are field 2; unigram where it isn't set."""
+    return next((t for n, settings in _protobuf_fields(data) if n == 2 for m, t in _protobuf_fields(settings) if m == 3), UNIGRAM)
 
 
 def _reversed_trie(pieces) -> dict:
@@ -112,6 +159,7 @@ class Encoder:
         self.words: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.runs: dict[int, list[int]] = {}
+        self.unknown_score = np.float32(min(vocabulary.scores.values(), default=0.0)) - np.float32(UNKNOWN_COST)
 
     def agree(self, left: str, right: str) -> bool:
         """Whether merging gives these two pieces for the two together."""
@@ -122,14 +170,17 @@ class Encoder:
 
     def of_piece(self, piece: str) -> tuple[int, ...]:
         i = self.v.ids.get(piece)
-        return (i,) if i is not None else tuple(self.v.byte_ids[b] for b in piece.encode())
+        if i is not None:
+            return (i,)
+        return tuple(self.v.byte_ids[b] for b in piece.encode()) if any(self.v.byte_ids) else (self.v.unknown_id,)
 
     def learn(self, words: list[str]) -> None:
         """Encode words that are not known yet: a depth-first walk over the trie of the sorted words."""
-        trie, pairs, agree, ids = self.v.endings, self.pairs, self.agree, self.v.ids
         if len(self.pairs) > CACHED_PAIRS:
             self.pairs.clear()
-        last: list[str] = [""]  # last[p]: the last piece of the first p characters
+        best = self._by_score if self.v.kind == UNIGRAM else self._by_agreement
+        last: list[str] = [""]  # last[p], score[p]: the last piece and the score of the first p characters' best segmentation
+        score: list = [np.float32(0.0)]
         previous = ""
         for word in sorted(words):
             n, common = len(word), 0
@@ -137,36 +188,58 @@ class Encoder:
                 if a != b:
                     break
                 common += 1
-            del last[common + 1 :]
+            del last[common + 1 :], score[common + 1 :]
             previous = word
             for p in range(common + 1, n + 1):
-                node, at, chosen = trie, p, None
-                ending = []
-                while at:
-                    at -= 1
-                    node = node.get(word[at])
-                    if node is None:
-                        break
-                    piece = node.get(_END)
-                    if piece is not None:
-                        ending.append(piece)
-                for piece in reversed(ending):
-                    begin = p - len(piece)
-                    if not begin:  # merging gives every piece for itself
-                        chosen = piece
-                        break
-                    known = pairs.get((last[begin], piece))
-                    if known or known is None and agree(last[begin], piece):
-                        chosen = piece
-                        break
-                last.append(chosen or word[p - 1])
-            out, p = [], n
-            while p:
-                piece = last[p]
-                i = ids.get(piece)
-                out.append((i,) if i is not None else self.of_piece(piece))
-                p -= len(piece)
-            self.words[word] = tuple(i for part in reversed(out) for i in part)
+                piece, value = best(word, p, last, score)
+                last.append(piece)
+                score.append(value)
+            self.words[word] = self._read_back(word, last)
+
+    def _ending(self, word: str, p: int) -> list[str]:
+        """The pieces that end at p, the longest last."""
+        node, at, found = self.v.endings, p, []
+        while at:
+            at -= 1
+            node = node.get(word[at])
+            if node is None:
+                break
+            piece = node.get(_END)
+            if piece is not None:
+                found.append(piece)
+        return found
+
+    def _by_agreement(self, word: str, p: int, last: list[str], score: list):
+        pairs = self.pairs
+        for piece in reversed(self._ending(word, p)):
+            begin = p - len(piece)
+            if not begin:  # merging gives every piece for itself
+                return piece, 0.0
+            known = pairs.get((last[begin], piece))
+            if known or known is None and self.agree(last[begin], piece):
+                return piece, score[begin]
+        return word[p - 1], score[p - 1]
+
+    def _by_score(self, word: str, p: int, last: list[str], score: list):
+        chosen = value = None
+        for piece in reversed(self._ending(word, p)):
+            found = score[p - len(piece)] + np.float32(self.v.scores[piece])
+            if value is None or found > value:
+                chosen, value = piece, found
+        if word[p - 1] not in self.v.ids:
+            unknown = score[p - 1] + self.unknown_score
+            if value is None or unknown > value:
+                chosen, value = word[p - 1], unknown
+        return chosen, value
+
+    def _read_back(self, word: str, last: list[str]) -> tuple[int, ...]:
+        out, p = [], len(word)
+        while p:
+            piece = last[p]
+            i = self.v.ids.get(piece)
+            out.append((i,) if i is not None else self.of_piece(piece))
+            p -= len(piece)
+        return tuple(i for part in reversed(out) for i in part)
 
     def run_of_marks(self, n: int) -> list[int]:
         if n not in self.runs:
@@ -185,15 +258,18 @@ class Encoder:
         flat = np.fromiter((i for x in known for i in x), np.int32, int(sizes.sum()))
         starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
         out, at = [], 0
-        mark = self.v.ids[MARK]
+        mark = self.v.ids.get(MARK)
         for text, words in zip(texts, lists, strict=True):
             mine = codes[at : at + len(words)]
             at += len(words)
             n = sizes[mine]
             first = np.cumsum(n) - n
             ids = flat[np.repeat(starts[mine] - first, n) + np.arange(int(n.sum()))] if len(mine) else np.zeros(0, np.int32)
-            if text and ("  " in text or text[0] == " " or MARK in text):
+            if self.v.kind == MERGES and text and ("  " in text or text[0] == " " or MARK in text):
                 ids = self._with_runs(ids, mark)
+            if self.v.kind == UNIGRAM and len(ids):  # a run of unknown characters is one
+                unknown = ids == self.v.unknown_id
+                ids = ids[~(unknown & np.concatenate([[False], unknown[:-1]]))]
             out.append(ids)
         return out
 
@@ -275,31 +351,34 @@ def decode_table(encoded: DataFrame, model_path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(_decode(shared), schema)
 
 
-def _digest(shared):
+def _digest(shared, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared.value)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             ids = encoder.encode_batch(texts)
-            same = [t is None or decode(x.tolist(), shared.value) == t.replace(MARK, " ") for t, x in zip(texts, ids, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array([len(x) for x in ids], pa.int64()),
-                    pa.array([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in ids], pa.string()),
-                    pa.array(same, pa.bool_()),
-                ],
-                ["doc_id", "n_pieces", "ids_sha256", "round_trip"],
-            )
+            same = [t is None or decode(x.tolist(), shared.value) == t for t, x in zip(texts, ids, strict=True)]
+            columns = {
+                "doc_id": batch.column("doc_id"),
+                "n_pieces": pa.array([len(x) for x in ids], pa.int64()),
+                "ids_sha256": pa.array([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in ids], pa.string()),
+                "round_trip": pa.array(same, pa.bool_()),
+            }
+            if with_ids:
+                columns["ids"] = pa.array([None if t is None else x for t, x in zip(texts, ids, strict=True)], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return run
 
 
-def encode_digest(docs: DataFrame, model_path: str) -> DataFrame:
+def encode_digest(docs: DataFrame, model_path: str, with_ids: bool = False) -> DataFrame:
     """docs: doc_id, text. Returns doc_id, n_pieces, ids_sha256 (of the ids as little-endian 32-bit numbers), round_trip
-    (whether decoding gives the text back). Encoded and decoded whole, in one pass."""
+    (whether decoding gives just this text back), and ids (null for null text) if asked for. Encoded and decoded whole, in one
+    pass."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(Vocabulary.read(model_path))
     schema = T.StructType([docs.schema["doc_id"]]).add("n_pieces", "long").add("ids_sha256", "string").add("round_trip", "boolean")
-    return docs.select("doc_id", "text").mapInArrow(_digest(shared), schema)
+    if with_ids:
+        schema = schema.add("ids", T.ArrayType(T.IntegerType()))
+    return docs.select("doc_id", "text").mapInArrow(_digest(shared, with_ids), schema)

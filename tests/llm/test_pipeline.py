@@ -44,7 +44,7 @@ def test_stages(spark, tmp_path):
             for i in alive:
                 want = re.sub("9f86d081884c7d659a2feaa0c55ad015a3bf4f1b", "[SECRET]", texts[i])
                 assert after[i] == (want, len(want))
-    assert all(r.round_trip for r in docs.collect())
+    assert all(r.round_trip and r.n_pieces == len(r.ids) for r in docs.collect())
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == alive
 
 

@@ -1,5 +1,6 @@
 import itertools
 import random
+import struct
 import zlib
 
 import numpy as np
@@ -130,6 +131,54 @@ def test_pieces_equal_the_library(vocabulary):
         assert pieces.decode(ids.tolist(), vocabulary) == text.replace("▁", " ")
 
 
+def _model_file(path, pieces, kind, byte_fallback):
+    """A model file of (piece, score, type), written by hand: nothing is trained."""
+    varint = lambda n: bytes([n]) if n < 0x80 else bytes([n & 0x7F | 0x80]) + varint(n >> 7)
+    field = lambda n, data: varint(n << 3 | 2) + varint(len(data)) + data
+    number = lambda n, value: varint(n << 3) + varint(value)
+    one = lambda p, s, t: field(1, field(1, p.encode()) + varint(2 << 3 | 5) + struct.pack("<f", s) + number(3, t))
+    settings = field(2, number(3, kind) + number(35, byte_fallback))
+    normalizer = field(3, field(1, b"identity") + number(3, 1) + number(4, 0) + number(5, 1))
+    path.write_bytes(b"".join(one(*p) for p in pieces) + settings + normalizer)
+    return str(path)
+
+
+@pytest.mark.parametrize("byte_fallback", [0, 1])
+def test_unigram_scores_against_the_library(tmp_path, byte_fallback):
+    rng = random.Random(8)
+    pieces_ = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [(f"<0x{b:02X}>", 0.0, 6) for b in range(256) if byte_fallback]
+    names = {"".join(rng.choice("abcd") for _ in range(rng.randrange(1, 6))) for _ in range(120)} | set("abc")
+    names |= {pieces.MARK + n for n in list(names)[:60]} | {pieces.MARK}
+    pieces_ += [(n, -rng.random() * 12, 1) for n in sorted(names)]
+    path = _model_file(tmp_path / "u.model", pieces_, 1, byte_fallback)
+    library, vocabulary = sentencepiece.SentencePieceProcessor(model_file=path), pieces.Vocabulary.read(path)
+    assert vocabulary.kind == pieces.UNIGRAM
+    texts = ["".join(rng.choice("aabbccdd  ez世\n") for _ in range(rng.randrange(0, 40))) for _ in range(1500)] + ["", " ", "a  b", "zz z", "abcd" * 500]
+    same = 0
+    for text, ids in zip(texts, pieces.Encoder(vocabulary).encode_batch(texts), strict=True):
+        own = library.encode(text)
+        same += ids.tolist() == own
+        # Pieces in another order have an equal sum, and rounding settles which the library takes.
+        assert sorted(ids.tolist()) == sorted(own), text
+        if byte_fallback:
+            assert pieces.decode(ids.tolist(), vocabulary) == text
+    assert same > 0.9 * len(texts)
+
+
+def test_models_that_are_refused(tmp_path):
+    plain = [("<unk>", 0.0, 2), ("a", -1.0, 1), (pieces.MARK, -1.0, 1)]
+    with pytest.raises(ValueError, match="type 4"):
+        pieces.Vocabulary.read(_model_file(tmp_path / "c.model", plain, 4, 0))
+    with pytest.raises(ValueError, match="beyond"):
+        pieces.Vocabulary.read(_model_file(tmp_path / "w.model", [*plain, ("a" + pieces.MARK, -1.0, 1)], 1, 0))
+
+
+def test_round_trip_is_told_truly(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, "a▁b"), (3, None)], "doc_id long, text string")
+    got = pieces.encode_digest(df, MODEL_PATH, with_ids=True).collect()
+    assert [r.round_trip for r in got] == [True, False, True] and got[2].ids is None and len(got[0].ids) == got[0].n_pieces
+
+
 def test_nul_survives(vocabulary):
     text = "a\x00b \x00"
     assert pieces.decode(pieces.Encoder(vocabulary).encode_batch([text])[0].tolist(), vocabulary) == text
