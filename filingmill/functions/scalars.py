@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 PLAIN_RUPEE_ITEMS = ("eps in rs", "eps", "dividend per share", "book value")
 RATIO_ITEMS = ("cfo/op",)
 DOC_TYPES = ("ANNUAL_REPORT", "QUARTERLY_REPORT", "INVESTOR_PRESENTATION")
+REQUEST_DOC_TYPES = ("ANNUAL_REPORT", "ANNUAL", "QUARTERLY", "TRANSCRIPT", "PRESENTATION")
 METRIC_PHRASES = {
     "net profit margin": "net_profit_margin",
     "npm": "net_profit_margin",
@@ -85,8 +86,9 @@ def year_in_range(text: Column) -> Column:
 
 
 def doc_type(text: Column) -> Column:
+    """The document type a request names, trimmed and upper-cased; null for any other. (Registry rows have DOC_TYPES.)"""
     t = F.upper(F.trim(text))
-    return F.when(t.isin(*DOC_TYPES), t)
+    return F.when(t.isin(*REQUEST_DOC_TYPES), t)
 
 
 def safe_ratio(numerator: Column, denominator: Column) -> Column:
@@ -129,10 +131,16 @@ def cut_list(values: Column) -> Column:
     return F.slice(values, 1, MOST_LIST)
 
 
+def without_controls(text: Column) -> Column:
+    """Control characters dropped, but for tabs and line ends."""
+    return F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
+
+
 def fenced_context(text: Column) -> Column:
     """Untrusted text without control characters, cut, between two marker lines."""
-    plain = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
-    return F.concat(F.lit("<untrusted_context>\n"), F.substring(plain, 1, MOST_CONTEXT), F.lit("\n</untrusted_context>"))
+    plain = F.trim(without_controls(F.coalesce(text, F.lit(""))))
+    cut = F.when(F.length(plain) > MOST_CONTEXT, F.concat(F.substring(plain, 1, MOST_CONTEXT), F.lit("\n[TRUNCATED_CONTEXT]"))).otherwise(plain)
+    return F.concat(F.lit("<untrusted_context>\n"), cut, F.lit("\n</untrusted_context>"))
 
 
 def flat_blocks(blocks: Column) -> Column:
@@ -140,6 +148,16 @@ def flat_blocks(blocks: Column) -> Column:
     return F.array_join(F.transform(F.filter(blocks, lambda b: b["type"] == "text"), lambda b: F.coalesce(b["text"], F.lit(""))), "\n")
 
 
+def as_json(value: Column) -> Column:
+    """JSON text of a struct, map or array; null stays null."""
+    return F.when(value.isNotNull(), F.to_json(value))
+
+
+def from_json_text(text: Column, schema: str) -> Column:
+    """The value a JSON text holds; null for null, blank or broken text."""
+    return F.from_json(F.nullif(F.trim(text), F.lit("")), schema)
+
+
 def parsed_day(text: Column) -> Column:
     """A date written YYYY-MM-DD, DD-MM-YYYY or DD/MM/YYYY; null otherwise."""
     return F.coalesce(*(F.try_to_date(text, f) for f in ("yyyy-MM-dd", "dd-MM-yyyy", "dd/MM/yyyy")))

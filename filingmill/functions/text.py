@@ -1,17 +1,16 @@
 """Column functions over page text: cleaning, tables, sections, chunks and safety. One stage, no shuffle; Python only for
-Unicode normal form and exotic forms of IP addresses."""
+Unicode normal form."""
 
 from __future__ import annotations
 
-import ipaddress
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StringType
+from pyspark.sql.types import StringType
 
 from . import patterns as P
 
@@ -148,29 +147,45 @@ def _one_of(chars: str) -> str:
     return "[" + "".join(f"\\u{ord(c):04x}" for c in chars) + "]"
 
 
+def _matches(text: Column, lower: Column, patterns, gates, flags: str) -> Column:
+    """Whether one of the patterns matches; each is tried only on texts that contain one of its literals."""
+    held = lambda literals: reduce(Column.__or__, (F.contains(lower, F.lit(x)) for x in literals))
+    return reduce(Column.__or__, (F.when(held(g), text.rlike(f"({flags}){p}")).otherwise(False) for p, g in zip(patterns, gates, strict=True)))
+
+
+def _let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), with value worked out once."""
+    return F.element_at(F.transform(F.array(value), of), 1)
+
+
 def unsafe_reasons(text: Column) -> Column:
     """All reasons against a page's text, in the order in which they are checked; empty for blank text."""
-    plain = F.regexp_replace(text, _one_of(P.ZERO_WIDTH), "")
-    combined = lambda listed: plain.rlike("(?i)" + "|".join(f"(?:{p})" for p in listed))
-    checks = {
-        "too_long": F.length(text) > MOST_PAGE_CHARS,
-        "bidi_override": text.rlike(_one_of(P.BIDI)),
-        "direction_mark": text.rlike(_one_of(P.DIRECTION_MARKS)),
-        "separator": text.rlike(_one_of(P.SEPARATORS)),
-        "tag_block": text.rlike(r"[\x{E0000}-\x{E007F}]"),
-        "annotation": text.rlike(_one_of(P.ANNOTATIONS)),
-        "object_marks": F.regexp_count(text, F.lit(_one_of(P.OBJECT_MARK))) > 10,
-        "zero_width_run": text.rlike(_one_of(P.ZERO_WIDTH) + "{4,}"),
-        "control_characters": text.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]"),
-        "sql": combined(P.SQL_PATTERNS),
-        "code": combined(P.CODE_PATTERNS),
-        "path_traversal": text.rlike(P.PATH_TRAVERSAL),
-        "data_uri": text.rlike(P.DATA_URI),
-        "nesting": text.rlike(r"[\[({<]{8,}"),
-        "long_token": text.rlike(r"\S{10001,}"),
-        "repeated_run": text.rlike(r"(?s)(.)\1{200,}"),
-    }
-    listed = F.array_compact(F.array(*(F.when(c, name) for name, c in checks.items())))
+    only_ascii = F.length(text) == F.octet_length(text)
+    wide = lambda c: F.when(only_ascii, False).otherwise(c)
+    plain = F.when(only_ascii, text).otherwise(F.regexp_replace(text, _one_of(P.ZERO_WIDTH), ""))
+
+    def found(x: Column) -> Column:
+        checks = {
+            "too_long": F.length(text) > MOST_PAGE_CHARS,
+            "bidi_override": wide(text.rlike(_one_of(P.BIDI))),
+            "direction_mark": wide(text.rlike(_one_of(P.DIRECTION_MARKS))),
+            "separator": wide(text.rlike(_one_of(P.SEPARATORS))),
+            "tag_block": wide(text.rlike(r"[\x{E0000}-\x{E007F}]")),
+            "annotation": wide(text.rlike(_one_of(P.ANNOTATIONS))),
+            "object_marks": wide(F.contains(text, F.lit(P.OBJECT_MARK)) & (F.regexp_count(text, F.lit(_one_of(P.OBJECT_MARK))) > 10)),
+            "zero_width_run": wide(text.rlike(_one_of(P.ZERO_WIDTH) + "{4,}")),
+            "control_characters": text.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]"),
+            "sql": _matches(x.plain, x.lower, P.SQL_PATTERNS, P.SQL_GATES, "?i"),
+            "code": _matches(x.plain, x.lower, P.CODE_PATTERNS, P.CODE_GATES, "?i"),
+            "path_traversal": F.when(reduce(Column.__or__, (F.contains(x.lower, F.lit(g)) for g in ("..", "%2", "\x00"))), text.rlike(P.PATH_TRAVERSAL)).otherwise(False),
+            "data_uri": F.when(F.contains(x.lower, F.lit("data:")), text.rlike(P.DATA_URI)).otherwise(False),
+            "nesting": text.rlike(r"[\[({<]{8,}"),
+            "long_token": F.when(F.length(text) > 10000, text.rlike(r"\S{10001}")).otherwise(False),
+            "repeated_run": F.when(F.length(text) > 200, text.rlike(r"(?s)(.)\1{200}")).otherwise(False),
+        }
+        return F.array_compact(F.array(*(F.when(c, name) for name, c in checks.items())))
+
+    listed = _let(F.struct(plain.alias("plain"), F.lower(plain).alias("lower")), found)
     return F.when(F.coalesce(stripped(text), F.lit("")) == "", F.array().cast("array<string>")).otherwise(listed)
 
 
@@ -181,20 +196,31 @@ def nfc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield batch.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
-@F.pandas_udf(BooleanType())
-def is_private_address(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Whether a host is a private, loopback or link-local address in decimal, hexadecimal or ordinary form."""
-
-    def one(host: str | None) -> bool:
-        try:
-            number = int(host, 0) if host and host[:1].isdigit() and "." not in host and ":" not in host else None
-            at = ipaddress.ip_address(number if number is not None else (host or "").strip("[]"))
-        except ValueError:
-            return False
-        return at.is_private or at.is_loopback or at.is_link_local
-
-    for batch in batches:
-        yield batch.map(one)
+def is_private_address(host: Column) -> Column:
+    """Whether a host is a private, loopback or link-local address: four parts, each decimal, octal or hexadecimal, or one
+    number for them all; or IPv6 by its beginning, also where it wraps an IPv4 address. Arithmetic on the JVM."""
+    bare = F.lower(F.regexp_replace(F.coalesce(host, F.lit("")), r"^\[|\]$", ""))
+    wrapped = F.regexp_extract(bare, r"^::(?:ffff:)?([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)$", 1)
+    bare = F.when(wrapped != "", wrapped).otherwise(bare)
+
+    def number(part: Column) -> Column:
+        return (
+            F.when(part.rlike("^0x[0-9a-f]{1,8}$"), F.conv(F.substring(part, 3, 8), 16, 10).cast("long"))
+            .when(part.rlike("^0[0-7]{1,11}$"), F.conv(part, 8, 10).cast("long"))
+            .when(part.rlike("^[0-9]{1,10}$"), part.try_cast("long"))
+        )
+
+    parts = F.transform(F.split(bare, r"\."), number)
+    last = F.element_at(parts, -1)
+    least = F.size(parts) - 1
+    # The last part fills what the ones before leave of the 32 bits.
+    head = F.aggregate(F.slice(parts, F.lit(1), least), F.lit(0).cast("long"), lambda s, x: s * 256 + x)
+    room = F.pow(F.lit(256.0), 4 - least).cast("long")
+    fits = (F.size(parts) <= 4) & ~F.exists(parts, lambda x: x.isNull()) & (last < room) & ~F.exists(F.slice(parts, F.lit(1), least), lambda x: x > 255)
+    value = F.when(fits, head * room + last)
+    within = lambda a, bits: F.shiftright(value, 32 - bits) == F.lit(a >> (32 - bits))
+    blocks = reduce(Column.__or__, (within(int.from_bytes(bytes(map(int, a.split("."))), "big"), bits) for a, bits in P.PRIVATE_BLOCKS))
+    return F.coalesce(blocks, F.lit(False)) | bare.rlike(r"^(?:::1?|fe[89ab][0-9a-f]:.*|f[cd][0-9a-f]{2}:.*)$")
 
 
 def link_targets(text: Column) -> Column:
@@ -205,12 +231,12 @@ def link_problem(target: Column) -> Column:
     """bad_scheme, private_host or null. Hosts are read by pattern, as a target need not be a whole URL."""
     scheme = F.lower(F.regexp_extract(target, r"^\s*([A-Za-z][A-Za-z0-9+.\-]*):", 1))
     host = F.lower(F.regexp_extract(target, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/@?#]*@)?(\[[^\]]*\]|[^/:?#]*)", 1))
-    private = host.isin(*P.PRIVATE_HOSTS) | F.regexp_replace(host, r"[\[\]]", "").rlike(P.PRIVATE_ADDRESS)
+    private = host.isin(*P.PRIVATE_HOSTS) | F.regexp_replace(host, r"[\[\]]", "").rlike(P.PRIVATE_ADDRESS) | is_private_address(host)
     return F.when(scheme.isin(*P.BAD_SCHEMES), "bad_scheme").when(private, "private_host")
 
 
 def injection_flag(text: Column) -> Column:
-    return F.coalesce(text.rlike("(?im)" + "|".join(f"(?:{p})" for p in P.INJECTION_PHRASES)), F.lit(False))
+    return F.coalesce(_let(F.lower(text), lambda low: _matches(text, low, P.INJECTION_PHRASES, P.INJECTION_GATES, "?im")), F.lit(False))
 
 
 def injection_score(text: Column) -> Column:
@@ -219,7 +245,3 @@ def injection_score(text: Column) -> Column:
     marks = reduce(Column.__add__, (lower.contains(m).cast("int") for m in P.INJECTION_MARKERS))
     fence = (lower.contains("```") | lower.contains("<!--")).cast("int")
     return F.when(injection_flag(text), 5).otherwise(0) + marks + fence
-
-
-def without_controls(text: Column) -> Column:
-    return F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")

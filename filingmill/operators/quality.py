@@ -23,31 +23,116 @@ def split(df: DataFrame, reason: str = "reasons") -> tuple[DataFrame, DataFrame]
     return df.filter(F.size(reason) == 0).drop(reason), df.filter(F.size(reason) > 0)
 
 
-def duplicated(key: list[str]) -> Column:
-    return F.count("*").over(W.partitionBy(*key)) > 1
+def with_counts(df: DataFrame, key: list[str], name: str) -> DataFrame:
+    """Adds how many rows have the same key (null equals null). Counts are summed up before they are joined back, so that rows
+    of a key which many share are not gathered."""
+    times = df.groupBy(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(key))).agg(F.count("*").alias(name))
+    met = F.lit(True)
+    for i, c in enumerate(key):
+        met = met & df[c].eqNullSafe(F.col(f"_k{i}"))
+    return df.join(times, met).drop(*(f"_k{i}" for i in range(len(key))))
+
+
+def is_scalar_map(metadata: Column) -> Column:
+    """Whether a JSON text is a mapping of names to strings, numbers, booleans or null; a null text counts as an empty one."""
+    shape = F.schema_of_variant(F.try_parse_json(metadata))
+    names = F.coalesce(F.json_object_keys(metadata), F.array().cast("array<string>"))
+    flat = shape.startswith("OBJECT<") & ~shape.rlike(": (?:ARRAY|OBJECT)<") & ~F.array_contains(names, "")
+    return metadata.isNull() | F.coalesce(flat, F.lit(False))
 
 
 def check_records(records: DataFrame) -> DataFrame:
-    """records: collection, id, text. Duplicate ids within a collection, blank ids, texts of 1 to MOST_TEXT characters."""
+    """records: collection, id, text, metadata (JSON text). Duplicate ids within a collection, blank ids, texts of 1 to
+    MOST_TEXT characters, metadata that is not all scalars, and more than MOST_RECORDS records at once."""
     n = F.length("text")
-    return records.withColumn(
+    counted = with_counts(with_counts(records, ["collection", "id"], "_same"), ["collection"], "_all")
+    return counted.withColumn(
+        "reasons",
+        reasons({
+            "id_blank": F.trim("id") == "",
+            "text_length": ~n.between(1, MOST_TEXT) | (F.trim("text") == ""),
+            "metadata": ~is_scalar_map(F.col("metadata")),
+            "id_duplicate": F.col("_same") > 1,
+            "too_many_records": F.col("_all") > MOST_RECORDS,
+        }),
+    ).drop("_same", "_all")
+
+
+def check_payload(records: DataFrame) -> DataFrame:
+    """records: file, kind (parent, child or flat), id, text, as from read_bundles. Each side of a bundle for itself."""
+    counted = with_counts(records, ["file", "kind", "id"], "_same")
+    return counted.withColumn(
+        "reasons",
+        reasons({"id_missing": F.col("id") == "", "text_missing": F.trim("text") == "", "id_duplicate": F.col("_same") > 1}),
+    ).drop("_same")
+
+
+def _kind_of(value: Column) -> Column:
+    return F.schema_of_variant(value)
+
+
+def check_cleaned_files(files: DataFrame) -> DataFrame:
+    """files: file, content (JSON). Reasons against files of cleaned pages: a list, not empty, of mappings with all fields, a
+    whole page number and text."""
+    fields = ("page_num", "original_text", "cleaned_text", "word_count", "is_short", "has_table")
+    v = F.try_parse_json("content")
+    pages = F.try_variant_get(v, "$", "array<variant>")
+    part = lambda x, name: F.try_variant_get(x, f"$.{name}", "variant")
+    lacks = lambda x: F.exists(F.array(*map(F.lit, fields)), lambda f: ~F.array_contains(F.json_object_keys(F.to_json(x)), f))
+    is_map = lambda x: _kind_of(x).startswith("OBJECT")
+    any_of = lambda bad: F.coalesce(F.exists(pages, bad), F.lit(False))
+    return files.withColumn(
         "reasons",
-        reasons({"id_blank": F.trim("id") == "", "text_length": ~n.between(1, MOST_TEXT), "id_duplicate": duplicated(["collection", "id"])}),
-    )
+        reasons({
+            "not_json": v.isNull(),
+            "not_a_list": F.coalesce(~_kind_of(v).startswith("ARRAY"), F.lit(False)),
+            "empty": F.coalesce(F.size(pages) == 0, F.lit(False)),
+            "record_not_a_mapping": any_of(lambda x: ~is_map(x)),
+            "field_missing": any_of(lambda x: F.when(is_map(x), lacks(x)).otherwise(False)),
+            "page_num": any_of(lambda x: F.coalesce(_kind_of(part(x, "page_num")) != "BIGINT", F.lit(False))),
+            "cleaned_text": any_of(lambda x: F.coalesce(_kind_of(part(x, "cleaned_text")) != "STRING", F.lit(False))),
+        }),
+    )
+
+
+def check_embedding_files(files: DataFrame) -> DataFrame:
+    """files: file, content (JSON). Reasons against files of embedding records: a mapping with two lists, of mappings with
+    an id, a text and metadata."""
+    v = F.try_parse_json("content")
+    whole = F.coalesce(_kind_of(v).startswith("OBJECT"), F.lit(False))
+    checks = {"not_json": v.isNull(), "not_a_mapping": v.isNotNull() & ~whole}
+    part = lambda x, name: F.try_variant_get(x, f"$.{name}", "variant")
+    blank = lambda x, name: F.coalesce((_kind_of(part(x, name)) != "STRING") | (F.trim(F.try_variant_get(x, f"$.{name}", "string")) == ""), F.lit(True))
+    for side in ("parents", "children"):
+        held = F.try_variant_get(v, f"$.{side}", "variant")
+        is_list = F.coalesce(_kind_of(held).startswith("ARRAY"), F.lit(False))
+        rows = F.when(is_list, F.try_variant_get(v, f"$.{side}", "array<variant>"))
+        any_of = lambda bad, rows=rows: F.coalesce(F.exists(rows, bad), F.lit(False))
+        checks |= {
+            f"{side}_missing": whole & held.isNull(),
+            f"{side}_not_a_list": whole & held.isNotNull() & ~is_list,
+            f"{side}_id": any_of(lambda x: blank(x, "id")),
+            f"{side}_text": any_of(lambda x: blank(x, "text")),
+            f"{side}_metadata": any_of(lambda x: ~F.coalesce(_kind_of(part(x, "metadata")).startswith("OBJECT"), F.lit(False))),
+        }
+    return files.withColumn("reasons", reasons(checks))
 
 
 def check_pages(pages: DataFrame) -> DataFrame:
-    """pages: document, page_num, text. Duplicate, missing or unordered page numbers (pos is the order in the file)."""
+    """pages: document, page_num, text. Duplicate, missing or unordered page numbers (pos is the order in the file), and a
+    warning, which is no reason, where a text tries to give instructions."""
+    from ..functions.text import injection_flag
+
     before = F.lag("page_num").over(W.partitionBy("document").orderBy("pos"))
-    return pages.withColumn(
+    return with_counts(pages, ["document", "page_num"], "_same").withColumn(
         "reasons",
         reasons({
             "page_number": F.col("page_num") < 1,
-            "page_duplicate": duplicated(["document", "page_num"]),
+            "page_duplicate": F.col("_same") > 1,
             "page_order": F.coalesce(before >= F.col("page_num"), F.lit(False)),
             "text_missing": F.col("text").isNull(),
         }),
-    )
+    ).withColumn("injection_warning", injection_flag(F.col("text"))).drop("_same")
 
 
 def document_totals(pages: DataFrame) -> DataFrame:
@@ -83,6 +168,13 @@ def check_registry(rows: DataFrame) -> DataFrame:
     )
 
 
+def append_registry(rows: DataFrame, path: str) -> DataFrame:
+    """Appends the rows that pass to the registry at path; returns the others, with their reasons."""
+    good, bad = split(check_registry(rows))
+    good.write.mode("append").parquet(path)
+    return bad
+
+
 def check_requests(requests: DataFrame, most: int = 10) -> DataFrame:
     """requests: collection, texts, top_k, ids."""
     texts = F.col("texts")

@@ -86,8 +86,60 @@ def preference_or(requests: DataFrame, preferences: DataFrame, key: str, default
     return requests.join(own, "user_id", "left").withColumn("value", F.coalesce("preference_value", F.lit(default))).drop("preference_value")
 
 
-def known_preferences(changes: DataFrame) -> DataFrame:
-    return changes.filter(F.col("preference_key").isin(*PREFERENCE_KEYS))
+def known_preferences(changes: DataFrame, known=PREFERENCE_KEYS) -> DataFrame:
+    return changes.filter(F.col("preference_key").isin(*known))
+
+
+def without_preferences(preferences: DataFrame, deletions: DataFrame) -> DataFrame:
+    """deletions: user_id, preference_key."""
+    return preferences.join(deletions.select("user_id", "preference_key"), ["user_id", "preference_key"], "left_anti")
+
+
+def saved_preferences(preferences: DataFrame, changes: DataFrame, known=PREFERENCE_KEYS) -> DataFrame:
+    """Both: user_id, preference_key, preference_value (JSON), updated_at. The latest value of each key; changes of keys that
+    are not known are left out."""
+    return latest(preferences.unionByName(known_preferences(changes, known)), ["user_id", "preference_key"], "updated_at")
+
+
+def resolve_alias(requests: DataFrame, aliases: DataFrame) -> DataFrame:
+    """requests: phrase and any other columns. Adds screener_symbol of the alias that is the phrase, whatever its case and outer
+    spaces; null if none is, or the phrase is blank."""
+    known = aliases.select(F.lower(F.trim("alias_text")).alias("_alias"), "screener_symbol")
+    return requests.join(known, F.nullif(F.lower(F.trim("phrase")), F.lit("")) == F.col("_alias"), "left").drop("_alias")
+
+
+def list_aliases(aliases: DataFrame, screener_symbol: str | None = None) -> DataFrame:
+    """All aliases, or one company's, the oldest first."""
+    out = aliases if screener_symbol is None else aliases.filter(F.col("screener_symbol") == screener_symbol)
+    return out.orderBy("created_at", "alias_text")
+
+
+def without_aliases(aliases: DataFrame, deletions: DataFrame) -> DataFrame:
+    """deletions: alias_text, compared in lower case without outer spaces."""
+    gone = deletions.select(F.lower(F.trim("alias_text")).alias("alias_text"))
+    return aliases.join(gone, "alias_text", "left_anti")
+
+
+def list_files(files: DataFrame, status: str | None = None) -> DataFrame:
+    """All files, or those of one status, the last changed first."""
+    out = files if status is None else files.filter(F.col("status") == status)
+    return out.orderBy(F.desc("updated_at"), "pdf_id")
+
+
+def retrieval_events(hits: DataFrame) -> DataFrame:
+    """hits: query_id, rank, parent_id, id (the child), distance, parent_text, child_text. A log row for each hit: query_id,
+    event_type, message, metadata_json with both ids, rank, distance and the first 240 characters of both texts."""
+    preview = lambda c: F.substring(F.coalesce(c, F.lit("")), 1, 240)
+    about = F.struct(
+        "parent_id", F.col("id").alias("child_id"), "rank", F.round("distance", 6).alias("distance"),
+        preview(F.col("parent_text")).alias("parent_preview"), preview(F.col("child_text")).alias("child_preview"),
+    )
+    return hits.select("query_id", F.lit("retrieval").alias("event_type"), F.concat(F.lit("hit "), "rank").alias("message"), F.to_json(about).alias("metadata_json"))
+
+
+def log_events(events: DataFrame, path: str) -> None:
+    """Appends rows to the event log at path. The log is only ever added to."""
+    events.write.mode("append").parquet(path)
 
 
 def new_aliases(candidates: DataFrame, aliases: DataFrame, companies: DataFrame) -> DataFrame:

@@ -25,11 +25,21 @@ def read_statement(stmts: DataFrame, statement: str | None, company_id: int, lin
     return out.orderBy("line_item", F.col("fiscal_year_end").asc_nulls_first())
 
 
+def read_statements(requests: DataFrame, stmts: DataFrame) -> DataFrame:
+    """requests: request_id, company_id, statement (null: all), line_items, periods (null or empty: all). The rows of all
+    requests in one join; empty lists filter nothing."""
+    asked = requests.select("request_id", "company_id", F.col("statement").alias("_s"), F.col("line_items").alias("_i"), F.col("periods").alias("_p"))
+    every = lambda listed: F.coalesce(F.size(listed), F.lit(0)) <= 0
+    met = asked.join(stmts, "company_id").filter(F.col("_s").isNull() | (F.col("_s") == F.col("statement")))
+    met = met.filter(every("_i") | F.expr("array_contains(_i, line_item)")).filter(every("_p") | F.expr("array_contains(_p, period_label)"))
+    return met.drop("_s", "_i", "_p")
+
+
 def pivot_statement(rows: DataFrame, periods: Sequence[str]) -> DataFrame:
     """line_item × period, a column per asked period, and the unit of the earliest row."""
-    wide = rows.groupBy("statement", "company_id", "line_item").pivot("period_label", list(periods)).agg(F.first("value"))
-    units = rows.groupBy("statement", "company_id", "line_item").agg(F.min_by("unit", F.coalesce("fiscal_year_end", F.lit("0001-01-01").cast("date"))).alias("unit"))
-    return wide.join(units, ["statement", "company_id", "line_item"])
+    one = {p: F.first(F.when(F.col("period_label") == p, F.col("value")), ignorenulls=True).alias(p) for p in periods}
+    unit = F.min_by("unit", F.coalesce("fiscal_year_end", F.lit("0001-01-01").cast("date"))).alias("unit")
+    return rows.groupBy("statement", "company_id", "line_item").agg(*one.values(), unit)  # one shuffle for all of it
 
 
 def company_keys(companies: DataFrame) -> DataFrame:
@@ -78,6 +88,80 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def list_companies(companies: DataFrame) -> DataFrame:
+    return companies.orderBy("screener_symbol")
+
+
+def table_columns(tables: dict[str, DataFrame]) -> DataFrame:
+    """table_name, position, column_name, data_type, description (a column's comment), n_rows and n_nulls, for each column of each
+    table; one pass over a table counts all its columns."""
+    found = []
+    for name, df in tables.items():
+        counts = df.agg(F.count("*").alias("n_rows"), *(F.count_if(F.col(f"`{c}`").isNull()).alias(f"_{i}") for i, c in enumerate(df.columns)))
+        row = lambda i, f: F.struct(
+            F.lit(i).alias("position"), F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("data_type"),
+            F.lit(f.metadata.get("comment")).cast("string").alias("description"), F.col(f"_{i}").alias("n_nulls"),
+        )
+        found.append(counts.select(F.lit(name).alias("table_name"), "n_rows", F.inline(F.array(*(row(i, f) for i, f in enumerate(df.schema))))))
+    out = found[0]
+    for df in found[1:]:
+        out = out.unionByName(df)
+    return out
+
+
+def read_only_sql(tables: dict[str, DataFrame], query: str, args: list | None = None) -> DataFrame:
+    """A query that begins with SELECT over the tables by their names; anything else is an error. args fill its ? marks."""
+    if not query.lstrip().lower().startswith("select"):
+        raise ValueError("only queries that begin with SELECT may be run")
+    for name, df in tables.items():
+        df.createOrReplaceTempView(name)
+    return next(iter(tables.values())).sparkSession.sql(query, args=args or None)
+
+
+def series_request_text(requests: DataFrame, stmts: DataFrame) -> DataFrame:
+    """requests: request_id, symbol, company_id (null: unknown), line_item, periods. Returns request_id, text: the values of
+    every asked period on one line, or what is wrong."""
+    asked = requests.select("request_id", "symbol", "company_id", "line_item", F.posexplode_outer("periods").alias("p", "period_label"))
+    home = statement_of_item(stmts)
+    found = asked.join(home, ["company_id", "line_item"], "left").join(
+        stmts.select("company_id", "line_item", "statement", "period_label", "value", "unit"), ["company_id", "line_item", "statement", "period_label"], "left"
+    )
+    part = F.concat("period_label", F.lit(": "), F.when(F.col("value").isNotNull(), F.format_string("%.2f", "value")).otherwise("not disclosed"))
+    one = found.groupBy("request_id", "symbol", "company_id", "line_item", "statement").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", part.alias("t")))), lambda x: x["t"]), "; ").alias("t"), F.max("unit").alias("unit")
+    )
+    head = F.concat("line_item", F.lit(" for "), "symbol", F.coalesce(F.concat(F.lit(" ("), "unit", F.lit(")")), F.lit("")), F.lit(": "))
+    text = F.when(F.col("company_id").isNull(), F.concat(F.lit("ERROR: Company '"), "symbol", F.lit("' not found in financials database.")))
+    text = text.when(F.col("statement").isNull(), F.concat(F.lit("ERROR: Line item '"), "line_item", F.lit("' not found for '"), "symbol", F.lit("' in any statement table. Call list_available_line_items to see valid names.")))
+    return one.select("request_id", text.otherwise(F.concat(head, "t")).alias("text"))
+
+
+def available_items_text(requests: DataFrame, stmts: DataFrame) -> DataFrame:
+    """requests: request_id, symbol, company_id (null: unknown). Returns request_id, text: the line items by statement."""
+    order = F.array(*map(F.lit, LOOKUP_ORDER))
+    items = stmts.groupBy("company_id", "statement").agg(F.array_sort(F.collect_set("line_item")).alias("items"))
+    line = F.concat("statement", F.lit(": "), F.array_join("items", ", "))
+    lines = items.groupBy("company_id").agg(F.array_sort(F.collect_list(F.struct(F.array_position(order, F.col("statement")).alias("r"), line.alias("t")))).alias("lines"))
+    text = F.when(F.col("company_id").isNull(), F.concat(F.lit("ERROR: Company '"), "symbol", F.lit("' not found in financials database.")))
+    text = text.when(F.col("lines").isNull(), F.concat(F.lit("No line items found for '"), "symbol", F.lit("'.")))
+    return requests.join(lines, "company_id", "left").select("request_id", text.otherwise(F.array_join(F.transform("lines", lambda x: x["t"]), "\n")).alias("text"))
+
+
+#: New rows are numbered by blocks of equal first characters, so that no task sees them all.
+NUMBERED_BY = 6
+
+
+def numbered(rows: DataFrame, by: str, after: Column, name: str) -> DataFrame:
+    """Adds name: after + 1, after + 2, ... in the order of by (a string, its values distinct). Blocks of equal first characters
+    are counted first; only their counts are summed up in one place."""
+    rows = rows.withColumn("_block", F.substring(by, 1, NUMBERED_BY))
+    blocks = rows.groupBy("_block").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(W.partitionBy("_block").orderBy(by))
+    out = rows.join(blocks.select("_block", before.alias("_before")), "_block")
+    return out.withColumn(name, (after + F.col("_before") + own).cast("long")).drop("_block", "_before")
+
+
 def upsert(table: DataFrame, changes: DataFrame, key: Sequence[str], order: str) -> DataFrame:
     """table and changes have the same columns. Of equal keys the row with the largest `order` stays, of ties that from
     changes; old rows without a change stay."""
@@ -96,9 +180,7 @@ def upsert_companies(table: DataFrame, changes: DataFrame) -> DataFrame:
     )
     last = table.agg(F.coalesce(F.max("company_id"), F.lit(0)).alias("m")).select("m").scalar()
     known, fresh = met.filter("company_id IS NOT NULL"), met.filter("company_id IS NULL")
-    # Only symbols not seen before are numbered; a batch of new companies is small beside the statements.
-    number = F.row_number().over(W.orderBy("screener_symbol"))
-    return known.unionByName(fresh.withColumn("company_id", (last + number).cast("long"))).select(*table.columns)
+    return known.unionByName(numbered(fresh.drop("company_id"), "screener_symbol", last, "company_id")).select(*table.columns)
 
 
 def ingest_summary(written: DataFrame) -> DataFrame:

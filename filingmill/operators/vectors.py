@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -11,13 +11,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
-from pyspark.sql.types import ArrayType, FloatType
+from pyspark.sql.types import ArrayType, FloatType, MapType, StructType, VariantType
 
 MOST_RESULTS = 10
 MOST_DISTANCE = 0.75
 DIMENSIONS = 384
-#: So many query vectors are broadcast at once; more of them go over the vectors in blocks.
-BROADCAST_QUERIES = 10_000
+#: So many query vectors are broadcast; more of them meet the vectors in blocks, of so many each.
+BROADCAST_QUERIES, BLOCK_VECTORS = 10_000, 50_000
 _COMPARE = {"$ne": "__ne__", "$gt": "__gt__", "$gte": "__ge__", "$lt": "__lt__", "$lte": "__le__", "$eq": "__eq__"}
 
 
@@ -76,22 +76,27 @@ def _unit(vectors: pd.Series) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _nearest(shared, k: int):
+def _nearest(asked, k: int):
+    """A batch hands on k rows a query, and those as near as the k-th."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, x = shared.value
+        ids, x = asked
         for batch in batches:
-            far = 1 - x @ _unit(batch["vec"]).T
-            # A batch hands on no more than k rows a query, with ties beyond the k-th decided by id.
-            for q in range(len(ids)):
-                order = np.lexsort((batch["id"].to_numpy(), far[q]))[:k]
-                yield pd.DataFrame({"query_id": ids[q], "id": batch["id"].to_numpy()[order], "distance": far[q][order]})
+            if not len(batch):
+                continue
+            names, y = batch["id"].to_numpy(), _unit(batch["vec"])
+            for i in range(0, len(ids), 1024):  # bounds the square of distances
+                far = 1 - x[i : i + 1024] @ y.T
+                kth = np.partition(far, min(k, len(y)) - 1, axis=1)[:, min(k, len(y)) - 1]
+                q, at = np.nonzero(far <= kth[:, None])
+                yield pd.DataFrame({"query_id": ids[i + q], "id": names[at], "distance": far[q, at]})
 
     return run
 
 
-def _nearest_met(shared, k: int, tables: int, width: float, seed: int):
+def _nearest_met(asked_, k: int, tables: int, width: float, seed: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, x = shared.value
+        ids, x = asked_
         lines = np.random.default_rng(seed).normal(size=(x.shape[1], tables))
         lines /= np.linalg.norm(lines, axis=0)
         asked = np.floor(x @ lines / width)
@@ -110,25 +115,35 @@ def _nearest_met(shared, k: int, tables: int, width: float, seed: int):
 
 
 def _over_blocks(queries: DataFrame, vectors: DataFrame, run: Callable, schema: str) -> DataFrame | None:
-    """run(broadcast of query ids and unit vectors) over the batches of vectors; None if there is no query."""
+    """run((query ids, unit vectors)) over the batches of vectors; None if there is no query. While the queries may be broadcast,
+    vectors stay where they are. More queries are dealt into blocks of that size, vectors into blocks as well, and every
+    block of the one meets every block of the other in a task of its own: nothing passes through the driver."""
     vectors, queries = vectors.filter(F.col("vec").isNotNull() & F.exists("vec", lambda v: v != 0)), queries.filter(F.col("vec").isNotNull())
-    blocks = max(1, -(-queries.count() // BROADCAST_QUERIES))
-    found = None
-    for block in range(blocks):  # one block, unless there are more queries than may be broadcast at once
-        q = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toPandas()
-        if not len(q):
-            continue
+    count = queries.count()
+    if not count:
+        return None
+    if count <= BROADCAST_QUERIES:
+        q = queries.toPandas()  # at most BROADCAST_QUERIES rows
         shared = vectors.sparkSession.sparkContext.broadcast((q["query_id"].to_numpy(), _unit(q["vec"])))
-        part = vectors.select("id", "vec").mapInPandas(run(shared), schema)
-        found = part if found is None else found.union(part)
-    return found
+        return vectors.select("id", "vec").mapInPandas(lambda batches: run(shared.value)(batches), schema)
+    rows, columns = -(-count // BROADCAST_QUERIES), -(-vectors.count() // BLOCK_VECTORS)
+    deal = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.select("query_id", "vec", deal("query_id", rows).alias("r"), every(max(1, columns)).alias("c"))
+    held = vectors.select("id", "vec", every(rows).alias("r"), deal("id", max(1, columns)).alias("c"))
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found = list(run((left["query_id"].to_numpy(), _unit(left["vec"])))(iter([right]))) if len(left) and len(right) else []
+        return pd.concat(found) if found else pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
+
+    return asked.groupBy("r", "c").cogroup(held.groupBy("r", "c")).applyInPandas(meet, schema)
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int = MOST_RESULTS) -> DataFrame:
     """queries: query_id, vec. vectors: id (long), vec; filter them first. The k nearest of each query by cosine distance, as
     query_id, id, distance, rank; ties by id. Every vector is compared with the queries in matrix products, and only k rows
     per query and batch are shuffled."""
-    found = _over_blocks(queries, vectors, lambda shared: _nearest(shared, k), "query_id long, id long, distance double")
+    found = _over_blocks(queries, vectors, lambda asked: _nearest(asked, k), "query_id long, id long, distance double")
     if found is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, id long, distance double, rank int")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id"))
@@ -144,7 +159,7 @@ def approximate_nearest(queries: DataFrame, vectors: DataFrame, k: int = MOST_RE
     """As nearest, from random-projection buckets: vectors that share one of a query's `tables` buckets, ranked exactly. A query
     whose buckets hold fewer than k vectors is compared with the others too, so that each gets k rows where there are k.
     radius (Euclidean, on unit vectors) drops farther rows; 2, the largest such distance, drops none."""
-    run = lambda shared: _nearest_met(shared, k, tables, width, seed)
+    run = lambda asked: _nearest_met(asked, k, tables, width, seed)
     found = _over_blocks(queries, vectors, run, "query_id long, id long, distance double, met boolean")
     if found is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, id long, distance double, rank int")
@@ -190,6 +205,42 @@ def embedded(records: DataFrame, encode: Callable[[list[str]], np.ndarray] | Non
     return records.withColumn("embedding", of("text"))
 
 
+def collection_sizes(records: DataFrame, collections: DataFrame | None = None) -> DataFrame:
+    """collection, n, status (as text). collections: names to be listed even if they hold nothing."""
+    sizes = records.groupBy("collection").agg(F.count("*").alias("n"))
+    if collections is not None:
+        sizes = collections.select("collection").distinct().join(sizes, "collection", "full").select("collection", F.coalesce("n", F.lit(0)).alias("n"))
+    return sizes.withColumn("status", F.concat("collection", F.lit(": "), "n", F.lit(" chunks")))
+
+
+def scalar_metadata(records: DataFrame, column: str = "metadata", joined: Sequence[str] = ("page_intent",)) -> DataFrame:
+    """Keeps the atomic fields of a struct column; arrays of strings named in `joined` become one string, all other fields go."""
+    kept = []
+    for field in records.schema[column].dataType.fields:
+        at = F.col(f"{column}.`{field.name}`")
+        if isinstance(field.dataType, (StructType, MapType, VariantType)):
+            continue
+        if isinstance(field.dataType, ArrayType):
+            if field.name in joined:
+                kept.append(F.array_join(at, ",").alias(field.name))
+            continue
+        kept.append(at.alias(field.name))
+    return records.withColumn(column, F.struct(*kept))
+
+
+def context_hits(requests: DataFrame, chunks: DataFrame, k: int = 3) -> DataFrame:
+    """requests: request_id, company, year, vec. chunks: id, company, year, vec. The k nearest chunks of the company's report of
+    that year, as request_id, id, distance, rank. The join is by company and year, and adaptive execution can split it; only
+    ids and distances go on from there."""
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, v: s + v)
+    unit = lambda df, names: df.select(*names, "company", "year", F.col("vec").alias("_v"), F.sqrt(dot("vec", "vec")).alias("_n")).filter("_n > 0")
+    one, two = unit(requests, ["request_id"]).alias("one"), unit(chunks, ["id"]).alias("two")
+    met = one.join(two, (F.col("one.company") == F.col("two.company")) & (F.col("one.year") == F.col("two.year")))
+    far = met.select("request_id", "id", (1 - dot("one._v", "two._v") / (F.col("one._n") * F.col("two._n"))).alias("distance"))
+    rank = F.row_number().over(W.partitionBy("request_id").orderBy(F.round("distance", 9), "id"))
+    return far.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
 def result_text(hits: DataFrame) -> DataFrame:
     """hits: query_id, rank, distance, text. One text per query, results numbered by their rank before any cut."""
     line = F.concat(F.lit("["), F.col("rank"), F.lit("] (distance "), F.format_string("%.4f", F.greatest("distance", F.lit(0.0))), F.lit(")\n"), F.col("text"))

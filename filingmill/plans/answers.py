@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import patterns
-from ..functions.scalars import year_in_text
+from ..functions.scalars import expiry, metric_key, year_in_text, year_of_period
 from ..operators import periods, series, state, statements
 
 VERSION = "v1"
@@ -15,33 +15,99 @@ VERSION = "v1"
 OPENING = "I couldn't generate a full narrative answer, but here is the verified data:\n"
 
 
-def answer_questions(questions: DataFrame, stmts: DataFrame) -> DataFrame:
-    """questions: question_id, company_id, raw_years, single_year_only, n, line_items, used_context. Returns question_id,
-    cache_key, answer, suggestions, stop_message. A question that stops has no key, as its message is not to be cached; a
-    line item that is not stored is left out of the answer."""
+def keyed(questions: DataFrame, stmts: DataFrame) -> DataFrame:
+    """Adds periods, can_proceed, stop_message, metrics (keys of the phrases that name one) and cache_key; a question that stops
+    has no key, as its message is not to be cached."""
     resolved = periods.resolve_periods(questions, stmts)
-    key = state.cache_key(
-        company=F.col("company_id"), line_items=F.array_sort(F.transform("line_items", F.lower)), periods=F.array_sort("periods"), context=F.col("used_context"), version=F.lit(VERSION)
-    )
-    resolved = resolved.withColumn("cache_key", F.when(F.col("can_proceed"), key))
-    # Equal questions are answered once.
-    distinct = resolved.filter("cache_key IS NOT NULL").groupBy("cache_key").agg(F.first("company_id").alias("company_id"), F.first("line_items").alias("line_items"), F.first("periods").alias("periods"))
-    asked = distinct.select("cache_key", "company_id", F.posexplode("line_items").alias("i", "line_item"), "periods")
-    asked = asked.select("cache_key", "company_id", "i", "line_item", F.posexplode("periods").alias("p", "period_label"))
+    named = F.transform(F.coalesce("derived", F.array().cast("array<string>")), metric_key)
+    resolved = resolved.withColumn("metrics", F.array_distinct(F.array_compact(named)))
+    key = state.structured_key(
+        F.col("company_id").cast("string"), F.transform("line_items", F.lower), F.col("metrics"), F.col("periods"),
+        F.concat_ws("/", F.coalesce("needs_context", F.lit(False)).cast("string"), F.coalesce("intent", F.lit(""))), F.lit(VERSION),
+    )
+    return resolved.withColumn("cache_key", F.when(F.col("can_proceed"), key))
+
+
+def _in_order(c: Column) -> Column:
+    return F.transform(F.array_sort(F.collect_list(c)), lambda x: x["t"])
+
+
+def _series_lines(asked: DataFrame, stmts: DataFrame) -> DataFrame:
+    """asked: cache_key, company_id, line_items, periods. A line per item that is stored: cache_key, i, t, with its change, growth
+    and direction over the asked periods beside it."""
+    one = asked.select("cache_key", "company_id", F.posexplode("line_items").alias("i", "line_item"), "periods")
+    one = one.select("cache_key", "company_id", "i", "line_item", F.posexplode("periods").alias("p", "period_label"))
     home = statements.statement_of_item(stmts).withColumn("_l", F.lower("line_item")).withColumnRenamed("line_item", "named")
-    asked = asked.withColumn("_l", F.lower("line_item")).join(home.select("company_id", "_l", "named", "statement"), ["company_id", "_l"])
-    values = stmts.select("company_id", "statement", F.col("line_item").alias("named"), "period_label", "value", "unit")
-    point = asked.join(values, ["company_id", "statement", "named", "period_label"], "left")
+    one = one.withColumn("_l", F.lower("line_item")).join(home.select("company_id", "_l", "named", "statement"), ["company_id", "_l"])
+    values = stmts.select("company_id", "statement", F.col("line_item").alias("named"), "period_label", "fiscal_year_end", "value", "unit")
+    point = one.join(values, ["company_id", "statement", "named", "period_label"], "left")
+    whole = series.enriched(point, keys=("cache_key", "i", "named"), order="p")
     words = F.concat(
         "period_label", F.lit(": "), F.when(F.col("value").isNotNull(), F.format_string("%.2f", "value")).otherwise("not disclosed"), F.coalesce(F.concat(F.lit(" "), "unit"), F.lit(""))
     )
-    in_order = lambda c: F.transform(F.array_sort(F.collect_list(c)), lambda x: x["t"])
-    line = point.groupBy("cache_key", "i", "named").agg(F.array_join(in_order(F.struct("p", words.alias("t"))), ", ").alias("t"))
-    line = line.withColumn("t", F.concat("named", F.lit(": "), "t"))
-    body = line.groupBy("cache_key").agg(F.concat(F.lit(OPENING), F.array_join(in_order(F.struct("i", "t")), "\n")).alias("answer"))
-    hints = periods.follow_ups(resolved.filter("can_proceed").select("question_id", "company_id", "line_items", "periods", "used_context"), stmts)
-    out = resolved.join(body, "cache_key", "left").join(hints, "question_id", "left")
-    return out.select("question_id", "cache_key", "answer", "suggestions", "stop_message")
+    line = whole.groupBy("cache_key", "i", "named").agg(
+        F.array_join(_in_order(F.struct("p", words.alias("t"))), ", ").alias("t"), F.first("change_pct").alias("change_pct"), F.first("cagr_pct").alias("cagr_pct"), F.first("direction").alias("direction")
+    )
+    return line.select("cache_key", "i", F.concat("named", F.lit(": "), "t").alias("t"), F.struct("named", "change_pct", "cagr_pct", "direction").alias("about"))
+
+
+def _metric_lines(asked: DataFrame, stmts: DataFrame) -> DataFrame:
+    """asked: cache_key, company_id, metrics, periods. A line per ratio asked: cache_key, i, t."""
+    one = asked.select("cache_key", "company_id", F.posexplode("metrics").alias("i", "metric"), "periods")
+    one = one.select("cache_key", "company_id", "i", "metric", F.posexplode("periods").alias("p", "period_label")).withColumn("fy", year_of_period(F.col("period_label")))
+    found = one.join(series.derived_metrics(stmts), ["company_id", "fy", "metric"], "left")
+    words = F.concat("period_label", F.lit(": "), F.when(F.col("value").isNotNull(), F.format_string("%.2f%%", F.col("value") * 100)).otherwise("not available"))
+    label = F.element_at(F.create_map(*(F.lit(x) for pair in series.LABELS.items() for x in pair)), F.col("metric"))
+    line = found.groupBy("cache_key", "i", "metric").agg(F.array_join(_in_order(F.struct("p", words.alias("t"))), ", ").alias("t"))
+    return line.select("cache_key", "i", F.concat(label, F.lit(": "), "t").alias("t"))
+
+
+def answer_questions(questions: DataFrame, stmts: DataFrame, cache: DataFrame | None = None, now: Column | None = None, snippets: DataFrame | None = None) -> DataFrame:
+    """questions: question_id, company_id, raw_years, single_year_only, n, line_items, derived (phrases for ratios), needs_context,
+    intent. cache: cache_key, answer_text, expires_at. snippets: question_id, and a row per passage that a search found for
+    it (see context_requests). Returns question_id, cache_key, answer, suggestions, stop_message, stopped, from_cache, periods,
+    series (array of named, change_pct, cagr_pct, direction), n_snippets.
+
+    A question stops where its company is unknown or has no data, or where none of what it asks for is stored; the message is then
+    its answer. What the cache holds is answered from there; equal questions are answered once."""
+    resolved = keyed(questions, stmts)
+    n = resolved.select("question_id").distinct() if snippets is None else snippets.groupBy("question_id").agg(F.count("*").alias("n_snippets"))
+    resolved = resolved.join(n, "question_id", "left").withColumn("n_snippets", F.when(F.col("needs_context"), F.col("n_snippets")) if snippets is not None else F.lit(0))
+    resolved = resolved.withColumn("n_snippets", F.coalesce("n_snippets", F.lit(0)).cast("long"))
+    if cache is None:
+        resolved = resolved.withColumn("answer_text", F.lit(None).cast("string"))
+    else:
+        resolved = state.cache_lookup(resolved, cache, now)
+    fresh = resolved.filter("cache_key IS NOT NULL AND answer_text IS NULL").groupBy("cache_key").agg(
+        *(F.first(c).alias(c) for c in ("company_id", "line_items", "metrics", "periods"))
+    )
+    lines, ratios = _series_lines(fresh, stmts), _metric_lines(fresh, stmts)
+    both = lines.select("cache_key", F.lit(0).alias("k"), "i", "t").union(ratios.select("cache_key", F.lit(1).alias("k"), "i", "t"))
+    body = both.groupBy("cache_key").agg(F.concat(F.lit(OPENING), F.array_join(_in_order(F.struct("k", "i", "t")), "\n")).alias("answer"))
+    about = lines.groupBy("cache_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "about"))), lambda x: x["about"]).alias("series"))
+    hints = periods.follow_ups(resolved.filter("can_proceed").select("question_id", "company_id", "line_items", "periods", (F.col("n_snippets") > 0).alias("used_context")), stmts)
+    out = resolved.join(body, "cache_key", "left").join(about, "cache_key", "left").join(hints, "question_id", "left")
+    missing = F.array_join(F.transform("line_items", lambda x: F.concat(F.lit("Line item '"), x, F.lit("' not found for '"), F.col("company_id").cast("string"), F.lit("' in any statement table. Call list_available_line_items to see valid names."))), "; ")
+    nothing = F.concat(F.lit("I couldn't retrieve the requested data for "), F.col("company_id").cast("string"), F.lit(": "), F.when(F.size("line_items") > 0, missing).otherwise("no data found"))
+    hit = F.col("answer_text").isNotNull()
+    empty = F.col("can_proceed") & ~hit & F.col("answer").isNull()
+    stop = F.coalesce("stop_message", F.when(empty, nothing))
+    return out.select(
+        "question_id", F.when(stop.isNull(), F.col("cache_key")).alias("cache_key"), F.coalesce("answer_text", "answer", stop).alias("answer"),
+        F.when(stop.isNull(), F.col("suggestions")).otherwise(F.array().cast("array<string>")).alias("suggestions"), stop.alias("stop_message"),
+        stop.isNotNull().alias("stopped"), hit.alias("from_cache"), "periods", "series", "n_snippets",
+    )
+
+
+def cache_after(cache: DataFrame, answers: DataFrame, now: Column, ttl_seconds: int = 30 * 86400) -> DataFrame:
+    """cache: cache_key, answer_text, created_at, last_accessed_at, expires_at, hit_count. The cache after answering: answers that did
+    not come from it are added or replace expired ones, and hits are counted."""
+    ready = answers.filter("NOT stopped").select("cache_key", "answer", "from_cache")
+    fresh = ready.filter("NOT from_cache").groupBy("cache_key").agg(F.first("answer").alias("answer_text")).select(
+        "cache_key", "answer_text", now.alias("created_at"), now.alias("last_accessed_at"), expiry(now, F.lit(ttl_seconds)).alias("expires_at"), F.lit(0).cast("long").alias("hit_count")
+    )
+    out = state.merged(cache, fresh, ["cache_key"], replaced=["answer_text", "expires_at"])
+    return state.count_hits(out, ready.filter("from_cache").select("cache_key", now.alias("at")))
 
 
 def classify(questions: DataFrame, names: DataFrame) -> DataFrame:
@@ -57,10 +123,11 @@ def classify(questions: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def context_requests(resolved: DataFrame, last: int = 3) -> DataFrame:
-    """resolved: question_id, company_id, line_items, periods. A search request per line item and each of the last periods;
-    questions without line items ask for nothing."""
-    one = resolved.select("question_id", "company_id", F.explode("line_items").alias("line_item"), F.slice("periods", F.greatest(F.size("periods") - last + 1, F.lit(1)), last).alias("_p"))
-    return one.select("question_id", "company_id", "line_item", F.explode("_p").alias("period"))
+    """resolved: question_id, company_id, line_items, periods. A search request per line item and period, with the period's year;
+    searched is false for periods before the last ones, which are kept but not searched. Questions without line items ask
+    for nothing. operators.vectors.context_hits answers the requests."""
+    one = resolved.select("question_id", "company_id", F.explode("line_items").alias("line_item"), F.posexplode("periods").alias("_i", "period"), F.size("periods").alias("_n"))
+    return one.select("question_id", "company_id", "line_item", "period", year_of_period(F.col("period")).alias("year"), (F.col("_i") >= F.col("_n") - last).alias("searched"))
 
 
 def prompt_context(turns: DataFrame) -> DataFrame:

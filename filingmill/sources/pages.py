@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, MapType, StringType, StructType
 
 from ..functions import text
-from ..operators.quality import file_identity
+from ..operators.quality import check_payload, file_identity, split
+from ..operators.statements import upsert
+from ..operators.vectors import embedded
 
 PAGE = StructType().add("page_num", IntegerType()).add("text", StringType()).add("_corrupt", StringType())
 RECORD = StructType().add("id", StringType()).add("text", StringType()).add("metadata", MapType(StringType(), StringType()))
@@ -40,6 +44,37 @@ def read_bundles(files: DataFrame) -> DataFrame:
     return files.select("file", F.inline(all_of))
 
 
+def bundles(parents: DataFrame, children: DataFrame, key: str) -> DataFrame:
+    """Both: key, id, text, metadata (map of strings). Returns key, content: a bundle of each key's records as JSON."""
+    side = lambda df, name: df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("id", "text", F.to_json("metadata").alias("m")))).alias(name))
+    # Maps can't be sorted, so metadata travels as text and is put back.
+    back = lambda name: F.transform(F.coalesce(name, F.array().cast("array<struct<id:string,text:string,m:string>>")), lambda r: F.struct(r["id"].alias("id"), r["text"].alias("text"), F.from_json(r["m"], MapType(StringType(), StringType())).alias("metadata")))
+    both = side(parents, "p").join(side(children, "c"), key, "full")
+    return both.select(key, F.to_json(F.struct(back(F.col("p")).alias("parents"), back(F.col("c")).alias("children"))).alias("content"))
+
+
+def write_bundles(bundled: DataFrame, path: str) -> None:
+    """A line of JSON per bundle: its key and content."""
+    bundled.write.mode("errorifexists").json(path)
+
+
+def load_records(files: DataFrame, table: DataFrame, encode=None) -> tuple[DataFrame, DataFrame]:
+    """files: file, content (JSON bundles or lists), seq (later ones win). table: collection, id, text, metadata, embedding, seq. Returns (the
+    table after embedding and upserting all good records, the records that fail with their reasons). Parents, children and
+    flat records go to collections of their own."""
+    records = read_bundles(files).join(files.select("file", "seq"), "file")
+    good, bad = split(check_payload(records))
+    fresh = embedded(good.withColumn("collection", F.col("kind")), encode).select("collection", "id", "text", "metadata", "embedding", "seq")
+    return upsert(table, fresh, ["collection", "id"], "seq"), bad
+
+
+def with_steps(pages: DataFrame, steps: Sequence[Callable[[DataFrame], DataFrame]] = ()) -> DataFrame:
+    """pages through functions from DataFrame to DataFrame, one after another; without any, the usual cleaning."""
+    for step in steps or (cleaned,):
+        pages = pages.transform(step)
+    return pages
+
+
 def manifest(spark: SparkSession, path: str, least: int = 1, most: int = 100 * 1024 * 1024) -> DataFrame:
     """path, length, sha256, identity and whether the size is in bounds, of all files under a folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import zip_longest
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -66,16 +67,16 @@ def _rows(page_id, symbol: str | None, html: str | None, years: int) -> Iterator
         return
     missing = []
     for heading, statement in SECTIONS.items():
-        at = next((i for i, (kind, x) in enumerate(page.found) if kind in ("h1", "h2") and x.startswith(heading)), None)
+        at = next((i for i, (kind, x) in enumerate(page.found) if kind in ("h1", "h2") and x.lower().startswith(heading.lower())), None)
         table = next((x for kind, x in page.found[at + 1 :] if kind == "table"), None) if at is not None else None
         if not table:
             missing.append(heading)
             continue
         kept = table[0][1:][-years:]
         for i, row in enumerate(table[1:]):
+            values = row[1:][-len(kept) :] if len(row) > len(kept) else row[1:]
             short = len(row) < len(table[0])
-            values = row[1:] if short else row[1:][-years:]
-            for period, cell in zip(kept, values, strict=False):
+            for period, cell in zip_longest(kept, values[: len(kept)]):  # a missing cell is a null value
                 yield base | {"statement": statement, "row": i, "label": row[0], "period": period, "cell": cell, "row_misaligned": short}
     if missing:
         yield base | {"error": "missing: " + ", ".join(missing)}

@@ -66,10 +66,27 @@ def test_periods_of_questions(spark, stmts):
 
 
 def test_answers_and_suggestions(spark, stmts):
-    q = [(1, 1, [2024], True, None, ["sales", "Nothing"], True), (2, 1, [2024], True, None, ["Nothing", "SALES"], True), (3, 1, [2024, 2023], False, None, ["Borrowings"], False), (4, None, [], False, None, ["Sales"], False)]
-    df = spark.createDataFrame(q, "question_id long, company_id long, raw_years array<int>, single_year_only boolean, n int, line_items array<string>, used_context boolean")
-    got = {r.question_id: r for r in answers.answer_questions(df, stmts).collect()}
-    assert got[1].cache_key == got[2].cache_key != got[3].cache_key and got[4].cache_key is None and got[4].suggestions is None
+    none = []
+    q = [
+        (1, 1, [2024], True, None, ["sales", "Nothing"], none, True, "x"), (2, 1, [2024], True, None, ["Nothing", "SALES"], None, True, "x"), (3, 1, [2024, 2023], False, None, ["Borrowings"], [" ROE ", "x", "roe"], False, "x"),
+        (4, None, [], False, None, ["Sales"], none, False, "x"), (5, 1, [2024], True, None, ["Goodwill"], none, False, "x"), (6, 1, [2024], True, None, ["Net Profit"], none, False, None),
+    ]
+    df = spark.createDataFrame(q, "question_id long, company_id long, raw_years array<int>, single_year_only boolean, n int, line_items array<string>, derived array<string>, needs_context boolean, intent string")
+    now = F.lit("2024-06-01 00:00:00").cast("timestamp_ntz")
+    key = answers.keyed(df, stmts).filter("question_id = 6").first().cache_key
+    empty = "cache_key string, answer_text string, created_at timestamp_ntz, last_accessed_at timestamp_ntz, expires_at timestamp_ntz, hit_count long"
+    day = dt.datetime(2024, 5, 1)
+    cache = spark.createDataFrame([(key, "as before", day, day, None, 4), ("old", "gone", day, day, day, 1)], empty)
+    snippets = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (3, "not asked for")], "question_id long, text string")
+    found = answers.answer_questions(df, stmts, cache, now, snippets).cache()
+    got = {r.question_id: r for r in found.collect()}
+    assert (got[6].answer, got[6].from_cache, got[1].from_cache) == ("as before", True, False) and [got[i].n_snippets for i in (1, 2, 3)] == [2, 1, 0]
+    assert got[4].stopped and got[5].stopped and got[5].cache_key is None and got[5].answer == got[5].stop_message and "Goodwill" in got[5].answer and got[4].suggestions == []
+    assert got[3].answer.endswith("\n" + series.LABELS["roe"] + ": Mar 2023: 0.00%, Mar 2024: 35.29%") and got[3].series[0].direction == "unknown"
+    after = {r.cache_key: r for r in answers.cache_after(cache, found, now).collect()}
+    assert set(after) == {"old", key, got[1].cache_key, got[3].cache_key} and after[key].hit_count == 5 and after[key].answer_text == "as before"
+    assert after[got[1].cache_key].expires_at == dt.datetime(2024, 7, 1) and after["old"].answer_text == "gone"
+    assert got[1].cache_key == got[2].cache_key != got[3].cache_key and got[4].cache_key is None
     assert got[1].answer == answers.OPENING + "Sales: Mar 2024: 180.00 INR_CRORE"
     assert got[3].answer == answers.OPENING + "Borrowings: Mar 2023: not disclosed INR_CRORE, Mar 2024: 50.00 INR_CRORE"
     assert got[1].suggestions == ["Want to see Net Profit for the same period?", "Compare this against Mar 2020 as well?", "See Borrowings trend over the last few years?"]
@@ -168,3 +185,63 @@ def test_answer_audit(spark):
     a, b, c = quality.audit_answers(df).collect()
     assert all((a.not_blank, a.no_injection, a.sourced, a.states_value, a.no_unasked_metric, a.labels_ratios, a.no_peers))
     assert not any((b.sourced, b.states_value, b.no_unasked_metric, b.labels_ratios, b.no_peers)) and not c.not_blank
+
+
+def test_short_rows_and_headings(spark):
+    periods_ = [f"Mar {y}" for y in range(2014, 2025)]
+    cells = lambda xs: "".join(f"<td>{x}</td>" for x in xs)
+    head = "<tr><th></th>" + "".join(f"<th>{p}</th>" for p in periods_) + "</tr>"
+    table = lambda rows: f"<table><thead>{head}</thead><tbody>{''.join(rows)}</tbody></table>"
+    html = "<h1>Acme</h1><h2>PROFIT &amp; LOSS in short</h2>" + table([f"<tr><td>Sales</td>{cells(range(1, 11))}</tr>", f"<tr><td>Tax</td>{cells([7, 8])}</tr>"])
+    rows = statement_pages.tidy(statement_pages.statement_cells(spark.createDataFrame([(1, "A", html)], "page_id long, symbol string, html string"))).collect()
+    got = {(r.line_item, r.period_label): (r.value, r.row_misaligned) for r in rows}
+    # One value less than periods: the last five values stand under the last five periods. Fewer than five: from the first kept one on, then null.
+    assert [got["Sales", p] for p in periods_[-5:]] == [(v, True) for v in (6, 7, 8, 9, 10)]
+    assert [got["Tax", p][0] for p in periods_[-5:]] == [7, 8, None, None, None] and len(got) == 10
+
+
+def test_new_companies_are_numbered_in_order(spark):
+    table = spark.createDataFrame([(7, "B", "x")], "company_id long, screener_symbol string, company_name string")
+    names = [f"COMPANY{i:03}" for i in range(40)] + ["A", "Z", "Ä", "COMPAN"]
+    got = statements.upsert_companies(table, spark.createDataFrame([(n, n.lower()) for n in names] + [("B", None)], "screener_symbol string, company_name string")).collect()
+    fresh = sorted((r.company_id, r.screener_symbol) for r in got if r.company_id > 7)
+    assert fresh == list(zip(range(8, 8 + len(names)), sorted(names, key=lambda n: n.encode()), strict=True)) and [r.company_name for r in got if r.company_id == 7] == ["x"]
+
+
+def test_reads_by_requests(spark, stmts):
+    asked = [(1, 1, None, [], None), (2, 1, "profit_loss", ["Sales"], ["Mar 2024", "Mar 1900"]), (3, 99, None, [], []), (4, 1, "cash_flow", [], [])]
+    df = spark.createDataFrame(asked, "request_id int, company_id long, statement string, line_items array<string>, periods array<string>")
+    got = statements.read_statements(df, stmts).groupBy("request_id").count().collect()
+    assert {r.request_id: r["count"] for r in got} == {1: stmts.filter("company_id = 1").count(), 2: 1}
+    with pytest.raises(ValueError):
+        statements.read_only_sql({"t": stmts}, " drop table t")
+    assert statements.read_only_sql({"t": stmts}, " SELECT count(*) AS n FROM t WHERE line_item = ?", ["Sales"]).first().n == stmts.filter("line_item = 'Sales'").count()
+
+
+def test_logs_and_registry_grow(spark, tmp_path):
+    row = ("AB_2024_ANNUAL_REPORT.pdf", "AB", 2024, "ANNUAL_REPORT", "SUCCESS", None, "/x", "2024-01-02", "10:00:00")
+    df = spark.createDataFrame([row, (*row[:4], "DONE", *row[5:])], "filename string, scrip string, year int, file_type string, status string, reason string, destination_path string, date string, time string")
+    for n in (1, 2):
+        bad = quality.append_registry(df, str(tmp_path / "registry"))
+        assert spark.read.parquet(str(tmp_path / "registry")).count() == n and [r.reasons for r in bad.collect()] == [["status"]]
+    hits = spark.createDataFrame([(1, 1, 5, 50, 0.25, "p" * 300, None)], "query_id long, rank int, parent_id long, id long, distance double, parent_text string, child_text string")
+    state.log_events(state.retrieval_events(hits), str(tmp_path / "log"))
+    state.log_events(state.retrieval_events(hits), str(tmp_path / "log"))
+    logged = spark.read.parquet(str(tmp_path / "log")).collect()
+    assert len(logged) == 2 and '"child_id":50' in logged[0].metadata_json and "p" * 240 + '"' in logged[0].metadata_json
+
+
+def test_counts_come_back_with_null_keys(spark):
+    df = spark.createDataFrame([(1, None), (1, None), (2, None), (None, "a"), (None, "a"), (3, "b")], "k int, t string")
+    assert sorted((r.k or 0, r.t or "", r.n) for r in quality.with_counts(df, ["k", "t"], "n").collect()) == [(0, "a", 2), (0, "a", 2), (1, "", 2), (1, "", 2), (2, "", 1), (3, "b", 1)]
+    assert [one.m for one in spark.createDataFrame([(None,), ("{}",), ('{"a": 1, "b": null, "c": "{x}"}',), ('{"a": [1]}',), ('{"a": {"b": 1}}',), ("[1]",), ("no",), ('{"": 1}',)], "t string").select(quality.is_scalar_map(F.col("t")).alias("m")).collect()] == [True, True, True, False, False, False, False, False]
+
+
+def test_context_hits_stay_in_their_report(spark):
+    chunks = [(i, c, y, [float(i % 5), 1.0]) for i, (c, y) in enumerate([("A", 1)] * 6 + [("A", 2)] * 3 + [("B", 1)] * 2)] + [(90, "A", 1, None), (91, "A", 1, [0.0, 0.0])]
+    v = spark.createDataFrame(chunks, "id long, company string, year int, vec array<double>")
+    q = spark.createDataFrame([(1, "A", 1, [4.0, 1.0]), (2, "B", 1, [1.0, 1.0]), (3, "C", 1, [1.0, 1.0])], "request_id long, company string, year int, vec array<double>")
+    got = {}
+    for r in vectors.context_hits(q, v).collect():
+        got.setdefault(r.request_id, {})[r.rank] = r.id
+    assert got[1][1] == 4 and set(got[1].values()) == {4, 3, 2} and set(got[2].values()) == {9, 10} and 3 not in got

@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from filingmill.functions import text
+from filingmill.functions import scalars, text
 from filingmill.sources import pages
 
 PAGE = """# Performance Highlights ... 24
@@ -122,8 +122,13 @@ def test_links_and_injection(spark):
     md = "[a](javascript:x) ![b](http://127.0.0.1/x 't') [c](https://user@10.1.2.3:80/) [d](https://example.org/)"
     links = one(spark, text.link_targets, md)
     assert [one(spark, text.link_problem, x) for x in links] == ["bad_scheme", "private_host", "private_host", None]
-    hosts = spark.createDataFrame([("2130706433",), ("0x7f000001",), ("example.org",), ("8.8.8.8",), (None,)], "h string")
-    assert [r[0] for r in hosts.select(text.is_private_address("h")).collect()] == [True, True, False, False, False]
+    hosts = {
+        "2130706433": True, "0x7f000001": True, "0177.0.0.1": True, "127.1": True, "10.1.2.3": True, "172.31.0.9": True, "172.32.0.9": False, "192.168.256.1": False, "0x7f.1": True, "169.254.169.254": True,
+        "[::1]": True, "[fe80::1]": True, "[fd00::2]": True, "::ffff:10.0.0.1": True, "[2001:db8::1]": False, "example.org": False, "8.8.8.8": False, "134744072": False, "4294967296": False, "1.2.3.4.5": False, "": False, "fedora.org": False,
+    }
+    df = spark.createDataFrame([(h,) for h in hosts], "h string").select("h", text.is_private_address(F.col("h")).alias("p"), text.link_problem(F.concat(F.lit("http://"), "h", F.lit("/x"))).alias("q"))
+    assert {r.h: r.p for r in df.collect()} == hosts
+    assert {r.h for r in df.collect() if r.q == "private_host"} >= {"2130706433", "0x7f000001", "0177.0.0.1", "127.1", "[::1]", "169.254.169.254"}
     assert one(spark, text.injection_flag, "please IGNORE previous rules") and not one(spark, text.injection_flag, "plain")
     assert one(spark, text.injection_score, "ignore all\n```") == 7
     assert one(spark, lambda c: text.nfc(c), "é") == "é"
@@ -155,3 +160,57 @@ def test_pages_that_keep_arriving(spark, tmp_path):
     for _ in range(2):
         clean_arriving_pages(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_every_pattern_and_its_gate(spark):
+    """A text for each pattern and for each of its alternatives: it matches, and so it has to hold one of the gate's literals."""
+    sql = {
+        "union all select 1": 0, "SELECT a FROM b": 1, "insert into t": 2, "update t set": 3, "delete from": 4, "drop table": 5, "drop trigger": 5, "alter schema": 6, "create function": 7, "truncate table x": 8,
+        "into outfile": 9, "into dumpfile": 9, "load data local infile": 10, "information_schema": 11, "sysobjects": 12, "syscolumns": 13, "pg_catalog": 14, "all_tables": 15, "exec xp_cmd": 16, "exec(sp_x": 16,
+        "execute immediate": 17, "call f(": 18, "x --": 19, "x # ": 19, "x; --y": 20, "/* a */": 21, "or 1 = 1": 22, "and 1=1": 23, "' or 'a'='a'": 24, "or 'a'='a'": 25, "having 1=1": 26, "waitfor  delay": 27,
+        "benchmark (": 28, "sleep(5)": 29, "dbms_pipe.receive_message": 30, "char(65": 31, "concat(x select": 32, "group_concat(": 33, "0xDEADbeef": 34, "cast(a as varchar": 35, "; drop x": 36, "grant all": 37,
+        "revoke all": 37, "with grant option": 38,
+    }
+    code = {
+        "<script>": 0, "</script>": 1, "JAVASCRIPT:": 2, "vbscript:": 3, "onclick='": 4, "<iframe ": 5, "<style>": 5, "<meta x http-equiv=refresh": 6, "expression (": 7, "{{ x }}": 8, "${x}": 9, "${T (": 10,
+        "#{x}": 11, "<%= x %>": 12, "{% x %}": 13, "{# x #}": 14, "eval(": 15, "exec (": 15, "compile(": 15, "__import__(": 15, "importlib.import_module(": 16, "subprocess.": 17, "os.system(": 18, "os.popen(": 18,
+        "os.spawnl(": 19, "os.execv(": 20, "pickle.load(": 21, "marshal.loads(": 21, "yaml.load(": 22, "jsonpickle.decode(": 23, "globals()": 24, "dir( )": 24, "__class__": 25, "__subclasses__()": 26,
+        "getattr(x, '__y": 27, "setattr(": 28, "delattr(": 28, "ctypes.": 29, "shutil.": 30, "open(x, 'w": 31, "`x`": 32, "$(x)": 33,
+    }
+    told = {
+        "Ignore all": 0, "disregard any": 1, "system prompt": 2, "developer message": 3, "you are now": 4, "pretend you": 5, "act as": 6, "jailbreak": 7, "reveal the secrets": 8, "exfiltrate": 9, "tool call": 10,
+        "x\n  system :": 11, "assistant:": 11,
+    }
+    for cases, patterns, gates, flags in ((sql, text.P.SQL_PATTERNS, text.P.SQL_GATES, "?i"), (code, text.P.CODE_PATTERNS, text.P.CODE_GATES, "?i"), (told, text.P.INJECTION_PHRASES, text.P.INJECTION_GATES, "?im")):
+        assert len(patterns) == len(gates) and set(cases.values()) == set(range(len(patterns)))
+        t = F.col("t")
+        df = spark.createDataFrame(list(cases.items()), "t string, i int")
+        each = df.select("t", F.element_at(F.array(*(t.rlike(f"({flags}){p}") for p in patterns)), F.col("i") + 1).alias("own"), text._matches(t, F.lower(t), patterns, gates, flags).alias("gated"))
+        assert all(r.own and r.gated for r in each.collect()), [r.t for r in each.collect() if not (r.own and r.gated)]
+        assert all(any(g in c.lower() for g in gates[i]) for c, i in cases.items())
+
+
+def test_bundles_go_round(spark, tmp_path):
+    rows = [("f", "a", "one", {"k": "v"}), ("f", "b", 'two "q"', None), ("g", "c", "three", {})]
+    df = spark.createDataFrame(rows, "file string, id string, text string, metadata map<string,string>")
+    bundled = pages.bundles(df, df.filter("file = 'f'"), "file")
+    pages.write_bundles(bundled, str(tmp_path / "b"))
+    back = pages.read_bundles(spark.read.schema("file string, content string").json(str(tmp_path / "b")))
+    assert sorted((r.file, r.kind, r.id, r.text, r.metadata) for r in back.collect()) == sorted([("f", "parent", *x[1:]) for x in rows[:2]] + [("g", "parent", *rows[2][1:])] + [("f", "child", *x[1:]) for x in rows[:2]])
+    files = bundled.withColumn("seq", F.lit(2)).unionByName(spark.createDataFrame([("h", '[{"id": "", "text": "x"}, {"id": "z", "text": "flat"}]', 2)], "file string, content string, seq int"))
+    table = spark.createDataFrame([("child", "a", "old", None, None, 1), ("child", "y", "stays", None, None, 1)], "collection string, id string, text string, metadata map<string,string>, embedding array<float>, seq int")
+    loaded, bad = pages.load_records(files, table, encode=lambda texts: [[float(len(t))] * 3 for t in texts])
+    got = {(r.collection, r.id): (r.text, r.embedding and r.embedding[0]) for r in loaded.collect()}
+    assert got["child", "a"] == ("one", 3.0) and got["child", "y"] == ("stays", None) and got["flat", "z"] == ("flat", 4.0) and len(got) == 7
+    assert [r.reasons for r in bad.collect()] == [["id_missing"]]
+
+
+def test_steps_can_be_given(spark):
+    df = spark.createDataFrame([("word " * 30,)], "text string")
+    assert pages.with_steps(df).columns[-1] == "page_intent"
+    assert pages.with_steps(df, [lambda d: d.withColumn("n", F.length("text")), lambda d: d.filter("n > 999")]).count() == 0
+
+
+def test_fenced_context(spark):
+    assert one(spark, scalars.fenced_context, " a\x00b ") == "<untrusted_context>\nab\n</untrusted_context>"
+    assert one(spark, scalars.fenced_context, "x" * 12001).endswith("x\n[TRUNCATED_CONTEXT]\n</untrusted_context>") and one(spark, scalars.fenced_context, None) == "<untrusted_context>\n\n</untrusted_context>"
