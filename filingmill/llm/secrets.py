@@ -24,6 +24,7 @@ from pyspark.ml.classification import RandomForestClassificationModel, RandomFor
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ._shared import staged
 
@@ -154,9 +155,9 @@ def contexts(docs: DataFrame) -> DataFrame:
     at = F.pmod(F.xxhash64("text", "doc_id"), F.greatest(F.length("text"), F.lit(1))).cast("int") + 1
     cut = docs.filter("text IS NOT NULL").select(F.xxhash64("doc_id", "text").alias("h"), F.substr("text", at, F.lit(LEFT_CHARS + RIGHT_CHARS)).alias("t"))
     cut = cut.select("h", F.regexp_replace(F.left("t", F.lit(LEFT_CHARS)), r"\S+$", "").alias("before"), F.regexp_extract(F.right("t", F.lit(RIGHT_CHARS)), r"(?s)\s.*", 0).alias("after"))
-    some = staged(cut.orderBy("h", "before", "after").limit(CONTEXTS), "contexts").collect()  # bounded: so many short strings
-    rows = [(i, r.before, r.after) for i, r in enumerate(sorted(some, key=lambda r: (r.h, r.before, r.after)))]
-    return docs.sparkSession.createDataFrame(rows, "n long, before string, after string")
+    some = staged(cut.orderBy("h", "before", "after").limit(CONTEXTS), "contexts")  # bounded: so many short strings
+    number = F.row_number().over(W.orderBy("h", "before", "after")) - 1
+    return staged(some.select(number.cast("long").alias("n"), "before", "after"), "places")
 
 
 def _kinds(words: list[str]) -> tuple[dict, dict]:
