@@ -97,14 +97,15 @@ def derived_metrics(stmts: DataFrame) -> DataFrame:
 
 
 def signed_pct(value: Column) -> Column:
-    return F.when(value.isNotNull(), F.format_string("%+.2f%%", value))
+    """Two decimals, ties to the even one."""
+    return F.when(value.isNotNull(), F.format_string("%+.2f%%", F.bround(value, 2)))
 
 
 def series_text(points: DataFrame) -> DataFrame:
     """company_id, text: a series as lines, "not disclosed" and "not available" spelled out. points: as from year_over_year,
     with unit."""
     line = F.concat(
-        F.lit("  "), F.col("period_label"), F.lit(": "), F.when(F.col("value").isNotNull(), F.format_string("%.2f", "value")).otherwise("not disclosed"),
+        F.lit("  "), F.col("period_label"), F.lit(": "), F.when(F.col("value").isNotNull(), F.format_string("%.2f", F.bround("value", 2))).otherwise("not disclosed"),
         F.coalesce(F.concat(F.lit(" (YoY change vs previous period: "), signed_pct(F.col("yoy_pct")), F.lit(")")), F.lit("")),
     )
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("fiscal_year_end", line.alias("line")))), lambda x: x["line"]), "\n")

@@ -150,16 +150,17 @@ def new_aliases(candidates: DataFrame, aliases: DataFrame, companies: DataFrame)
 
 
 #: Aliases of a large dictionary are met by so many of their first characters.
-ALIAS_CHARS = 4
+ALIAS_CHARS, MOST_BYTES = 4, 16 * 1024 * 1024
 
 
 def alias_in_text(questions: DataFrame, aliases: DataFrame, most: int = 10_000) -> DataFrame:
     """questions: question_id, text. aliases: alias_text, screener_symbol, ord. The alias contained in the text with the
-    smallest ord, or null. The dictionary is broadcast while it has at most `most` entries; beyond, the first characters of
+    smallest ord, or null. The dictionary is broadcast while it has at most `most` entries and MOST_BYTES; beyond, the first characters of
     an alias are joined with all runs of as many characters in the text, and only shorter aliases are broadcast. Both ways
     find the same."""
     lower, alias = F.lower("text"), F.lower("alias_text")
-    if aliases.limit(most + 1).count() <= most:
+    n, held = aliases.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("alias_text") + F.octet_length("screener_symbol")), F.lit(0))).first()
+    if n <= most and held <= MOST_BYTES:
         met = questions.join(F.broadcast(aliases), F.contains(lower, alias))
     else:
         starts = F.sequence(F.lit(1), F.greatest(F.length(lower) - ALIAS_CHARS + 1, F.lit(1)))

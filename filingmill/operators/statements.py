@@ -126,7 +126,7 @@ def series_request_text(requests: DataFrame, stmts: DataFrame) -> DataFrame:
     found = asked.join(home, ["company_id", "line_item"], "left").join(
         stmts.select("company_id", "line_item", "statement", "period_label", "value", "unit"), ["company_id", "line_item", "statement", "period_label"], "left"
     )
-    part = F.concat("period_label", F.lit(": "), F.when(F.col("value").isNotNull(), F.format_string("%.2f", "value")).otherwise("not disclosed"))
+    part = F.concat("period_label", F.lit(": "), F.when(F.col("value").isNotNull(), F.format_string("%.2f", F.bround("value", 2))).otherwise("not disclosed"))
     one = found.groupBy("request_id", "symbol", "company_id", "line_item", "statement").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", part.alias("t")))), lambda x: x["t"]), "; ").alias("t"), F.max("unit").alias("unit")
     )

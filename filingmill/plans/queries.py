@@ -299,13 +299,35 @@ def run_summary(spark, sf_dir):
     return docs.groupBy("source").agg(F.count("*").alias("n_pages"), F.count_if(~F.col("is_short")).alias("n_kept"), F.count_if("is_short").alias("n_skipped"))
 
 
-@_query()
+_PAGE_SQL = f"""WITH {S}, v AS (SELECT company_id, line_item, '| ' || line_item || ' | ' || coalesce(CAST(CAST(round(max(value) FILTER (WHERE period_label = 'Mar 1996')) AS BIGINT) AS VARCHAR), '-') || ' | '
+    || coalesce(CAST(CAST(round(max(value) FILTER (WHERE period_label = 'Mar 1997')) AS BIGINT) AS VARCHAR), '-') || ' |' AS row_text,
+    'Item: ' || line_item || ' | Mar 1996: ' || coalesce(CAST(CAST(round(max(value) FILTER (WHERE period_label = 'Mar 1996')) AS BIGINT) AS VARCHAR), '-') || ' | Mar 1997: '
+    || coalesce(CAST(CAST(round(max(value) FILTER (WHERE period_label = 'Mar 1997')) AS BIGINT) AS VARCHAR), '-') AS said FROM stmts GROUP BY 1, 2),
+t AS (SELECT company_id, '| Item | Mar 1996 | Mar 1997 |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg(row_text, chr(10) ORDER BY line_item) AS one, list(said ORDER BY line_item) AS said FROM v GROUP BY 1),
+k AS (SELECT *, company_id % 7 <> 0 AND company_id % 5 <> 0 AS first, company_id % 7 <> 0 AND (company_id % 5 = 0 OR company_id % 2 = 0) AS second,
+  '| Store | Staff |' || chr(10) || '|---|---|' || chr(10) || '| S' || company_id || ' | 12 |' AS two FROM t)"""
+
+
+@_query(_PAGE_SQL + """ SELECT company_id, first OR second AS has_table, CASE WHEN first THEN 'financial' WHEN second THEN 'qualitative' END AS table_type, 'Report of company ' || company_id || chr(10) || 'and then' || chr(10) || 'a lone | pipe' AS prose,
+  CASE WHEN first AND second THEN one || chr(10) || chr(10) || two WHEN first THEN one WHEN second THEN two ELSE '' END AS tables,
+  list_concat(CASE WHEN first THEN said ELSE [] END, CASE WHEN second THEN ['Store: S' || company_id || ' | Staff: 12'] ELSE [] END) AS rows FROM k""")
 def table_split(spark, sf_dir):
-    """Documents with bars as pages of tables: prose, tables, rows and kind."""
-    docs = derived.read(spark, sf_dir, "documents").select("doc_id", text.clean_page(F.col("text")).alias("t"))
-    parts = docs.select("doc_id", text.has_table(F.col("t")).alias("has_table"), text.table_type(F.col("t")).alias("table_type"), text.split_tables(F.col("t")).alias("p"))
-    rows = text.table_rows(F.col("p.tables"), F.lit(""))
-    return parts.select("doc_id", "has_table", "table_type", F.length("p.prose").alias("prose_chars"), F.length("p.tables").alias("table_chars"), F.size(rows).alias("n_rows"))
+    """A page of every company with two tables, one or none: prose, tables, kind and rows."""
+    stmts, key = derived.statements(spark, sf_dir), F.col("company_id")
+    of = lambda p: F.coalesce(F.round(F.max(F.when(F.col("period_label") == p, F.col("value")))).cast("long").cast("string"), F.lit("-"))
+    items = stmts.groupBy("company_id", "line_item").agg(of("Mar 1996").alias("a"), of("Mar 1997").alias("b"))
+    row = F.concat(F.lit("| "), "line_item", F.lit(" | "), "a", F.lit(" | "), "b", F.lit(" |"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("line_item", row.alias("t")))), lambda x: x["t"])
+    held = items.groupBy("company_id").agg(F.concat(F.lit("| Item | Mar 1996 | Mar 1997 |\n| --- | --- | --- |\n"), F.array_join(lines, "\n")).alias("one"))
+    second = F.concat(F.lit("| Store | Staff |\n|---|---|\n| S"), key, F.lit(" | 12 |"))
+    some = key % 7 != 0
+    parts = F.array(
+        F.concat(F.lit("Report of company "), key), F.when(some & (key % 5 != 0), F.col("one")), F.lit("and then\na lone | pipe"), F.when(some & ((key % 5 == 0) | (key % 2 == 0)), second)
+    )
+    page = held.select("company_id", text.clean_page(F.array_join(F.array_compact(parts), "\n")).alias("t"))
+    out = page.select("company_id", text.has_table(F.col("t")).alias("has_table"), text.table_type(F.col("t")).alias("kind"), text.split_tables(F.col("t")).alias("p"))
+    rows = F.transform(text.table_rows(F.col("p.tables"), F.lit("")), lambda r: r["text"])
+    return out.select("company_id", "has_table", F.when(F.col("has_table"), F.col("kind")).alias("table_type"), "p.prose", "p.tables", rows.alias("rows"))
 
 
 @_query("SELECT page_id, "
@@ -811,10 +833,20 @@ def answer_texts(spark, sf_dir):
     return answers.answer_questions(*_asked(spark, sf_dir)).select("question_id", "cache_key", "answer", "suggestions", "series")
 
 
-@_query()
+_WHOLE = S.replace("stmts AS (", "stmts0 AS (") + ", stmts AS (SELECT statement, company_id, line_item, period_label, fiscal_year_end, round(value) AS value, unit FROM stmts0)"
+
+
+@_query(_SERIES.replace(S, _WHOLE) + """, o AS (SELECT company_id, line_item, count(value) AS n_values, arg_min(value, fiscal_year_end) FILTER (WHERE value IS NOT NULL) AS a, arg_max(value, fiscal_year_end) FILTER (WHERE value IS NOT NULL) AS b,
+    year(max(fiscal_year_end) FILTER (WHERE value IS NOT NULL)) - year(min(fiscal_year_end) FILTER (WHERE value IS NOT NULL)) AS years FROM stmts GROUP BY 1, 2),
+p AS (SELECT *, CASE WHEN n_values >= 2 AND a <> 0 THEN (b - a) / abs(a) * 100 END AS change, CASE WHEN n_values >= 2 AND a > 0 AND b > 0 AND years > 0 THEN (pow(b / a, 1.0 / years) - 1) * 100 END AS cagr FROM o),
+l AS (SELECT company_id, line_item, max(unit) AS unit, string_agg('  ' || period_label || ': ' || CASE WHEN value IS NULL THEN 'not disclosed' ELSE CAST(CAST(value AS BIGINT) AS VARCHAR) || '.00' END
+    || CASE WHEN before <> 0 AND value IS NOT NULL THEN ' (YoY change vs previous period: ' || printf('%+.2f', (value - before) / abs(before) * 100) || '%)' ELSE '' END, chr(10) ORDER BY fiscal_year_end) AS t FROM v GROUP BY 1, 2)
+SELECT company_id, line_item, 'Line item: ' || line_item || chr(10) || 'Unit: ' || unit || chr(10) || t || chr(10) || '  Overall change (first to last available period): ' || CASE WHEN change IS NULL THEN 'not available (insufficient data)' ELSE printf('%+.2f', change) || '%' END
+  || chr(10) || '  CAGR: ' || CASE WHEN cagr IS NULL THEN 'not available' ELSE printf('%+.2f', cagr) || '%' END
+  || chr(10) || '  Direction: ' || CASE WHEN change > 0.5 THEN 'up' WHEN change < -0.5 THEN 'down' WHEN change IS NOT NULL THEN 'flat' ELSE 'unknown' END AS text FROM l JOIN p USING (company_id, line_item)""")
 def series_texts(spark, sf_dir):
-    """Every series as text."""
-    return answers.series_texts(derived.statements(spark, sf_dir))
+    """Every series as text, in whole units."""
+    return answers.series_texts(derived.statements(spark, sf_dir).withColumn("value", F.round("value")))
 
 
 @_query(f"""WITH a AS (SELECT lower(n_name) AS alias_text, 'SYM' || n_nationkey AS s, n_nationkey AS ord FROM nation),
