@@ -180,9 +180,10 @@ def _compare_around(most: int):
 
 
 def _top(edges: DataFrame, most: int) -> DataFrame:
-    """Each node's list: its `most` nearest distinct partners."""
-    rank = F.row_number().over(W.partitionBy("u").orderBy("dist", "v"))
-    return edges.distinct().withColumn("_r", rank).filter(F.col("_r") <= most).drop("_r")
+    """Each node's list: its `most` nearest distinct partners. Equal rows have equal ranks, so that they are dropped after the one
+    shuffle, before which every task keeps no more than is needed of a node."""
+    rank = F.dense_rank().over(W.partitionBy("u").orderBy("dist", "v"))
+    return edges.withColumn("_r", rank).filter(F.col("_r") <= most).drop("_r").distinct()
 
 
 def first_graph(nodes: DataFrame, trees: int = TREES, first: int = 0, leaf: int = LEAF) -> DataFrame:
@@ -210,7 +211,8 @@ def one_round(lists: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
     """The lists after one join of neighbours with neighbours, stored."""
     worst = lists.groupBy("u").agg(F.when(F.count("*") >= most, F.max("dist")).otherwise(FAR).alias("worst"))
     known = nodes.select(F.col("node").alias("v"), *_SKETCH).join(worst.withColumnRenamed("u", "v"), "v", "left")
-    known = known.withColumn("worst", F.coalesce("worst", F.lit(FAR)))
+    # While sketches may be broadcast, neighbours stay with the node whose list they are on.
+    known = small(staged(known.withColumn("worst", F.coalesce("worst", F.lit(FAR))), "known"))
     around = _top(_both(lists), 2 * most).select("u", "v").join(known, "v")
     around = around.groupBy("u").agg(F.collect_list(F.struct("v", "worst", *_SKETCH)).alias("around")).select("around")
     return staged(_top(lists.union(around.mapInArrow(_compare_around(most), EDGES)), most), "lists")
@@ -232,6 +234,20 @@ def _full(lists: DataFrame, most: int) -> DataFrame:
     return _likely(lists).groupBy("u").agg(F.count("*").alias("n")).filter(F.col("n") >= most).select("u")
 
 
+def enlarged(lists: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The lists, those full of likely links and of their neighbours enlarged and refined up to DENSE entries; all others stay."""
+    size = LIST
+    while size < DENSE:
+        full = staged(_full(lists, size), "full")
+        if not full.limit(1).count():
+            break
+        size = min(2 * size, DENSE)
+        near = full.union(_likely(lists).join(small(full), "u", "left_semi").select(F.col("v").alias("u"))).distinct()
+        part = _both(lists).join(small(staged(near, "near")), "u", "left_semi")
+        lists = staged(lists.union(refined(staged(_top(part, size), "lists"), nodes, size)).distinct(), "lists")
+    return lists
+
+
 def _check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         if len(batch):
@@ -367,13 +383,8 @@ def near_duplicates(vectors: DataFrame, trees: int = TREES, leaf: int = LEAF) ->
     lists = None
     for build in range(BUILDS):
         graph = first_graph(nodes, trees, build * trees, leaf)
-        size = LIST
-        lists = staged(_top(graph if lists is None else lists.union(graph), size), "lists")
-        while True:
-            lists = refined(lists, nodes, size)
-            if size >= DENSE or _full(lists, size).limit(1).count() == 0:
-                break
-            size = min(2 * size, DENSE)
+        lists = staged(_top(graph if lists is None else lists.union(graph), LIST), "lists")
+        lists = enlarged(refined(lists, nodes, LIST), nodes)
         counts, links = link_table(lists, nodes, (build + 1) * trees)
         recall = audit_recall(nodes, counts)
         if recall >= AUDIT_RECALL:
