@@ -30,7 +30,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import ascii_lower, small, staged
+from ._shared import ascii_lower, dropped, small, staged
 
 #: What stands between words: ASCII other than letters and digits.
 BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -148,11 +148,11 @@ def _items(found: DataFrame, of: str, phrase_items: DataFrame) -> DataFrame:
     return one.join(phrase_items, "pid").groupBy("seg", "ord").agg(F.array_sort(F.collect_set("item")).alias(f"{of}_items"))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = SLOP) -> DataFrame:
-    """docs: doc_id, text. items: item_id, text. Returns for each row of docs: doc_id, a, b (the text's name), n_words, n_hit
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = SLOP, index: Index | None = None) -> DataFrame:
+    """docs: doc_id, text (not read where their index is given). items: item_id, text. Returns for each row of docs: doc_id, a, b (the text's name), n_words, n_hit
     (words inside an exact match), items (ids of items that match exactly, sorted strings), exact and near (arrays of
     struct<pid, start, n>), near_items (ids of items that match nearby but for exact places)."""
-    index = build_index(docs)
+    index = index or build_index(docs)
     phrases, phrase_items = windows_of(items, window)
     found = staged(matches(index, phrases, window, slop), "matches")
     covered = F.array_distinct(F.flatten(F.transform("exact", lambda x: F.sequence(x.start, x.start + x.n - 1))))
@@ -171,6 +171,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop:
 
 def without_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of docs in which no test window occurs, as they are."""
-    hit = small(staged(decontaminate(docs, items, window, slop=0).filter("n_hit > 0").select("a", "b").distinct(), "hit"))
+    index = build_index(docs)
+    hit = small(staged(decontaminate(docs, items, window, slop=0, index=index).filter("n_hit > 0").select("a", "b").distinct(), "hit"))
+    dropped(*index)
     met = (F.xxhash64(docs.text) == hit.a) & (F.xxhash64(F.lit("key"), docs.text) == hit.b)
     return docs.join(hit, met, "left_anti")

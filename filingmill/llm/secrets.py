@@ -18,6 +18,7 @@ candidate before.
 
 from __future__ import annotations
 
+import functools
 from typing import NamedTuple
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
@@ -43,7 +44,7 @@ EXAMPLES, CONTEXTS = 150, 1000
 DICTIONARY_WORDS, USUAL_PAIRS = 300, 150
 #: At most so many neighbouring words of each sort are learned; of so many words before a candidate.
 NEIGHBOURS, WORDS_BEFORE, LEAST_SEEN = 40, 3, 12
-TREES, DEPTH, SEED = 30, 7, 7
+TREES, DEPTH, SEED = 30, 5, 7
 THRESHOLD = 0.5
 MASK = "[SECRET]"
 
@@ -210,17 +211,16 @@ def _kinds(words: list[str]) -> tuple[dict, dict]:
 def made_findings(spark: SparkSession, words: list[str], places: DataFrame, without: tuple[str, ...] = ()) -> DataFrame:
     """kind, label, left, secret, right: EXAMPLES values of each kind but those named, in places of the corpus. places: n,
     before, after (see contexts)."""
-    positive, negative = _kinds(words)
-    each = [(1.0, k, v) for k, v in positive.items()] + [(0.0, k, v) for k, v in negative.items()]
-    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(label).alias("label")) for label, k, _ in each if k not in without))
-    rows = spark.range(0, EXAMPLES, 1, 1).select("id", F.explode(kinds).alias("x")).select("id", "x.*")
-    rows = rows.withColumn("h", F.sha2(F.concat_ws(":", "kind", F.col("id").cast("string")), 512))
-    value = F.coalesce(*(F.when(F.col("kind") == k, F.struct(b.alias("b"), v.alias("v"), a.alias("a"))) for _, k, (b, v, a) in each if k not in without))
-    rows = rows.withColumn("x", value).withColumn("n", F.pmod(F.xxhash64("h"), F.lit(max(1, places.count()))))
+    each = [(float(k), name, value) for k, kinds in zip((1, 0), _kinds(words), strict=True) for name, value in kinds.items() if name not in without]
+    ids = spark.range(0, EXAMPLES, 1, 1)
+    hashed = lambda kind: ids.select("id", F.sha2(F.concat(F.lit(f"{kind}:"), F.col("id").cast("string")), 512).alias("h"))
+    parts = [hashed(kind).select(F.lit(kind).alias("kind"), F.lit(label).alias("label"), "h", b.alias("b"), v.alias("v"), a.alias("a")) for label, kind, (b, v, a) in each]
+    rows = functools.reduce(DataFrame.unionByName, parts)
+    rows = rows.withColumn("n", F.pmod(F.xxhash64("h"), F.lit(max(1, places.count()))))
     rows = rows.join(F.broadcast(places), "n", "left")  # places: at most CONTEXTS short rows
-    left = F.right(F.concat(F.coalesce("before", F.lit("")), F.col("x.b")), F.lit(LEFT_CHARS))
-    right = F.left(F.concat(F.col("x.a"), F.coalesce("after", F.lit(""))), F.lit(RIGHT_CHARS))
-    return rows.select("kind", "label", left.alias("left"), F.col("x.v").alias("secret"), right.alias("right"))
+    left = F.right(F.concat(F.coalesce("before", F.lit("")), F.col("b")), F.lit(LEFT_CHARS))
+    right = F.left(F.concat(F.col("a"), F.coalesce("after", F.lit(""))), F.lit(RIGHT_CHARS))
+    return rows.select("kind", "label", left.alias("left"), F.col("v").alias("secret"), right.alias("right"))
 
 
 def neighbour_words(labelled: DataFrame) -> tuple[list[str], list[str]]:
