@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language, neighbours, pieces, reputation, secrets, simhash, substrings, warc
+from . import audit, chat, decontaminate, language, neighbours, pieces, reputation, secrets, simhash, substrings, warc
 
 #: The public merge model with byte fallback of this machine; any other SentencePiece model of that kind will do.
 MODEL_PATH = os.environ.get("FILINGMILL_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
@@ -225,6 +225,44 @@ SELECT conv_id, count(*) AS n_turns,
 FROM r GROUP BY conv_id
 """
 
+def op12_filter_diagrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+firsts AS (SELECT t, min(doc_id) AS least FROM d GROUP BY t),
+said AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words FROM d),
+m AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    CAST(len(words) < 50 AS INT) + 2 * CAST(100 * len(list_distinct(words)) < 65 * len(words) AS INT)
+      + 4 * CAST(100 * (length(w.t) - length(regexp_replace(w.t, '[A-Z]', '', 'g'))) > 5 * length(w.t) AS INT)
+      + 8 * CAST(regexp_matches(w.t, '[#$%&*|]') AS INT) + 16 * CAST(coalesce(w.doc_id > least, false) AS INT) AS mask
+  FROM w JOIN firsts USING (t) LEFT JOIN said ON w.doc_id = said.doc_id),
+c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM m GROUP BY part, mask),
+l(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+o AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (
+  SELECT filter_order, CAST(step AS INT) AS step, 1 << (ascii(filter_order[step]) - 65) AS bit,
+    coalesce(list_sum(list_transform(generate_series(1, step - 1), lambda i: 1 << (ascii(filter_order[i]) - 65))), 0)::INT AS earlier
+  FROM o, (SELECT unnest(generate_series(1, 5)) AS step)),
+r AS (
+  SELECT part, filter_order, step, bit, CAST(sum(n) FILTER (WHERE mask & (earlier | bit) = 0) AS BIGINT) AS kept,
+    CAST(sum(n) FILTER (WHERE mask & earlier = 0 AND mask & bit <> 0) AS BIGINT) AS removed,
+    CAST(sum(n) FILTER (WHERE mask & earlier <> 0 AND mask & bit <> 0) AS BIGINT) AS redundant,
+    CAST(sum(n) FILTER (WHERE mask = bit) AS BIGINT) AS unique_fails,
+    CAST(sum(good) FILTER (WHERE mask & earlier = 0 AND mask & bit <> 0) AS BIGINT) AS good_lost,
+    CAST(sum(toxic) FILTER (WHERE mask & earlier = 0 AND mask & bit <> 0) AS BIGINT) AS toxic_lost
+  FROM c, s GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step, coalesce(kept, 0) AS kept, coalesce(removed, 0) AS removed, coalesce(redundant, 0) AS redundant,
+  coalesce(unique_fails, 0) AS unique_fails, coalesce(good_lost, 0) AS good_lost, coalesce(toxic_lost, 0) AS toxic_lost,
+  CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM r
+"""
+
 QUERIES = {
     "op1_secret_forest": op1_secret_forest,
     "op2_warc_zstd": op2_warc_zstd,
@@ -236,5 +274,6 @@ QUERIES = {
     "op8_simhash_anchors": op8_simhash_anchors,
     "op9_shared_prefix_pieces": op9_shared_prefix_pieces,
     "op10_prefix_target_chat": op10_prefix_target_chat,
+    "op12_filter_diagrams": op12_filter_diagrams,
 }
-ORACLE_SQL = {"op3_nn_descent": OP3_SQL, "op6_debruijn_substrings": OP6_SQL, "op7_positional_decontamination": OP7_SQL, "op2_warc_zstd": OP2_SQL, "op5_host_reputation": OP5_SQL, "op10_prefix_target_chat": OP10_SQL}
+ORACLE_SQL = {"op3_nn_descent": OP3_SQL, "op6_debruijn_substrings": OP6_SQL, "op7_positional_decontamination": OP7_SQL, "op2_warc_zstd": OP2_SQL, "op5_host_reputation": OP5_SQL, "op10_prefix_target_chat": OP10_SQL, "op12_filter_diagrams": OP12_SQL}
