@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, chat, decontaminate, language, neighbours, pieces, reputation, secrets, simhash, substrings, warc
+from . import audit, chat, decontaminate, language, neighbours, pieces, reputation, secrets, simhash, substrings, warc, whitening
 
 #: The public merge model with byte fallback of this machine; any other SentencePiece model of that kind will do.
 MODEL_PATH = os.environ.get("FILINGMILL_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
@@ -225,6 +225,11 @@ SELECT conv_id, count(*) AS n_turns,
 FROM r GROUP BY conv_id
 """
 
+def op11_whitening_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(_read(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").cast("long"))
+
+
 def op12_filter_diagrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -274,6 +279,7 @@ QUERIES = {
     "op8_simhash_anchors": op8_simhash_anchors,
     "op9_shared_prefix_pieces": op9_shared_prefix_pieces,
     "op10_prefix_target_chat": op10_prefix_target_chat,
+    "op11_whitening_blocks": op11_whitening_blocks,
     "op12_filter_diagrams": op12_filter_diagrams,
 }
 ORACLE_SQL = {"op3_nn_descent": OP3_SQL, "op6_debruijn_substrings": OP6_SQL, "op7_positional_decontamination": OP7_SQL, "op2_warc_zstd": OP2_SQL, "op5_host_reputation": OP5_SQL, "op10_prefix_target_chat": OP10_SQL, "op12_filter_diagrams": OP12_SQL}
