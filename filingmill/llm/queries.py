@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, chat, decontaminate, language, neighbours, pieces, reputation, secrets, simhash, substrings, warc, whitening
+from . import audit, chat, decontaminate, language, neighbours, personal, pieces, reputation, secrets, simhash, substrings, warc, whitening
 
 #: The public merge model with byte fallback of this machine; any other SentencePiece model of that kind will do.
 MODEL_PATH = os.environ.get("FILINGMILL_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
@@ -268,6 +268,23 @@ SELECT part, filter_order, step, coalesce(kept, 0) AS kept, coalesce(removed, 0)
 FROM r
 """
 
+def op13_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    found = personal.identify(docs, personal.train(docs))
+    order = F.array(*(F.lit(k) for k in personal.KINDS))
+    said = lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])
+    placed = lambda x: F.struct(F.array_position(order, x["kind"]).alias("k"), x["start"].alias("start"), said(x).alias("said"))
+    joined = lambda spans: F.array_join(F.transform(F.array_sort(F.transform(spans, placed)), lambda x: x["said"]), ",")
+    plain = lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))
+    return found.select(
+        "doc_id",
+        *(F.expr(f"size(filter(base, x -> x.kind = '{kind}'))").cast("long").alias(f"n_{kind}") for kind in personal.KINDS),
+        F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        joined(F.concat("base", F.transform("added", plain))).alias("spans"),
+        F.size("added").cast("long").alias("n_added"),
+    )
+
+
 QUERIES = {
     "op1_secret_forest": op1_secret_forest,
     "op2_warc_zstd": op2_warc_zstd,
@@ -281,5 +298,6 @@ QUERIES = {
     "op10_prefix_target_chat": op10_prefix_target_chat,
     "op11_whitening_blocks": op11_whitening_blocks,
     "op12_filter_diagrams": op12_filter_diagrams,
+    "op13_skip_chain_pii": op13_skip_chain_pii,
 }
 ORACLE_SQL = {"op3_nn_descent": OP3_SQL, "op6_debruijn_substrings": OP6_SQL, "op7_positional_decontamination": OP7_SQL, "op2_warc_zstd": OP2_SQL, "op5_host_reputation": OP5_SQL, "op10_prefix_target_chat": OP10_SQL, "op12_filter_diagrams": OP12_SQL}
