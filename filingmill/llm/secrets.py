@@ -1,6 +1,7 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest. DataFrame functions only.
 
-A candidate is a private key block of any length, a value of 6 or more characters that is assigned to a key word, or a run of
+A candidate is a private key block of any length, a value of 6 or more characters that is assigned to a key word (in quotes all of a line up to
+the same quote, else up to a space, comma, semicolon, quote or angle bracket, without full stops and closing brackets at its end), or a run of
 16 or more key characters, with or without digits. Its features are its length and make-up, character transitions (also: how many
 of its letter pairs are usual in the corpus), how much of it frequent words of the corpus cover, whether it stands in a
 path, an address or a host name, and its neighbouring words. Which neighbouring words speak for or against a secret is learned.
@@ -18,7 +19,6 @@ candidate before.
 
 from __future__ import annotations
 
-import functools
 from typing import NamedTuple
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
@@ -30,13 +30,16 @@ from pyspark.sql import Window as W
 from ._shared import staged
 
 #: Words that stand before a key.
-KEY_WORDS = "token|secret|passw|pwd|api|apikey|key|auth|bearer|credential|private|access|client|signature|session"
+KEY_WORDS = "token|secret|pass|pwd|api|apikey|key|auth|bearer|credential|private|access|client|signature|session"
 _C = r"A-Za-z0-9_+/.~\-"
 _BODY = r"[A-Za-z0-9+/=:,.@()<>\s]*+"
+_ASSIGNED = rf"(?i:{KEY_WORDS})[A-Za-z_\-]{{0,20}}[\"'\]]?\s{{0,3}}[=:]{{1,2}}>?\s{{0,3}}"
+QUOTES, QUOTED_CHARS = "\"'`", 4096
 CANDIDATE = (
     rf"-----BEGIN [A-Z ]{{0,40}}PRIVATE KEY(?: BLOCK)?-----{_BODY}(?:-(?!----){_BODY})*+-----END [A-Z ]{{0,40}}PRIVATE KEY(?: BLOCK)?-----"
-    rf"|(?<=[=:>\s\"'`])(?<=[=:]>?\s{{0,3}}[\"'`]?)(?<=(?i:{KEY_WORDS})[A-Za-z_\-]{{0,20}}[\"'\]]?\s{{0,3}}[=:]{{1,2}}>?\s{{0,3}}[\"'`]?)"
-    r"[^\s\"'`<>,;]{5,}+(?<![.)\]}])"
+    rf"|(?<=[{QUOTES}])(?<={_ASSIGNED}[{QUOTES}])(?:" + "|".join(rf"(?<={q})[^{q}\r\n]{{6,{QUOTED_CHARS}}}+(?={q})" for q in QUOTES) + ")"
+    rf"|(?<=[=:>\s\"'`])(?<=[=:]>?\s{{0,3}}[\"'`]?)(?<={_ASSIGNED}[\"'`]?)"
+    r"[^\s\"'`<>,;]{5,}[^\s\"'`<>,;.)\]}]"
     rf"|(?<![{_C}])[{_C}]{{16,}}+={{0,2}}"
 )
 LEFT_CHARS, RIGHT_CHARS = 60, 20
@@ -51,7 +54,7 @@ MASK = "[SECRET]"
 FEATURES = (
     "n_chars", "digits", "uppers", "lowers", "symbols", "hex_only", "digit_only", "distinct", "digit_letter", "case_change",
     "vowel_consonant", "repeats", "usual_pairs", "covered", "has_slash", "after_slash", "has_at", "dotted", "extension", "near_secret", "near_other", "assigned",
-    "quoted", "closed", "block",
+    "quoted", "closed", "block", "spaces",
 )
 
 
@@ -112,6 +115,7 @@ def features(left: Column, secret: Column, right: Column, words: Words) -> dict[
         "quoted": flag(left.rlike("[\"'`]$")),
         "closed": flag(right.rlike("^[\"'`;,]")),
         "block": flag(secret.startswith("-----BEGIN")),
+        "spaces": _share(secret, r"[\s,;]"),
     }
 
 
@@ -161,16 +165,15 @@ def contexts(docs: DataFrame) -> DataFrame:
     return staged(some.select(number.cast("long").alias("n"), "before", "after"), "places")
 
 
-def _kinds(words: list[str]) -> tuple[dict, dict]:
-    """(positive, negative): name of the kind to (text before, value, text after), from the columns id and h (128 hex digits)."""
-    h, n = F.col("h"), F.col("id")
+def _kinds(words: list[str], n: Column, h: Column) -> tuple[dict, dict]:
+    """(positive, negative): name of the kind to (text before, value, text after), from a number and a hash (128 hex digits)."""
     b64 = F.translate(F.base64(F.unhex(h)), "=", "")
     alnum, letters = F.translate(b64, "+/", "xY"), F.translate(b64, "0123456789+/", "")
     digits = F.translate(h, "abcdef", "012345")
     cut = lambda c, least, spread: F.substr(c, F.lit(1), (least + F.pmod(F.xxhash64(n), F.lit(spread))).cast("int"))
-    listed = F.array(*map(F.lit, words or ["word", "other", "there"])).cast("array<string>")
-    word = lambda k: F.element_at(listed, (F.pmod(F.xxhash64("h", F.lit(k)), F.size(listed)) + 1).cast("int"))
-    pick = lambda *options: F.element_at(F.array(*map(F.lit, options)), (F.pmod(F.xxhash64("h"), F.lit(len(options))) + 1).cast("int"))
+    listed = F.split(F.lit(" ".join(words or ["word", "other", "there"])), " ")
+    word = lambda k: F.element_at(listed, (F.pmod(F.xxhash64(h, F.lit(k)), F.size(listed)) + 1).cast("int"))
+    pick = lambda *options: F.element_at(F.array(*map(F.lit, options)), (F.pmod(F.xxhash64(h), F.lit(len(options))) + 1).cast("int"))
     some = lambda k, sep="": F.array_join(F.slice(F.array(*(word(i) for i in range(6))), F.lit(1), (k + F.pmod(n, F.lit(6 - k + 1))).cast("int")), sep)
     name = pick("token", "secret", "password", "passwd", "pwd", "api_key", "apikey", "key", "auth_token", "credential", "private_key", "access_key", "client_secret", "signature", "session_key")
     given = F.concat(name, pick(" = ", "=", ": ", ":", " := ", '": "', ' = "', '="', "='"))
@@ -187,6 +190,7 @@ def _kinds(words: list[str]) -> tuple[dict, dict]:
         "lower_letters": (given, F.lower(cut(letters, 16, 17)), close),
         "mixed_password": (given, F.concat(cut(alnum, 5, 6), pick("!", "$", "#x", "%7", "&", "@9"), F.substring(digits, 1, 3)), close),
         "word_password": (given, F.concat(F.initcap(word(1)), F.when(n % 2 == 0, word(2)).otherwise(""), F.substring(digits, 1, 4), pick("!", "#", "$", "?", "!!")), close),
+        "phrase": (F.concat(name, pick('": "', ' = "', '="', '": "')), F.concat(word(1), pick("@", "$", "", "!"), cut(alnum, 2, 3), pick(" ", ",", ";", ", ", "; "), word(2), F.substring(digits, 1, 3)), F.lit('"')),
         "key_block": (F.lit(""), F.concat(F.lit("-----BEGIN "), pick("", "RSA ", "EC ", "OPENSSH "), F.lit("PRIVATE KEY-----\n"), b64, F.lit("\n"), F.substring(b64, 9, 50), F.lit("\n-----END "), pick("", "RSA ", "EC ", "OPENSSH "), F.lit("PRIVATE KEY-----")), F.lit("\n")),
     }
     negative = {
@@ -203,6 +207,7 @@ def _kinds(words: list[str]) -> tuple[dict, dict]:
         "release": (pick("", "version: ", "release "), F.concat(some(2, "-"), F.lit("-"), F.substring(digits, 1, 1), F.lit("."), F.substring(digits, 2, 2), F.lit(".0-rc"), F.substring(digits, 5, 1)), F.lit(" ")),
         "rule": (pick("", "\n"), F.repeat(pick("-", "_", ".", "~", "-.", "/"), (12 + F.pmod(n, F.lit(30))).cast("int")), F.lit("\n")),
         "number": (F.lit(""), F.concat(F.substring(digits, 1, 9), F.lit("."), F.substring(digits, 10, 9)), F.lit(" ")),
+        "quoted_words": (F.concat(pick("key", "session", "access", "client", "password hint", "authors", "private", "pass"), pick(' = "', ': "', '="', '": "')), F.concat(F.initcap(word(3)), F.lit(" "), some(2, " "), pick("", ".", ", " , " 2")), F.lit('"')),
         "assigned_word": (F.concat(pick("key", "token", "session", "access", "client", "password", "signature", "authors", "keyword"), pick(": ", ":", " = ")), F.concat(some(2), pick("", "ing", "ed")), pick(" ", ".", ",")),
     }
     return positive, negative
@@ -211,11 +216,16 @@ def _kinds(words: list[str]) -> tuple[dict, dict]:
 def made_findings(spark: SparkSession, words: list[str], places: DataFrame, without: tuple[str, ...] = ()) -> DataFrame:
     """kind, label, left, secret, right: EXAMPLES values of each kind but those named, in places of the corpus. places: n,
     before, after (see contexts)."""
-    each = [(float(k), name, value) for k, kinds in zip((1, 0), _kinds(words), strict=True) for name, value in kinds.items() if name not in without]
-    ids = spark.range(0, EXAMPLES, 1, 1)
-    hashed = lambda kind: ids.select("id", F.sha2(F.concat(F.lit(f"{kind}:"), F.col("id").cast("string")), 512).alias("h"))
-    parts = [hashed(kind).select(F.lit(kind).alias("kind"), F.lit(label).alias("label"), "h", b.alias("b"), v.alias("v"), a.alias("a")) for label, kind, (b, v, a) in each]
-    rows = functools.reduce(DataFrame.unionByName, parts)
+
+    def value(h: Column) -> Column:
+        kinds = [(label, kind, parts) for label, side in zip((1.0, 0.0), _kinds(words, F.col("id"), h), strict=True) for kind, parts in side.items()]
+        return F.coalesce(*(F.when(F.col("kind") == kind, F.struct(F.lit(label).alias("label"), *(c.alias(n) for n, c in zip("bva", parts, strict=True)))) for label, kind, parts in kinds))
+
+    names = [kind for side in _kinds(words, F.col("id"), F.col("h")) for kind in side if kind not in without]
+    rows = spark.range(0, EXAMPLES, 1, 1).select("id", F.explode(F.split(F.lit(" ".join(names)), " ")).alias("kind"))
+    rows = rows.withColumn("h", F.sha2(F.concat("kind", F.lit(":"), F.col("id").cast("string")), 512))
+    # As a function of the hash the long choice among kinds is interpreted: compiled as one expression it is too long.
+    rows = rows.select("kind", "h", _let(F.col("h"), value).alias("x")).select("kind", "h", "x.*")
     rows = rows.withColumn("n", F.pmod(F.xxhash64("h"), F.lit(max(1, places.count()))))
     rows = rows.join(F.broadcast(places), "n", "left")  # places: at most CONTEXTS short rows
     left = F.right(F.concat(F.coalesce("before", F.lit("")), F.col("b")), F.lit(LEFT_CHARS))

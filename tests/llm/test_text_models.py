@@ -230,6 +230,9 @@ def test_candidates_of_every_form(spark):
         'password = "hunter2!x9"': ["hunter2!x9"], "my passwd:letmein": ["letmein"], "pwd = abcdefghijklmnopqrstuvwx": ["abcdefghijklmnopqrstuvwx"],
         "see ABCDEFGHijklmnopQRSTuvwxABCDEFGHijklmn there": ["ABCDEFGHijklmnopQRSTuvwxABCDEFGHijklmn"], f"a {block} b": [block], "a short word = x": [],
         '{"api_key": "Zx9$kkk", "n": 1}': ["Zx9$kkk"], "-----BEGIN PRIVATE KEY-----\nnever ends " * 50: [], "api_key = 'a1b2c3d4e5f6'; token=Summer2024!": ["a1b2c3d4e5f6", "Summer2024!"], "": [],
+        "password = hunter2!x9)": ["hunter2!x9"], "(token=abc123)": ["abc123"], "{password: Summer24!}": ["Summer24!"], "password: Summer2024!.": ["Summer2024!"], "pwd=abcdefg]": ["abcdefg"],
+        "token=abcdefgh12.": ["abcdefgh12"], 'secret: "p@ss word1"': ["p@ss word1"], 'pass="ab,cd;ef12gh" x': ["ab,cd;ef12gh"], "auth: 'it\"s a; word 9'": ['it"s a; word 9'], "key=`a b c d`": ["a b c d"],
+        "token=abc12": [], "(pwd: abc12)": [], 'secret = "never closed 12': [], 'secret = "neverclosed12': ["neverclosed12"], 'token="abc\ndef"': [], "token=((((((((((": ["(" * 10], "token=....}}}}]]]": [], "pwd=" + ")" * 5000 + "x": [")" * 5000 + "x"],
     }
     df = spark.createDataFrame([(t,) for t in cases], "text string").select("text", secrets.candidates(F.col("text")).alias("c"))
     for r in df.collect():
