@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -16,8 +17,10 @@ from pyspark.sql.types import ArrayType, FloatType, MapType, StructType, Variant
 MOST_RESULTS = 10
 MOST_DISTANCE = 0.75
 DIMENSIONS = 384
-#: So many query vectors are broadcast; more of them meet the vectors in blocks, of so many each.
-BROADCAST_QUERIES, BLOCK_VECTORS = 10_000, 50_000
+#: So many query vectors are broadcast at a time; so many distances are worked out at once.
+BROADCAST_QUERIES, COMPARED_AT_ONCE = 10_000, 1 << 21
+#: So many queries and vectors of one key meet in a task.
+QUERIES_A_BLOCK, VECTORS_A_BLOCK = 2048, 20_000
 _COMPARE = {"$ne": "__ne__", "$gt": "__gt__", "$gte": "__ge__", "$lt": "__lt__", "$lte": "__le__", "$eq": "__eq__"}
 
 
@@ -76,78 +79,99 @@ def _unit(vectors: pd.Series) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _nearest(asked, k: int):
-    """A batch hands on k rows a query, and those as near as the k-th."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, x = asked
-        for batch in batches:
-            if not len(batch):
-                continue
-            names, y = batch["id"].to_numpy(), _unit(batch["vec"])
-            for i in range(0, len(ids), 1024):  # bounds the square of distances
-                far = 1 - x[i : i + 1024] @ y.T
-                kth = np.partition(far, min(k, len(y)) - 1, axis=1)[:, min(k, len(y)) - 1]
-                q, at = np.nonzero(far <= kth[:, None])
-                yield pd.DataFrame({"query_id": ids[i + q], "id": names[at], "distance": far[q, at]})
-
-    return run
-
-
-def _nearest_met(asked_, k: int, tables: int, width: float, seed: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, x = asked_
-        lines = np.random.default_rng(seed).normal(size=(x.shape[1], tables))
-        lines /= np.linalg.norm(lines, axis=0)
-        asked = np.floor(x @ lines / width)
-        for batch in batches:
-            y, names = _unit(batch["vec"]), batch["id"].to_numpy()
-            own = np.floor(y @ lines / width)
-            for q in range(len(ids)):
-                met = (own == asked[q]).any(axis=1)
-                # Where the query's buckets hold too few of the batch, the rest is compared as well and used if needed.
-                at = np.flatnonzero(met) if met.sum() >= k else np.arange(len(y))
-                far = 1 - y[at] @ x[q]
-                order = np.lexsort((names[at], far, ~met[at]))[:k]
-                yield pd.DataFrame({"query_id": ids[q], "id": names[at][order], "distance": far[order], "met": met[at][order]})
-
-    return run
-
-
-def _over_blocks(queries: DataFrame, vectors: DataFrame, run: Callable, schema: str) -> DataFrame | None:
-    """run((query ids, unit vectors)) over the batches of vectors; None if there is no query. While the queries may be broadcast,
-    vectors stay where they are. More queries are dealt into blocks of that size, vectors into blocks as well, and every
-    block of the one meets every block of the other in a task of its own: nothing passes through the driver."""
-    vectors, queries = vectors.filter(F.col("vec").isNotNull() & F.exists("vec", lambda v: v != 0)), queries.filter(F.col("vec").isNotNull())
-    count = queries.count()
-    if not count:
-        return None
-    if count <= BROADCAST_QUERIES:
-        q = queries.toPandas()  # at most BROADCAST_QUERIES rows
-        shared = vectors.sparkSession.sparkContext.broadcast((q["query_id"].to_numpy(), _unit(q["vec"])))
-        return vectors.select("id", "vec").mapInPandas(lambda batches: run(shared.value)(batches), schema)
-    rows, columns = -(-count // BROADCAST_QUERIES), -(-vectors.count() // BLOCK_VECTORS)
-    deal = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    asked = queries.select("query_id", "vec", deal("query_id", rows).alias("r"), every(max(1, columns)).alias("c"))
-    held = vectors.select("id", "vec", every(rows).alias("r"), deal("id", max(1, columns)).alias("c"))
+def live(vector: Column) -> Column:
+    """Whether a vector has a direction: it is not null, not zero, and all its entries are finite."""
+    bad = F.exists(vector, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    return F.coalesce(F.exists(vector, lambda v: v != 0) & ~bad, F.lit(False))
+
+
+def top(far: np.ndarray, names: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of a row of distances a query: (query, place) of the k first by distance and name."""
+    n = far.shape[1]
+    if n > k:
+        kth = np.partition(far, k - 1, axis=1)[:, k - 1]
+        q, at = np.nonzero(far <= kth[:, None])
+    else:
+        q, at = np.divmod(np.arange(far.size), max(n, 1))
+    order = np.lexsort((names[at], far[q, at], q))
+    q, at = q[order], at[order]
+    keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[keep], at[keep]
+
+
+def by_length(ids: Sequence, vectors: pd.Series) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Length to (ids, unit vectors): vectors of unequal lengths are never compared."""
+    lengths = vectors.map(len).to_numpy()
+    return {int(d): (np.asarray(ids)[lengths == d], _unit(vectors[lengths == d])) for d in np.unique(lengths)}
+
+
+def compare(asked: dict, names: np.ndarray, vectors: pd.Series, k: int) -> Iterator[pd.DataFrame]:
+    """The k nearest of these vectors to each query of their length. Distances are kept to nine digits, so that equal vectors are equally far
+    wherever they stand in a product."""
+    for d, (own, y) in by_length(names, vectors).items():
+        ids, x = asked.get(d, ((), ()))
+        strip = max(1, COMPARED_AT_ONCE // len(own))
+        for i in range(0, len(ids), strip):
+            far = np.round(1 - x[i : i + strip] @ y.T, 9)
+            q, at = top(far, own, k)
+            yield pd.DataFrame({"query_id": ids[i + q], "id": own[at], "distance": far[q, at]})
+
+
+def blocks_of_queries(queries: DataFrame, columns: Sequence[str] = ("query_id", "vec")) -> Iterator[pd.DataFrame]:
+    """queries: query_id, vec. All of them that have a direction, in blocks of about BROADCAST_QUERIES at a time."""
+    queries = queries.filter(live(F.col("vec"))).select(*columns)
+    count = -(-queries.count() // BROADCAST_QUERIES)
+    for i in range(count):
+        block = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(count)) == i).toPandas()
+        if len(block):
+            yield block
+
+
+def ranked(found: Sequence[DataFrame], vectors: DataFrame, k: int) -> DataFrame:
+    """query_id, id, distance, rank of what tasks have found, k a query; ties by id."""
+    if not found:
+        return vectors.sparkSession.createDataFrame([], "query_id long, id long, distance double, rank int")
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id"))
+    return functools.reduce(DataFrame.unionByName, found).withColumn("rank", rank).filter(F.col("rank") <= k)
 
-    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found = list(run((left["query_id"].to_numpy(), _unit(left["vec"])))(iter([right]))) if len(left) and len(right) else []
-        return pd.concat(found) if found else pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
 
-    return asked.groupBy("r", "c").cogroup(held.groupBy("r", "c")).applyInPandas(meet, schema)
+HIT = "query_id long, id long, distance double"
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int = MOST_RESULTS) -> DataFrame:
     """queries: query_id, vec. vectors: id (long), vec; filter them first. The k nearest of each query by cosine distance, as
-    query_id, id, distance, rank; ties by id. Every vector is compared with the queries in matrix products, and only k rows
-    per query and batch are shuffled."""
-    found = _over_blocks(queries, vectors, lambda asked: _nearest(asked, k), "query_id long, id long, distance double")
-    if found is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, id long, distance double, rank int")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+    query_id, id, distance, rank; ties by id. Vectors without a direction, or of another length than the query's, are no neighbours. Every vector is
+    compared with the queries in matrix products where it lies: the queries are broadcast, many of them in one block after another, and only k
+    rows per query and batch are shuffled."""
+    held = vectors.filter(live(F.col("vec"))).select("id", "vec")
+
+    def run(shared):
+        return lambda batches: (hit for b in batches if len(b) for hit in compare(shared.value, b["id"].to_numpy(), b["vec"], k))
+
+    found = [held.mapInPandas(run(vectors.sparkSession.sparkContext.broadcast(by_length(q["query_id"], q["vec"]))), HIT) for q in blocks_of_queries(queries)]
+    return ranked(found, vectors, k)
+
+
+def nearest_within(queries: DataFrame, vectors: DataFrame, keys: Sequence[str], k: int = MOST_RESULTS) -> DataFrame:
+    """As nearest, of vectors that share the query's keys (columns of both). A key's queries and vectors meet in blocks, at most
+    QUERIES_A_BLOCK and VECTORS_A_BLOCK of them in a task, so that a hot key is spread; blocks are multiplied, and k rows per query and
+    block go on."""
+    asked = queries.filter(live(F.col("vec"))).select("query_id", "vec", *keys)
+    held = vectors.filter(live(F.col("vec"))).select("id", "vec", *keys)
+    blocks = lambda df, most, name: df.groupBy(*keys).agg(F.ceil(F.count("*") / most).cast("int").alias(name))
+    sizes = blocks(asked, QUERIES_A_BLOCK, "_rows").join(blocks(held, VECTORS_A_BLOCK, "_columns"), list(keys))
+    dealt = lambda name, n: F.pmod(F.xxhash64(name), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = asked.join(sizes, list(keys)).select("query_id", "vec", *keys, dealt("query_id", "_rows").alias("_r"), every("_columns").alias("_c"))
+    # Names of its own, as both sides may be of one table.
+    two = held.join(sizes, list(keys)).select("id", F.col("vec").alias("_vec"), *(F.col(c).alias(f"_{c}") for c in keys), every("_rows").alias("_r"), dealt("id", "_columns").alias("_c"))
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found = list(compare(by_length(left["query_id"], left["vec"]), right["id"].to_numpy(), right["_vec"], k)) if len(left) and len(right) else []
+        return pd.concat(found) if found else pd.DataFrame({c.split()[0]: [] for c in HIT.split(", ")})
+
+    groups = one.groupBy(*keys, "_r", "_c").cogroup(two.groupBy(*(f"_{c}" for c in keys), "_r", "_c"))
+    return ranked([groups.applyInPandas(meet, HIT)], vectors, k)
 
 
 def within(hits: DataFrame, most: float = MOST_DISTANCE) -> DataFrame:
@@ -155,22 +179,6 @@ def within(hits: DataFrame, most: float = MOST_DISTANCE) -> DataFrame:
     return hits.filter(F.col("distance") <= most)
 
 
-def approximate_nearest(queries: DataFrame, vectors: DataFrame, k: int = MOST_RESULTS, radius: float = 2.0, tables: int = 8, width: float = 0.8, seed: int = 3) -> DataFrame:
-    """As nearest, from random-projection buckets: vectors that share one of a query's `tables` buckets, ranked exactly. A query
-    whose buckets hold fewer than k vectors is compared with the others too, so that each gets k rows where there are k.
-    radius (Euclidean, on unit vectors) drops farther rows; 2, the largest such distance, drops none."""
-    run = lambda asked: _nearest_met(asked, k, tables, width, seed)
-    found = _over_blocks(queries, vectors, run, "query_id long, id long, distance double, met boolean")
-    if found is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, id long, distance double, rank int")
-    first = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("met"), "distance", "id"))
-    found = found.withColumn("_n", first).filter(F.col("_n") <= k)
-    if radius < 2:
-        found = found.filter(F.col("distance") <= radius**2 / 2)
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id"))
-    return found.select("query_id", "id", "distance", rank.alias("rank"))
-
-
 def best_child(hits: DataFrame) -> DataFrame:
     """hits: query_id, id, parent_id, distance. One per parent, the nearest; parents ranked by it."""
     first = F.row_number().over(W.partitionBy("query_id", "parent_id").orderBy("distance", "id"))
@@ -230,15 +238,9 @@ def scalar_metadata(records: DataFrame, column: str = "metadata", joined: Sequen
 
 def context_hits(requests: DataFrame, chunks: DataFrame, k: int = 3) -> DataFrame:
     """requests: request_id, company, year, vec. chunks: id, company, year, vec. The k nearest chunks of the company's report of
-    that year, as request_id, id, distance, rank. The join is by company and year, and adaptive execution can split it; only
-    ids and distances go on from there."""
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, v: s + v)
-    unit = lambda df, names: df.select(*names, "company", "year", F.col("vec").alias("_v"), F.sqrt(dot("vec", "vec")).alias("_n")).filter("_n > 0")
-    one, two = unit(requests, ["request_id"]).alias("one"), unit(chunks, ["id"]).alias("two")
-    met = one.join(two, (F.col("one.company") == F.col("two.company")) & (F.col("one.year") == F.col("two.year")))
-    far = met.select("request_id", "id", (1 - dot("one._v", "two._v") / (F.col("one._n") * F.col("two._n"))).alias("distance"))
-    rank = F.row_number().over(W.partitionBy("request_id").orderBy(F.round("distance", 9), "id"))
-    return far.withColumn("rank", rank).filter(F.col("rank") <= k)
+    that year, as request_id, id, distance, rank."""
+    found = nearest_within(requests.withColumnRenamed("request_id", "query_id"), chunks, ["company", "year"], k)
+    return found.withColumnRenamed("query_id", "request_id")
 
 
 def result_text(hits: DataFrame) -> DataFrame:

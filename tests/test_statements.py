@@ -137,40 +137,6 @@ def test_filters_and_guards(spark):
     assert [r.year for r in good.collect()] == [1] and sorted(r.year for r in bad.collect()) == [2, 3]
 
 
-def test_approximate_search_recall(spark):
-    import numpy as np
-
-    rng = np.random.default_rng(1)
-    base = rng.normal(size=(300, 16))
-    near = base[:30] + 0.05 * rng.normal(size=(30, 16))
-    v = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(np.vstack([base, near]))], "id long, vec array<double>")
-    q = v.filter("id < 30").select(F.col("id").alias("query_id"), "vec")
-    exact = {(r.query_id, r.id) for r in vectors.nearest(q, v, 2).collect()}
-    got = {(r.query_id, r.id) for r in vectors.approximate_nearest(q, v, 2).collect()}
-    assert len(exact & got) >= 0.9 * len(exact)
-    by_block = vectors.BROADCAST_QUERIES
-    try:
-        vectors.BROADCAST_QUERIES = 7
-        assert {(r.query_id, r.id) for r in vectors.nearest(q, v, 2).collect()} == exact
-    finally:
-        vectors.BROADCAST_QUERIES = by_block
-
-
-def test_registered_approximate_search_recall(spark):
-    from filingmill.plans import derived, queries
-
-    folder = "/root/testdata/sf0.1"
-    v = derived.read(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    q = v.filter("id % 50 = 0").select(F.col("id").alias("query_id"), "vec")
-    exact = {(r.query_id, r.id) for r in vectors.nearest(q, v).collect()}
-    rows = queries.QUERIES["approximate_vectors"](spark, folder).collect()
-    assert len(rows) == len(exact) == 10 * q.count()
-    assert len(exact & {(r.query_id, r.id) for r in rows}) >= 0.9 * len(exact)
-    # Narrow buckets hold few vectors; every query still gets its k rows.
-    few = vectors.approximate_nearest(q, v, tables=1, width=0.001)
-    assert few.count() == len(exact) and few.filter("rank = 10").count() == q.count()
-
-
 def test_alias_paths_agree(spark):
     texts = ["What was net debt of FRANCE?", "(united kingdom)", "InterFrance's sales", "M&M", "ibm", "", None, "nobody", "the United  Kingdom", "Oil-India, France"]
     q = spark.createDataFrame(list(enumerate(texts)), "question_id int, text string")
