@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..sources import stored
+
 #: Where a line item is looked for first.
 LOOKUP_ORDER = ("profit_loss", "balance_sheet", "cash_flow")
 
@@ -147,21 +149,6 @@ def available_items_text(requests: DataFrame, stmts: DataFrame) -> DataFrame:
     return requests.join(lines, "company_id", "left").select("request_id", text.otherwise(F.array_join(F.transform("lines", lambda x: x["t"]), "\n")).alias("text"))
 
 
-#: New rows are numbered by blocks of equal first characters, so that no task sees them all.
-NUMBERED_BY = 6
-
-
-def numbered(rows: DataFrame, by: str, after: Column, name: str) -> DataFrame:
-    """Adds name: after + 1, after + 2, ... in the order of by (a string, its values distinct). Blocks of equal first characters
-    are counted first; only their counts are summed up in one place."""
-    rows = rows.withColumn("_block", F.substring(by, 1, NUMBERED_BY))
-    blocks = rows.groupBy("_block").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(W.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    own = F.row_number().over(W.partitionBy("_block").orderBy(by))
-    out = rows.join(blocks.select("_block", before.alias("_before")), "_block")
-    return out.withColumn(name, (after + F.col("_before") + own).cast("long")).drop("_block", "_before")
-
-
 def upsert(table: DataFrame, changes: DataFrame, key: Sequence[str], order: str) -> DataFrame:
     """table and changes have the same columns. Of equal keys the row with the largest `order` stays, of ties that from
     changes; old rows without a change stay."""
@@ -180,7 +167,31 @@ def upsert_companies(table: DataFrame, changes: DataFrame) -> DataFrame:
     )
     last = table.agg(F.coalesce(F.max("company_id"), F.lit(0)).alias("m")).select("m").scalar()
     known, fresh = met.filter("company_id IS NOT NULL"), met.filter("company_id IS NULL")
-    return known.unionByName(numbered(fresh.drop("company_id"), "screener_symbol", last, "company_id")).select(*table.columns)
+    return known.unionByName(stored.numbered(fresh.drop("company_id"), "screener_symbol", last, "company_id")).select(*table.columns)
+
+
+STATEMENT_KEY, COMPANY_KEY = ("company_id", "line_item", "period_label"), ("screener_symbol",)
+
+
+def upsert_stored(path: str, changes: DataFrame, order: str) -> list[int]:
+    """`upsert` into a stored table by its own key: only buckets that a change falls into are read and replaced."""
+    key = stored.key_of(changes.sparkSession, path)
+    return stored.upsert_into(path, changes, lambda table, new: upsert(table, new, key, order))
+
+
+def upsert_stored_companies(path: str, changes: DataFrame) -> list[int]:
+    """`upsert_companies` into a stored table by screener_symbol. The largest id is looked up in its column alone; new companies are numbered
+    before any bucket is replaced, so a job that fails numbers nothing."""
+    table = stored.read(changes.sparkSession, path)
+    last = table.agg(F.coalesce(F.max("company_id"), F.lit(0))).first()[0]
+    fresh = stored.numbered(changes.join(table.select("screener_symbol"), "screener_symbol", "left_anti").select("screener_symbol"), "screener_symbol", last, "_id")
+
+    def merge(old: DataFrame, new: DataFrame) -> DataFrame:
+        fields = [c for c in old.columns if c not in ("company_id", "screener_symbol")]
+        met = old.alias("old").join(new.join(fresh, "screener_symbol", "left").alias("new"), "screener_symbol", "full")
+        return met.select(F.coalesce("old.company_id", "new._id").alias("company_id"), "screener_symbol", *(F.coalesce(f"new.{c}", f"old.{c}").alias(c) for c in fields))
+
+    return stored.upsert_into(path, changes, merge)
 
 
 def ingest_summary(written: DataFrame) -> DataFrame:

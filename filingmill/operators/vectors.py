@@ -59,14 +59,33 @@ def where(tree: dict, allowed: set[str], depth: int = 0) -> Column:
     return out
 
 
-def inline_filters(query: Column) -> Column:
-    """struct<filters map, text> of `intent:x,year:2025 | text`; without a bar all is text."""
+def _inline_parts(query: Column) -> tuple[Column, Column]:
+    """(array of struct<k, v>, the text after the first bar) of `key:value,key:value | text`; without a bar all is text."""
     barred = query.contains("|")
     head = F.when(barred, F.split(query, r"\|", 2)[0])
     pairs = F.filter(F.transform(F.split(head, ","), F.trim), lambda p: p.contains(":"))
     names = F.transform(pairs, lambda p: F.struct(F.lower(F.trim(F.substring_index(p, ":", 1))).alias("k"), F.trim(F.substr(p, F.instr(p, ":") + 1)).alias("v")))
     text = F.trim(F.when(barred, F.split(query, r"\|", 2)[1]).otherwise(query))
-    return F.struct(F.map_from_entries(F.when(barred, names).otherwise(F.array().cast("array<struct<k:string,v:string>>"))).alias("filters"), text.alias("text"))
+    return F.when(barred, names).otherwise(F.array().cast("array<struct<k:string,v:string>>")), text
+
+
+def inline_filters(query: Column) -> Column:
+    """struct<filters map, text> of `intent:x,year:2025 | text`; without a bar all is text. Of equal keys the last counts."""
+    names, text = _inline_parts(query)
+    last = F.transform(F.array_distinct(F.transform(names, lambda x: x["k"])), lambda k: F.element_at(F.filter(names, lambda x: x["k"] == k), -1))
+    return F.struct(F.map_from_entries(last).alias("filters"), text.alias("text"))
+
+
+def request_filters(query: Column) -> Column:
+    """struct<intent, year, page, has_table, section, doc_type, text>, typed, of the same form. Of equal keys the last valid one counts;
+    a year or page that is no integer, and unknown keys, filter nothing; has_table is whether its value is true; null: no filter."""
+    names, text = _inline_parts(query)
+    of = lambda key, value: F.try_element_at(F.filter(F.transform(F.filter(names, lambda x: x["k"] == key), lambda x: value(x["v"])), lambda v: v.isNotNull()), F.lit(-1))
+    same = lambda v: v
+    return F.struct(
+        of("intent", same).alias("intent"), of("year", lambda v: v.try_cast("int")).alias("year"), of("page", lambda v: v.try_cast("int")).alias("page"),
+        of("has_table", lambda v: F.lower(v) == "true").alias("has_table"), of("section", same).alias("section"), of("doc_type", same).alias("doc_type"), text.alias("text"),
+    )
 
 
 def usable(vector: Column, dimensions: int) -> Column:
@@ -112,7 +131,7 @@ def compare(asked: dict, names: np.ndarray, vectors: pd.Series, k: int) -> Itera
         ids, x = asked.get(d, ((), ()))
         strip = max(1, COMPARED_AT_ONCE // len(own))
         for i in range(0, len(ids), strip):
-            far = np.round(1 - x[i : i + strip] @ y.T, 9)
+            far = np.round(1 - x[i : i + strip] @ y.T, 9) + 0.0  # no minus zero
             q, at = top(far, own, k)
             yield pd.DataFrame({"query_id": ids[i + q], "id": own[at], "distance": far[q, at]})
 
@@ -191,6 +210,11 @@ def with_parents(children: DataFrame, parents: DataFrame) -> DataFrame:
     return children.join(parents, "parent_id")
 
 
+def placed(hits: DataFrame) -> DataFrame:
+    """hits: query_id, parent_rank. Adds place: its number among the query's hits that are left, from 1."""
+    return hits.withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy("parent_rank")))
+
+
 def by_ids(requests: DataFrame, table: DataFrame) -> DataFrame:
     """requests: request_id, ids. table: id, ... The rows asked for, pos giving the asked order; unknown ids are dropped."""
     return requests.select("request_id", F.posexplode("ids").alias("pos", "id")).join(table, "id")

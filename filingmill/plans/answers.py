@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import patterns
 from ..functions.scalars import expiry, metric_key, year_in_text, year_of_period
-from ..operators import periods, series, state, statements
+from ..operators import periods, series, state, vectors
+from ..sources import stored
 
 VERSION = "v1"
+#: So many characters of passages stand in an answer.
+EVIDENCE_CHARS = 12_000
+EVIDENCE_HEAD = "\n\nFrom the annual reports:\n"
 # How an answer without a language model begins.
 OPENING = "I couldn't generate a full narrative answer, but here is the verified data:\n"
 
@@ -18,7 +24,10 @@ OPENING = "I couldn't generate a full narrative answer, but here is the verified
 def keyed(questions: DataFrame, stmts: DataFrame) -> DataFrame:
     """Adds periods, can_proceed, stop_message, metrics (keys of the phrases that name one) and cache_key; a question that stops
     has no key, as its message is not to be cached."""
-    resolved = periods.resolve_periods(questions, stmts)
+    return _keyed(periods.resolve_periods(questions, stmts))
+
+
+def _keyed(resolved: DataFrame) -> DataFrame:
     named = F.transform(F.coalesce("derived", F.array().cast("array<string>")), metric_key)
     resolved = resolved.withColumn("metrics", F.array_distinct(F.array_compact(named)))
     key = state.structured_key(
@@ -33,12 +42,10 @@ def _in_order(c: Column) -> Column:
 
 
 def _series_lines(asked: DataFrame, stmts: DataFrame) -> DataFrame:
-    """asked: cache_key, company_id, line_items, periods. A line per item that is stored: cache_key, i, t, with its change, growth
-    and direction over the asked periods beside it."""
-    one = asked.select("cache_key", "company_id", F.posexplode("line_items").alias("i", "line_item"), "periods")
-    one = one.select("cache_key", "company_id", "i", "line_item", F.posexplode("periods").alias("p", "period_label"))
-    home = statements.statement_of_item(stmts).withColumn("_l", F.lower("line_item")).withColumnRenamed("line_item", "named")
-    one = one.withColumn("_l", F.lower("line_item")).join(home.select("company_id", "_l", "named", "statement"), ["company_id", "_l"])
+    """asked: cache_key, company_id, homes (array<struct<i, named, statement>>: the stored items asked for), periods. A line per item: cache_key, i, t, with its
+    change, growth and direction over the asked periods beside it."""
+    one = asked.select("cache_key", "company_id", F.inline("homes"), "periods")
+    one = one.select("cache_key", "company_id", "i", "named", "statement", F.posexplode("periods").alias("p", "period_label"))
     values = stmts.select("company_id", "statement", F.col("line_item").alias("named"), "period_label", "fiscal_year_end", "value", "unit")
     point = one.join(values, ["company_id", "statement", "named", "period_label"], "left")
     whole = series.enriched(point, keys=("cache_key", "i", "named"), order="p")
@@ -62,43 +69,97 @@ def _metric_lines(asked: DataFrame, stmts: DataFrame) -> DataFrame:
     return line.select("cache_key", "i", F.concat(label, F.lit(": "), "t").alias("t"))
 
 
-def answer_questions(questions: DataFrame, stmts: DataFrame, cache: DataFrame | None = None, now: Column | None = None, snippets: DataFrame | None = None) -> DataFrame:
+def evidence(passages: DataFrame, most_chars: int = EVIDENCE_CHARS) -> DataFrame:
+    """passages: cache_key, i (place of the line item), p (place of the period), line_item, period, rank, id, text. Returns cache_key, evidence, n_snippets: of each answer
+    the passages in the order of items, periods and ranks, each once (where it first comes), numbered, as long as they stay within most_chars; the first one that
+    does not fit ends the text. Blank passages are left out."""
+    order = ["i", "p", "rank", "id"]
+    once = W.partitionBy("cache_key", "id").orderBy(*order)
+    first = passages.filter("trim(coalesce(text, '')) <> ''").withColumn("_n", F.row_number().over(once)).filter("_n = 1")
+    words = F.concat(F.lit("["), "line_item", F.lit(" / "), "period", F.lit("]: "), F.trim("text"))
+    first = first.select("cache_key", *order, words.alias("t"))
+    along = W.partitionBy("cache_key").orderBy(*order)
+    sized = first.withColumn("_sum", F.sum(F.length("t")).over(along.rowsBetween(W.unboundedPreceding, W.currentRow))).withColumn("_n", F.row_number().over(along))
+    fits = sized.filter(F.col("_sum") <= most_chars)
+    listed = F.array_sort(F.collect_list(F.struct("_n", F.concat(F.col("_n").cast("string"), F.lit(". "), "t").alias("t"))))
+    return fits.groupBy("cache_key").agg(F.array_join(F.transform(listed, lambda x: x["t"]), "\n\n").alias("evidence"), F.count("*").alias("n_snippets"))
+
+
+def report_passages(chunks: DataFrame, encode: Callable[[DataFrame], DataFrame] = vectors.embedded, k: int = 3) -> Callable[[DataFrame], DataFrame]:
+    """A search for answer_questions. chunks: id, company, year, vec, text. encode adds embedding to requests with text (as it was added to the chunks'). Of each request the
+    k nearest chunks of the company's report of that year are fetched by their ids; only ids and distances go through the search."""
+
+    def search(requests: DataFrame) -> DataFrame:
+        asked = requests.withColumn("request_id", F.xxhash64("cache_key", "i", "p"))
+        found = encode(asked.withColumn("text", F.concat_ws(" ", "question", F.concat(F.lit("("), "line_item", F.lit(", "), "period", F.lit(")")))))
+        hits = vectors.context_hits(found.select("request_id", F.col("company_id").alias("company"), "year", F.col("embedding").alias("vec")), chunks.select("id", "company", "year", "vec"), k)
+        named = asked.select("request_id", "cache_key", "i", "p", "line_item", "period").join(hits, "request_id")
+        return named.join(chunks.select("id", "text"), "id")
+
+    return search
+
+
+def answer_questions(questions: DataFrame, stmts: DataFrame, cache: DataFrame | None = None, now: Column | None = None, search: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """questions: question_id, company_id, raw_years, single_year_only, n, line_items, derived (phrases for ratios), needs_context,
-    intent. cache: cache_key, answer_text, expires_at. snippets: question_id, and a row per passage that a search found for
-    it (see context_requests). Returns question_id, cache_key, answer, suggestions, stop_message, stopped, from_cache, periods,
-    series (array of named, change_pct, cagr_pct, direction), n_snippets.
+    intent, and question (its words, if there is a search). cache: cache_key, answer_text, expires_at. search: from requests (cache_key, company_id, question, i, line_item, p,
+    period, year) to passages (cache_key, i, p, line_item, period, rank, id, text), see report_passages. Returns question_id,
+    cache_key, answer, suggestions, stop_message, stopped, from_cache, periods, series (array of named, change_pct, cagr_pct,
+    direction), n_snippets.
 
     A question stops where its company is unknown or has no data, or where none of what it asks for is stored; the message is then
-    its answer. What the cache holds is answered from there; equal questions are answered once."""
-    resolved = keyed(questions, stmts)
-    n = resolved.select("question_id").distinct() if snippets is None else snippets.groupBy("question_id").agg(F.count("*").alias("n_snippets"))
-    resolved = resolved.join(n, "question_id", "left").withColumn("n_snippets", F.when(F.col("needs_context"), F.col("n_snippets")) if snippets is not None else F.lit(0))
-    resolved = resolved.withColumn("n_snippets", F.coalesce("n_snippets", F.lit(0)).cast("long"))
+    its answer. What the cache holds is answered from there; equal questions are answered once. Answers that need
+    context are followed by the passages found for their line items and last periods (`evidence`). What is stored of a company, and the resolved questions, are
+    stored once for all branches."""
+    books = stored.kept(periods.company_books(stmts), "books")
+    resolved = _keyed(periods.resolved_in_books(periods.with_books(questions, books)))
+    asked_items = F.transform("line_items", lambda x, i: F.transform(F.filter("_items", lambda y: F.lower(y["line_item"]) == F.lower(x)), lambda y: F.struct(i.alias("i"), y["line_item"].alias("named"), y["home"].alias("statement"))))
+    resolved = resolved.withColumn("homes", F.coalesce(F.flatten(asked_items), F.array().cast("array<struct<i:int,named:string,statement:string>>")))
+    resolved = resolved.withColumns({"hints": suggestions_without(False), "hints_used": suggestions_without(True)}).drop("_p", "_items")
     if cache is None:
         resolved = resolved.withColumn("answer_text", F.lit(None).cast("string"))
     else:
         resolved = state.cache_lookup(resolved, cache, now)
+    if "question" not in resolved.columns:
+        resolved = resolved.withColumn("question", F.lit(None).cast("string"))
+    resolved = stored.kept(resolved, "resolved")
     fresh = resolved.filter("cache_key IS NOT NULL AND answer_text IS NULL").groupBy("cache_key").agg(
-        *(F.first(c).alias(c) for c in ("company_id", "line_items", "metrics", "periods"))
-    )
+        F.min_by(F.struct("company_id", "line_items", "homes", "metrics", "periods", "question", "needs_context"), "question_id").alias("x")
+    )
+    fresh = stored.kept(fresh.select("cache_key", "x.*"), "fresh")
     lines, ratios = _series_lines(fresh, stmts), _metric_lines(fresh, stmts)
-    both = lines.select("cache_key", F.lit(0).alias("k"), "i", "t").union(ratios.select("cache_key", F.lit(1).alias("k"), "i", "t"))
-    body = both.groupBy("cache_key").agg(F.concat(F.lit(OPENING), F.array_join(_in_order(F.struct("k", "i", "t")), "\n")).alias("answer"))
-    about = lines.groupBy("cache_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "about"))), lambda x: x["about"]).alias("series"))
-    hints = periods.follow_ups(resolved.filter("can_proceed").select("question_id", "company_id", "line_items", "periods", (F.col("n_snippets") > 0).alias("used_context")), stmts)
-    out = resolved.join(body, "cache_key", "left").join(about, "cache_key", "left").join(hints, "question_id", "left")
+    about = F.struct(F.lit("").alias("named"), F.lit(0.0).alias("change_pct"), F.lit(0.0).alias("cagr_pct"), F.lit("").alias("direction"))
+    none = F.when(F.lit(False), about)
+    both = lines.select("cache_key", F.lit(0).alias("k"), "i", "t", "about").union(ratios.select("cache_key", F.lit(1).alias("k"), "i", "t", none))
+    of_series = F.when(F.col("k") == 0, F.struct("i", "about"))
+    body = both.groupBy("cache_key").agg(
+        F.concat(F.lit(OPENING), F.array_join(_in_order(F.struct("k", "i", "t")), "\n")).alias("answer"),
+        F.transform(F.array_sort(F.collect_list(of_series)), lambda x: x["about"]).alias("series"),
+    )
+    if search is None:
+        body = body.withColumn("n_snippets", F.lit(0).cast("long"))
+    else:
+        wanted = context_requests(fresh.filter(F.coalesce("needs_context", F.lit(False))).withColumn("question_id", F.col("cache_key")), ("cache_key", "question")).filter("searched").drop("question_id")
+        body = body.join(evidence(search(wanted)), "cache_key", "left")
+        body = body.withColumn("answer", F.concat("answer", F.coalesce(F.concat(F.lit(EVIDENCE_HEAD), "evidence"), F.lit("")))).drop("evidence")
+    out = resolved.join(body, "cache_key", "left")
     missing = F.array_join(F.transform("line_items", lambda x: F.concat(F.lit("Line item '"), x, F.lit("' not found for '"), F.col("company_id").cast("string"), F.lit("' in any statement table. Call list_available_line_items to see valid names."))), "; ")
     nothing = F.concat(F.lit("I couldn't retrieve the requested data for "), F.col("company_id").cast("string"), F.lit(": "), F.when(F.size("line_items") > 0, missing).otherwise("no data found"))
     hit = F.col("answer_text").isNotNull()
     empty = F.col("can_proceed") & ~hit & F.col("answer").isNull()
     stop = F.coalesce("stop_message", F.when(empty, nothing))
+    snippets = F.coalesce("n_snippets", F.lit(0)).cast("long")
+    hints = F.when(snippets > 0, F.col("hints_used")).otherwise(F.col("hints"))
     return out.select(
         "question_id", F.when(stop.isNull(), F.col("cache_key")).alias("cache_key"), F.coalesce("answer_text", "answer", stop).alias("answer"),
-        F.when(stop.isNull(), F.col("suggestions")).otherwise(F.array().cast("array<string>")).alias("suggestions"), stop.alias("stop_message"),
-        stop.isNotNull().alias("stopped"), hit.alias("from_cache"), "periods", "series", "n_snippets",
+        F.when(stop.isNull(), hints).otherwise(F.array().cast("array<string>")).alias("suggestions"), stop.alias("stop_message"),
+        stop.isNotNull().alias("stopped"), hit.alias("from_cache"), "periods", F.when(F.size("series") > 0, F.col("series")).alias("series"), snippets.alias("n_snippets"),
     )
 
 
+def suggestions_without(used_context: bool) -> Column:
+    return F.when(F.col("can_proceed"), periods.suggestions(F.lit(used_context)))
+
+
 def cache_after(cache: DataFrame, answers: DataFrame, now: Column, ttl_seconds: int = 30 * 86400) -> DataFrame:
     """cache: cache_key, answer_text, created_at, last_accessed_at, expires_at, hit_count. The cache after answering: answers that did
     not come from it are added or replace expired ones, and hits are counted."""
@@ -110,6 +171,12 @@ def cache_after(cache: DataFrame, answers: DataFrame, now: Column, ttl_seconds:
     return state.count_hits(out, ready.filter("from_cache").select("cache_key", now.alias("at")))
 
 
+def store_answers(path: str, answers: DataFrame, now: Column, ttl_seconds: int = 30 * 86400) -> list[int]:
+    """cache_after into a stored cache: only the buckets of the answers' keys are read and replaced."""
+    keys = answers.filter("NOT stopped").select("cache_key").distinct()
+    return stored.upsert_into(path, keys, lambda cache, _: cache_after(cache, answers, now, ttl_seconds))
+
+
 def classify(questions: DataFrame, names: DataFrame) -> DataFrame:
     """questions: question_id, text. names: alias_text, screener_symbol, ord. Adds symbol, year, period, intent, reason."""
     found = state.alias_in_text(questions, names)
@@ -122,12 +189,13 @@ def classify(questions: DataFrame, names: DataFrame) -> DataFrame:
     )
 
 
-def context_requests(resolved: DataFrame, last: int = 3) -> DataFrame:
-    """resolved: question_id, company_id, line_items, periods. A search request per line item and period, with the period's year;
+def context_requests(resolved: DataFrame, also: Sequence[str] = (), last: int = 3) -> DataFrame:
+    """resolved: question_id, company_id, line_items, periods. A search request per line item and period, with their places i and p and the period's year;
     searched is false for periods before the last ones, which are kept but not searched. Questions without line items ask
-    for nothing. operators.vectors.context_hits answers the requests."""
-    one = resolved.select("question_id", "company_id", F.explode("line_items").alias("line_item"), F.posexplode("periods").alias("_i", "period"), F.size("periods").alias("_n"))
-    return one.select("question_id", "company_id", "line_item", "period", year_of_period(F.col("period")).alias("year"), (F.col("_i") >= F.col("_n") - last).alias("searched"))
+    for nothing. also: columns that go along. operators.vectors.context_hits answers the requests."""
+    one = resolved.select("question_id", "company_id", *also, F.posexplode("line_items").alias("i", "line_item"), "periods")
+    one = one.select("question_id", "company_id", *also, "i", "line_item", F.posexplode("periods").alias("p", "period"), F.size("periods").alias("_n"))
+    return one.select("question_id", "company_id", *also, "i", "line_item", "p", "period", year_of_period(F.col("period")).alias("year"), (F.col("p") >= F.col("_n") - last).alias("searched"))
 
 
 def prompt_context(turns: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars, text
-from ..operators import periods, quality, series, state, statements, vector_index, vectors
+from ..operators import periods, quality, search, series, state, statements, vector_index, vectors
 from ..sources import pages, statement_pages, stored
 from . import answers, derived
 
@@ -777,7 +777,7 @@ def _asked(spark, sf_dir):
     derived_ = F.when(k % 4 == 0, F.array(F.lit(" ROE "), F.lit("gross margin"))).when(k % 4 == 1, F.array(F.lit("D/E"), F.lit("net profit margin"))).otherwise(F.array().cast("array<string>"))
     items = F.when(k % 11 == 0, F.array(F.lit("Goodwill"))).otherwise(F.col("line_items"))
     asked = derived.questions(spark, sf_dir).withColumn("derived", derived_).withColumn("line_items", items).withColumn("needs_context", F.lit(False)).withColumn("intent", F.lit("lookup"))
-    return asked, derived.statements(spark, sf_dir).withColumn("value", F.round("value"))
+    return asked, stored.kept(derived.statements(spark, sf_dir).withColumn("value", F.round("value")), "statements")
 
 
 _ANSWERS = f"""WITH {S.replace("stmts AS (", "stmts0 AS (")}, stmts AS (SELECT statement, company_id, line_item, period_label, fiscal_year_end, round(value) AS value, unit FROM stmts0), {Q},
@@ -829,10 +829,49 @@ def cached_answers(spark, sf_dir):
     return answers.answer_questions(asked, stmts, cache, now).select("question_id", "answer", "from_cache")
 
 
-@_query()
+@_query(_ANSWERS + f""", e0 AS (SELECT f.question_id, q2.company_id, unnest(items) AS item, generate_subscripts(items, 1) AS i, years FROM f JOIN q2 USING (question_id) WHERE stop_message IS NULL AND f.question_id % 3 = 0),
+e1 AS (SELECT question_id, company_id, item, i, unnest(years) AS fy, generate_subscripts(years, 1) AS p, len(years) AS n FROM e0),
+c AS (SELECT vec_id AS id, 1 + vec_id % 8 AS company, 1993 + vec_id % 7 AS year, CAST(embedding AS DOUBLE[]) AS vec, text FROM embeddings JOIN documents ON doc_id = vec_id),
+h AS (SELECT e1.*, c.id, c.text, row_number() OVER (PARTITION BY question_id, i, p ORDER BY round(1 - list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), c.vec), 9), c.id) AS rank
+  FROM e1 JOIN embeddings a ON a.vec_id = question_id % 500 JOIN c ON c.company = company_id AND c.year = fy WHERE p > n - 3),
+h1 AS (SELECT *, '[' || item || ' / Mar ' || fy || ']: ' || trim(text) AS t FROM h WHERE rank <= 3 AND trim(coalesce(text, '')) <> '' QUALIFY row_number() OVER (PARTITION BY question_id, id ORDER BY i, p, rank) = 1),
+h2 AS (SELECT *, sum(length(t)) OVER w AS chars, row_number() OVER w AS k FROM h1 WINDOW w AS (PARTITION BY question_id ORDER BY i, p, rank, id)),
+h3 AS (SELECT question_id, count(*) AS n_snippets, string_agg(k || '. ' || t, chr(10) || chr(10) ORDER BY k) AS evidence FROM h2 WHERE chars <= {answers.EVIDENCE_CHARS} GROUP BY 1)
+SELECT question_id, coalesce(stop_message, body || coalesce(chr(10) || chr(10) || 'From the annual reports:' || chr(10) || evidence, '')) AS answer, coalesce(n_snippets, 0) AS n_snippets FROM f LEFT JOIN h3 USING (question_id)""")
+def evidence_answers(spark, sf_dir):
+    """Every third question is answered with the passages that a search of its company's reports finds."""
+    asked, stmts = _asked(spark, sf_dir)
+    k = F.col("question_id")
+    asked = asked.withColumns({"needs_context": k % 3 == 0, "intent": k.cast("string"), "question": (k % 500).cast("string")})
+    v = _vectors(spark, sf_dir)
+    texts = derived.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    chunks = v.join(texts, "id").select("id", (1 + F.col("id") % 8).alias("company"), (1993 + F.col("id") % 7).cast("int").alias("year"), "vec", "text")
+    encode = lambda requests: requests.join(v.select(F.col("id").cast("string").alias("question"), F.col("vec").alias("embedding")), "question")
+    found = answers.answer_questions(asked, stmts, search=answers.report_passages(chunks, encode))
+    return found.select("question_id", "answer", "n_snippets")
+
+
+_HINTS = f"""o1 AS (SELECT company_id, line_item, min(statement) AS statement, min(CASE line_item {" ".join(f"WHEN '{x}' THEN {i}" for i, x in enumerate(periods.PRIORITY_ITEMS, 1))} ELSE 99 END) AS r FROM stmts GROUP BY 1, 2),
+o2 AS (SELECT question_id, list(line_item ORDER BY r, statement, line_item) AS others FROM q2 JOIN o1 USING (company_id) WHERE NOT list_contains(list_transform(items, lambda x: lower(x)), lower(line_item)) GROUP BY 1),
+o3 AS (SELECT question_id, min(year(d)) AS free FROM q2 JOIN (SELECT company_id, unnest(d) AS d FROM a) USING (company_id) WHERE NOT list_contains(years, year(d)) GROUP BY 1),
+o4 AS (SELECT q2.question_id, list_slice(list_filter([
+    'Want to see ' || others[1] || ' for the same period?', 'Compare this against Mar ' || free || ' as well?',
+    'Curious what drove the change in ' || CASE WHEN len(items) = 1 THEN items[1] ELSE 'these figures' END || '? I can search the annual report.', 'See ' || others[2] || ' trend over the last few years?'], lambda x: x IS NOT NULL), 1, 3) AS hints
+  FROM q2 LEFT JOIN o2 USING (question_id) LEFT JOIN o3 USING (question_id))"""
+
+
+@_query(_ANSWERS + ", " + _HINTS + """, g1 AS (SELECT i2.question_id, i2.i, n.line_item AS named, count(s.value) AS n, arg_min(s.value, fy) FILTER (WHERE s.value IS NOT NULL) AS x, arg_max(s.value, fy) FILTER (WHERE s.value IS NOT NULL) AS y,
+    max(fy) FILTER (WHERE s.value IS NOT NULL) - min(fy) FILTER (WHERE s.value IS NOT NULL) AS d
+  FROM i2 JOIN (SELECT DISTINCT company_id, line_item FROM stmts) n ON n.company_id = i2.company_id AND lower(n.line_item) = lower(item) LEFT JOIN stmts s ON s.company_id = i2.company_id AND s.line_item = n.line_item AND year(s.fiscal_year_end) = fy GROUP BY 1, 2, 3),
+g2 AS (SELECT *, CASE WHEN n >= 2 AND x <> 0 THEN (y - x) / abs(x) * 100 END AS change, CASE WHEN n >= 2 AND x > 0 AND y > 0 AND d > 0 THEN (pow(y / x, 1.0 / d) - 1) * 100 END AS cagr FROM g1),
+g3 AS (SELECT question_id, string_agg(named || ' ' || CASE WHEN change > 0.5 THEN 'up' WHEN change < -0.5 THEN 'down' WHEN change IS NOT NULL THEN 'flat' ELSE 'unknown' END, ', ' ORDER BY i) AS directions, round(sum(change), 6) AS change_pct, round(sum(cagr), 6) AS cagr_pct FROM g2 GROUP BY 1)
+SELECT f.question_id, coalesce(stop_message, body) AS answer, CASE WHEN stop_message IS NULL THEN hints ELSE [] END AS suggestions, directions, change_pct, cagr_pct FROM f LEFT JOIN o4 USING (question_id) LEFT JOIN g3 USING (question_id)""")
 def answer_texts(spark, sf_dir):
     """Answers with their suggestions and the change, growth and direction of each series."""
-    return answers.answer_questions(*_asked(spark, sf_dir)).select("question_id", "cache_key", "answer", "suggestions", "series")
+    total = lambda c: F.when(F.exists("series", lambda x: x[c].isNotNull()), F.round(F.aggregate("series", F.lit(0.0), lambda t, x: t + F.coalesce(x[c], F.lit(0.0))), 6))
+    directions = F.array_join(F.transform("series", lambda x: F.concat(x["named"], F.lit(" "), x["direction"])), ", ")
+    out = answers.answer_questions(*_asked(spark, sf_dir))
+    return out.select("question_id", "answer", "suggestions", directions.alias("directions"), total("change_pct").alias("change_pct"), total("cagr_pct").alias("cagr_pct"))
 
 
 _WHOLE = S.replace("stmts AS (", "stmts0 AS (") + ", stmts AS (SELECT statement, company_id, line_item, period_label, fiscal_year_end, round(value) AS value, unit FROM stmts0)"
@@ -889,12 +928,61 @@ def vector_upsert(spark, sf_dir):
     return statements.upsert(table, changes, ["id"], "seq").select("id", "label")
 
 
-@_query(_NEAREST + """ SELECT query_id, string_agg('[' || rank || '] ' || 'vector ' || id, chr(10) || chr(10) ORDER BY rank) AS text FROM r WHERE rank <= 10 AND distance <= 0.9 GROUP BY 1""")
+@_query(_NEAREST + """ SELECT query_id, string_agg('[' || rank || '] (distance ' || printf('%.4f', abs(round(distance, 9))) || ')' || chr(10) || 'vector ' || id, chr(10) || chr(10) ORDER BY rank) AS text FROM r WHERE rank <= 10 AND distance <= 0.9 GROUP BY 1""")
 def search_texts(spark, sf_dir):
-    """Results as one text per query, numbered by the rank before the cut."""
-    hits = vectors.within(_search(spark, sf_dir), 0.9).withColumn("text", F.concat(F.lit("vector "), "id"))
-    texts = vectors.result_text(hits)
-    return texts.select("query_id", F.regexp_replace("text", r"\(distance [0-9.]+\)\n", "").alias("text"))
+    """Results as one text per query, numbered by the rank before the cut, with their distances."""
+    return vectors.result_text(vectors.within(_search(spark, sf_dir), 0.9).withColumn("text", F.concat(F.lit("vector "), "id")))
+
+
+_INLINE = ("year:2001, year:oops | words", "year:2000,year:2002|words | more", "intent:b, has_table:TRUE | words", "color:red | words", "doc_type:none such | words", "words alone", "section:s1,page:3x | words", "page:7,page:8, year: 2001 | words")
+
+
+def _requests(spark, sf_dir):
+    """Every 50th vector as a request with an inline filter: integers that are none, repeated keys, unknown keys, filters that nothing passes."""
+    texts = F.array(*map(F.lit, _INLINE))
+    v = _vectors(spark, sf_dir).filter("id % 50 = 0")
+    return search.with_filters(v.select(F.col("id").alias("query_id"), "vec", F.get(texts, F.expr("CAST(id div 50 % 8 AS INT)")).alias("query")))
+
+
+def _chunks(spark, sf_dir):
+    v, n, label = _vectors(spark, sf_dir), F.col("id"), F.col("label")
+    return v.select(
+        "id", "vec", (2000 + label % 3).alias("year"), (n % 20).cast("int").alias("page_number"), F.when(label % 2 == 0, "a,b").when(label % 5 != 1, "c").alias("page_intent"),
+        (n % 2 == 0).alias("has_table"), F.concat(F.lit("s"), label % 4).alias("section"), F.lit("annual").alias("doc_type"), F.expr("id div 10").alias("parent_id"), (n % 10).alias("child_index"),
+    )
+
+
+_SECTIONS = """WITH q AS (SELECT vec_id AS query_id, embedding, CASE vec_id // 50 % 8 WHEN 0 THEN 2001 WHEN 1 THEN 2002 WHEN 7 THEN 2001 END AS year, CASE vec_id // 50 % 8 WHEN 2 THEN 'b' END AS intent, CASE vec_id // 50 % 8 WHEN 2 THEN true END AS has_table,
+    CASE vec_id // 50 % 8 WHEN 4 THEN 'none such' END AS doc_type, CASE vec_id // 50 % 8 WHEN 6 THEN 's1' END AS section, CASE vec_id // 50 % 8 WHEN 7 THEN 8 END AS page FROM embeddings WHERE vec_id % 50 = 0),
+v AS (SELECT vec_id AS id, embedding, 2000 + label % 3 AS year, CASE WHEN label % 2 = 0 THEN 'a,b' WHEN label % 5 <> 1 THEN 'c' END AS page_intent, vec_id % 2 = 0 AS has_table, 's' || (label % 4) AS section, 'annual' AS doc_type, vec_id % 20 AS page_number FROM embeddings),
+d AS (SELECT query_id, id, 1 - list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS distance,
+    coalesce(q.year IS NOT NULL OR intent IS NOT NULL OR q.doc_type IS NOT NULL OR q.section IS NOT NULL OR page IS NOT NULL, false) AS filtered,
+    coalesce(q.year = v.year, q.year IS NULL) AND (intent IS NULL OR coalesce(contains(page_intent, intent), false)) AND coalesce(q.has_table = v.has_table, q.has_table IS NULL) AND (q.doc_type IS NULL OR q.doc_type = v.doc_type)
+      AND (q.section IS NULL OR q.section = v.section) AND (page IS NULL OR page = page_number) AS fits FROM q, v),
+m AS (SELECT *, false AS rerun FROM d WHERE fits UNION ALL SELECT *, true FROM d WHERE filtered),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id, rerun ORDER BY round(distance, 9), id) AS rank FROM m),
+b AS (SELECT *, id // 10 AS parent_id, row_number() OVER (PARTITION BY query_id, rerun, id // 10 ORDER BY rank) AS n FROM r WHERE rank <= 8),
+p AS (SELECT b.*, t.n_chars AS parent_page, t.lang AS parent_section, t.text AS parent_text, row_number() OVER (PARTITION BY query_id, rerun ORDER BY rank) AS place FROM b JOIN documents t ON t.doc_id = parent_id WHERE n = 1),
+o AS (SELECT DISTINCT query_id FROM p WHERE NOT rerun AND round(distance, 9) <= 0.75),
+s AS (SELECT * FROM p WHERE rerun = (filtered AND query_id NOT IN (SELECT query_id FROM o)))"""
+
+
+@_query(_SECTIONS + " SELECT query_id, rerun, place, round(distance, 6) AS distance, parent_id, id, round(distance, 9) <= 0.75 AS near FROM s")
+def filtered_search(spark, sf_dir):
+    """Requests with typed filters of their own in one scan; those that find nothing near are searched again without."""
+    parents = derived.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("parent_id"), F.col("n_chars").alias("parent_page"), F.col("lang").alias("parent_section"), F.col("text").alias("parent_text"))
+    found = search.search_sections(_requests(spark, sf_dir), _chunks(spark, sf_dir), parents)
+    return found.select("query_id", "rerun", "place", F.round("distance", 6).alias("distance"), "parent_id", "id", "near")
+
+
+@_query(_SECTIONS + """, t AS (SELECT query_id, string_agg('[Source ' || place || ' | page=' || coalesce(parent_page::VARCHAR, '?') || ' | section=' || coalesce(parent_section, 'unknown') || ' | parent_id=' || parent_id || ' | child_id=' || id || ' | child_index=' || id % 10
+  || ' | relevance=' || printf('%.2f', 1 - round(distance, 9)) || ']' || chr(10) || coalesce(parent_text, ''), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY place) FILTER (WHERE round(distance, 9) <= 0.75) AS text, count(*) AS n FROM s GROUP BY 1)
+SELECT query_id, CASE WHEN n IS NULL THEN 'INSUFFICIENT_EVIDENCE: no relevant parent chunks were retrieved.' WHEN text IS NULL THEN 'INSUFFICIENT_EVIDENCE: retrieved chunks did not clear the relevance threshold.' ELSE text END AS text FROM q LEFT JOIN t USING (query_id)""")
+def section_texts(spark, sf_dir):
+    """V7: the sections of each request as one text with their sources."""
+    parents = derived.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("parent_id"), F.col("n_chars").alias("parent_page"), F.col("lang").alias("parent_section"), F.col("text").alias("parent_text"))
+    asked = _requests(spark, sf_dir)
+    return search.section_texts(asked, search.search_sections(asked, _chunks(spark, sf_dir), parents))
 
 
 @_query(f"""WITH {Q} SELECT question_id, company_id, line_item, 'Mar ' || y AS period, y AS year, i > 1 AS searched FROM (SELECT question_id, company_id, unnest(line_items) AS line_item, year(o_orderdate) AS o FROM questions JOIN orders ON o_orderkey = question_id) t, LATERAL (SELECT o + unnest([0, 1, 2, 3]) AS y, unnest([1, 2, 3, 4]) AS i)""")
@@ -902,7 +990,7 @@ def context_requests(spark, sf_dir):
     """A search per line item and each of the last three periods; earlier ones are kept, but not searched."""
     year = derived.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("question_id"), F.year("o_orderdate").alias("o"))
     asked = derived.questions(spark, sf_dir).join(year, "question_id").withColumn("periods", F.transform(F.sequence("o", F.col("o") + 3), lambda y: F.concat(F.lit("Mar "), y)))
-    return answers.context_requests(asked)
+    return answers.context_requests(asked).drop("i", "p")
 
 
 @_query("""WITH s AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'S' || (conv_id % 9) END AS symbol, 'Mar ' || (2000 + turn) AS p FROM conversations),

@@ -47,6 +47,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return at
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df, stored once in the shared folder and read back, where several branches of a plan read it."""
+    at = scratch_path(df.sparkSession, name)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def _bucketed(rows: DataFrame, key: Sequence[str], buckets: int) -> DataFrame:
     """With the bucket, and its rows together, so that a bucket is a file or a few."""
     return rows.withColumn(BUCKET, F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
@@ -61,6 +68,10 @@ def _about(spark: SparkSession, path: str) -> dict:
     return json.loads(spark.read.text(f"{path}/_about").first()[0])
 
 
+def key_of(spark: SparkSession, path: str) -> list[str]:
+    return _about(spark, path)["key"]
+
+
 def create(rows: DataFrame, path: str, key: Sequence[str], buckets: int = BUCKETS) -> None:
     """A new keyed table of rows (one a key). Comments of columns (see `commented`) are kept with it."""
     schema = json.loads(rows.schema.json())

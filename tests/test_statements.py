@@ -77,17 +77,22 @@ def test_answers_and_suggestions(spark, stmts):
     empty = "cache_key string, answer_text string, created_at timestamp_ntz, last_accessed_at timestamp_ntz, expires_at timestamp_ntz, hit_count long"
     day = dt.datetime(2024, 5, 1)
     cache = spark.createDataFrame([(key, "as before", day, day, None, 4), ("old", "gone", day, day, day, 1)], empty)
-    snippets = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (3, "not asked for")], "question_id long, text string")
-    found = answers.answer_questions(df, stmts, cache, now, snippets).cache()
+
+    def search(requests):
+        texts = F.array(*(F.struct(F.lit(i).alias("rank"), F.lit(f"p{i % 2}").alias("id"), F.lit(t).alias("text")) for i, t in enumerate(("first passage", " second one ", "the first again", " "), 1)))
+        return requests.select("cache_key", "i", "p", "line_item", "period", F.inline(texts))
+
+    found = answers.answer_questions(df, stmts, cache, now, search).cache()
     got = {r.question_id: r for r in found.collect()}
-    assert (got[6].answer, got[6].from_cache, got[1].from_cache) == ("as before", True, False) and [got[i].n_snippets for i in (1, 2, 3)] == [2, 1, 0]
+    assert (got[6].answer, got[6].from_cache, got[1].from_cache) == ("as before", True, False) and [got[i].n_snippets for i in (1, 2, 3)] == [2, 2, 0]
     assert got[4].stopped and got[5].stopped and got[5].cache_key is None and got[5].answer == got[5].stop_message and "Goodwill" in got[5].answer and got[4].suggestions == []
     assert got[3].answer.endswith("\n" + series.LABELS["roe"] + ": Mar 2023: 0.00%, Mar 2024: 35.29%") and got[3].series[0].direction == "unknown"
     after = {r.cache_key: r for r in answers.cache_after(cache, found, now).collect()}
     assert set(after) == {"old", key, got[1].cache_key, got[3].cache_key} and after[key].hit_count == 5 and after[key].answer_text == "as before"
     assert after[got[1].cache_key].expires_at == dt.datetime(2024, 7, 1) and after["old"].answer_text == "gone"
     assert got[1].cache_key == got[2].cache_key != got[3].cache_key and got[4].cache_key is None
-    assert got[1].answer == answers.OPENING + "Sales: Mar 2024: 180.00 INR_CRORE"
+    told = answers.EVIDENCE_HEAD + "1. [sales / Mar 2024]: first passage\n\n2. [sales / Mar 2024]: second one"
+    assert got[1].answer == answers.OPENING + "Sales: Mar 2024: 180.00 INR_CRORE" + told and got[2].answer == got[1].answer
     assert got[3].answer.startswith(answers.OPENING + "Borrowings: Mar 2023: not disclosed INR_CRORE, Mar 2024: 50.00 INR_CRORE\n")
     assert got[1].suggestions == ["Want to see Net Profit for the same period?", "Compare this against Mar 2020 as well?", "See Borrowings trend over the last few years?"]
     assert got[3].suggestions[2].startswith("Curious what drove the change in Borrowings?")
