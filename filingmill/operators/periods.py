@@ -77,23 +77,30 @@ def resolved_in_books(q: DataFrame, trailing: int = TRAILING) -> DataFrame:
 def follow_ups(asked: DataFrame, stmts: DataFrame) -> DataFrame:
     """asked: question_id, company_id, line_items, periods, used_context. Returns question_id, suggestions (3 at most); none
     for a company without data."""
-    return with_books(asked, company_books(stmts)).select("question_id", suggestions(F.col("used_context")).alias("suggestions"))
+    found = with_hints(with_books(asked, company_books(stmts)))
+    return found.select("question_id", suggestions(F.col("hints"), F.col("used_context")).alias("suggestions"))
 
 
-def suggestions(used_context: Column) -> Column:
-    """At most 3 suggestions, from line_items, periods and the book (_p, _items) beside them."""
+def with_hints(asked: DataFrame) -> DataFrame:
+    """Adds hints, all four texts that could be suggested (null where there is nothing to), from line_items, periods and the book (_p, _items) beside them."""
     lower = F.transform("line_items", F.lower)
-    others = F.transform(F.filter("_items", lambda x: ~F.array_contains(lower, F.lower(x["line_item"]))), lambda x: x["line_item"])
-    free = F.filter(F.transform("_p", lambda p: p["period_label"]), lambda p: ~F.array_contains("periods", p))
-    one, two, period = F.get(others, F.lit(0)), F.get(others, F.lit(1)), F.get(free, F.lit(0))
+    others = F.slice(F.transform(F.filter("_items", lambda x: ~F.array_contains(lower, F.lower(x["line_item"]))), lambda x: x["line_item"]), 1, 2)
+    free = F.get(F.filter(F.transform("_p", lambda p: p["period_label"]), lambda p: ~F.array_contains("periods", p)), F.lit(0))
+    found = asked.withColumns({"_others": others, "_free": free})
     phrase = F.when(F.size("line_items") == 1, F.get("line_items", F.lit(0))).otherwise("these figures")
     texts = F.array(
-        F.concat(F.lit("Want to see "), one, F.lit(" for the same period?")),
-        F.concat(F.lit("Compare this against "), period, F.lit(" as well?")),
-        F.when(~used_context & (F.size("line_items") > 0), F.concat(F.lit("Curious what drove the change in "), phrase, F.lit("? I can search the annual report."))),
-        F.concat(F.lit("See "), two, F.lit(" trend over the last few years?")),
+        F.concat(F.lit("Want to see "), F.get("_others", F.lit(0)), F.lit(" for the same period?")),
+        F.concat(F.lit("Compare this against "), F.col("_free"), F.lit(" as well?")),
+        F.when(F.size("line_items") > 0, F.concat(F.lit("Curious what drove the change in "), phrase, F.lit("? I can search the annual report."))),
+        F.concat(F.lit("See "), F.get("_others", F.lit(1)), F.lit(" trend over the last few years?")),
     )
-    return F.slice(F.array_compact(texts), 1, MOST_SUGGESTIONS)
+    return found.withColumn("hints", texts).drop("_others", "_free")
+
+
+def suggestions(hints: Column, used_context: Column) -> Column:
+    """At most 3 of the texts; to search the report is not suggested where it was searched."""
+    left = F.when(used_context, F.array(F.get(hints, F.lit(0)), F.get(hints, F.lit(1)), F.get(hints, F.lit(3)))).otherwise(hints)
+    return F.slice(F.array_compact(left), 1, MOST_SUGGESTIONS)
 
 
 def carried_state(turns: DataFrame) -> DataFrame:

@@ -114,7 +114,7 @@ def answer_questions(questions: DataFrame, stmts: DataFrame, cache: DataFrame |
     resolved = _keyed(periods.resolved_in_books(periods.with_books(questions, books)))
     asked_items = F.transform("line_items", lambda x, i: F.transform(F.filter("_items", lambda y: F.lower(y["line_item"]) == F.lower(x)), lambda y: F.struct(i.alias("i"), y["line_item"].alias("named"), y["home"].alias("statement"))))
     resolved = resolved.withColumn("homes", F.coalesce(F.flatten(asked_items), F.array().cast("array<struct<i:int,named:string,statement:string>>")))
-    resolved = resolved.withColumns({"hints": suggestions_without(False), "hints_used": suggestions_without(True)}).drop("_p", "_items")
+    resolved = periods.with_hints(resolved).drop("_p", "_items")
     if cache is None:
         resolved = resolved.withColumn("answer_text", F.lit(None).cast("string"))
     else:
@@ -148,7 +148,7 @@ def answer_questions(questions: DataFrame, stmts: DataFrame, cache: DataFrame |
     empty = F.col("can_proceed") & ~hit & F.col("answer").isNull()
     stop = F.coalesce("stop_message", F.when(empty, nothing))
     snippets = F.coalesce("n_snippets", F.lit(0)).cast("long")
-    hints = F.when(snippets > 0, F.col("hints_used")).otherwise(F.col("hints"))
+    hints = F.when(F.col("can_proceed"), periods.suggestions(F.col("hints"), snippets > 0))
     return out.select(
         "question_id", F.when(stop.isNull(), F.col("cache_key")).alias("cache_key"), F.coalesce("answer_text", "answer", stop).alias("answer"),
         F.when(stop.isNull(), hints).otherwise(F.array().cast("array<string>")).alias("suggestions"), stop.alias("stop_message"),
@@ -156,10 +156,6 @@ def answer_questions(questions: DataFrame, stmts: DataFrame, cache: DataFrame |
     )
 
 
-def suggestions_without(used_context: bool) -> Column:
-    return F.when(F.col("can_proceed"), periods.suggestions(F.lit(used_context)))
-
-
 def cache_after(cache: DataFrame, answers: DataFrame, now: Column, ttl_seconds: int = 30 * 86400) -> DataFrame:
     """cache: cache_key, answer_text, created_at, last_accessed_at, expires_at, hit_count. The cache after answering: answers that did
     not come from it are added or replace expired ones, and hits are counted."""
