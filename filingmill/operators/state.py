@@ -59,12 +59,14 @@ def latest(rows: DataFrame, key: list[str], order: str) -> DataFrame:
 
 
 def updated_status(registry: DataFrame, updates: DataFrame, key: list[str], order: str) -> DataFrame:
-    """updates: key, ocr_status, ocr_reason. The latest registry row of each key takes them; older rows stay."""
-    rank = F.row_number().over(W.partitionBy(*key).orderBy(F.desc(order)))
-    out = registry.withColumn("_n", rank).join(updates.select(*key, F.col("ocr_status").alias("_s"), F.col("ocr_reason").alias("_r")), key, "left")
-    hit = (F.col("_n") == 1) & F.col("_s").isNotNull()
+    """updates: key, ocr_status, ocr_reason. The latest registry row of each key takes them; older rows stay. The last `order` of a key is
+    summed up before anything is shuffled by the key, so a key with many rows is not one task's."""
+    last = registry.groupBy(*key).agg(F.max(order).alias("_last"))
+    news = updates.select(*key, F.col("ocr_status").alias("_s"), F.col("ocr_reason").alias("_r")).join(last, key)
+    out = registry.join(news, key, "left")
+    hit = (F.col(order) == F.col("_last")) & F.col("_s").isNotNull()
     out = out.withColumn("ocr_status", F.when(hit, F.col("_s")).otherwise(F.col("ocr_status")))
-    return out.withColumn("ocr_reason", F.when(hit, F.col("_r")).otherwise(F.col("ocr_reason"))).drop("_n", "_s", "_r")
+    return out.withColumn("ocr_reason", F.when(hit, F.col("_r")).otherwise(F.col("ocr_reason"))).select(*registry.columns)
 
 
 def registry_page(registry: DataFrame, condition: Column, limit: int) -> DataFrame:
@@ -149,26 +151,36 @@ def new_aliases(candidates: DataFrame, aliases: DataFrame, companies: DataFrame)
     return fresh.withColumn("_n", F.row_number().over(W.partitionBy("alias_text").orderBy("created_at", "screener_symbol"))).filter("_n = 1").drop("_n")
 
 
-#: Aliases of a large dictionary are met by so many of their first characters.
-ALIAS_CHARS, MOST_BYTES = 4, 16 * 1024 * 1024
+#: Aliases are met by one of their runs of so many characters.
+GRAM = 4
 
 
-def alias_in_text(questions: DataFrame, aliases: DataFrame, most: int = 10_000) -> DataFrame:
+def _runs(text: Column, n: int) -> Column:
+    """All distinct runs of n characters."""
+    starts = F.sequence(F.lit(1), F.length(text) - n + 1)
+    return F.when(F.length(text) >= n, F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+
+
+def anchored(aliases: DataFrame) -> DataFrame:
+    """aliases: alias_text, screener_symbol, ord. Adds _alias (lower case) and _gram: of its runs of GRAM characters the one that the fewest aliases have, so that a prefix
+    or a word that many share is no one's; a shorter alias is its own. An empty or null alias is in no text and left out."""
+    named = aliases.select("*", F.lower("alias_text").alias("_alias")).filter("_alias <> ''")
+    runs = F.when(F.length("_alias") >= GRAM, _runs(F.col("_alias"), GRAM)).otherwise(F.array("_alias"))
+    grams = named.select("_alias").distinct().select("_alias", F.explode(runs).alias("_gram"))
+    counts = grams.groupBy("_gram").agg(F.count("*").alias("_n"))
+    rarest = grams.join(counts, "_gram").groupBy("_alias").agg(F.min(F.struct("_n", "_gram")).alias("_x"))
+    return named.join(rarest.select("_alias", "_x._gram"), "_alias")
+
+
+def alias_in_text(questions: DataFrame, aliases: DataFrame) -> DataFrame:
     """questions: question_id, text. aliases: alias_text, screener_symbol, ord. The alias contained in the text with the
-    smallest ord, or null. The dictionary is broadcast while it has at most `most` entries and MOST_BYTES; beyond, the first characters of
-    an alias are joined with all runs of as many characters in the text, and only shorter aliases are broadcast. Both ways
-    find the same."""
-    lower, alias = F.lower("text"), F.lower("alias_text")
-    n, held = aliases.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("alias_text") + F.octet_length("screener_symbol")), F.lit(0))).first()
-    if n <= most and held <= MOST_BYTES:
-        met = questions.join(F.broadcast(aliases), F.contains(lower, alias))
-    else:
-        starts = F.sequence(F.lit(1), F.greatest(F.length(lower) - ALIAS_CHARS + 1, F.lit(1)))
-        runs = F.array_distinct(F.transform(starts, lambda i: F.substring(lower, i, F.lit(ALIAS_CHARS))))
-        long = aliases.filter(F.length(alias) >= ALIAS_CHARS).withColumn("_w", F.substring(alias, 1, ALIAS_CHARS))
-        met = questions.withColumn("_w", F.explode(runs)).join(long, "_w").filter(F.contains(lower, alias)).drop("_w")
-        short = F.broadcast(aliases.filter(F.length(alias) < ALIAS_CHARS))
-        met = met.unionByName(questions.join(short, F.contains(lower, alias)))
+    smallest ord, or null. A text meets the aliases whose anchor (see `anchored`) is among its own runs of characters, by an equi-join that Spark
+    broadcasts or shuffles as the dictionary's size has it; what meets is then compared in full."""
+    dictionary = anchored(aliases)
+    lower = F.lower("text")
+    lengths = sorted(r[0] for r in dictionary.select(F.length("_gram")).distinct().collect())  # GRAM of them at most
+    runs = F.array_distinct(F.flatten(F.array(*(_runs(lower, n) for n in lengths)))) if lengths else F.array().cast("array<string>")
+    met = questions.select("question_id", lower.alias("_lower"), F.explode(runs).alias("_gram")).join(dictionary, "_gram").filter(F.contains("_lower", F.col("_alias")))
     best = met.groupBy("question_id").agg(F.min(F.struct("ord", "alias_text", "screener_symbol")).alias("_b"))
     return questions.join(best, "question_id", "left").select("question_id", "text", F.col("_b.alias_text").alias("alias_text"), F.col("_b.screener_symbol").alias("screener_symbol"))
 

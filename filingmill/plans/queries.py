@@ -158,15 +158,29 @@ def table_counts(spark, sf_dir):
     return statements.table_counts({t: derived.read(spark, sf_dir, t) for t in ("orders", "lineitem", "events")})
 
 
-def _columns_sql(tables: dict[str, str]) -> str:
-    return " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) AS n_rows, count(*) - count({c}) AS n_nulls FROM {t}" for t, cs in tables.items() for c in cs.split())
+_DESCRIBED = {
+    "documents": {"doc_id": "number of the document", "text": None, "lang": "language of the text", "source": "where it came from", "n_chars": "characters of the text"},
+    "labels": {"doc_id": "number of the document", "quality": "1: good", "toxic": None}, "pages": {"page_id": None, "url": "address", "html": "source of the page"},
+    "conversations": {"conv_id": None, "turn": "place in the conversation", "role": "who speaks", "text": None},
+}
 
 
-@_query(_columns_sql({"documents": "doc_id text lang source n_chars", "labels": "doc_id quality toxic", "pages": "page_id url html", "conversations": "conv_id turn role text"}))
+def _columns_sql() -> str:
+    kind = lambda c: f"(SELECT replace(lower(typeof({c})), 'varchar', 'string') FROM {{t}} LIMIT 1)"
+    row = lambda t, i, c, d: f"SELECT '{t}' AS table_name, {i} AS position, '{c}' AS column_name, {kind(c).format(t=t)} AS data_type, {f'{chr(39)}{d}{chr(39)}' if d else 'CAST(NULL AS VARCHAR)'} AS description, count(*) AS n_rows, count(*) - count({c}) AS n_nulls FROM {t}"
+    return " UNION ALL ".join(row(t, i, c, d).replace("'integer'", "'int'") for t, cs in _DESCRIBED.items() for i, (c, d) in enumerate(cs.items()))
+
+
+@_query("SELECT table_name, position, column_name, replace(data_type, 'integer', 'int') AS data_type, description, n_rows, n_nulls FROM (" + _columns_sql() + ")")
 def table_columns(spark, sf_dir):
-    """The columns of every table, with rows and nulls."""
-    out = statements.table_columns({t: derived.read(spark, sf_dir, t) for t in ("documents", "labels", "pages", "conversations")})
-    return out.select("table_name", "column_name", "n_rows", "n_nulls")
+    """The columns of every table with their comments, which are written with the tables and read back, and their rows and nulls."""
+    tables = {}
+    for name, about in _DESCRIBED.items():
+        told = stored.commented(derived.read(spark, sf_dir, name).select(*about), {c: d for c, d in about.items() if d})
+        at = stored.scratch_path(spark, name)
+        told.write.parquet(at)
+        tables[name] = spark.read.parquet(at)
+    return statements.table_columns(tables)
 
 
 @_query("SELECT o_custkey, count(*) AS n, max(o_orderkey) AS last_order FROM orders WHERE o_orderkey % 3 = 1 GROUP BY o_custkey")
@@ -227,6 +241,46 @@ def company_upsert(spark, sf_dir):
     return statements.upsert_companies(table, changes)
 
 
+@_query(f"""WITH {S}, either AS (
+  SELECT company_id, line_item, period_label, value, 0 AS seq FROM stmts UNION ALL SELECT company_id, line_item, period_label, value * 2, 1 FROM stmts WHERE line_item = 'Sales' AND company_id % 2 = 0
+  UNION ALL SELECT company_id, 'New Item', period_label, value, 1 FROM stmts WHERE line_item = 'Sales' UNION ALL SELECT company_id, line_item, period_label, -value, 2 FROM stmts WHERE company_id % 3 = 0 AND line_item <> 'Reserves')
+SELECT company_id, line_item, period_label, round(arg_max(value, seq), 4) AS value FROM either GROUP BY 1, 2, 3""")
+def statement_store(spark, sf_dir):
+    """S12 as a sink: a stored table changed in place twice and read back."""
+    stmts = derived.statements(spark, sf_dir).select("company_id", "line_item", "period_label", "value", F.lit(0).alias("seq"))
+    at = stored.scratch_path(spark, "statement_store")
+    stored.create(stmts, at, statements.STATEMENT_KEY)
+    sales = stmts.filter("line_item = 'Sales'").withColumn("seq", F.lit(1))
+    statements.upsert_stored(at, sales.filter("company_id % 2 = 0").withColumn("value", F.col("value") * 2).unionByName(sales.withColumn("line_item", F.lit("New Item"))), "seq")
+    statements.upsert_stored(at, stmts.filter("company_id % 3 = 0 AND line_item <> 'Reserves'").withColumns({"value": -F.col("value"), "seq": F.lit(2)}), "seq")
+    return stored.read(spark, at).select("company_id", "line_item", "period_label", F.round("value", 4).alias("value"))
+
+
+@_query(ORACLE_SQL["company_upsert"])
+def company_store(spark, sf_dir):
+    """S13 as a sink: ids stay, new companies are numbered once; the second, equal change alters nothing."""
+    table = derived.companies(spark, sf_dir).select("company_id", "screener_symbol", "company_name")
+    at = stored.scratch_path(spark, "company_store")
+    stored.create(table, at, statements.COMPANY_KEY)
+    key = F.col("s_suppkey")
+    changes = derived.read(spark, sf_dir, "supplier").select(F.concat(F.lit("CO"), key + 50).alias("screener_symbol"), F.when(key % 2 == 0, F.concat(F.lit("renamed "), key)).alias("company_name"))
+    for _ in range(2):
+        statements.upsert_stored_companies(at, changes)
+    return stored.read(spark, at)
+
+
+@_query("""WITH v AS (SELECT vec_id AS id, 'child' AS collection, label, embedding, 0 AS seq FROM embeddings UNION ALL SELECT vec_id + 100, 'child', label + 100, embedding, 1 FROM embeddings WHERE vec_id % 2 = 0 UNION ALL SELECT vec_id, 'parent', label, embedding, 2 FROM embeddings WHERE vec_id % 5 = 0)
+SELECT collection, id, arg_max(label, seq) AS label, round(list_sum(list_transform(arg_max(embedding, seq), lambda x: CAST(x AS DOUBLE))), 4) AS vector_sum FROM v GROUP BY 1, 2""")
+def vector_store(spark, sf_dir):
+    """V2 as a sink: records upserted by (collection, id) into a stored table, with their vectors."""
+    table = derived.read(spark, sf_dir, "embeddings").select(F.lit("child").alias("collection"), F.col("vec_id").alias("id"), "label", "embedding", F.lit(0).alias("seq"))
+    at = stored.scratch_path(spark, "vector_store")
+    stored.create(table, at, ["collection", "id"])
+    statements.upsert_stored(at, table.filter("id % 2 = 0").withColumns({"id": F.col("id") + 100, "label": F.col("label") + 100, "seq": F.lit(1)}), "seq")
+    statements.upsert_stored(at, table.filter("id % 5 = 0").withColumns({"collection": F.lit("parent"), "seq": F.lit(2)}), "seq")
+    return stored.read(spark, at).select("collection", "id", "label", F.round(F.aggregate("embedding", F.lit(0.0), lambda t, x: t + x), 4).alias("vector_sum"))
+
+
 @_query(f"""WITH {S}, i AS (SELECT company_id, statement, line_item, count(*) AS n, list_sort(list(DISTINCT period_label)) AS periods FROM stmts GROUP BY 1, 2, 3)
 SELECT company_id, statement, CAST(sum(n) AS BIGINT) AS n_rows, arg_max(periods, (len(periods), line_item)) AS periods FROM i GROUP BY 1, 2""")
 def ingest_summary(spark, sf_dir):
@@ -576,13 +630,14 @@ def alias_lookup(spark, sf_dir):
     return state.resolve_alias(asked.select(key.alias("question_id"), phrase.alias("phrase")), aliases)
 
 
-@_query("""SELECT lower(trim(p_name)) AS alias_text, 'CO' || (p_partkey % 150) AS screener_symbol, p_partkey AS created_at FROM part WHERE p_partkey % 150 < 75 AND lower(trim(p_name)) NOT IN (SELECT lower(trim(p_name)) FROM part WHERE p_partkey % 7 = 0)""")
+@_query("""WITH a AS (SELECT lower(trim(c_name)) AS alias_text, 'CO' || (c_custkey % 150) AS screener_symbol, c_custkey AS created_at FROM customer WHERE c_custkey % 150 < 75 AND c_custkey % 7 <> 0)
+SELECT *, row_number() OVER (ORDER BY created_at, alias_text) AS place FROM a""")
 def alias_list(spark, sf_dir):
-    """Aliases after deletions, the oldest first."""
-    part, key = derived.read(spark, sf_dir, "part"), F.col("p_partkey")
-    aliases = part.select(F.lower(F.trim("p_name")).alias("alias_text"), F.concat(F.lit("CO"), key % 150).alias("screener_symbol"), key.alias("created_at"), (key % 150 < 75).alias("_kept"))
-    gone = part.filter(key % 7 == 0).select(F.concat(F.lit(" "), F.upper("p_name")).alias("alias_text"))
-    return state.list_aliases(state.without_aliases(aliases.filter("_kept").drop("_kept"), gone))
+    """Aliases after deletions, the oldest first; place is their number in that order."""
+    customer, key = derived.read(spark, sf_dir, "customer"), F.col("c_custkey")
+    aliases = customer.filter(key % 150 < 75).select(F.lower(F.trim("c_name")).alias("alias_text"), F.concat(F.lit("CO"), key % 150).alias("screener_symbol"), key.alias("created_at"))
+    gone = customer.filter(key % 7 == 0).select(F.concat(F.lit(" "), F.upper("c_name")).alias("alias_text"))
+    return stored.numbered(state.without_aliases(aliases, gone), ["created_at", "alias_text"], 0, "place")
 
 
 @_query("""WITH a AS (SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1, 2)
