@@ -15,26 +15,15 @@ from ..sources import stored
 LOOKUP_ORDER = ("profit_loss", "balance_sheet", "cash_flow")
 
 
-def read_statement(stmts: DataFrame, statement: str | None, company_id: int, line_items: Sequence[str] = (), periods: Sequence[str] = ()) -> DataFrame:
-    """One company's rows; an empty list of items or periods filters nothing; no statement means all three."""
-    out = stmts.filter(F.col("company_id") == company_id)
-    if statement is not None:
-        out = out.filter(F.col("statement") == statement)
-    if line_items:
-        out = out.filter(F.col("line_item").isin(*line_items))
-    if periods:
-        out = out.filter(F.col("period_label").isin(*periods))
-    return out.orderBy("line_item", F.col("fiscal_year_end").asc_nulls_first())
-
-
 def read_statements(requests: DataFrame, stmts: DataFrame) -> DataFrame:
     """requests: request_id, company_id, statement (null: all), line_items, periods (null or empty: all). The rows of all
-    requests in one join; empty lists filter nothing."""
+    requests in one join; empty lists filter nothing. place is a row's number in its request: by line item, then by the end of the year, rows without one first."""
     asked = requests.select("request_id", "company_id", F.col("statement").alias("_s"), F.col("line_items").alias("_i"), F.col("periods").alias("_p"))
     every = lambda listed: F.coalesce(F.size(listed), F.lit(0)) <= 0
     met = asked.join(stmts, "company_id").filter(F.col("_s").isNull() | (F.col("_s") == F.col("statement")))
     met = met.filter(every("_i") | F.expr("array_contains(_i, line_item)")).filter(every("_p") | F.expr("array_contains(_p, period_label)"))
-    return met.drop("_s", "_i", "_p")
+    order = W.partitionBy("request_id").orderBy("line_item", F.col("fiscal_year_end").asc_nulls_first(), "statement", "period_label")
+    return met.drop("_s", "_i", "_p").withColumn("place", F.row_number().over(order))
 
 
 def pivot_statement(rows: DataFrame, periods: Sequence[str]) -> DataFrame:
@@ -90,10 +79,6 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def list_companies(companies: DataFrame) -> DataFrame:
-    return companies.orderBy("screener_symbol")
-
-
 def table_columns(tables: dict[str, DataFrame]) -> DataFrame:
     """table_name, position, column_name, data_type, description (a column's comment), n_rows and n_nulls, for each column of each
     table; one pass over a table counts all its columns."""

@@ -27,8 +27,43 @@ def read_pages(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return pages.filter("_corrupt IS NULL").drop("_corrupt"), pages.filter("_corrupt IS NOT NULL").select("file", "_corrupt")
 
 
-def write_pages(pages: DataFrame, path: str) -> None:
-    pages.write.mode("errorifexists").json(path)
+DOCUMENT = ("company", "year", "doc_type")
+
+
+def page_arrays(pages: DataFrame, key: Sequence[str] = DOCUMENT) -> DataFrame:
+    """pages: the key, page_num, text. The key and content, a document's pages as a JSON array in page order. (A document has 500 pages at most, see
+    quality.document_totals.)"""
+    listed = F.array_sort(F.collect_list(F.struct("page_num", "text")))
+    return pages.groupBy(*key).agg(F.to_json(listed, {"ignoreNullFields": "false"}).alias("content"))
+
+
+def write_pages(arrays: DataFrame, path: str, key: Sequence[str] = DOCUMENT) -> None:
+    """arrays: the key and content (see page_arrays). A line of JSON a document, in folders by all of the key but its last column, which goes along."""
+    *folders, last = key
+    arrays.select(*folders, F.struct(last, "content").alias("d")).select(*folders, F.to_json("d").alias("value")).write.mode("errorifexists").partitionBy(*folders).text(path)
+
+
+def read_page_arrays(spark: SparkSession, path: str, key: Sequence[str] = DOCUMENT) -> tuple[DataFrame, DataFrame]:
+    """(pages: the key, page_num, text; quarantine: the key, position, raw, reason) of what write_pages or another writer of such lines left. One pass reads a line: a document that
+    is no JSON or no array goes to the quarantine whole, and of an array the entries that are no mapping, have no whole number or no text; the other entries are good."""
+    *_, last = key
+    lines = spark.read.text(path).select("*", F.from_json("value", f"{last} string, content string").alias("d")).select("*", f"d.{last}", "d.content").drop("d")
+    return _split_arrays(lines.withColumn("content", F.coalesce("content", "value")).drop("value"), key)
+
+
+def _split_arrays(documents: DataFrame, key: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    v = F.try_parse_json("content")
+    kind = lambda x: F.coalesce(F.schema_of_variant(x), F.lit("VOID"))
+    is_array = v.isNotNull() & kind(v).startswith("ARRAY")
+    entries = F.when(is_array, F.try_variant_get(v, "$", "array<variant>")).otherwise(F.array(F.lit(None).cast("variant")))
+    whole = F.when(v.isNull(), "not_json").when(~is_array, "not_an_array")
+    part = lambda name: F.try_variant_get("_x", f"$.{name}", "variant")
+    reason = F.when(~kind(F.col("_x")).startswith("OBJECT"), "not_a_mapping").when(kind(part("page_num")) != "BIGINT", "page_num").when(kind(part("text")) != "STRING", "text")
+    out = documents.withColumn("_whole", whole).select(*key, "content", "_whole", F.posexplode(entries).alias("position", "_x"))
+    out = out.withColumn("reason", F.coalesce("_whole", reason))
+    good = out.filter("reason IS NULL").select(*key, F.try_variant_get("_x", "$.page_num", "int").alias("page_num"), F.try_variant_get("_x", "$.text", "string").alias("text"))
+    raw = F.when(F.col("_whole").isNotNull(), F.col("content")).otherwise(F.to_json("_x"))
+    return good, out.filter("reason IS NOT NULL").select(*key, F.when(F.col("_whole").isNull(), F.col("position")).alias("position"), raw.alias("raw"), "reason")
 
 
 def write_cleaned(pages: DataFrame, path: str) -> None:
