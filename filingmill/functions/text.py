@@ -175,8 +175,8 @@ def unsafe_reasons(text: Column) -> Column:
             "object_marks": wide(F.contains(text, F.lit(P.OBJECT_MARK)) & (F.regexp_count(text, F.lit(_one_of(P.OBJECT_MARK))) > 10)),
             "zero_width_run": wide(text.rlike(_one_of(P.ZERO_WIDTH) + "{4,}")),
             "control_characters": text.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]"),
-            "sql": _matches(x.plain, x.lower, P.SQL_PATTERNS, P.SQL_GATES, "?i"),
-            "code": _matches(x.plain, x.lower, P.CODE_PATTERNS, P.CODE_GATES, "?i"),
+            "sql": _matches(x.plain, x.lower, P.SQL_PATTERNS, P.SQL_GATES, "?id"),
+            "code": _matches(x.plain, x.lower, P.CODE_PATTERNS, P.CODE_GATES, "?id"),
             "path_traversal": F.when(reduce(Column.__or__, (F.contains(x.lower, F.lit(g)) for g in ("..", "%2", "\x00"))), text.rlike(P.PATH_TRAVERSAL)).otherwise(False),
             "data_uri": F.when(F.contains(x.lower, F.lit("data:")), text.rlike(P.DATA_URI)).otherwise(False),
             "nesting": text.rlike(r"[\[({<]{8,}"),

@@ -1160,6 +1160,13 @@ def scalar_rules(spark, sf_dir):
 SELECT company_id AS page_id, statement, line_item, period_label, fiscal_year_end, round(value) AS value, unit FROM p WHERE r <= 5""")
 def statement_tables(spark, sf_dir):
     """Statements written as HTML pages with their tables, and read back: the last five periods of each."""
+    held = _statement_pages(spark, sf_dir, F.lit("<h1>The Company</h1>")).select("page_id", F.lit("X").alias("symbol"), "html")
+    out = statement_pages.tidy(statement_pages.statement_cells(held))
+    return out.select("page_id", "statement", "line_item", "period_label", "fiscal_year_end", "value", "unit")
+
+
+def _statement_pages(spark, sf_dir, head, kept=None):
+    """A page of every company with the tables of its statements below what `head` says; kept: which statements (all)."""
     stmts = derived.statements(spark, sf_dir)
     cell = F.when(F.col("value") < 0, F.concat(F.lit("("), F.format_number(-F.round("value"), 0), F.lit(")"))).otherwise(F.coalesce(F.format_number(F.round("value"), 0), F.lit("-")))
     tag = lambda t, c: F.concat(F.lit(f"<{t}>"), c, F.lit(f"</{t}>"))
@@ -1168,10 +1175,9 @@ def statement_tables(spark, sf_dir):
     row = row.select("company_id", "statement", "head", F.concat(F.lit("<tr><td>"), F.col("line_item"), F.lit(" +</td>"), "cells", F.lit("</tr>")).alias("tr"))
     table = row.groupBy("company_id", "statement").agg(F.concat(F.lit("<table><thead><tr><th></th>"), F.first("head"), F.lit("</tr></thead><tbody>"), F.array_join(F.collect_list("tr"), ""), F.lit("</tbody></table>")).alias("table"))
     heading = F.element_at(F.create_map(*(F.lit(x) for h, n in statement_pages.SECTIONS.items() for x in (n, h.upper().replace("&", "&amp;")))), F.col("statement"))
-    page = table.groupBy("company_id").agg(F.concat(F.lit("<h1>The Company</h1>"), F.array_join(F.collect_list(F.concat(tag("h2", heading), "table")), "")).alias("html"))
-    held = page.select(F.col("company_id").cast("long").alias("page_id"), F.lit("X").alias("symbol"), "html")
-    out = statement_pages.tidy(statement_pages.statement_cells(held))
-    return out.select("page_id", "statement", "line_item", "period_label", "fiscal_year_end", "value", "unit")
+    table = table if kept is None else table.filter(kept)
+    page = table.groupBy("company_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat(tag("h2", heading), "table"))), "").alias("tables"))
+    return page.select(F.col("company_id").cast("long").alias("page_id"), F.concat(head, F.lit(""), "tables").alias("html"))
 
 
 @_query(r"""SELECT doc_id, sha256('<untrusted_context>' || chr(10) || CASE WHEN length(trim(t)) > 12000 THEN left(trim(t), 12000) || chr(10) || '[TRUNCATED_CONTEXT]' ELSE trim(t) END || chr(10) || '</untrusted_context>') AS fenced_sha256, length(t) AS n_chars,
@@ -1193,8 +1199,18 @@ def chunk_ranges(spark, sf_dir):
     return quality.chunk_counts(derived.read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("document")))
 
 
-@_query(r"""SELECT page_id, replace(replace(replace(trim(regexp_replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS name, 'missing: Profit & Loss, Balance Sheet, Cash Flows' AS error FROM pages""")
+@_query(f"""WITH {S}, k AS (SELECT DISTINCT company_id, statement FROM stmts), n AS (SELECT company_id, list_filter(['Profit & Loss', 'Balance Sheet', 'Cash Flows'], lambda x: NOT list_contains(list(CASE statement WHEN 'profit_loss' THEN 'Profit & Loss' WHEN 'balance_sheet' THEN 'Balance Sheet' ELSE 'Cash Flows' END)
+    FILTER (WHERE company_id % 4 <> 1 OR statement <> 'cash_flow'), x)) AS missing FROM k GROUP BY 1)
+SELECT company_id AS page_id, CASE WHEN company_id % 7 = 0 THEN NULL WHEN company_id % 7 = 1 THEN 'SYM' || company_id ELSE 'Company ' || company_id || ' & Sons' END AS name, CASE WHEN company_id % 2 = 0 THEN 'NS' || company_id END AS nse, CASE WHEN company_id % 3 = 0 THEN CAST(500000 + company_id AS VARCHAR) END AS bse,
+  CASE WHEN company_id % 7 IN (0, 1) THEN 'no company name' WHEN len(missing) > 0 THEN 'missing: ' || array_to_string(missing, ', ') END AS error FROM n
+UNION ALL SELECT -1 - page_id, replace(replace(replace(trim(regexp_replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '\\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), NULL, NULL, 'missing: Profit & Loss, Balance Sheet, Cash Flows' FROM pages""")
 def page_identities(spark, sf_dir):
-    """The stored pages through the HTML reader; none of them has a statement table, so each gets an error row."""
-    pages = derived.read(spark, sf_dir, "pages").select("page_id", F.lit("NONE").alias("symbol"), "html")
-    return statement_pages.identities(statement_pages.statement_cells(pages)).select("page_id", "name", "error")
+    """Pages of companies through the HTML reader, of which some lack a name, a statement or a listing; and the stored pages, none of which has a statement."""
+    n = F.col("company_id")
+    name = F.when(n % 7 == 0, "").when(n % 7 == 1, F.concat(F.lit("<h1>sym"), n, F.lit("</h1>"))).otherwise(F.concat(F.lit("<h1>Company "), n, F.lit(" &amp; Sons</h1>")))
+    name = F.when(n % 7 == 1, F.upper(name)).otherwise(name)
+    links = F.concat(F.when(n % 2 == 0, F.concat(F.lit("<a href='x'>NSE: NS"), n, F.lit("</a>"))).otherwise(""), F.when(n % 3 == 0, F.concat(F.lit("<a>BSE: "), 500000 + n, F.lit("</a>"))).otherwise(""))
+    made = _statement_pages(spark, sf_dir, F.concat(name, links), (n % 4 != 1) | (F.col("statement") != "cash_flow"))
+    made = made.select("page_id", F.concat(F.lit("Sym"), "page_id").alias("symbol"), "html")
+    held = derived.read(spark, sf_dir, "pages").select((-1 - F.col("page_id")).alias("page_id"), F.lit("NONE").alias("symbol"), "html")
+    return statement_pages.identities(statement_pages.statement_cells(made.unionByName(held))).select("page_id", "name", "nse", "bse", "error")

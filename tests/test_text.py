@@ -165,23 +165,23 @@ def test_pages_that_keep_arriving(spark, tmp_path):
 def test_every_pattern_and_its_gate(spark):
     """A text for each pattern and for each of its alternatives: it matches, and so it has to hold one of the gate's literals."""
     sql = {
-        "union all select 1": 0, "SELECT a FROM b": 1, "insert into t": 2, "update t set": 3, "delete from": 4, "drop table": 5, "drop trigger": 5, "alter schema": 6, "create function": 7, "truncate table x": 8,
-        "into outfile": 9, "into dumpfile": 9, "load data local infile": 10, "information_schema": 11, "sysobjects": 12, "syscolumns": 13, "pg_catalog": 14, "all_tables": 15, "exec xp_cmd": 16, "exec(sp_x": 16,
-        "execute immediate": 17, "call f(": 18, "x --": 19, "x # ": 19, "x; --y": 20, "/* a */": 21, "or 1 = 1": 22, "and 1=1": 23, "' or 'a'='a'": 24, "or 'a'='a'": 25, "having 1=1": 26, "waitfor  delay": 27,
-        "benchmark (": 28, "sleep(5)": 29, "dbms_pipe.receive_message": 30, "char(65": 31, "concat(x select": 32, "group_concat(": 33, "0xDEADbeef": 34, "cast(a as varchar": 35, "; drop x": 36, "grant all": 37,
-        "revoke all": 37, "with grant option": 38,
+        "union all select 1": 0, "UNION  select 1": 1, "SELECT a FROM b": 2, "insert into t": 3, "update t set": 4, "delete from": 5, "drop table": 6, "drop trigger": 6, "alter schema": 7, "create function": 8, "truncate table x": 9,
+        "into outfile": 10, "into dumpfile": 10, "load data local infile": 11, "information_schema": 12, "sysobjects": 13, "syscolumns": 14, "pg_catalog": 15, "all_tables": 16, "exec xp_cmd": 17, "exec(sp_x": 17,
+        "execute immediate": 18, "call f(": 19, "x --": 20, "x # ": 20, "x; --y": 21, "/* a */": 22, "or 1 = 1": 23, "and 1=1": 24, "' or 'a'='a'": 25, "or 'a'='a'": 26, "having 1=1": 27, "waitfor  delay": 28,
+        "benchmark (": 29, "sleep(5)": 30, "pg_sleep( 5 )": 31, "dbms_pipe.receive_message": 32, "char(65": 33, "concat(x select": 34, "group_concat(": 35, "0xDEADbeef": 36, "cast(a as varchar": 37, "; drop x": 38, "grant all": 39,
+        "revoke all": 39, "with grant option": 40,
     }
     code = {
-        "<script>": 0, "</script>": 1, "JAVASCRIPT:": 2, "vbscript:": 3, "onclick='": 4, "<iframe ": 5, "<style>": 5, "<meta x http-equiv=refresh": 6, "expression (": 7, "{{ x }}": 8, "${x}": 9, "${T (": 10,
-        "#{x}": 11, "<%= x %>": 12, "{% x %}": 13, "{# x #}": 14, "eval(": 15, "exec (": 15, "compile(": 15, "__import__(": 15, "importlib.import_module(": 16, "subprocess.": 17, "os.system(": 18, "os.popen(": 18,
-        "os.spawnl(": 19, "os.execv(": 20, "pickle.load(": 21, "marshal.loads(": 21, "yaml.load(": 22, "jsonpickle.decode(": 23, "globals()": 24, "dir( )": 24, "__class__": 25, "__subclasses__()": 26,
-        "getattr(x, '__y": 27, "setattr(": 28, "delattr(": 28, "ctypes.": 29, "shutil.": 30, "open(x, 'w": 31, "`x`": 32, "$(x)": 33,
+        "<script>": 0, "</script>": 1, "JAVASCRIPT:": 2, "vbscript:": 3, "onclick='": 4, "<iframe ": 5, "<object>": 6, "<embed ": 7, "<form>": 8, "<base ": 9, "<link ": 10, "<style>": 11, "<meta x http-equiv=refresh": 12, "expression (": 13, "{{ x }}": 14, "${x}": 15, "${T (": 16,
+        "#{x}": 17, "<%= x %>": 18, "{% x %}": 19, "{# x #}": 20, "eval(": 21, "exec (": 22, "compile(": 23, "__import__(": 24, "importlib.import_module(": 25, "subprocess.": 26, "os.system(": 27, "os.popen(": 28,
+        "os.spawnl(": 29, "os.execv(": 30, "pickle.load(": 31, "marshal.loads(": 32, "yaml.load(": 33, "jsonpickle.decode(": 34, "globals()": 35, "locals()": 36, "vars( )": 37, "dir( )": 38, "__builtins__": 39, "__globals__": 40, "__class__": 41, "__subclasses__()": 42,
+        "__bases__": 43, "__mro__": 44, "getattr(x, '__y": 45, "setattr(": 46, "delattr(": 47, "ctypes.": 48, "shutil.": 49, "open(x, 'w": 50, "`x`": 51, "$(x)": 52,
     }
     told = {
         "Ignore all": 0, "disregard any": 1, "system prompt": 2, "developer message": 3, "you are now": 4, "pretend you": 5, "act as": 6, "jailbreak": 7, "reveal the secrets": 8, "exfiltrate": 9, "tool call": 10,
         "x\n  system :": 11, "assistant:": 11,
     }
-    for cases, patterns, gates, flags in ((sql, text.P.SQL_PATTERNS, text.P.SQL_GATES, "?i"), (code, text.P.CODE_PATTERNS, text.P.CODE_GATES, "?i"), (told, text.P.INJECTION_PHRASES, text.P.INJECTION_GATES, "?im")):
+    for cases, patterns, gates, flags in ((sql, text.P.SQL_PATTERNS, text.P.SQL_GATES, "?id"), (code, text.P.CODE_PATTERNS, text.P.CODE_GATES, "?id"), (told, text.P.INJECTION_PHRASES, text.P.INJECTION_GATES, "?im")):
         assert len(patterns) == len(gates) and set(cases.values()) == set(range(len(patterns)))
         t = F.col("t")
         df = spark.createDataFrame(list(cases.items()), "t string, i int")
