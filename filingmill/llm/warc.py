@@ -4,7 +4,7 @@ Writing: each task packs its rows into archives of about ARCHIVE_BYTES; an archi
 that is run again replaces its own output and nothing is written beside Spark's committed files. The dictionary of an
 archive is trained from its own first records, at most DICTIONARY_SAMPLES of them; where that is too little to train
 from, the archive has none. Reading: an archive is a row with a `content` column (also what `binaryFile` gives for
-*.warc.zst files). The frames are walked by their block headers, each is decoded by itself with the dictionary, and every record's
+*.warc.zst files). The frames are walked by their block headers, skippable frames of other kinds are passed over wherever they stand, each is decoded by itself with the dictionary, and every record's
 header lines, Content-Length, block digest and payload digest are checked; what fails is a row with `error`. Archives of other
 writers are read, too: frames without a content size, all record types (the payload of those other than response and revisit
 is their block), digests by SHA-1, SHA-256 and others that hashlib knows, in base 32 or hex, and any form of record id. A
@@ -38,9 +38,13 @@ ARCHIVE_BYTES = 8 * 1024 * 1024
 DICTIONARY_BYTES = 32 * 1024
 DICTIONARY_SAMPLES = 256
 LEVEL = 3
+#: The largest record that is read; a frame that holds more is an error row.
+RECORD_BYTES = 256 * 1024 * 1024
 MIN_REVISIT = 1000
 # Fixed values of the formats.
 SKIPPABLE_MAGIC = 0x184D2A5D
+#: Frames of user data have 0x50 to 0x5F before these bytes.
+SKIPPABLE_TAIL = b"\x2a\x4d\x18"
 FRAME_MAGIC = 0xFD2FB528
 DICTIONARY_MAGIC = 0xEC30A437
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -95,9 +99,19 @@ def pack(records: list[bytes]) -> bytes:
     return head + b"".join(map(cctx.compress, records))
 
 
+def is_skippable(head: bytes) -> bool:
+    """Whether a frame of user data begins here, which holds no record."""
+    return head[1:4] == SKIPPABLE_TAIL and head[0] >> 4 == 5
+
+
 def frame_end(data: bytes, at: int) -> int:
     """Where the frame that begins at `at` ends, from its header and block headers alone."""
     head = data[at : at + 18]
+    if is_skippable(head):
+        end = at + 8 + int.from_bytes(head[4:8], "little")
+        if len(head) < 8 or end > len(data):
+            raise ValueError("a skippable frame is cut off")
+        return end
     params = zstandard.get_frame_parameters(head)
     at += zstandard.frame_header_size(head)
     last = False
@@ -140,13 +154,23 @@ def unpack(data: bytes) -> Iterator[bytes | Exception]:
         except (zstandard.ZstdError, ValueError) as e:
             yield e
             return
-        try:
-            yield dctx.decompressobj().decompress(data[at:end])  # a stream: its header need not tell the size
-        except zstandard.ZstdError as e:
-            yield e
+        if not is_skippable(data[at : at + 4]):
+            yield _inflated(dctx, data[at:end])
         at = end
 
 
+def _inflated(dctx: zstandard.ZstdDecompressor, frame: bytes) -> bytes | Exception:
+    """A frame's record, at most RECORD_BYTES of it: a frame that would grow beyond (its header need not tell the size) is an error."""
+    try:
+        with dctx.stream_reader(frame) as reader:
+            out = reader.read(RECORD_BYTES + 1)
+            while len(out) <= RECORD_BYTES and (more := reader.read(RECORD_BYTES + 1 - len(out))):
+                out += more
+    except zstandard.ZstdError as e:
+        return e
+    return out if len(out) <= RECORD_BYTES else ValueError(f"a record has more than {RECORD_BYTES} bytes")
+
+
 def _digest_fits(given: str, data: bytes) -> bool:
     """Whether a labelled digest is that of data; true for an algorithm unknown here."""
     algorithm, _, value = given.partition(":")

@@ -65,6 +65,20 @@ def test_broken_archives_give_errors(spark):
     assert warc.read_archives(warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"))).count() == 0
 
 
+def test_skippable_frames_and_large_records(spark, monkeypatch):
+    records = [warc.build_record(i, "u", b"%d " % i * 400, None) for i in range(40)]
+    whole = warc.pack(records)
+    skip = lambda n, data: (0x184D2A50 + n).to_bytes(4, "little") + len(data).to_bytes(4, "little") + data
+    plain = [zstandard.ZstdCompressor().compress(r) for r in records]
+    mixed = skip(0, b"") + plain[0] + skip(5, b"x" * 9) + plain[1] + skip(15, b"end")
+    assert list(warc.unpack(mixed)) == records[:2] and list(warc.unpack(whole + skip(13, b"late"))) == records
+    cut = list(warc.unpack(plain[0] + skip(3, b"abc")[:-1]))
+    assert cut[0] == records[0] and isinstance(cut[1], ValueError) and len(cut) == 2
+    monkeypatch.setattr(warc, "RECORD_BYTES", 1000)
+    large, small = warc.unpack(zstandard.ZstdCompressor().compress(b"0" * 10_000_000) + plain[0][:0] + zstandard.ZstdCompressor().compress(b"ok"))
+    assert isinstance(large, ValueError) and small == b"ok"
+
+
 def _foreign(kind, block, *lines, content="text/plain"):
     head = ["WARC/1.0", f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:0f1e>", "WARC-Date: 2024-01-01T00:00:00Z", f"Content-Type: {content}", f"Content-Length: {len(block)}", *lines]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
