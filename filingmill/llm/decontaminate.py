@@ -38,6 +38,8 @@ WINDOW = 10
 PROBES = 3
 SLOP = 2
 CELL = 64
+#: Up to so many terms are given to the scan of the postings as a filter: files are sorted by term, so it opens only pages that may hold one.
+SOUGHT = 2000
 
 
 class Index(NamedTuple):
@@ -80,9 +82,18 @@ def windows_of(items: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataF
     return phrases, staged(cut.filter("item IS NOT NULL").join(phrases, "phrase").select("pid", "item"), "items")
 
 
+def sought(postings: DataFrame, terms: DataFrame) -> DataFrame:
+    """The postings that may be of these terms (distinct, stored): few terms are looked up, and for many all postings are read."""
+    found = [r.term for r in terms.select("term").limit(SOUGHT + 1).collect()]
+    if len(found) > SOUGHT:
+        return postings
+    postings.sparkSession.conf.set("spark.sql.parquet.pushdown.inFilterThreshold", str(SOUGHT))
+    return postings.filter(F.col("term").isin(found))
+
+
 def term_counts(postings: DataFrame, terms: DataFrame) -> DataFrame:
-    """How often each of the terms occurs: term, cf. Terms that never occur have no row."""
-    return postings.join(terms, "term").groupBy("term").agg(F.count("*").alias("cf"))
+    """How often each of the terms (distinct, stored) occurs: term, cf. Terms that never occur have no row."""
+    return sought(postings, terms).join(terms, "term").groupBy("term").agg(F.count("*").alias("cf"))
 
 
 def rarest_probes(phrases: DataFrame, counts: DataFrame, probes: int = PROBES) -> DataFrame:
@@ -98,11 +109,15 @@ def rarest_probes(phrases: DataFrame, counts: DataFrame, probes: int = PROBES) -
 
 
 def intersected_starts(postings: DataFrame, probes: DataFrame, slop: int = SLOP, levels: int = PROBES) -> DataFrame:
-    """seg, ord, pid, start: where, from the rarest term of a phrase on, each probe's list has a start within slop words."""
+    """seg, ord, pid, start: where, from the rarest term of a phrase on, each probe's list has a start within slop words. All lists
+    are taken from the postings in one reading."""
+    terms = staged(probes.select("term").distinct(), "probe_terms")
+    start, rank = (F.col("pos") - F.col("off")).alias("start"), F.col("rank")
+    lists = sought(postings, terms).join(small(probes), "term").select("seg", "ord", "pid", start, "need", "rank")
+    lists = staged(lists.filter(F.col("start") >= F.when(rank > 0, -2 * slop).otherwise(-slop)), "lists")
 
     def lined(rank: int) -> DataFrame:
-        asked = small(staged(probes.filter(F.col("rank") == rank).select("pid", "need", "off", "term"), "asked"))
-        return postings.join(asked, "term").select("seg", "ord", "pid", (F.col("pos") - F.col("off")).alias("start"), "need").filter(F.col("start") >= (-2 * slop if rank else -slop))
+        return lists.filter(F.col("rank") == rank).drop("rank")
 
     cell = lambda at: F.floor(at / CELL).cast("int")
     left, done = lined(0), []

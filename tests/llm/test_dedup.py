@@ -8,6 +8,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from filingmill.llm import decontaminate, neighbours, simhash, substrings
+from filingmill.llm._shared import staged
 from filingmill.llm._components import components
 
 
@@ -209,6 +210,17 @@ def test_an_index_serves_a_second_benchmark(spark):
         assert {r.doc_id for r in found if r.exact} == exact and {r.doc_id for r in found if r.near} == near
 
 
+def test_few_terms_are_looked_up_and_many_are_read(spark, monkeypatch):
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), "id", F.lit(" common x"), F.col("id") % 7).alias("text"))
+    index = decontaminate.build_index(docs)
+    terms = staged(spark.createDataFrame([("w5",), ("common",), ("absent",)], "w string").select(F.xxhash64("w").alias("term")), "terms")
+    for most in (2000, 2):
+        monkeypatch.setattr(decontaminate, "SOUGHT", most)
+        found = decontaminate.term_counts(index.postings, terms)
+        assert ("In(term, [" in found._jdf.queryExecution().executedPlan().toString()) == (most == 2000)
+        assert sorted(r.cf for r in found.collect()) == [1, 300]
+
+
 @pytest.mark.parametrize("trees,leaf", [(6, 64), (2, 8)])  # with leaves of 8, the descent finds what the trees do not
 def test_neighbours_against_brute_force(spark, trees, leaf):
     rng = np.random.default_rng(4)
