@@ -121,6 +121,15 @@ def test_distant_forms_agree(model, kind, first, later, turned):
     assert [(k, text[s:e]) for k, s, e, _ in added] == [(kind, later.removesuffix(" 12/27"))]
 
 
+@pytest.mark.parametrize("parts", [[(4, "+1 (269) 555-3296"), (3, "4524132264652876")], [(3, "7536784127813050"), (3, "4845168114407329")], [(4, "+1 (578) 555-6437"), (3, "4918 1871 2863 5271")], [(3, "4918187128635271"), (4, "+1 (578) 555-6437")], [(4, "+1 (608) 555-2280"), (2, "37.92.178.161")]])
+def test_values_side_by_side(model, parts):
+    """What stands side by side is one long number for the patterns; each value is found by itself."""
+    far = " ".join(WORDS * 5)
+    text = f"{far} {' '.join(v for _, v in parts)} {far}"
+    [(base, added)] = P.find(model, [text])
+    assert sorted((k, text[s:e]) for k, s, e, *_ in [*base, *added]) == sorted(parts)
+
+
 def test_the_same_forms_alone_are_left_alone(model):
     far = " ".join(WORDS * 5)
     texts = [f"{far} {x} {far}" for x in ("ann.lee7@mail3", "26-58-236-81", "4111.1111.1111.1112", "9185553922", "555-3922", "1,234.56", "2024-05-17", "1.2.3", "@name", "12 34 56", "978-3-16-148410-0", "4111111111111112")]
