@@ -11,9 +11,11 @@ The score depends on the model's type, which is read from the file:
 - merges (BPE, as the model given here): of all segmentations the model's own is the one in which every two neighbouring pieces
   are what merging gives for the two together. That is the score: 0 if all neighbours agree, minus infinity otherwise. Exactly one
   piece that ends a prefix continues an agreeing path, so the first found is the best.
-Other types, and pieces that hold a mark or a line feed after another character, are refused. Results equal those of the
+Other types, and pieces that hold a mark or a line feed after another character, are refused. For merge models results equal those of the
 sentencepiece library, piece for piece, at every text tested (tests/llm/test_text_models.py); only NUL, which the library drops, becomes
-a byte piece here.
+a byte piece here. For unigram models the sum is that of the library's, and so are the pieces but for their order: where several orders
+of the same pieces have an equal sum, the library's rounding over a whole text picks one and the trie another (in the test, with an alphabet of four
+letters that makes such ties common, in under 10 % of the texts).
 
 A marked word is a space mark and the characters up to the next space; line feeds, which no piece holds, bound words as
 well. Characters without a piece become byte pieces. Runs of space marks are merged among themselves after that, as pieces never

@@ -45,7 +45,7 @@ def test_stage_joins_similar_texts(spark, monkeypatch):
     assert far > 5  # similar, but beyond the anchors' 3 bits
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = _expected(rows)
-    got = [r.doc_id for r in corpus_pipeline.simhash_dedup(spark, docs, "").collect()]
+    got = [r.doc_id for r in corpus_pipeline.near_copy_dedup(spark, docs, "").collect()]
     assert sorted(got) == sorted(want)
     # Blocks of a few texts give the same components.
     monkeypatch.setattr(near_copies.near_links, "__defaults__", (7,))
