@@ -1,5 +1,5 @@
-"""Column functions over page text: cleaning, tables, sections, chunks and safety. One stage, no shuffle; Python only for
-Unicode normal form."""
+"""Column functions over page text: cleaning, tables, sections, chunks and safety. One stage, no shuffle; Python for the literals of patterns and
+Unicode normal form alone."""
 
 from __future__ import annotations
 
@@ -7,10 +7,11 @@ import unicodedata
 from collections.abc import Callable, Iterator
 from functools import reduce
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from . import patterns as P
 
@@ -147,10 +148,25 @@ def _one_of(chars: str) -> str:
     return "[" + "".join(f"\\u{ord(c):04x}" for c in chars) + "]"
 
 
-def _matches(text: Column, lower: Column, patterns, gates, flags: str) -> Column:
-    """Whether one of the patterns matches; each is tried only on texts that contain one of its literals."""
-    held = lambda literals: reduce(Column.__or__, (F.contains(lower, F.lit(x)) for x in literals))
-    return reduce(Column.__or__, (F.when(held(g), text.rlike(f"({flags}){p}")).otherwise(False) for p, g in zip(patterns, gates, strict=True)))
+#: All literals that the gates of patterns are made of.
+LITERALS = tuple(sorted({x for gates in (P.SQL_GATES, P.CODE_GATES, P.INJECTION_GATES) for g in gates for x in g}))
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def literals_in(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Which of LITERALS a text holds: one automaton goes over it once, where Spark's functions would once for each."""
+    automaton = ahocorasick.Automaton()
+    for x in LITERALS:
+        automaton.add_word(x, x)
+    automaton.make_automaton()
+    for batch in batches:
+        yield batch.map(lambda t: [] if t is None else sorted({x for _, x in automaton.iter(t)}))
+
+
+def _matches(text: Column, held: Column, patterns, gates, flags: str) -> Column:
+    """Whether one of the patterns matches; each is tried only on texts that hold (see literals_in) one of its literals."""
+    some = lambda literals: F.arrays_overlap(held, F.array(*map(F.lit, literals)))
+    return reduce(Column.__or__, (F.when(some(g), text.rlike(f"({flags}){p}")).otherwise(False) for p, g in zip(patterns, gates, strict=True)))
 
 
 def _let(value: Column, of: Callable[[Column], Column]) -> Column:
@@ -175,8 +191,8 @@ def unsafe_reasons(text: Column) -> Column:
             "object_marks": wide(F.contains(text, F.lit(P.OBJECT_MARK)) & (F.regexp_count(text, F.lit(_one_of(P.OBJECT_MARK))) > 10)),
             "zero_width_run": wide(text.rlike(_one_of(P.ZERO_WIDTH) + "{4,}")),
             "control_characters": text.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]"),
-            "sql": _matches(x.plain, x.lower, P.SQL_PATTERNS, P.SQL_GATES, "?id"),
-            "code": _matches(x.plain, x.lower, P.CODE_PATTERNS, P.CODE_GATES, "?id"),
+            "sql": _matches(x.plain, x.held, P.SQL_PATTERNS, P.SQL_GATES, "?id"),
+            "code": _matches(x.plain, x.held, P.CODE_PATTERNS, P.CODE_GATES, "?id"),
             "path_traversal": F.when(reduce(Column.__or__, (F.contains(x.lower, F.lit(g)) for g in ("..", "%2", "\x00"))), text.rlike(P.PATH_TRAVERSAL)).otherwise(False),
             "data_uri": F.when(F.contains(x.lower, F.lit("data:")), text.rlike(P.DATA_URI)).otherwise(False),
             "nesting": text.rlike(r"[\[({<]{8,}"),
@@ -185,7 +201,7 @@ def unsafe_reasons(text: Column) -> Column:
         }
         return F.array_compact(F.array(*(F.when(c, name) for name, c in checks.items())))
 
-    listed = _let(F.struct(plain.alias("plain"), F.lower(plain).alias("lower")), found)
+    listed = _let(F.struct(plain.alias("plain"), F.lower(plain).alias("lower"), literals_in(F.lower(plain)).alias("held")), found)
     return F.when(F.coalesce(stripped(text), F.lit("")) == "", F.array().cast("array<string>")).otherwise(listed)
 
 
@@ -236,7 +252,7 @@ def link_problem(target: Column) -> Column:
 
 
 def injection_flag(text: Column) -> Column:
-    return F.coalesce(_let(F.lower(text), lambda low: _matches(text, low, P.INJECTION_PHRASES, P.INJECTION_GATES, "?im")), F.lit(False))
+    return F.coalesce(_let(literals_in(F.lower(text)), lambda held: _matches(text, held, P.INJECTION_PHRASES, P.INJECTION_GATES, "?im")), F.lit(False))
 
 
 def injection_score(text: Column) -> Column:
