@@ -38,8 +38,9 @@ WINDOW = 10
 PROBES = 3
 SLOP = 2
 CELL = 64
-#: Up to so many terms are given to the scan of the postings as a filter: files are sorted by term, so it opens only pages that may hold one.
-SOUGHT = 2000
+#: Up to so many terms are given to the scan of the postings as a filter: files are sorted by term, so it opens only pages that may hold one. (Spark
+#: makes a chain of comparisons of them, which with thousands of terms is too deep for a thread's stack.)
+SOUGHT = 200
 
 
 class Index(NamedTuple):
