@@ -736,28 +736,34 @@ def record_check(spark, sf_dir):
 
 
 def _record_files(spark, sf_dir):
-    """A file per conversation: its turns as records, with one fault in most."""
-    k = F.col("conv_id")
-    fault = lambda n, c, other=None: F.when(k % 7 != n, c) if other is None else F.when(k % 7 == n, other).otherwise(c)
-    record = F.struct(fault(1, F.col("turn").cast("string"), F.lit(" ")).alias("id"), fault(2, F.lit("said")).alias("text"), F.when(k % 7 != 3, F.struct("role")).alias("metadata"))
+    """A file per conversation: its turns as records, of which some lack an id, a text or metadata by the length of what was said, and one file in seven each that is a list, has
+    no children, or is cut off."""
+    k, n = F.col("conv_id"), F.length("text")
+    record = F.struct(F.when(n % 9 == 0, " ").otherwise(F.col("turn").cast("string")).alias("id"), F.when(F.coalesce(n % 11, F.lit(1)) != 0, "said").alias("text"), F.when(F.coalesce(n % 13, F.lit(1)) != 0, F.struct("role")).alias("metadata"))
     turns = derived.read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(record)).alias("r"))
-    whole = F.when(k % 7 == 4, F.to_json("r")).when(k % 7 == 5, F.to_json(F.struct(F.col("r").alias("parents")))).when(k % 7 == 6, F.lit("{broken"))
-    return turns.select(k.alias("file"), F.coalesce(whole, F.to_json(F.struct(F.col("r").alias("parents"), F.array().cast("array<string>").alias("children")))).alias("content"))
+    whole = F.when(k % 7 == 4, F.to_json("r")).when(k % 7 == 5, F.to_json(F.struct(F.col("r").alias("parents"))))
+    content = F.coalesce(whole, F.to_json(F.struct(F.col("r").alias("parents"), F.array().cast("array<string>").alias("children"))))
+    cut = F.when(F.col("file") % 7 == 6, F.expr("left(c, length(c) - 2)")).otherwise(F.col("c"))
+    return turns.select(k.alias("file"), content.alias("c")).select("file", cut.alias("content"))
 
 
-@_query("""SELECT DISTINCT conv_id AS file, CASE conv_id % 7 WHEN 1 THEN ['parents_id'] WHEN 2 THEN ['parents_text'] WHEN 3 THEN ['parents_metadata'] WHEN 4 THEN ['not_a_mapping'] WHEN 5 THEN ['children_missing'] WHEN 6 THEN ['not_json'] ELSE [] END AS reasons FROM conversations""")
+@_query("""SELECT conv_id AS file, CASE conv_id % 7 WHEN 6 THEN ['not_json'] WHEN 4 THEN ['not_a_mapping'] ELSE list_filter([CASE WHEN bool_or(length(text) % 9 = 0) THEN 'parents_id' END, CASE WHEN bool_or(length(text) % 11 = 0) THEN 'parents_text' END,
+  CASE WHEN bool_or(length(text) % 13 = 0) THEN 'parents_metadata' END, CASE WHEN conv_id % 7 = 5 THEN 'children_missing' END], lambda x: x IS NOT NULL) END AS reasons FROM conversations GROUP BY conv_id""")
 def embedding_file_check(spark, sf_dir):
     """Q4: files of embedding records."""
     return quality.check_embedding_files(_record_files(spark, sf_dir)).select("file", "reasons")
 
 
-@_query("""SELECT DISTINCT conv_id AS file, CASE conv_id % 6 WHEN 1 THEN ['field_missing'] WHEN 2 THEN ['page_num'] WHEN 3 THEN ['cleaned_text'] WHEN 4 THEN ['not_a_list'] WHEN 5 THEN ['empty'] ELSE [] END AS reasons FROM conversations""")
+@_query("""SELECT conv_id AS file, CASE conv_id % 6 WHEN 4 THEN ['not_a_list'] WHEN 5 THEN ['empty'] ELSE list_filter([CASE WHEN bool_or(length(text) % 13 = 0) THEN 'field_missing' END, CASE WHEN bool_or(length(text) % 9 = 0) THEN 'page_num' END,
+  CASE WHEN bool_or(length(text) % 11 = 0) THEN 'cleaned_text' END], lambda x: x IS NOT NULL) END AS reasons FROM conversations GROUP BY conv_id""")
 def cleaned_file_check(spark, sf_dir):
-    """Q3: files of cleaned pages, a page per turn, with one fault in most."""
-    k, turn = F.col("conv_id"), F.col("turn")
-    page = lambda number, text_, *more: F.to_json(F.struct(number.alias("page_num"), F.lit("o").alias("original_text"), text_.alias("cleaned_text"), F.lit(1).alias("word_count"), F.lit(True).alias("is_short"), *more))
-    table = F.lit(False).alias("has_table")
-    one = F.when(k % 6 == 1, page(turn, F.lit("t"))).when(k % 6 == 2, page(turn + 0.5, F.lit("t"), table)).when(k % 6 == 3, page(turn, turn, table)).otherwise(page(turn, F.lit("t"), table))
+    """Q3: files of cleaned pages, a page per turn; some lack a field, a whole page number or a text by the length of what was said, and one file in six each is no list or empty."""
+    k, turn, n = F.col("conv_id"), F.col("turn"), F.length("text")
+    fault = lambda m: F.coalesce(n % m == 0, F.lit(False))
+    page = lambda number, said, table: F.to_json(F.struct(number.alias("page_num"), F.lit("o").alias("original_text"), said.alias("cleaned_text"), F.lit(1).alias("word_count"), F.lit(True).alias("is_short"), *table))
+    of = lambda number, said: F.when(fault(13), page(number, said, [])).otherwise(page(number, said, [F.lit(False).alias("has_table")]))
+    by = lambda number: F.when(fault(11), of(number, turn)).otherwise(of(number, F.lit("t")))
+    one = F.when(fault(9), by(turn + 0.5)).otherwise(by(turn))
     files = derived.read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.concat(F.lit("["), F.array_join(F.collect_list(one), ","), F.lit("]")).alias("c"))
     content = F.when(k % 6 == 4, F.concat(F.lit('{"pages":'), "c", F.lit("}"))).when(k % 6 == 5, "[]").otherwise(F.col("c"))
     return quality.check_cleaned_files(files.select(k.alias("file"), content.alias("content"))).select("file", "reasons")
