@@ -96,9 +96,13 @@ def derived_metrics(stmts: DataFrame) -> DataFrame:
     return wide.select("company_id", "fy", F.inline(F.array(*rows)))
 
 
+def two_decimals(value: Column, signed: bool = False) -> Column:
+    """As printf's %.2f or %+.2f: the nearest to the number as stored, ties to the even one, and a sign where a negative one rounds to zero."""
+    return F.call_function("format_number", value, F.lit("+0.00;-0.00" if signed else "0.00"))
+
+
 def signed_pct(value: Column) -> Column:
-    """Two decimals, ties to the even one."""
-    return F.when(value.isNotNull(), F.format_string("%+.2f%%", F.bround(value, 2)))
+    return F.concat(two_decimals(value, signed=True), F.lit("%"))
 
 
 def series_text(points: DataFrame) -> DataFrame:

@@ -63,7 +63,7 @@ def _metric_lines(asked: DataFrame, stmts: DataFrame) -> DataFrame:
     one = asked.select("cache_key", "company_id", F.posexplode("metrics").alias("i", "metric"), "periods")
     one = one.select("cache_key", "company_id", "i", "metric", F.posexplode("periods").alias("p", "period_label")).withColumn("fy", year_of_period(F.col("period_label")))
     found = one.join(series.derived_metrics(stmts), ["company_id", "fy", "metric"], "left")
-    words = F.concat("period_label", F.lit(": "), F.when(F.col("value").isNotNull(), F.format_string("%.2f%%", F.bround(F.col("value") * 100, 2))).otherwise("not available"))
+    words = F.concat("period_label", F.lit(": "), F.coalesce(F.concat(series.two_decimals(F.col("value") * 100), F.lit("%")), F.lit("not available")))
     label = F.element_at(F.create_map(*(F.lit(x) for pair in series.LABELS.items() for x in pair)), F.col("metric"))
     line = found.groupBy("cache_key", "i", "metric").agg(F.array_join(_in_order(F.struct("p", words.alias("t"))), ", ").alias("t"))
     return line.select("cache_key", "i", F.concat(label, F.lit(": "), "t").alias("t"))
