@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import html.entities
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -1205,11 +1207,32 @@ def chunk_ranges(spark, sf_dir):
     return quality.chunk_counts(derived.read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("document")))
 
 
-@_query(f"""WITH {S}, k AS (SELECT DISTINCT company_id, statement FROM stmts), n AS (SELECT company_id, list_filter(['Profit & Loss', 'Balance Sheet', 'Cash Flows'], lambda x: NOT list_contains(list(CASE statement WHEN 'profit_loss' THEN 'Profit & Loss' WHEN 'balance_sheet' THEN 'Balance Sheet' ELSE 'Cash Flows' END)
+def _refs_sql() -> str:
+    """What a reference stands for in HTML text: the names of HTML 5, and the numbers that do not stand for their own character."""
+    numbers = {f"#{n}": html.unescape(f"&#{n};") for n in (0, 13, *range(128, 160))}
+    return ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in pair)) for pair in (html.entities.html5 | numbers).items())
+
+
+# Titles of stored pages with their references resolved by HTML's rules: a name may lack its semicolon, and the longest known name counts.
+_TITLES = r"""titles AS (SELECT page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS t FROM pages WHERE contains(html, '<h1>')),
+parts AS (SELECT page_id, unnest(l) AS part, generate_subscripts(l, 1) AS i FROM (SELECT page_id, regexp_extract_all(t, '&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)|[^&]+|&') AS l FROM titles)),
+refs(ref, sign) AS (VALUES """ + _refs_sql() + r"""),
+asked AS (SELECT DISTINCT part, substr(part, 2) AS ref, regexp_matches(part, '^&#[0-9xX]') AS is_number, try_cast(replace(lower(substr(rtrim(part, ';'), 3)), 'x', '0x') AS BIGINT) AS n FROM parts WHERE part LIKE '&_%'),
+resolved AS (
+  SELECT part, CASE WHEN sign IS NOT NULL THEN sign WHEN n IS NULL OR n BETWEEN 55296 AND 57343 OR n > 1114111 THEN chr(65533)
+    WHEN n BETWEEN 1 AND 8 OR n = 11 OR n BETWEEN 14 AND 31 OR n = 127 OR n BETWEEN 64976 AND 65007 OR n % 65536 >= 65534 THEN '' ELSE chr(CAST(n AS INTEGER)) END AS t
+  FROM asked LEFT JOIN refs ON refs.ref = '#' || n WHERE is_number
+  UNION ALL SELECT part, arg_max(sign || substr(part, length(refs.ref) + 2), length(refs.ref)) FROM asked JOIN refs ON starts_with(asked.ref, refs.ref) WHERE NOT is_number GROUP BY part),
+named AS (SELECT p.page_id, CASE WHEN regexp_matches(html, '<h1>[^<]*</h1>') THEN coalesce(t, '') END AS name
+  FROM pages p LEFT JOIN (SELECT page_id, string_agg(coalesce(resolved.t, part), '' ORDER BY i) AS t FROM parts LEFT JOIN resolved USING (part) GROUP BY page_id) j USING (page_id))"""
+
+
+@_query(f"""WITH {S}, {_TITLES}, k AS (SELECT DISTINCT company_id, statement FROM stmts), n AS (SELECT company_id, list_filter(['Profit & Loss', 'Balance Sheet', 'Cash Flows'], lambda x: NOT list_contains(list(CASE statement WHEN 'profit_loss' THEN 'Profit & Loss' WHEN 'balance_sheet' THEN 'Balance Sheet' ELSE 'Cash Flows' END)
     FILTER (WHERE company_id % 4 <> 1 OR statement <> 'cash_flow'), x)) AS missing FROM k GROUP BY 1)
 SELECT company_id AS page_id, CASE WHEN company_id % 7 = 0 THEN NULL WHEN company_id % 7 = 1 THEN 'SYM' || company_id ELSE 'Company ' || company_id || ' & Sons' END AS name, CASE WHEN company_id % 2 = 0 THEN 'NS' || company_id END AS nse, CASE WHEN company_id % 3 = 0 THEN CAST(500000 + company_id AS VARCHAR) END AS bse,
   CASE WHEN company_id % 7 IN (0, 1) THEN 'no company name' WHEN len(missing) > 0 THEN 'missing: ' || array_to_string(missing, ', ') END AS error FROM n
-UNION ALL SELECT -1 - page_id, replace(replace(replace(trim(regexp_replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '\\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), NULL, NULL, 'missing: Profit & Loss, Balance Sheet, Cash Flows' FROM pages""")
+UNION ALL SELECT * FROM (SELECT -1 - page_id AS page_id, name, NULL, NULL, CASE WHEN coalesce(name, '') = '' OR upper(name) = 'NONE' THEN 'no company name' ELSE 'missing: Profit & Loss, Balance Sheet, Cash Flows' END
+  FROM (SELECT page_id, trim(regexp_replace(name, '[\\s\\x0b\\x1c-\\x1f\\x85\\pZ]+', ' ', 'g')) AS name FROM named))""")
 def page_identities(spark, sf_dir):
     """Pages of companies through the HTML reader, of which some lack a name, a statement or a listing; and the stored pages, none of which has a statement."""
     n = F.col("company_id")
