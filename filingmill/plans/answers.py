@@ -24,7 +24,13 @@ OPENING = "I couldn't generate a full narrative answer, but here is the verified
 def keyed(questions: DataFrame, stmts: DataFrame) -> DataFrame:
     """Adds periods, can_proceed, stop_message, metrics (keys of the phrases that name one) and cache_key; a question that stops
     has no key, as its message is not to be cached."""
-    return _keyed(periods.resolve_periods(questions, stmts))
+    stored_periods = stored.kept(periods.available_periods(_of_asked(questions, stmts)), "periods")
+    return _keyed(periods.resolved_in_books(questions.join(stored_periods.withColumnRenamed("periods", "_p"), "company_id", "left")).drop("_p"))
+
+
+def _of_asked(questions: DataFrame, stmts: DataFrame) -> DataFrame:
+    """The statements of companies that are asked about."""
+    return stmts.join(stored.kept(questions.select("company_id").distinct(), "companies"), "company_id", "left_semi")
 
 
 def _keyed(resolved: DataFrame) -> DataFrame:
@@ -42,31 +48,31 @@ def _in_order(c: Column) -> Column:
 
 
 def _series_lines(asked: DataFrame, stmts: DataFrame) -> DataFrame:
-    """asked: cache_key, company_id, homes (array<struct<i, named, statement>>: the stored items asked for), periods. A line per item: cache_key, i, t, with its
+    """asked: content, company_id, homes (array<struct<i, named, statement>>: the stored items asked for), periods. A line per item: content, i, t, with its
     change, growth and direction over the asked periods beside it."""
-    one = asked.select("cache_key", "company_id", F.inline("homes"), "periods")
-    one = one.select("cache_key", "company_id", "i", "named", "statement", F.posexplode("periods").alias("p", "period_label"))
+    one = asked.select("content", "company_id", F.inline("homes"), "periods")
+    one = one.select("content", "company_id", "i", "named", "statement", F.posexplode("periods").alias("p", "period_label"))
     values = stmts.select("company_id", "statement", F.col("line_item").alias("named"), "period_label", "fiscal_year_end", "value", "unit")
     point = one.join(values, ["company_id", "statement", "named", "period_label"], "left")
-    whole = series.enriched(point, keys=("cache_key", "i", "named"), order="p")
+    whole = series.enriched(point, keys=("content", "i", "named"), order="p")
     words = F.concat(
         "period_label", F.lit(": "), F.when(F.col("value").isNotNull(), F.format_string("%.2f", F.bround("value", 2))).otherwise("not disclosed"), F.coalesce(F.concat(F.lit(" "), "unit"), F.lit(""))
     )
-    line = whole.groupBy("cache_key", "i", "named").agg(
+    line = whole.groupBy("content", "i", "named").agg(
         F.array_join(_in_order(F.struct("p", words.alias("t"))), ", ").alias("t"), F.first("change_pct").alias("change_pct"), F.first("cagr_pct").alias("cagr_pct"), F.first("direction").alias("direction")
     )
-    return line.select("cache_key", "i", F.concat("named", F.lit(": "), "t").alias("t"), F.struct("named", "change_pct", "cagr_pct", "direction").alias("about"))
+    return line.select("content", "i", F.concat("named", F.lit(": "), "t").alias("t"), F.struct("named", "change_pct", "cagr_pct", "direction").alias("about"))
 
 
 def _metric_lines(asked: DataFrame, stmts: DataFrame) -> DataFrame:
-    """asked: cache_key, company_id, metrics, periods. A line per ratio asked: cache_key, i, t."""
-    one = asked.select("cache_key", "company_id", F.posexplode("metrics").alias("i", "metric"), "periods")
-    one = one.select("cache_key", "company_id", "i", "metric", F.posexplode("periods").alias("p", "period_label")).withColumn("fy", year_of_period(F.col("period_label")))
+    """asked: content, company_id, metrics, periods. A line per ratio asked: content, i, t."""
+    one = asked.select("content", "company_id", F.posexplode("metrics").alias("i", "metric"), "periods")
+    one = one.select("content", "company_id", "i", "metric", F.posexplode("periods").alias("p", "period_label")).withColumn("fy", year_of_period(F.col("period_label")))
     found = one.join(series.derived_metrics(stmts), ["company_id", "fy", "metric"], "left")
     words = F.concat("period_label", F.lit(": "), F.coalesce(F.concat(series.two_decimals(F.col("value") * 100), F.lit("%")), F.lit("not available")))
     label = F.element_at(F.create_map(*(F.lit(x) for pair in series.LABELS.items() for x in pair)), F.col("metric"))
-    line = found.groupBy("cache_key", "i", "metric").agg(F.array_join(_in_order(F.struct("p", words.alias("t"))), ", ").alias("t"))
-    return line.select("cache_key", "i", F.concat(label, F.lit(": "), "t").alias("t"))
+    line = found.groupBy("content", "i", "metric").agg(F.array_join(_in_order(F.struct("p", words.alias("t"))), ", ").alias("t"))
+    return line.select("content", "i", F.concat(label, F.lit(": "), "t").alias("t"))
 
 
 def evidence(passages: DataFrame, most_chars: int = EVIDENCE_CHARS) -> DataFrame:
@@ -75,7 +81,8 @@ def evidence(passages: DataFrame, most_chars: int = EVIDENCE_CHARS) -> DataFrame
     does not fit ends the text. Blank passages are left out."""
     order = ["i", "p", "rank", "id"]
     once = W.partitionBy("cache_key", "id").orderBy(*order)
-    first = passages.filter("trim(coalesce(text, '')) <> ''").withColumn("_n", F.row_number().over(once)).filter("_n = 1")
+    # Both windows find their rows in the partitions of this one shuffle.
+    first = passages.filter("trim(coalesce(text, '')) <> ''").repartition("cache_key").withColumn("_n", F.row_number().over(once)).filter("_n = 1")
     words = F.concat(F.lit("["), "line_item", F.lit(" / "), "period", F.lit("]: "), F.trim("text"))
     first = first.select("cache_key", *order, words.alias("t"))
     along = W.partitionBy("cache_key").orderBy(*order)
@@ -109,45 +116,56 @@ def answer_questions(questions: DataFrame, stmts: DataFrame, cache: DataFrame |
     A question stops where its company is unknown or has no data, or where none of what it asks for is stored; the message is then
     its answer. What the cache holds is answered from there; equal questions are answered once. Answers that need
     context are followed by the passages found for their line items and last periods (`evidence`). What is stored of a company, and the resolved questions, are
-    stored once for all branches."""
+    stored once for all branches. Questions of other keys that ask for the same figures share their text (`content`), and those that search for the same
+    passages a search (`wanted`), so rows of questions are not shuffled to have them made."""
+    stmts = _of_asked(questions, stmts)
     books = stored.kept(periods.company_books(stmts), "books")
     resolved = _keyed(periods.resolved_in_books(periods.with_books(questions, books)))
     asked_items = F.transform("line_items", lambda x, i: F.transform(F.filter("_items", lambda y: F.lower(y["line_item"]) == F.lower(x)), lambda y: F.struct(i.alias("i"), y["line_item"].alias("named"), y["home"].alias("statement"))))
     resolved = resolved.withColumn("homes", F.coalesce(F.flatten(asked_items), F.array().cast("array<struct<i:int,named:string,statement:string>>")))
-    resolved = periods.with_hints(resolved).drop("_p", "_items")
+    resolved = periods.with_hints(resolved)
+    if "question" not in resolved.columns:
+        resolved = resolved.withColumn("question", F.lit(None).cast("string"))
+    searches = F.coalesce("needs_context", F.lit(False)) if search else F.lit(False)
+    hashed = lambda *columns: F.md5(F.to_json(F.struct(*columns)))
+    figures, request = ("company_id", "homes", "metrics", "periods"), ("question", "company_id", "line_items", "periods")
+    open_ = F.col("cache_key").isNotNull()
+    resolved = resolved.select(
+        "question_id", *request, "homes", "metrics", "can_proceed", "stop_message", "hints", "cache_key",
+        F.when(open_, hashed(*figures)).alias("content"), F.when(open_ & searches, hashed(*request)).alias("wanted"),
+    )
     if cache is None:
         resolved = resolved.withColumn("answer_text", F.lit(None).cast("string"))
     else:
         resolved = state.cache_lookup(resolved, cache, now)
-    if "question" not in resolved.columns:
-        resolved = resolved.withColumn("question", F.lit(None).cast("string"))
     resolved = stored.kept(resolved, "resolved")
-    fresh = resolved.filter("cache_key IS NOT NULL AND answer_text IS NULL").groupBy("cache_key").agg(
-        F.min_by(F.struct("company_id", "line_items", "homes", "metrics", "periods", "question", "needs_context"), "question_id").alias("x")
-    )
-    fresh = stored.kept(fresh.select("cache_key", "x.*"), "fresh")
-    lines, ratios = _series_lines(fresh, stmts), _metric_lines(fresh, stmts)
+    fresh = resolved.filter("cache_key IS NOT NULL AND answer_text IS NULL")
+    asked = stored.kept(fresh.select("content", *figures).distinct(), "asked")
+    lines, ratios = _series_lines(asked, stmts), _metric_lines(asked, stmts)
     about = F.struct(F.lit("").alias("named"), F.lit(0.0).alias("change_pct"), F.lit(0.0).alias("cagr_pct"), F.lit("").alias("direction"))
     none = F.when(F.lit(False), about)
-    both = lines.select("cache_key", F.lit(0).alias("k"), "i", "t", "about").union(ratios.select("cache_key", F.lit(1).alias("k"), "i", "t", none))
+    both = lines.select("content", F.lit(0).alias("k"), "i", "t", "about").union(ratios.select("content", F.lit(1).alias("k"), "i", "t", none))
     of_series = F.when(F.col("k") == 0, F.struct("i", "about"))
-    body = both.groupBy("cache_key").agg(
+    body = both.groupBy("content").agg(
         F.concat(F.lit(OPENING), F.array_join(_in_order(F.struct("k", "i", "t")), "\n")).alias("answer"),
         F.transform(F.array_sort(F.collect_list(of_series)), lambda x: x["about"]).alias("series"),
     )
+    resolved = _as_first(resolved, fresh)
     if search is None:
-        body = body.withColumn("n_snippets", F.lit(0).cast("long"))
+        found = resolved.withColumn("n_snippets", F.lit(0).cast("long")).withColumn("evidence", F.lit(None).cast("string"))
     else:
-        wanted = context_requests(fresh.filter(F.coalesce("needs_context", F.lit(False))).withColumn("question_id", F.col("cache_key")), ("cache_key", "question")).filter("searched").drop("question_id")
-        body = body.join(evidence(search(wanted)), "cache_key", "left")
-        body = body.withColumn("answer", F.concat("answer", F.coalesce(F.concat(F.lit(EVIDENCE_HEAD), "evidence"), F.lit("")))).drop("evidence")
-    out = resolved.join(body, "cache_key", "left")
+        wanted = fresh.filter("wanted IS NOT NULL").select(F.col("wanted").alias("cache_key"), *request).distinct()
+        wanted = context_requests(wanted.withColumn("question_id", F.col("cache_key")), ("cache_key", "question")).filter("searched").drop("question_id")
+        passages = evidence(search(wanted)).withColumnRenamed("cache_key", "_wanted")
+        # Rows that search for nothing are dealt by their number.
+        found = resolved.withColumn("_wanted", F.coalesce("wanted", F.col("question_id").cast("string"))).join(passages, "_wanted", "left")
+    out = found.join(stored.kept(body, "bodies"), "content", "left").withColumn("answer", F.concat("answer", F.coalesce(F.concat(F.lit(EVIDENCE_HEAD), "evidence"), F.lit(""))))
     missing = F.array_join(F.transform("line_items", lambda x: F.concat(F.lit("Line item '"), x, F.lit("' not found for '"), F.col("company_id").cast("string"), F.lit("' in any statement table. Call list_available_line_items to see valid names."))), "; ")
     nothing = F.concat(F.lit("I couldn't retrieve the requested data for "), F.col("company_id").cast("string"), F.lit(": "), F.when(F.size("line_items") > 0, missing).otherwise("no data found"))
     hit = F.col("answer_text").isNotNull()
     empty = F.col("can_proceed") & ~hit & F.col("answer").isNull()
     stop = F.coalesce("stop_message", F.when(empty, nothing))
-    snippets = F.coalesce("n_snippets", F.lit(0)).cast("long")
+    snippets = F.when(F.col("answer").isNotNull(), F.coalesce("n_snippets", F.lit(0))).otherwise(0).cast("long")
     hints = F.when(F.col("can_proceed"), periods.suggestions(F.col("hints"), snippets > 0))
     return out.select(
         "question_id", F.when(stop.isNull(), F.col("cache_key")).alias("cache_key"), F.coalesce("answer_text", "answer", stop).alias("answer"),
@@ -156,6 +174,16 @@ def answer_questions(questions: DataFrame, stmts: DataFrame, cache: DataFrame |
     )
 
 
+def _as_first(resolved: DataFrame, fresh: DataFrame) -> DataFrame:
+    """resolved, with the content of the first question of the same key. Keys whose questions differ in it (in the order of their items, say) are found by hashes alone."""
+    own = F.xxhash64("content", "wanted")
+    odd = stored.kept(fresh.groupBy("cache_key").agg(F.min(own).alias("a"), F.max(own).alias("b")).filter("a <> b").select("cache_key"), "odd")
+    first = fresh.join(odd, "cache_key", "left_semi").groupBy("cache_key").agg(F.min_by(F.struct("content", "wanted"), "question_id").alias("_first"))
+    taken = lambda c: F.when(F.col("_first").isNull(), F.col(c)).otherwise(F.col(f"_first.{c}"))
+    joined = resolved.join(stored.kept(first, "first"), "cache_key", "left")
+    return joined.withColumns({c: taken(c) for c in ("content", "wanted")}).drop("_first")
+
+
 def cache_after(cache: DataFrame, answers: DataFrame, now: Column, ttl_seconds: int = 30 * 86400) -> DataFrame:
     """cache: cache_key, answer_text, created_at, last_accessed_at, expires_at, hit_count. The cache after answering: answers that did
     not come from it are added or replace expired ones, and hits are counted."""
