@@ -939,11 +939,10 @@ def cached_answers(spark, sf_dir):
     asked, stmts = _asked(spark, sf_dir)
     asked = asked.withColumn("intent", F.col("question_id").cast("string"))  # a key of its own for each question
     now = F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
-    keys = answers.keyed(asked, stmts).filter("cache_key IS NOT NULL").select("cache_key", "question_id")
+    # Questions that find nothing are never cached.
+    keys = answers.keyed(asked, stmts).filter("cache_key IS NOT NULL AND NOT (question_id % 11 = 0 AND size(derived) = 0)")
     past = F.when(F.col("question_id") % 2 != 0, F.lit("2024-01-14 00:00:00").cast("timestamp_ntz"))
     cache = keys.select("cache_key", F.concat(F.lit("kept "), "question_id").alias("answer_text"), past.alias("expires_at"))
-    # Questions that find nothing are never cached.
-    cache = cache.join(keys, "cache_key").join(asked.filter("question_id % 11 = 0 AND size(derived) = 0").select("question_id"), "question_id", "left_anti").drop("question_id")
     return answers.answer_questions(asked, stmts, cache, now).select("question_id", "answer", "from_cache")
 
 
