@@ -1,10 +1,10 @@
 """One of each group of near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-SimHash anchors (`simhash`) cover 3 bits and reach few such pairs, so candidates come from MinHash bands here: BANDS keys a
-text, each over BAND_ROWS minima; two texts at similarity 0.8 miss each other in all of them with a chance of 2 in 10,000,
-nearer ones more rarely. Texts that share a key are then compared by their whole sets of shingles: only pairs that reach the
-similarity are linked, and each key gives a spanning forest of its links, never all pairs. Only texts that share a key with
-another are shuffled, and of keys with the same members one is left.
+Candidates come first from SimHash anchors (`simhash.near_links` over fingerprints of five-word shingles): the texts of a component of fingerprints within 3 bits
+share a key. These reach few of the similar pairs, so MinHash bands give further keys: BANDS a text, each over BAND_ROWS minima; two texts
+at similarity 0.8 miss each other in all of them with a chance of 2 in 10,000, nearer ones more rarely. Texts that share a key of either
+kind are then compared by their whole sets of shingles: only pairs that reach the similarity are linked, and each key gives a spanning
+forest of its links, never all pairs. Only texts that share a key with another are shuffled, and of keys with the same members one is left.
 
 Equal texts are one node, so a group of copies is one row. A key with more than BLOCK texts is cut into blocks, and blocks
 are compared in pairs by separate tasks. Components over all keys come from joins (`_components`).
@@ -23,9 +23,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from ._components import components
 from ._shared import dropped, small, small_batches, staged, text_key
-from .simhash import _LOWER, _WORD
+from .simhash import _LOWER, _WORD, fingerprint
 
 SHINGLE_WORDS = 5
 LEAST_SIMILARITY = 0.8
@@ -60,7 +61,14 @@ def bands(hashes: np.ndarray) -> list[int]:
 def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         found = [bands(shingles(t)) for t in batch["text"]]
-        yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "keys": found})
+        prints = np.array([fingerprint(t, SHINGLE_WORDS) for t in batch["text"]], dtype=np.uint64).view(np.int64)
+        yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "fp": prints, "keys": found})
+
+
+def anchored(fps: DataFrame) -> DataFrame:
+    """fps: fp, distinct. Returns fp, key: the same key for all fingerprints joined by steps of at most 3 bits, found by anchors."""
+    roots = staged(components(simhash.near_links(fps)), "anchored")
+    return fps.join(small(roots), fps.fp == roots.node, "left").select("fp", F.xxhash64(F.lit("anchors"), F.coalesce("root", "fp")).alias("key"))
 
 
 def linked(sets: list[np.ndarray], least: float = LEAST_SIMILARITY) -> list[tuple[int, int]]:
@@ -109,8 +117,11 @@ def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def near_links(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """docs: a, b, text. Returns u, v (structs of a and b): links of similar texts from which all components follow."""
     small_batches(docs.sparkSession)
-    keyed = docs.mapInPandas(_keys, "a long, b long, keys array<long>").dropDuplicates(["a", "b"])
-    spread = staged(keyed.select("a", "b", F.explode("keys").alias("key")), "bands")
+    keyed = docs.mapInPandas(_keys, "a long, b long, fp long, keys array<long>").dropDuplicates(["a", "b"])
+    spread = staged(keyed.select("a", "b", "fp", F.explode(F.concat(F.array(F.lit(None).cast("long")), "keys")).alias("key")), "bands")
+    prints = spread.filter("key IS NULL").select("a", "b", "fp")
+    spread = spread.filter("key IS NOT NULL").select("a", "b", "key").unionByName(prints.join(anchored(prints.select("fp").distinct()), "fp").select("a", "b", "key"))
+    spread = staged(spread, "keys")
     name = F.xxhash64("a", "b")
     met = spread.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(name).alias("x"), F.bit_xor(F.xxhash64("b", "a")).alias("y"))
     met = met.filter("n > 1").groupBy("n", "x", "y").agg(F.min("key").alias("key"))
