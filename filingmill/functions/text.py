@@ -117,8 +117,14 @@ def table_type(text: Column) -> Column:
 
 
 def sections(text: Column) -> Column:
-    """All section tags whose pattern is found, in list order."""
-    return F.array_compact(F.array(*(F.when(text.rlike("(?id)" + pattern), name) for name, pattern in P.SECTIONS)))
+    """All section tags whose pattern is found, in list order; a pattern is tried only on texts that hold one of its literals."""
+
+    def found(x: Column) -> Column:
+        held = lambda gates: reduce(Column.__or__, (F.contains(x["lower"], F.lit(g)) for g in gates))
+        tags = (F.when(held(gates), F.when(x["text"].rlike("(?id)" + pattern), name)) for (name, pattern), gates in zip(P.SECTIONS, P.SECTION_GATES, strict=True))
+        return F.array_compact(F.array(*tags))
+
+    return _let(F.struct(text.alias("text"), F.lower(text).alias("lower")), found)
 
 
 def chunks(text: Column, most: int = CHUNK_WORDS, overlap: int = CHUNK_OVERLAP, mark: str = "\n\n") -> Column:

@@ -421,10 +421,8 @@ UNION ALL SELECT 'child', parent_id || '_child_' || (i - 1), parent_id, page_int
 def page_records(spark, sf_dir):
     """Pages cleaned, tagged, packed and named, as parent and child records in one job."""
     docs = derived.read(spark, sf_dir, "documents").select(F.col("source").alias("company"), F.lit(2024).alias("year"), F.lit("ANNUAL").alias("doc_type"), F.col("doc_id").alias("page_num"), "text")
-    parents, children = pages.parents_and_children(pages.with_steps(docs), mark="\n")
     sha = F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256")
-    one = parents.select(F.lit("parent").alias("kind"), "id", F.col("id").alias("parent_id"), "page_intent", "child_count", F.lit(None).cast("int").alias("child_index"), sha)
-    return one.unionByName(children.select(F.lit("child").alias("kind"), "id", "parent_id", "page_intent", "child_count", "child_index", sha))
+    return pages.records(pages.with_steps(docs), mark="\n").select("kind", "id", "parent_id", "page_intent", "child_count", "child_index", sha)
 
 
 @_query("""WITH f AS (SELECT doc_id, text, doc_id // 5 AS k, source FROM documents),

@@ -132,12 +132,20 @@ def run_summary(pages: DataFrame, key: str) -> DataFrame:
     return pages.groupBy(key).agg(F.count("*").alias("n_pages"), F.count_if(~F.col("is_short")).alias("n_kept"), F.count_if(F.col("is_short")).alias("n_skipped"))
 
 
-def parents_and_children(pages: DataFrame, mark: str = "\n\n") -> tuple[DataFrame, DataFrame]:
-    """Cleaned pages (company, year, doc_type, page_num, cleaned_text, page_intent) as parent records and their chunks."""
+def records(pages: DataFrame, mark: str = "\n\n") -> DataFrame:
+    """Cleaned pages (company, year, doc_type, page_num, cleaned_text, page_intent, is_short) as records, a parent and its chunks: kind, id, parent_id, the columns that name the page,
+    page_intent, child_count, child_index (null for a parent), text. Short pages have none. One generator makes all rows of a page, so that a page is cleaned once; it takes an
+    expression, as of a column Spark would infer a filter that works out the column again below."""
     name = F.concat_ws("_", "company", "year", "doc_type", F.lit("page"), "page_num")
-    base = pages.filter(~F.col("is_short")).withColumn("parent_id", F.concat(name, F.lit("_parent")))
-    base = base.withColumn("_chunks", text.chunks(F.col("cleaned_text"), mark=mark))
+    base = pages.withColumn("_chunks", F.when(~F.col("is_short"), text.chunks(F.col("cleaned_text"), mark=mark)))
+    row = lambda kind, i, t: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("child_index"), t.alias("text"))
+    rows = F.concat(F.array(row("parent", F.lit(None), F.col("cleaned_text"))), F.transform("_chunks", lambda t, i: row("child", i, t)))
     about = ["company", "year", "doc_type", "page_num", F.array_join("page_intent", ",").alias("page_intent")]
-    parents = base.select(F.col("parent_id").alias("id"), F.col("cleaned_text").alias("text"), *about, F.size("_chunks").alias("child_count"))
-    children = base.select("parent_id", *about, F.size("_chunks").alias("child_count"), F.posexplode("_chunks").alias("child_index", "text"))
-    return parents, children.withColumn("id", F.concat("parent_id", F.lit("_child_"), "child_index"))
+    out = base.select(F.concat(name, F.lit("_parent")).alias("parent_id"), *about, F.size("_chunks").alias("child_count"), F.inline(rows))
+    return out.withColumn("id", F.when(F.col("child_index").isNull(), F.col("parent_id")).otherwise(F.concat("parent_id", F.lit("_child_"), "child_index")))
+
+
+def parents_and_children(pages: DataFrame, mark: str = "\n\n") -> tuple[DataFrame, DataFrame]:
+    """The records of cleaned pages as parents and their chunks."""
+    both, about = records(pages, mark), ["company", "year", "doc_type", "page_num", "page_intent", "child_count"]
+    return both.filter("kind = 'parent'").select("id", "text", *about), both.filter("kind = 'child'").select("parent_id", *about, "child_index", "text", "id")
