@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from ._shared import small, small_batches, staged
+from ._shared import cut_batches, small, small_batches, staged
 
 TRAIN_BUCKETS = 96
 PIECE_CHARS, TRAIN_PIECES = 300, 1000
@@ -45,6 +45,8 @@ GRAMS = 4
 BLOCK = 64
 LEXICON_COUNT, LEXICON_SHARE = 3, 0.8
 UNDETERMINED = "und"
+#: Texts of so many bytes are read at a time: their words and shares take many times that.
+READ_BYTES = 1024 * 1024
 _WORD = re.compile(r"[^\W\d_]+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -319,7 +321,7 @@ def _read_batch(model: Model, texts: list[str | None]):
 def _predict(shared, with_words: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in cut_batches(batches, "text", READ_BYTES):
             lists, bounds, shares, mean, known = _read_batch(model, batch.column("text").to_pylist())
             best = mean.argmax(axis=1)
             out = [
@@ -338,7 +340,7 @@ def _predict(shared, with_words: bool):
 
 def _keep(shared, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in cut_batches(batches, "text", READ_BYTES):
             _, _, _, mean, known = _read_batch(shared.value, batch.column("text").to_pylist())
             yield batch.filter(pa.array(known & (mean.max(axis=1) >= least)))
 

@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import groupby
@@ -41,14 +42,17 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ._shared import small_batches
+from ._shared import cut_batches, small_batches
 
 MARK = "▁"
 # Fixed values of the format.
 UNIGRAM, MERGES = 1, 2
 UNKNOWN_COST = 10.0
-#: A worker remembers so many words' pieces and neighbours' agreements from batch to batch.
-CACHED_WORDS, CACHED_PAIRS = 400_000, 1_000_000
+#: A worker remembers the pieces of so many words, of so many characters in all, from batch to batch, and so many neighbours'
+#: agreements from task to task: it stays alive between tasks, and runs those of other operators too.
+CACHED_WORDS, CACHED_CHARS, CACHED_PAIRS = 150_000, 2_000_000, 400_000
+#: Texts of so many bytes are encoded at a time.
+READ_BYTES = 1024 * 1024
 _END = ""
 
 
@@ -158,7 +162,9 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, bytes] = {}  # ids as 32-bit numbers
+        self.chars = 0  # of the words held
+        self.again: set[str] = set()  # of the words held, those of more than one batch
         self.pairs: dict[tuple[str, str], bool] = {}
         self.runs: dict[int, list[int]] = {}
         self.unknown_score = np.float32(min(vocabulary.scores.values(), default=0.0)) - np.float32(UNKNOWN_COST)
@@ -197,6 +203,7 @@ class Encoder:
                 last.append(piece)
                 score.append(value)
             self.words[word] = self._read_back(word, last)
+            self.chars += n
 
     def _ending(self, word: str, p: int) -> list[str]:
         """The pieces that end at p, the longest last."""
@@ -234,14 +241,27 @@ class Encoder:
                 chosen, value = word[p - 1], unknown
         return chosen, value
 
-    def _read_back(self, word: str, last: list[str]) -> tuple[int, ...]:
+    def _read_back(self, word: str, last: list[str]) -> bytes:
         out, p = [], len(word)
         while p:
             piece = last[p]
             i = self.v.ids.get(piece)
             out.append((i,) if i is not None else self.of_piece(piece))
             p -= len(piece)
-        return tuple(i for part in reversed(out) for i in part)
+        return array("i", [i for part in reversed(out) for i in part]).tobytes()
+
+    def _forget(self) -> None:
+        """Keep the words that have come again since the last time, unless these are too many as well."""
+        self.words = {w: self.words[w] for w in self.again}
+        self.again = set()
+        self.chars = sum(map(len, self.words))
+        if 2 * len(self.words) > CACHED_WORDS or 2 * self.chars > CACHED_CHARS:
+            self.words, self.chars = {}, 0
+
+    def rest(self) -> None:
+        """At the end of a task: the worker stays alive, and what it does next needs no words. Arrow gives back what it holds free."""
+        self.words, self.again, self.chars = {}, set(), 0
+        pa.default_memory_pool().release_unused()
 
     def run_of_marks(self, n: int) -> list[int]:
         if n not in self.runs:
@@ -250,14 +270,15 @@ class Encoder:
 
     def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text."""
-        if len(self.words) > CACHED_WORDS:
-            self.words.clear()
         lists = [marked_words(t) for t in texts]
         codes, distinct = pd.factorize(np.array([w for ws in lists for w in ws], dtype=object))
+        if len(self.words) > CACHED_WORDS or self.chars > CACHED_CHARS:
+            self._forget()
+        self.again.update(w for w in distinct if w in self.words)
         self.learn([w for w in distinct if w not in self.words])
         known = [self.words[w] for w in distinct]
-        sizes = np.fromiter(map(len, known), np.int64, len(known))
-        flat = np.fromiter((i for x in known for i in x), np.int32, int(sizes.sum()))
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        flat = np.frombuffer(b"".join(known), np.int32)
         starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
         out, at = [], 0
         mark = self.v.ids.get(MARK)
@@ -288,7 +309,7 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def _encoder(vocabulary: Vocabulary) -> Encoder:
-    """The encoder of this worker process, which tasks that follow each other share."""
+    """The encoder of this worker process; tasks that follow each other share its agreements."""
     if vocabulary.name not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[vocabulary.name] = Encoder(vocabulary)
@@ -312,16 +333,19 @@ def decode(ids: list[int], vocabulary: Vocabulary) -> str:
 def _encode(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared.value)
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            ids = encoder.encode_batch(texts)
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-            values = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-            nulls = pa.array([t is None for t in texts], pa.bool_())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()), mask=nulls)],
-                ["doc_id", "ids"],
-            )
+        try:
+            for batch in cut_batches(batches, "text", READ_BYTES):
+                texts = batch.column("text").to_pylist()
+                ids = encoder.encode_batch(texts)
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+                values = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+                nulls = pa.array([t is None for t in texts], pa.bool_())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()), mask=nulls)],
+                    ["doc_id", "ids"],
+                )
+        finally:
+            encoder.rest()
 
     return run
 
@@ -356,19 +380,22 @@ def decode_table(encoded: DataFrame, model_path: str) -> DataFrame:
 def _digest(shared, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared.value)
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            ids = encoder.encode_batch(texts)
-            same = [t is None or decode(x.tolist(), shared.value) == t for t, x in zip(texts, ids, strict=True)]
-            columns = {
-                "doc_id": batch.column("doc_id"),
-                "n_pieces": pa.array([len(x) for x in ids], pa.int64()),
-                "ids_sha256": pa.array([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in ids], pa.string()),
-                "round_trip": pa.array(same, pa.bool_()),
-            }
-            if with_ids:
-                columns["ids"] = pa.array([None if t is None else x for t, x in zip(texts, ids, strict=True)], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+        try:
+            for batch in cut_batches(batches, "text", READ_BYTES):
+                texts = batch.column("text").to_pylist()
+                ids = encoder.encode_batch(texts)
+                same = [t is None or decode(x.tolist(), shared.value) == t for t, x in zip(texts, ids, strict=True)]
+                columns = {
+                    "doc_id": batch.column("doc_id"),
+                    "n_pieces": pa.array([len(x) for x in ids], pa.int64()),
+                    "ids_sha256": pa.array([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in ids], pa.string()),
+                    "round_trip": pa.array(same, pa.bool_()),
+                }
+                if with_ids:
+                    columns["ids"] = pa.array([None if t is None else x for t, x in zip(texts, ids, strict=True)], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+        finally:
+            encoder.rest()
 
     return run
 
